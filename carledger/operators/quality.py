@@ -1,13 +1,85 @@
-"""Q1 key and rule checks, Q2 free keys, D1 the state dimension."""
+"""Q1 key and rule checks, Q2 free keys, D1 the state dimension.
+
+Spark does not enforce keys, so the table constraints become a report:
+one row per (table, rule) with the number of violations.
+
+* primary/unique key: number of key values held by more than one row
+  (groupBy with partial aggregation; never a self-join);
+* NOT NULL and CHECK: rows failing, all rules of a table in one pass;
+* foreign key: non-NULL child keys missing from the parent (left_anti).
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from carledger.functions.fixed import CAR_STATES
+from carledger.functions.fixed import CAR_STATES, STATUS_CLOSED, STATUS_OPEN
 from carledger.schema import CAR_STATES as CAR_STATES_SCHEMA
 
 
 def car_states(spark: SparkSession) -> DataFrame:
     """The fixed 3-row state dimension."""
     return spark.createDataFrame(CAR_STATES, CAR_STATES_SCHEMA)
+
+
+def _one(df: DataFrame, table: str, rule: str) -> DataFrame:
+    return df.select(F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
+                     F.col("violations").cast("long").alias("violations"))
+
+
+def dup_keys(df: DataFrame, table: str, rule: str, *key: str) -> DataFrame:
+    g = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    return _one(g.agg(F.count(F.lit(1)).alias("violations")), table, rule)
+
+
+def row_rules(df: DataFrame, table: str, rules: dict[str, F.Column]) -> DataFrame:
+    """Rows failing each rule (a Column that is true when the row is bad),
+    all counted in one aggregate, then unpivoted to one row per rule."""
+    agg = df.agg(*[F.count(F.when(bad, 1)).alias(name) for name, bad in rules.items()])
+    long = agg.unpivot([], list(rules), "rule", "violations")
+    return long.select(F.lit(table).alias("table_name"), "rule",
+                       F.col("violations").cast("long").alias("violations"))
+
+
+def fk_missing(df: DataFrame, table: str, rule: str, key: str, parent: DataFrame, pkey: str) -> DataFrame:
+    p = parent.select(F.col(pkey).alias(key))
+    miss = df.select(key).filter(F.col(key).isNotNull()).join(p, key, "left_anti")
+    return _one(miss.agg(F.count(F.lit(1)).alias("violations")), table, rule)
+
+
+def any_null(*cols: str) -> F.Column:
+    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
+
+
+def constraint_violations(states: DataFrame, cars: DataFrame, clients: DataFrame,
+                          orders: DataFrame, history: DataFrame) -> DataFrame:
+    parts = [
+        dup_keys(states, "carstates", "pk_id", "id"),
+        dup_keys(states, "carstates", "unique_state", "state"),
+        dup_keys(cars, "cars", "pk_reg_num", "reg_num"),
+        row_rules(cars, "cars", {"not_null": any_null(*cars.columns)}),
+        fk_missing(cars, "cars", "fk_state_id", "state_id", states, "id"),
+        dup_keys(clients, "clients", "pk_pass", "pass"),
+        row_rules(clients, "clients", {"not_null": any_null("pass", "name")}),
+        dup_keys(orders, "orders", "pk_id", "id"),
+        dup_keys(orders, "orders", "unique_client_pass", "client_pass"),
+        dup_keys(orders, "orders", "unique_car_reg_num", "car_reg_num"),
+        row_rules(orders, "orders", {"not_null": any_null(*orders.columns)}),
+        fk_missing(orders, "orders", "fk_client_pass", "client_pass", clients, "pass"),
+        fk_missing(orders, "orders", "fk_car_reg_num", "car_reg_num", cars, "reg_num"),
+        dup_keys(history, "orders_history", "pk_id", "id"),
+        row_rules(history, "orders_history", {
+            "not_null": any_null(*[c for c in history.columns if c != "note"]),
+            "check_status": ~F.col("status").isin(STATUS_OPEN, STATUS_CLOSED),
+        }),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def free_keys(candidates: DataFrame, existing: DataFrame, key: str, existing_key: str) -> DataFrame:
+    """Q2: distinct candidate keys that no existing row uses."""
+    e = existing.select(F.col(existing_key).alias(key))
+    return candidates.select(key).filter(F.col(key).isNotNull()).distinct().join(e, key, "left_anti")

@@ -2,6 +2,129 @@
 
 from __future__ import annotations
 
+from carledger import params as P
+from carledger.oracle_sql import (
+    DAY_US, q_cents, q_hi, q_micros, q_money, q_ts, with_adapter,
+)
+
+EVENTS = ("ev", """
+SELECT id AS seq, changed_at AS ts,
+       CASE WHEN id = min(id) OVER (PARTITION BY order_id) THEN 'I'
+            WHEN status = '1' THEN 'D' ELSE 'U' END AS op,
+       order_id, client_pass, car_reg_num, rented_at, returned_at, total_price, v_user
+FROM rent_history""")
+
+
+def _history_fields(t: str) -> str:
+    return f"""{t}.client_pass, {t}.car_reg_num, {t}.rented_at, {t}.returned_at"""
+
 
 def statements() -> dict[str, str]:
-    return {}
+    out = {}
+    d = "CASE WHEN op = 'D' THEN lag({c}) OVER w ELSE {c} END AS {c}"
+    out["order_change_log"] = with_adapter(f"""
+SELECT seq AS id, order_id, ts AS changed_at,
+       {d.format(c='client_pass')}, {d.format(c='car_reg_num')},
+       {d.format(c='rented_at')}, {d.format(c='returned_at')},
+       CASE WHEN op = 'D' THEN '1' ELSE '0' END AS status,
+       {d.format(c='total_price')},
+       CASE WHEN op = 'D' THEN 'client returned a car.'
+            WHEN op = 'I' THEN 'order was created.'
+            WHEN lag(car_reg_num) OVER w <> car_reg_num THEN 'client changed a car.'
+            WHEN lag(returned_at) OVER w <> returned_at THEN 'client renewed a car.'
+            WHEN lag(client_pass) OVER w <> client_pass THEN 'client was changed.'
+       END AS note,
+       v_user
+FROM ev WHERE op = 'D' OR order_id > 0
+WINDOW w AS (PARTITION BY order_id ORDER BY seq)""", EVENTS)
+
+    exp = q_ts(P.EXPIRE_AT)
+    out["expired_orders"] = with_adapter(f"""
+SELECT CAST({P.EXPIRE_ID_OFFSET} + id AS BIGINT) AS id, id AS order_id, {exp} AS changed_at,
+       client_pass, car_reg_num, rented_at, returned_at, '1' AS status, total_price,
+       'client returned a car.' AS note, '{P.V_USER}' AS v_user
+FROM rent_orders WHERE returned_at <= {exp}""")
+
+    t = q_ts(P.TICK_AT)
+    due = f"(s1 = 1 AND {q_micros(t, 'tech_serv_date')} >= {20 * DAY_US})"
+    out["fleet_tick"] = with_adapter(f"""
+SELECT reg_num,
+       CAST(CASE WHEN {due} THEN 3
+                 WHEN s1 = 3 AND {t} > tech_serv_date + INTERVAL 1 DAY THEN 1
+                 ELSE s1 END AS INTEGER) AS state_id,
+       color, mark, type, price,
+       CASE WHEN {due} THEN date_trunc('second', {t}) ELSE tech_serv_date END AS tech_serv_date
+FROM (SELECT c.*, CASE WHEN e.reg_num IS NOT NULL THEN 1 ELSE c.state_id END AS s1
+      FROM cars c
+      LEFT JOIN (SELECT DISTINCT car_reg_num AS reg_num FROM rent_orders WHERE returned_at <= {t}) e
+        ON e.reg_num = c.reg_num) c1""")
+
+    out["pick_free_car"] = with_adapter(f"""
+SELECT reg_num, state_id, color, mark, type, price, tech_serv_date
+FROM cars WHERE state_id = 1
+ORDER BY md5(reg_num || '{P.PICK_SEED}'), reg_num LIMIT 1""")
+
+    num = (f"{q_cents('o.total_price')} * {DAY_US} + {q_hi(q_micros('o.returned_at', 's.ts'))} * "
+           f"({q_cents('cn.price')} - {q_cents('co.price')})")
+    out["swap_quote"] = with_adapter(f"""
+SELECT s.id, o.car_reg_num AS old_car, s.first_car AS new_car, s.ts, {q_money(num)} AS total_price
+FROM (SELECT id, first_car, rented_at + INTERVAL 1 DAY AS ts FROM open_orders) s
+JOIN rent_orders o ON o.id = s.id
+JOIN cars co ON co.reg_num = o.car_reg_num
+JOIN cars cn ON cn.reg_num = s.first_car""")
+
+    out["renew_quote"] = with_adapter("""
+SELECT o.id, o.car_reg_num, date_trunc('second', o.returned_at) + INTERVAL 1 DAY AS returned_at,
+       o.total_price + c.price AS total_price
+FROM rent_orders o JOIN cars c ON c.reg_num = o.car_reg_num""")
+
+    out["close_early"] = with_adapter(f"""
+SELECT CAST(id * 10 + 7 AS BIGINT) AS id, id AS order_id, rented_at + INTERVAL 1 DAY AS changed_at,
+       client_pass, car_reg_num, rented_at, returned_at, '1' AS status, total_price,
+       'client returned a car.' AS note, '{P.V_USER}' AS v_user
+FROM rent_orders_u""")
+
+    def dup(table, rule, src, key):
+        return (f"SELECT '{table}' AS table_name, '{rule}' AS rule, CAST(count(*) AS BIGINT) AS violations "
+                f"FROM (SELECT {key} FROM {src} GROUP BY {key} HAVING count(*) > 1) x")
+
+    def rows(table, rule, src, bad):
+        return (f"SELECT '{table}' AS table_name, '{rule}' AS rule, "
+                f"CAST(count(CASE WHEN {bad} THEN 1 END) AS BIGINT) AS violations FROM {src}")
+
+    def fk(table, rule, src, key, parent, pkey):
+        return (f"SELECT '{table}' AS table_name, '{rule}' AS rule, CAST(count(*) AS BIGINT) AS violations "
+                f"FROM {src} s WHERE s.{key} IS NOT NULL AND NOT EXISTS "
+                f"(SELECT 1 FROM {parent} p WHERE p.{pkey} = s.{key})")
+
+    def nulls(*cols):
+        return "(" + " OR ".join(f"{c} IS NULL" for c in cols) + ")"
+
+    car_cols = ["reg_num", "state_id", "color", "mark", "type", "price", "tech_serv_date"]
+    ord_cols = ["id", "client_pass", "car_reg_num", "rented_at", "returned_at", "total_price"]
+    hist_cols = ["id", "order_id", "changed_at", "client_pass", "car_reg_num", "rented_at", "returned_at",
+                 "status", "total_price", "v_user"]
+    parts = [
+        dup("carstates", "pk_id", "car_states", "id"),
+        dup("carstates", "unique_state", "car_states", "state"),
+        dup("cars", "pk_reg_num", "cars", "reg_num"),
+        rows("cars", "not_null", "cars", nulls(*car_cols)),
+        fk("cars", "fk_state_id", "cars", "state_id", "car_states", "id"),
+        dup("clients", "pk_pass", "clients", "pass"),
+        rows("clients", "not_null", "clients", nulls("pass", "name")),
+        dup("orders", "pk_id", "rent_orders", "id"),
+        dup("orders", "unique_client_pass", "rent_orders", "client_pass"),
+        dup("orders", "unique_car_reg_num", "rent_orders", "car_reg_num"),
+        rows("orders", "not_null", "rent_orders", nulls(*ord_cols)),
+        fk("orders", "fk_client_pass", "rent_orders", "client_pass", "clients", "pass"),
+        fk("orders", "fk_car_reg_num", "rent_orders", "car_reg_num", "cars", "reg_num"),
+        dup("orders_history", "pk_id", "rent_history", "id"),
+        rows("orders_history", "not_null", "rent_history", nulls(*hist_cols)),
+        rows("orders_history", "check_status", "rent_history", "status NOT IN ('0', '1')"),
+    ]
+    out["constraint_violations"] = with_adapter("\nUNION ALL\n".join(parts))
+
+    out["free_keys"] = with_adapter("""
+SELECT k.pass FROM (SELECT DISTINCT lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS pass FROM part) k
+WHERE NOT EXISTS (SELECT 1 FROM clients c WHERE c.pass = k.pass)""")
+    return out

@@ -10,3 +10,4 @@ FIND_TYPE = "PROMO"                    # find_car_by_type / find_car_any_state
 FIND_COLOR = "red"                     # find_car_any_state
 PICK_SEED = "fleet"                    # pick_free_car seed
 V_USER = "BATCH"                       # user recorded by batch commands
+EXPIRE_ID_OFFSET = 10 ** 15          # history ids of expired_orders: offset + order id

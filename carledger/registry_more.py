@@ -2,4 +2,43 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import functions as F
+
+from carledger import params as P
+from carledger.functions.timefn import add_days
+from carledger.operators import fleetops as FO
+from carledger.operators import history as H
+from carledger.operators import quality as Q
+from carledger.registry import _q
+from carledger.sources.driver_tables import client_key, read_table
+
+
+def _swaps(t):
+    o = t.orders_first_car
+    return o.select("id", F.col("first_car").alias("car_reg_num"), add_days("rented_at", 1).alias("ts"))
+
+
+def _closes(t):
+    o = t.orders_u
+    return o.select((F.col("id") * 10 + 7).alias("seq"), add_days("rented_at", 1).alias("ts"), "id")
+
+
+def _free_keys(t):
+    part = read_table(t.spark, t.sf_dir, "part", ["p_partkey"])
+    cand = part.select(client_key(F.col("p_partkey")).alias("pass"))
+    return Q.free_keys(cand, t.clients, "pass", "pass")
+
+
+QUERIES = {
+    "order_change_log": _q(lambda t: H.order_change_log(H.events_from_history(t.history))),
+    "expired_orders": _q(lambda t: FO.expired_orders(t.orders, P.EXPIRE_AT, P.V_USER,
+                                                     P.EXPIRE_ID_OFFSET).history),
+    "fleet_tick": _q(lambda t: FO.fleet_tick(t.cars, t.orders, P.TICK_AT)),
+    "pick_free_car": _q(lambda t: FO.pick_free_car(t.cars, P.PICK_SEED)),
+    "swap_quote": _q(lambda t: FO.swap_quote(t.orders, t.cars, _swaps(t))),
+    "renew_quote": _q(lambda t: FO.renew_quote(t.orders, t.cars)),
+    "close_early": _q(lambda t: FO.close_early(t.orders_u, t.cars, _closes(t), P.V_USER).history),
+    "constraint_violations": _q(lambda t: Q.constraint_violations(
+        t.car_states, t.cars, t.clients, t.orders, t.history)),
+    "free_keys": _q(_free_keys),
+}

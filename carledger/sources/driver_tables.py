@@ -168,6 +168,10 @@ class FleetTables:
     def orders(self) -> DataFrame:
         return self._get("orders", lambda: rent_orders(self.history))
 
+    @property
+    def orders_first_car(self) -> DataFrame:
+        return self._get("orders_fc", lambda: open_orders_with_first_car(self.history))
+
     @property
     def orders_u(self) -> DataFrame:
         return self._get("orders_u", lambda: unique_open_orders(self.orders))
