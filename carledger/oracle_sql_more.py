@@ -124,6 +124,9 @@ FROM rent_orders_u""")
     ]
     out["constraint_violations"] = with_adapter("\nUNION ALL\n".join(parts))
 
+    from carledger import oracle_sql_commands
+    out.update(oracle_sql_commands.statements())
+
     out["free_keys"] = with_adapter("""
 SELECT k.pass FROM (SELECT DISTINCT lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS pass FROM part) k
 WHERE NOT EXISTS (SELECT 1 FROM clients c WHERE c.pass = k.pass)""")

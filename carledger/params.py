@@ -11,3 +11,4 @@ FIND_COLOR = "red"                     # find_car_any_state
 PICK_SEED = "fleet"                    # pick_free_car seed
 V_USER = "BATCH"                       # user recorded by batch commands
 EXPIRE_ID_OFFSET = 10 ** 15          # history ids of expired_orders: offset + order id
+ORDER_ID_OFFSET = 10 ** 12             # add_orders: new order id = offset + seq

@@ -42,3 +42,33 @@ QUERIES = {
         t.car_states, t.cars, t.clients, t.orders, t.history)),
     "free_keys": _q(_free_keys),
 }
+
+
+# ------------------------------------------------------------------ commands
+from carledger.operators import commands as C  # noqa: E402
+from carledger.sources import driver_commands as DC  # noqa: E402
+
+
+def _cmd(fn):
+    return _q(lambda t: fn(t, t.spark, t.sf_dir))
+
+
+QUERIES.update({
+    "add_cars": _cmd(lambda t, s, d: C.add_cars(t.cars, DC.car_adds(s, d)).table),
+    "update_cars": _cmd(lambda t, s, d: C.update_cars(t.cars, DC.car_updates(s, d), t.car_states).table),
+    "delete_cars": _cmd(lambda t, s, d: C.delete_cars(t.cars, DC.car_deletes(s, d), t.orders).table),
+    "add_clients": _cmd(lambda t, s, d: C.add_clients(t.clients, DC.client_adds(s, d)).table),
+    "update_clients": _cmd(lambda t, s, d: C.update_clients(t.clients, DC.client_updates(s, d)).table),
+    "delete_clients": _cmd(lambda t, s, d: C.delete_clients(t.clients, DC.client_deletes(s, d),
+                                                            t.orders).table),
+    "add_orders": _cmd(lambda t, s, d: C.add_orders(t.orders_u, t.cars, t.clients, DC.order_adds(s, d),
+                                                    P.V_USER, P.ORDER_ID_OFFSET).table),
+    "update_orders": _cmd(lambda t, s, d: C.update_orders(
+        t.orders_u, t.cars, DC.order_updates(t.orders_u, t.orders_first_car), P.V_USER).table),
+    "update_orders_log": _cmd(lambda t, s, d: C.update_orders(
+        t.orders_u, t.cars, DC.order_updates(t.orders_u, t.orders_first_car), P.V_USER).history),
+    "update_orders_rejects": _cmd(lambda t, s, d: C.update_orders(
+        t.orders_u, t.cars, DC.order_updates(t.orders_u, t.orders_first_car), P.V_USER).rejects),
+    "close_orders": _cmd(lambda t, s, d: C.close_orders(t.orders_u, DC.order_deletes(t.orders_u),
+                                                        P.V_USER).history),
+})
