@@ -1,7 +1,9 @@
 """Registered queries: name -> callable(spark, sf_dir) -> DataFrame.
 
-Every query rebuilds the fleet tables from the driver's parquet tables
-(``FleetTables``) and runs one operator over the whole of them.
+Every query reads the fleet tables derived from the driver's parquet
+tables (``StoredFleetTables``: derived and written to the shared folder
+once per session and data directory) and runs one operator over the
+whole of them.
 """
 
 from __future__ import annotations
@@ -12,14 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from carledger import params as P
 from carledger.operators import reports as R
-from carledger.sources.driver_tables import FleetTables
+from carledger.sources.fleet_store import StoredFleetTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _q(fn) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(FleetTables(spark, sf_dir))
+        return fn(StoredFleetTables(spark, sf_dir))
     run.__name__ = getattr(fn, "__name__", "query")
     return run
 
