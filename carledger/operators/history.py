@@ -60,13 +60,15 @@ def order_change_log(events: DataFrame) -> DataFrame:
             .when(is_i, F.lit(NOTE_CREATED))
             .otherwise(change_note(prev["client_pass"], prev["car_reg_num"], prev["returned_at"],
                                    F.col("client_pass"), F.col("car_reg_num"), F.col("returned_at"))))
-    return ev.select(
+    out = ev.select(
         F.col("seq").alias("id"), "order_id", F.col("ts").alias("changed_at"),
         *[vals[c].alias(c) for c in VALUE_COLS[:4]],
         F.when(is_d, F.lit(STATUS_CLOSED)).otherwise(F.lit(STATUS_OPEN)).alias("status"),
         vals["total_price"].alias("total_price"),
         note.alias("note"), "v_user",
     )
+    # A delete with no earlier row of its order deletes nothing: no row.
+    return out.filter(~((F.col("status") == STATUS_CLOSED) & F.col("client_pass").isNull()))
 
 
 def history_rows(rows: DataFrame, status: str, note: Column | str | None,

@@ -15,14 +15,11 @@ SELECT id AS seq, changed_at AS ts,
 FROM rent_history""")
 
 
-def _history_fields(t: str) -> str:
-    return f"""{t}.client_pass, {t}.car_reg_num, {t}.rented_at, {t}.returned_at"""
-
-
 def statements() -> dict[str, str]:
     out = {}
     d = "CASE WHEN op = 'D' THEN lag({c}) OVER w ELSE {c} END AS {c}"
     out["order_change_log"] = with_adapter(f"""
+SELECT * FROM (
 SELECT seq AS id, order_id, ts AS changed_at,
        {d.format(c='client_pass')}, {d.format(c='car_reg_num')},
        {d.format(c='rented_at')}, {d.format(c='returned_at')},
@@ -36,7 +33,10 @@ SELECT seq AS id, order_id, ts AS changed_at,
        END AS note,
        v_user
 FROM ev WHERE op = 'D' OR order_id > 0
-WINDOW w AS (PARTITION BY order_id ORDER BY seq)""", EVENTS)
+WINDOW w AS (PARTITION BY order_id ORDER BY seq)) x
+WHERE NOT (status = '1' AND client_pass IS NULL)""", EVENTS)
+    # The streamed change log must equal the batch one row for row.
+    out["order_change_stream"] = out["order_change_log"]
 
     exp = q_ts(P.EXPIRE_AT)
     out["expired_orders"] = with_adapter(f"""

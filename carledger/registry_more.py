@@ -72,3 +72,25 @@ QUERIES.update({
     "close_orders": _cmd(lambda t, s, d: C.close_orders(t.orders_u, DC.order_deletes(t.orders_u),
                                                         P.V_USER).history),
 })
+
+
+# ----------------------------------------------------------------- streaming
+def _change_stream(t):
+    """H1 streamed: events written in two waves (inserts, then updates and
+    deletes; each wave one file per order partition) to the shared folder,
+    consumed by an availableNow stream into a parquet sink."""
+    from carledger.session import shared_path
+    from carledger.streaming.order_stream import run_change_log
+    spark = t.spark
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ev = H.events_from_history(t.history)
+    src, sink, ckpt = (shared_path(spark, x) for x in ("events", "history-stream", "stream-ckpt"))
+    ev.filter(F.col("op") == "I").repartition(n, "order_id").write.parquet(f"{src}/wave=1")
+    ev.filter(F.col("op") != "I").repartition(n, "order_id").write.parquet(f"{src}/wave=2")
+    run_change_log(spark, f"{src}/*", sink, ckpt, max_files_per_trigger=n)
+    return spark.read.schema(ORDERS_HISTORY).parquet(sink)
+
+
+from carledger.schema import ORDERS_HISTORY  # noqa: E402
+
+QUERIES["order_change_stream"] = _q(_change_stream)

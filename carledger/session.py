@@ -54,9 +54,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
         # Unset means a local test session; a cluster always names one.
-        root = tempfile.mkdtemp(prefix="carledger-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+        # spark.checkpoint.dir cannot change at runtime, so only the
+        # context's checkpoint folder is set (it adds a unique subfolder).
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="carledger-ckpt-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root
 
 

@@ -14,9 +14,9 @@ sys.path.insert(0, ROOT)
 def spark():
     from carledger.session import get_session
     s = get_session("local[4]", 4, app="carledger-tests", extra={"spark.driver.memory": "4g"})
-    if not s.conf.get("spark.checkpoint.dir", None):
+    if not s.conf.get("spark.checkpoint.dir", None) and not s.sparkContext.getCheckpointDir():
         # Tests only: a cluster names a shared folder in spark.checkpoint.dir.
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="carledger-test-"))
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="carledger-test-"))
     yield s
     s.stop()
 
