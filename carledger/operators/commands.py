@@ -14,7 +14,9 @@ except where a docstring says otherwise:
   the last non-NULL value given (NULL means "keep");
 * per-key winners come from ``groupBy(key).agg(min(seq))`` joined back,
   and final values from ``max_by`` aggregates, so a hot key is
-  pre-aggregated map-side instead of being sorted in one task.
+  pre-aggregated map-side instead of being sorted in one task;
+* the order verbs checkpoint their flagged command table (reliable, in the
+  shared folder) before it feeds several branches and outputs.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from carledger.functions.fixed import (
 )
 from carledger.functions.timefn import MICROS_PER_DAY, micros_between, trunc_seconds
 from carledger.operators.history import HISTORY_COLS, change_note
+from carledger.plans.joins import materialize
 
 CAR_COLS = ["reg_num", "state_id", "color", "mark", "type", "price", "tech_serv_date"]
 CLIENT_COLS = ["pass", "name"]
@@ -216,7 +219,7 @@ def add_orders(orders: DataFrame, cars: DataFrame, clients: DataFrame, adds: Dat
     total = money_of_price_days(num, 2)
     valid = (F.col("price").isNotNull() & F.col("_client_ok") & F.col("returned_at").isNotNull()
              & ~F.col("_client_busy") & ~F.col("_car_busy") & (F.abs(total) < MAX_MONEY))
-    a = a.withColumn("_valid", valid).withColumn("total_price", total)
+    a = materialize(a.withColumn("_valid", valid).withColumn("total_price", total))
     a = _first_per_key(a, "client_pass", "_first_client", F.col("_valid"))
     a = _first_per_key(a, "car_reg_num", "_first_car", F.col("_valid"))
     a = a.withColumn("_ok", F.col("_first_client") & F.col("_first_car"))
@@ -269,7 +272,7 @@ def update_orders(orders: DataFrame, cars: DataFrame, updates: DataFrame, v_user
           & (F.col("new_returned").isNull() | (F.col("new_returned") >= F.col("ts")))
           & (F.col("new_car").isNull() | F.col("new_price").isNotNull())
           & car_free)
-    u = u.withColumn("_ok0", ok)
+    u = materialize(u.withColumn("_ok0", ok))
     acc = u.filter("_ok0")
 
     w = Window.partitionBy("id").orderBy("seq")

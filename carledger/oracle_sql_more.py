@@ -86,7 +86,7 @@ FROM rent_orders_u""")
 
     def dup(table, rule, src, key):
         return (f"SELECT '{table}' AS table_name, '{rule}' AS rule, CAST(count(*) AS BIGINT) AS violations "
-                f"FROM (SELECT {key} FROM {src} GROUP BY {key} HAVING count(*) > 1) x")
+                f"FROM (SELECT {key} FROM {src} WHERE {key} IS NOT NULL GROUP BY {key} HAVING count(*) > 1) x")
 
     def rows(table, rule, src, bad):
         return (f"SELECT '{table}' AS table_name, '{rule}' AS rule, "

@@ -32,3 +32,13 @@ def broadcast_if_small(df: DataFrame, row_bound: int | None) -> DataFrame:
     if row_bound is not None and row_bound <= MAX_BROADCAST_ROWS:
         return F.broadcast(df)
     return df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (written under the shared checkpoint folder):
+    used where one intermediate feeds several branches or outputs, so the
+    join chain before it runs once and a lost executor costs a re-read,
+    not a recomputation."""
+    from carledger.session import checkpoint_root
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
