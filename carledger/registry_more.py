@@ -87,7 +87,7 @@ def _change_stream(t):
     src, sink, ckpt = (shared_path(spark, x) for x in ("events", "history-stream", "stream-ckpt"))
     ev.filter(F.col("op") == "I").repartition(n, "order_id").write.parquet(f"{src}/wave=1")
     ev.filter(F.col("op") != "I").repartition(n, "order_id").write.parquet(f"{src}/wave=2")
-    run_change_log(spark, f"{src}/*", sink, ckpt, max_files_per_trigger=n)
+    run_change_log(spark, f"{src}/*", sink, ckpt, max_files_per_trigger=n, blocks=P.STREAM_BLOCKS)
     return spark.read.schema(ORDERS_HISTORY).parquet(sink)
 
 

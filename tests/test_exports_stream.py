@@ -3,6 +3,8 @@ log, survives a restart from its checkpoint and ignores replays."""
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from carledger.operators import history as H
@@ -38,16 +40,17 @@ def test_cars_export(spark, fixture_tables):
                    ("A000000002", "1", "3200.000000")]
 
 
-def test_stream_equals_batch_and_restarts(spark, fixture_tables):
+@pytest.mark.parametrize("blocks", [None, 3])
+def test_stream_equals_batch_and_restarts(spark, fixture_tables, blocks):
     ev = H.events_from_history(fixture_tables["history"])
     src, sink, ckpt = (shared_path(spark, x) for x in ("ev", "sink", "ckpt"))
     ev.filter(F.col("op") == "I").write.parquet(f"{src}/wave=1")
-    run_change_log(spark, f"{src}/*", sink, ckpt)
+    run_change_log(spark, f"{src}/*", sink, ckpt, blocks=blocks)
     # restart from the checkpoint with more events: state carries over
     ev.filter(F.col("op") != "I").write.parquet(f"{src}/wave=2")
-    run_change_log(spark, f"{src}/*", sink, ckpt)
+    run_change_log(spark, f"{src}/*", sink, ckpt, blocks=blocks)
     # a rerun with nothing new adds nothing
-    run_change_log(spark, f"{src}/*", sink, ckpt)
+    run_change_log(spark, f"{src}/*", sink, ckpt, blocks=blocks)
     streamed = spark.read.schema(ORDERS_HISTORY).parquet(sink)
     batch = H.order_change_log(ev)
     assert streamed.count() == 5
