@@ -36,6 +36,7 @@ from carledger.functions.fixed import (
 )
 from carledger.functions.timefn import MICROS_PER_DAY, micros_between, trunc_seconds
 from carledger.operators.history import HISTORY_COLS, change_note
+from carledger.plans import skew as SK
 from carledger.plans.joins import materialize
 
 CAR_COLS = ["reg_num", "state_id", "color", "mark", "type", "price", "tech_serv_date"]
@@ -234,6 +235,58 @@ def add_orders(orders: DataFrame, cars: DataFrame, clients: DataFrame, adds: Dat
     return Result(new, rej, hist)
 
 
+NEW = ["new_car", "new_price", "new_rented", "new_returned"]
+STATE = ["car_reg_num", "price", "rented_at", "returned_at"]
+START = ["car0", "price0", "rented0", "returned0"]
+
+
+def _deltas(s: DataFrame) -> DataFrame:
+    """Exact per-call change of the total, rounded half up to cents (an
+    integer count of cents), from the state before and after the call."""
+    num = (as_int(micros_between("prev_returned", "ts")) * (cents("price") - cents("prev_price"))
+           + as_int(micros_between("returned_at", "prev_returned")) * cents("price"))
+    return s.withColumn("_delta", round_ratio_up(num, F.lit(MICROS_PER_DAY * 100), 2))
+
+
+REPLAY_COLS = ["seq", "ts", "id", "client_pass", "car_reg_num", "price", "rented_at", "returned_at",
+               "prev_car", "prev_price", "prev_returned", "total_price"]
+
+
+def _replay(acc: DataFrame) -> DataFrame:
+    """State after each accepted call, one window per order."""
+    w = Window.partitionBy("id").orderBy("seq")
+    wu = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = acc.select("seq", "ts", "id", "client_pass", "total0", "car0", "price0", "returned0", *[
+        F.coalesce(F.last(n, True).over(wu), F.col(b)).alias(st) for n, st, b in zip(NEW, STATE, START)])
+    s = s.select("*", *[F.coalesce(F.lag(st).over(w), F.col(b)).alias(p) for st, b, p in zip(
+        ["car_reg_num", "price", "returned_at"], ["car0", "price0", "returned0"],
+        ["prev_car", "prev_price", "prev_returned"])])
+    s = _deltas(s)
+    s = s.withColumn("total_price", units_to_decimal(cents("total0") + F.sum("_delta").over(wu), 2))
+    return s.select(*REPLAY_COLS)
+
+
+def _replay_split(acc: DataFrame) -> DataFrame:
+    """Same as ``_replay`` for hot orders cut into seq-range pieces: each
+    piece starts from the state carried from earlier pieces (last given
+    values) and adds the earlier pieces' delta sum to its running total."""
+    k = ["id", SK.PIECE]
+    wp = Window.partitionBy(*k).orderBy("seq")
+    wpu = wp.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    j = acc.join(SK.carry_last_given(acc, "id", "seq", NEW), k, "left")
+    start = {st: F.coalesce(F.col(f"_carry.{n}"), F.col(b)) for n, st, b in zip(NEW, STATE, START)}
+    s = j.select("seq", "ts", *k, "client_pass", "total0",
+                 *[start[st].alias(f"_s_{st}") for st in STATE],
+                 *[F.coalesce(F.last(n, True).over(wpu), start[st]).alias(st) for n, st in zip(NEW, STATE)])
+    s = s.select("*", *[F.coalesce(F.lag(st).over(wp), F.col(f"_s_{st}")).alias(p) for st, p in zip(
+        ["car_reg_num", "price", "returned_at"], ["prev_car", "prev_price", "prev_returned"])])
+    s = _deltas(s)
+    s = s.join(SK.carry_sum(s, "id", "_delta"), k, "left")
+    s = s.withColumn("total_price", units_to_decimal(
+        cents("total0") + F.col("_carry_sum") + F.sum("_delta").over(wpu), 2))
+    return s.select(*REPLAY_COLS)
+
+
 def update_orders(orders: DataFrame, cars: DataFrame, updates: DataFrame, v_user: str) -> Result:
     """Extend, swap car, fix the start; many calls per order replayed
     in seq order without a loop.
@@ -275,26 +328,12 @@ def update_orders(orders: DataFrame, cars: DataFrame, updates: DataFrame, v_user
     u = materialize(u.withColumn("_ok0", ok))
     acc = u.filter("_ok0")
 
-    w = Window.partitionBy("id").orderBy("seq")
-    wu = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = acc.select(
-        "seq", "ts", "id", "client_pass", "total0", "car0", "price0", "returned0",
-        F.coalesce(F.last("new_car", True).over(wu), F.col("car0")).alias("car_reg_num"),
-        F.coalesce(F.last("new_price", True).over(wu), F.col("price0")).alias("price"),
-        F.coalesce(F.last("new_rented", True).over(wu), F.col("rented0")).alias("rented_at"),
-        F.coalesce(F.last("new_returned", True).over(wu), F.col("returned0")).alias("returned_at"),
-    )
-    s = s.select(
-        "*",
-        F.coalesce(F.lag("car_reg_num").over(w), F.col("car0")).alias("prev_car"),
-        F.coalesce(F.lag("price").over(w), F.col("price0")).alias("prev_price"),
-        F.coalesce(F.lag("returned_at").over(w), F.col("returned0")).alias("prev_returned"),
-    )
-    num = (as_int(micros_between("prev_returned", "ts")) * (cents("price") - cents("prev_price"))
-           + as_int(micros_between("returned_at", "prev_returned")) * cents("price"))
-    s = s.withColumn("_delta", round_ratio_up(num, F.lit(MICROS_PER_DAY * 100), 2))
-    s = s.withColumn("total_price", units_to_decimal(
-        cents("total0") + F.sum("_delta").over(wu), 2))
+    hot = SK.hot_keys(acc, "id", "seq")
+    if hot is None:
+        s = _replay(acc)
+    else:
+        cold, warm = SK.split(acc, "id", "seq", hot)
+        s = _replay(cold).unionByName(_replay_split(warm))
     # total_price is cast to decimal(10,2) on output: with ANSI mode on, a
     # total beyond 99,999,999.99 fails the job instead of being clipped.
     hist = _history(

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from carledger.plans import skew as S
 from carledger.functions.fixed import (
     NOTE_CAR_CHANGED, NOTE_CLIENT_CHANGED, NOTE_CREATED, NOTE_RENEWED, NOTE_RETURNED,
     STATUS_CLOSED, STATUS_OPEN,
@@ -37,23 +38,38 @@ def change_note(old_client, old_car, old_returned, new_client, new_car, new_retu
 def events_from_history(history: DataFrame) -> DataFrame:
     """Order events whose log reproduces a history table: seq = id; the
     first row of an order is an insert, a later closed row a delete, any
-    other row an update."""
-    first = F.min("id").over(Window.partitionBy("order_id"))
-    op = (F.when(F.col("id") == first, F.lit("I"))
+    other row an update. The first id per order is an aggregate joined
+    back (partial aggregation), not a window over the order."""
+    first = history.groupBy("order_id").agg(F.min("id").alias("_first"))
+    h = history.join(first, "order_id")
+    op = (F.when(F.col("id") == F.col("_first"), F.lit("I"))
           .when(F.col("status") == STATUS_CLOSED, F.lit("D"))
           .otherwise(F.lit("U")))
-    return history.select(
+    return h.select(
         F.col("id").alias("seq"), F.col("changed_at").alias("ts"), op.alias("op"), "order_id",
         *VALUE_COLS, "v_user")
 
 
-def order_change_log(events: DataFrame) -> DataFrame:
-    """History rows for a batch of well-formed order events (per order: one
-    I first, U rows, at most one D last). Insert/update events of a
-    non-positive order id are skipped, as the insert/update guard does."""
-    ev = events.filter((F.col("op") == "D") | (F.col("order_id") > 0))
+def _prev_plain(ev: DataFrame) -> DataFrame:
     w = Window.partitionBy("order_id").orderBy("seq")
-    prev = {c: F.lag(c).over(w) for c in VALUE_COLS}
+    return ev.select("*", *[F.lag(c).over(w).alias(f"_prev_{c}") for c in VALUE_COLS])
+
+
+def _prev_split(ev: DataFrame) -> DataFrame:
+    """Previous row for hot orders cut into seq-range pieces: lag inside the
+    piece, and the previous piece's last row for a piece's first row."""
+    w = Window.partitionBy("order_id", S.PIECE).orderBy("seq")
+    local = ev.select("*", *[F.lag(c).over(w).alias(f"_lp_{c}") for c in VALUE_COLS],
+                      F.row_number().over(w).alias("_rn"))
+    carry = S.carry_last_row(ev, "order_id", "seq", VALUE_COLS)
+    j = local.join(carry, ["order_id", S.PIECE], "left")
+    first = F.col("_rn") == 1
+    return j.select(*ev.columns, *[F.when(first, F.col(f"_carry.{c}")).otherwise(F.col(f"_lp_{c}"))
+                                   .alias(f"_prev_{c}") for c in VALUE_COLS]).drop(S.PIECE)
+
+
+def _log_rows(ev: DataFrame) -> DataFrame:
+    prev = {c: F.col(f"_prev_{c}") for c in VALUE_COLS}
     is_d, is_i = F.col("op") == "D", F.col("op") == "I"
     vals = {c: F.when(is_d, prev[c]).otherwise(F.col(c)) for c in VALUE_COLS}
     note = (F.when(is_d, F.lit(NOTE_RETURNED))
@@ -71,6 +87,21 @@ def order_change_log(events: DataFrame) -> DataFrame:
     return out.filter(~((F.col("status") == STATUS_CLOSED) & F.col("client_pass").isNull()))
 
 
+def order_change_log(events: DataFrame, split_hot: bool = True) -> DataFrame:
+    """History rows for a batch of well-formed order events (per order: one
+    I first, U rows, at most one D last). Insert/update events of a
+    non-positive order id are skipped, as the insert/update guard does.
+
+    Orders with very many events (``plans.skew.hot_keys``) are cut into
+    seq-range pieces scanned in parallel; the rest use one window."""
+    ev = events.filter((F.col("op") == "D") | (F.col("order_id") > 0))
+    hot = S.hot_keys(ev, "order_id", "seq") if split_hot else None
+    if hot is None:
+        return _log_rows(_prev_plain(ev))
+    cold, warm = S.split(ev, "order_id", "seq", hot)
+    return _log_rows(_prev_plain(cold)).unionByName(_log_rows(_prev_split(warm)))
+
+
 def history_rows(rows: DataFrame, status: str, note: Column | str | None,
                  changed_at: Column, v_user: str, id_col: Column) -> DataFrame:
     """History rows for order rows (id, client_pass, ...) changed by a command."""

@@ -3,6 +3,8 @@ applying the calls one at a time (exact fractions, rounding the total to
 cents half away from zero after every call)."""
 
 import random
+
+import pytest
 from datetime import datetime, timedelta
 from decimal import Decimal
 from fractions import Fraction
@@ -54,7 +56,15 @@ def fold(orders, prices, cmds):
     return state, totals, rejects
 
 
-def test_replay_equals_sequential_fold(spark):
+@pytest.fixture(params=[None, "3"], ids=["plain", "hot-split"])
+def hot_rows(spark, request):
+    if request.param:
+        spark.conf.set("carledger.hotKeyRows", request.param)
+    yield request.param
+    spark.conf.unset("carledger.hotKeyRows")
+
+
+def test_replay_equals_sequential_fold(spark, hot_rows):
     rnd = random.Random(7)
     t0 = datetime(2024, 3, 1)
     cars, prices, orders, cmds = [], {}, {}, []
