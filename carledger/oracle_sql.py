@@ -248,9 +248,55 @@ SELECT id, client_pass, car_reg_num, rented_at, returned_at, total_price FROM re
     return out
 
 
+def q_num_text(x: str) -> str:
+    s = f"CAST({x} AS VARCHAR)"
+    s = f"regexp_replace({s}, '(\\.[0-9]*?)0+$', '\\1')"
+    s = f"regexp_replace({s}, '\\.$', '')"
+    return f"regexp_replace({s}, '^(-?)0\\.', '\\1.')"
+
+
+def q_cat(*parts: str) -> str:
+    return "concat(" + ", ".join(parts) + ")"
+
+
+def _lines() -> dict[str, str]:
+    rep = _reports()
+    out = {}
+
+    def over(name: str) -> str:
+        body = rep[name]
+        i = body.rindex("\nSELECT")
+        return body[:i] + f",\nrep AS ({body[i + 1:]})\n"
+
+    n = q_num_text
+    out["cars_report_lines"] = over("cars_report") + "SELECT reg_num, " + q_cat(
+        "'Reg num '", "reg_num", "': '", n("orders_num"), "' orders, '", n("clients_num"),
+        "' clients, revenue '", n("total_revenue"), "' P, '", n("total_rented_time"), "' days in rent, '",
+        n("days_since_service"), "' from last serving'") + " AS line FROM rep"
+    out["client_report_lines"] = over("client_report") + "SELECT client_pass, 0 AS line_no, " + q_cat(
+        "'Client: '", "client_pass", "', used cars: '", "car_list") + " AS line FROM rep UNION ALL " + \
+        "SELECT client_pass, 1, " + q_cat("'  Revenue: '", n("revenue")) + " FROM rep"
+    labels = [("Total orders: ", "total_orders"), ("Open orders: ", "open_orders"),
+              ("Avg changing of order: ", "avg_changes"), ("Avg number of usage cars: ", "avg_cars"),
+              ("Avg renew time (in days): ", "avg_renew")]
+    parts = [f"SELECT {i} AS line_no, " + q_cat(f"'{t}'", f"coalesce({n(c)}, '')") + " AS line FROM rep"
+             for i, (t, c) in enumerate(labels)]
+    parts.append("SELECT 5, " + q_cat("'Revenue by order(min, avg, max): '", f"coalesce({n('min_price')}, '')",
+                                      "' '", f"coalesce({n('avg_price')}, '')", "' '",
+                                      f"coalesce({n('max_price')}, '')") + " FROM rep")
+    out["orders_changes_report_lines"] = over("orders_changes_report") + " UNION ALL ".join(parts)
+    out["fin_report_lines"] = over("fin_report") + "SELECT " + q_cat(
+        "'Fin report for '", q_fmt17("start_ts"), "' - '", q_fmt17("end_ts"), "': '",
+        f"coalesce({n('revenue')}, '')", "' P'") + " AS line FROM rep"
+    out["autopark_status_lines"] = over("autopark_status") + "SELECT state_id, " + q_cat(
+        "'['", "coalesce(state, '')", "'] '", n("num")) + " AS line FROM rep"
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     out.update(_reports())
+    out.update(_lines())
     from carledger import oracle_sql_more
     out.update(oracle_sql_more.statements())
     return out

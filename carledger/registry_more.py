@@ -94,3 +94,17 @@ def _change_stream(t):
 from carledger.schema import ORDERS_HISTORY  # noqa: E402
 
 QUERIES["order_change_stream"] = _q(_change_stream)
+
+
+# -------------------------------------------------------------- text lines
+from carledger.operators import lines as L  # noqa: E402
+from carledger.operators import reports as R  # noqa: E402
+
+QUERIES.update({
+    "cars_report_lines": _q(lambda t: L.cars_report_lines(R.cars_report(t.history, t.cars, P.AS_OF))),
+    "client_report_lines": _q(lambda t: L.client_report_lines(R.client_report(t.history))),
+    "orders_changes_report_lines": _q(lambda t: L.orders_changes_report_lines(
+        R.orders_changes_report(t.history, t.orders))),
+    "fin_report_lines": _q(lambda t: L.fin_report_lines(R.fin_report(t.history, P.FIN_START, P.FIN_END))),
+    "autopark_status_lines": _q(lambda t: L.autopark_status_lines(R.autopark_status(t.cars, t.car_states))),
+})

@@ -155,3 +155,20 @@ def test_walk_through(spark, fixture_tables):
     cl2 = C.delete_clients(clients, _cmds(spark, S.CLIENT_DELETES, [(9, T, "9999944444")]), closed.table)
     assert cl2.table.filter("pass = '9999944444'").count() == 0
     assert cl2.rejects.count() == 0
+
+
+def test_report_lines(spark, fixture_tables):
+    from carledger.operators import lines as L
+    t = fixture_tables
+    rep = R.cars_report(t["history"], t["cars"], "2024-01-21 00:00:00")
+    got = {r.reg_num: r.line for r in L.cars_report_lines(rep).collect()}
+    assert got["A000000001"] == ("Reg num A000000001: 2 orders, 2 clients, revenue 6500 P, "
+                                 "6.5 days in rent, 20 from last serving")
+    fin = L.fin_report_lines(R.fin_report(t["history"], "2024-01-10 00:00:00", "2024-01-31 00:00:00"))
+    assert fin.collect()[0].line == "Fin report for 10.01.24 00:00:00 - 31.01.24 00:00:00:  P"
+    nums = spark.createDataFrame([(Decimal("0.50"),), (Decimal("-0.25"),), (Decimal("100.00"),),
+                                  (Decimal("12.30"),)], "x decimal(10,2)")
+    assert [r.t for r in nums.select(L.num_text("x").alias("t")).collect()] == [".5", "-.25", "100", "12.3"]
+    cl = L.client_report_lines(R.client_report(t["history"])).orderBy("line_no").collect()
+    assert [r.line for r in cl] == ["Client: 1000000001, used cars: A000000001, A000000002",
+                                    "  Revenue: 14400"]
