@@ -13,6 +13,11 @@ re-read, not a re-derivation. Layout, chosen for the queries that follow:
 * ``orders``: bucketed by ``id``; ``cars``, ``clients``, ``orders_u``:
   plain parquet (dimension-sized).
 
+Applying a verb's result: ``append_history`` appends rows with the same
+layout (insert sink); ``replace`` writes a new version folder and switches
+the catalog table to it (update/delete sink), so a table can be rebuilt
+from itself and readers never see a half-written table.
+
 If one order holds a large share of the history, its bucket is read by
 one task; set ``spark.sql.sources.bucketing.enabled=false`` for such data
 to fall back to split scans with partial aggregation before the shuffle.
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,12 +38,20 @@ _LOCK = threading.Lock()
 _STORES: dict[tuple[str, str], "FleetStore"] = {}
 
 
+HISTORY_COLS = ["id", "order_id", "changed_at", "client_pass", "car_reg_num", "rented_at", "returned_at",
+                "status", "total_price", "note", "v_user"]
+
+
 def _buckets(spark: SparkSession) -> int:
     n = spark.conf.get("carledger.buckets", None)
     return int(n) if n else int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 class FleetStore:
+    """Catalog tables ``fleet_<token>_<name>`` over files in the shared folder."""
+
+    PLAIN = ("cars", "clients", "orders_u")
+
     def __init__(self, spark: SparkSession, root: str, token: str, buckets: int):
         self.spark, self.root, self.token, self.buckets = spark, root, token, buckets
 
@@ -45,34 +59,69 @@ class FleetStore:
         return f"fleet_{self.token}_{table}"
 
     def table(self, name: str) -> DataFrame:
-        if name in ("history", "orders"):
-            return self.spark.table(self._name(name))
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        return self.spark.table(self._name(name))
+
+    # --------------------------------------------------------------- write
+    def _write(self, name: str, df: DataFrame, path: str, table: str, mode: str = "errorifexists") -> None:
+        n = self.buckets
+        if name == "history":
+            w = (df.repartition(n, "order_id").write.mode(mode).partitionBy("status")
+                 .bucketBy(n, "order_id").sortBy("order_id", "id"))
+        elif name == "orders":
+            w = df.repartition(n, "id").write.mode(mode).bucketBy(n, "id").sortBy("id")
+        else:
+            w = df.write.mode(mode)
+        w.option("path", path).saveAsTable(table)
 
-    # -------------------------------------------------------------- ingest
     @classmethod
-    def ingest(cls, spark: SparkSession, sf_dir: str, buckets: int | None = None) -> "FleetStore":
+    def create(cls, spark: SparkSession, cars: DataFrame, clients: DataFrame, history: DataFrame,
+               orders: DataFrame | None = None, buckets: int | None = None) -> "FleetStore":
+        """Write the tables (open orders derived from the history if not
+        given) under a fresh folder of the shared checkpoint location."""
         n = buckets or _buckets(spark)
         root = shared_path(spark, "fleet")
-        token = hashlib.sha1(root.encode()).hexdigest()[:10]
-        st = cls(spark, root, token, n)
-
-        DT.cars(spark, sf_dir).write.mode("overwrite").parquet(f"{root}/cars")
-        DT.clients(spark, sf_dir).write.mode("overwrite").parquet(f"{root}/clients")
-
-        hist = DT.rent_history(spark, sf_dir).repartition(n, "order_id")
-        (hist.write.mode("overwrite").partitionBy("status").bucketBy(n, "order_id")
-         .sortBy("order_id", "id").option("path", f"{root}/history").saveAsTable(st._name("history")))
-
-        h = st.table("history")
-        orders = DT.open_orders_with_first_car(h).repartition(n, "id")
-        (orders.write.mode("overwrite").bucketBy(n, "id").sortBy("id")
-         .option("path", f"{root}/orders").saveAsTable(st._name("orders")))
-
-        o = st.table("orders").select(*DT.ORDER_COLS)
-        DT.unique_open_orders(o).write.mode("overwrite").parquet(f"{root}/orders_u")
+        st = cls(spark, root, hashlib.sha1(root.encode()).hexdigest()[:10], n)
+        st._write("cars", cars.select(*DT.CAR_COLS), f"{root}/cars/v0", st._name("cars"))
+        st._write("clients", clients.select("pass", "name"), f"{root}/clients/v0", st._name("clients"))
+        st._write("history", history.select(*HISTORY_COLS), f"{root}/history", st._name("history"))
+        if orders is None:
+            orders = DT.rent_orders(st.table("history"))
+        st._write("orders", orders.select(*DT.ORDER_COLS), f"{root}/orders/v0", st._name("orders"))
+        o = st.table("orders")
+        st._write("orders_u", DT.unique_open_orders(o), f"{root}/orders_u/v0", st._name("orders_u"))
         return st
 
+    @classmethod
+    def ingest(cls, spark: SparkSession, sf_dir: str, buckets: int | None = None) -> "FleetStore":
+        return cls.create(spark, DT.cars(spark, sf_dir), DT.clients(spark, sf_dir),
+                          DT.rent_history(spark, sf_dir), buckets=buckets)
+
+    # ------------------------------------------------------- apply results
+    def append_history(self, rows: DataFrame) -> None:
+        """Append history rows (the insert sink); the bucket layout is kept."""
+        self._write("history", rows.select(*HISTORY_COLS), f"{self.root}/history",
+                    self._name("history"), mode="append")
+        self.spark.sql(f"REFRESH TABLE {self._name('history')}")
+
+    def replace(self, name: str, df: DataFrame) -> str:
+        """Update/delete sink: write the new table to a new version folder,
+        then switch the catalog table to it. Readers of the old version keep
+        consistent files; ``df`` may be computed from the old table."""
+        ver = uuid.uuid4().hex[:8]
+        path = f"{self.root}/{name}/v{ver}"
+        tmp = self._name(f"{name}_v{ver}")
+        self._write(name, df, path, tmp)
+        self.spark.sql(f"DROP TABLE {tmp}")            # external table: files stay
+        self.spark.sql(f"ALTER TABLE {self._name(name)} SET LOCATION '{path}'")
+        self.spark.sql(f"REFRESH TABLE {self._name(name)}")
+        return path
+
+    def apply(self, name: str, result) -> None:
+        """Store a verb's ``Result``: the new table, then its history rows."""
+        self.replace(name, result.table)
+        if getattr(result, "history", None) is not None:
+            self.append_history(result.history)
+
     @classmethod
     def for_dir(cls, spark: SparkSession, sf_dir: str) -> "FleetStore":
         """The session's store for ``sf_dir``, ingested on first use."""
@@ -85,10 +134,6 @@ class FleetStore:
             return st
 
 
-HISTORY_COLS = ["id", "order_id", "changed_at", "client_pass", "car_reg_num", "rented_at", "returned_at",
-                "status", "total_price", "note", "v_user"]
-
-
 class StoredFleetTables:
     """Same interface as ``driver_tables.FleetTables``, over the store."""
 
@@ -110,7 +155,8 @@ class StoredFleetTables:
 
     @property
     def orders_first_car(self) -> DataFrame:
-        return self.store.table("orders")
+        """Open orders with their first car, from the bucketed history."""
+        return DT.open_orders_with_first_car(self.history)
 
     @property
     def orders(self) -> DataFrame:
