@@ -21,6 +21,7 @@ except where a docstring says otherwise:
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -200,6 +201,32 @@ def _price(cars: DataFrame, key: str, name: str) -> DataFrame:
     return cars.select(F.col("reg_num").alias(key), F.col("price").alias(name))
 
 
+def greedy_unique(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """Calls (``seq`` + ``keys``) accepted when applied one by one in seq
+    order, where a call fails if any of its key values is already taken by
+    an accepted call. Decided in rounds: a call that has the lowest seq of
+    the undecided calls for each of its key values is accepted, and
+    undecided calls sharing a key value with it are rejected. The globally
+    first undecided call is always accepted, so every round decides at
+    least one call and the loop ends; rounds are few unless calls form long
+    chains through shared keys. Each round is checkpointed."""
+    und = materialize(calls.select("seq", *keys))
+    won = []
+    while not und.isEmpty():
+        flag = und
+        for k in keys:
+            flag = flag.join(und.groupBy(k).agg(F.min("seq").alias(f"_m_{k}")), k)
+        win = materialize(flag.filter(reduce(lambda a, b: a & b,
+                                             [F.col("seq") == F.col(f"_m_{k}") for k in keys]))
+                          .select("seq", *keys))
+        won.append(win.select("seq"))
+        rest = und.join(win.select("seq"), "seq", "left_anti")
+        for k in keys:
+            rest = rest.join(win.select(k).distinct(), k, "left_anti")
+        und = materialize(rest)
+    return reduce(lambda a, b: a.unionByName(b), won) if won else calls.select("seq").limit(0)
+
+
 def add_orders(orders: DataFrame, cars: DataFrame, clients: DataFrame, adds: DataFrame,
                v_user: str, id_offset: int = 0) -> Result:
     """Open orders at the call time ``ts``; total = price x days to
@@ -207,11 +234,9 @@ def add_orders(orders: DataFrame, cars: DataFrame, clients: DataFrame, adds: Dat
     is neither checked nor changed. New order id = id_offset + seq.
 
     Rejected: unknown car or client, no returned_at, client or car already
-    in an open order, total out of range. Within one batch a client or car
-    goes to the earliest valid command; later valid commands for the same
-    client or car are rejected even if that earlier one fails for another
-    reason only found here (a deliberate, conservative simplification: it
-    never accepts a call that one-by-one application would reject)."""
+    in an open order, total out of range, or client or car taken by an
+    earlier accepted call of the same batch (exactly as one-by-one
+    application: see ``greedy_unique``)."""
     a = adds.join(_price(cars, "car_reg_num", "price"), "car_reg_num", "left")
     a = _has_key(a, clients, "client_pass", "pass", "_client_ok")
     a = _has_key(a, orders, "client_pass", "client_pass", "_client_busy")
@@ -220,10 +245,9 @@ def add_orders(orders: DataFrame, cars: DataFrame, clients: DataFrame, adds: Dat
     total = money_of_price_days(num, 2)
     valid = (F.col("price").isNotNull() & F.col("_client_ok") & F.col("returned_at").isNotNull()
              & ~F.col("_client_busy") & ~F.col("_car_busy") & (F.abs(total) < MAX_MONEY))
-    a = materialize(a.withColumn("_valid", valid).withColumn("total_price", total))
-    a = _first_per_key(a, "client_pass", "_first_client", F.col("_valid"))
-    a = _first_per_key(a, "car_reg_num", "_first_car", F.col("_valid"))
-    a = a.withColumn("_ok", F.col("_first_client") & F.col("_first_car"))
+    a = materialize(a.withColumn("_valid", F.coalesce(valid, F.lit(False))).withColumn("total_price", total))
+    ok = greedy_unique(a.filter("_valid"), ["client_pass", "car_reg_num"]).withColumn("_ok", F.lit(True))
+    a = a.join(ok, "seq", "left").withColumn("_ok", F.coalesce(F.col("_ok"), F.lit(False)))
     acc = a.filter("_ok").select(
         "seq", "ts", (F.lit(id_offset) + F.col("seq")).cast("long").alias("id"), "client_pass",
         "car_reg_num", F.col("ts").alias("rented_at"), "returned_at", "total_price")

@@ -147,10 +147,11 @@ WHERE id = mc AND id = mr""",
 }
 
 
-def with_adapter(body: str, *extra: tuple[str, str]) -> str:
+def with_adapter(body: str, *extra: tuple[str, str], recursive: bool = False) -> str:
     """``WITH <adapter CTEs>, <extra CTEs> <body>``; DuckDB drops unused CTEs."""
     ctes = list(ADAPTER.items()) + list(extra)
-    return "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in ctes) + "\n" + body
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",\n".join(f"{n} AS ({s})" for n, s in ctes) + "\n" + body
 
 
 # ------------------------------------------------------------------ reports

@@ -220,24 +220,34 @@ WHERE NOT EXISTS (SELECT 1 FROM client_deletes d WHERE d.pass = c.pass
                   AND NOT EXISTS (SELECT 1 FROM rent_orders o WHERE o.client_pass = d.pass))""", "client_deletes")
 
     total = q_money(f"{q_hi(q_micros('oa.returned_at', 'oa.ts'))} * {q_cents('c.price')}")
-    out["add_orders"] = _with(f"""
+    # One call at a time, in seq order: the taken clients and cars are
+    # carried as lists through a recursive CTE.
+    take = "(c.valid AND NOT list_contains(r.tc, c.client_pass) AND NOT list_contains(r.tk, c.car_reg_num))"
+    out["add_orders"] = with_adapter(f"""
 SELECT id, client_pass, car_reg_num, rented_at, returned_at, total_price FROM rent_orders_u
 UNION ALL
-SELECT CAST({P.ORDER_ID_OFFSET} + seq AS BIGINT), client_pass, car_reg_num, ts, returned_at,
-       CAST(total_price AS DECIMAL(10,2))
-FROM (SELECT v.*,
-             valid AND seq = min(CASE WHEN valid THEN seq END) OVER (PARTITION BY client_pass)
-                   AND seq = min(CASE WHEN valid THEN seq END) OVER (PARTITION BY car_reg_num) AS ok
-      FROM (SELECT a.*, coalesce(price IS NOT NULL AND client_ok AND returned_at IS NOT NULL
-                                 AND NOT client_busy AND NOT car_busy AND abs(total_price) < 100000000,
-                                 false) AS valid
-            FROM (SELECT oa.*, c.price,
-                         EXISTS (SELECT 1 FROM clients k WHERE k.pass = oa.client_pass) AS client_ok,
-                         EXISTS (SELECT 1 FROM rent_orders_u o WHERE o.client_pass = oa.client_pass) AS client_busy,
-                         EXISTS (SELECT 1 FROM rent_orders_u o WHERE o.car_reg_num = oa.car_reg_num) AS car_busy,
-                         {total} AS total_price
-                  FROM order_adds oa LEFT JOIN cars c ON c.reg_num = oa.car_reg_num) a) v) w
-WHERE ok""", "order_adds")
+SELECT CAST({P.ORDER_ID_OFFSET} + v.seq AS BIGINT), v.client_pass, v.car_reg_num, v.ts, v.returned_at,
+       CAST(v.total_price AS DECIMAL(10,2))
+FROM v JOIN r ON r.seq = v.seq WHERE r.ok""",
+        ("order_adds", CMD["order_adds"]),
+        ("v", f"""
+SELECT a.*, coalesce(price IS NOT NULL AND client_ok AND returned_at IS NOT NULL
+                     AND NOT client_busy AND NOT car_busy AND abs(total_price) < 100000000, false) AS valid
+FROM (SELECT oa.*, c.price,
+             EXISTS (SELECT 1 FROM clients k WHERE k.pass = oa.client_pass) AS client_ok,
+             EXISTS (SELECT 1 FROM rent_orders_u o WHERE o.client_pass = oa.client_pass) AS client_busy,
+             EXISTS (SELECT 1 FROM rent_orders_u o WHERE o.car_reg_num = oa.car_reg_num) AS car_busy,
+             {total} AS total_price
+      FROM order_adds oa LEFT JOIN cars c ON c.reg_num = oa.car_reg_num) a"""),
+        ("c", "SELECT row_number() OVER (ORDER BY seq) AS rn, seq, client_pass, car_reg_num, valid FROM v"),
+        ("r", f"""
+SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BOOLEAN) AS ok,
+       CAST([] AS VARCHAR[]) AS tc, CAST([] AS VARCHAR[]) AS tk
+UNION ALL
+SELECT c.rn, c.seq, {take},
+       CASE WHEN {take} THEN list_append(r.tc, c.client_pass) ELSE r.tc END,
+       CASE WHEN {take} THEN list_append(r.tk, c.car_reg_num) ELSE r.tk END
+FROM r JOIN c ON c.rn = r.rn + 1"""), recursive=True)
 
     out["update_orders"] = _upd("""
 SELECT o.id, o.client_pass, coalesce(l.car_reg_num, o.car_reg_num) AS car_reg_num,

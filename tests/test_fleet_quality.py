@@ -73,15 +73,16 @@ def test_add_orders_batch_rules(spark, fixture_tables):
         (1, T, "1000000003", "A000000002", D(20)),   # accepted: 5 days x 800
         (2, T, "1000000001", "A000000002", D(20)),   # car already taken by call 1
         (3, T, "1000000002", "A000000004", D(20)),   # client has an open order
-        (4, T, "1000000001", "A000000004", D(20)),   # conservative: call 2 was ann's first valid call
+        (4, T, "1000000001", "A000000004", D(20)),   # accepted: call 2 failed, so ann is free
         (5, T, "9999999999", "A000000004", D(20)),   # unknown client
         (6, T, "1000000003", "NOPE000000", D(20)),   # unknown car
     ], S.ORDER_ADDS)
     res = C.add_orders(t["orders"], t["cars"], t["clients"], adds, "T", id_offset=100)
     assert rows(res.table.filter("id > 100"), "id", "client_pass", "total_price") == [
-        (101, "1000000003", M(4000))]
-    assert rows(res.rejects, "seq") == [(2,), (3,), (4,), (5,), (6,)]
-    assert rows(res.history, "id", "order_id", "note") == [(1, 101, "order was created.")]
+        (101, "1000000003", M(4000)), (104, "1000000001", M(10000))]
+    assert rows(res.rejects, "seq") == [(2,), (3,), (5,), (6,)]
+    assert rows(res.history, "id", "order_id", "note") == [(1, 101, "order was created."),
+                                                          (4, 104, "order was created.")]
 
 
 def test_client_verbs(spark, fixture_tables):
