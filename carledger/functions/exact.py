@@ -58,11 +58,11 @@ def units_to_decimal(units, scale: int = 2, precision: int = 38) -> Column:
     return (as_int(units) * step).cast(f"decimal({precision},{scale})")
 
 
-def money_of_price_days(price_cents_micros, scale: int = 2, up: bool = False) -> Column:
-    """sum(cents * micros) -> money: divide once by micros/day and 100."""
+def money_of_price_days(price_cents_micros, scale: int = 2) -> Column:
+    """sum(cents * micros) -> money: divide once by micros/day and 100,
+    rounded half away from zero."""
     den = F.lit(MICROS_PER_DAY * 100).cast(INT)
-    r = round_ratio_up if up else round_ratio
-    return units_to_decimal(r(price_cents_micros, den, scale), scale)
+    return units_to_decimal(round_ratio(price_cents_micros, den, scale), scale)
 
 
 def exact_days_money(micros, price, scale: int = 6) -> Column:

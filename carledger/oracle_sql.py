@@ -60,10 +60,6 @@ def q_money(cents_micros: str, scale: int = 2) -> str:
     return q_units(q_round_ratio(cents_micros, str(DAY_US * 100), scale), scale)
 
 
-def q_money_up(cents_micros: str, scale: int = 2) -> str:
-    return q_units(q_round_ratio_up(cents_micros, str(DAY_US * 100), scale), scale)
-
-
 def q_days(a: str, b: str) -> str:
     return f"({q_micros(a, b)} / {float(DAY_US)})"
 

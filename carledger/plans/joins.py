@@ -9,7 +9,8 @@
   stays a sort-merge join, and AQE splits skewed partitions
   (``spark.sql.adaptive.skewJoin.enabled``). No hint forces a broadcast of
   a table whose size grows with the data.
-* ``broadcast_if_small`` is for callers that know a side's row bound.
+* The hot-key table of ``plans.skew`` is broadcast: its row count is
+  capped when it is fetched.
 """
 
 from __future__ import annotations
@@ -17,23 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast by hand only when its row count is bounded by this.
-MAX_BROADCAST_ROWS = 1_000_000
-
-
 def with_state_name(df: DataFrame, car_states: DataFrame) -> DataFrame:
     """Left join of the state name (3-row table, broadcast)."""
     s = car_states.select(F.col("id").alias("state_id"), "state")
     return df.join(F.broadcast(s), "state_id", "left")
 
 
-def broadcast_if_small(df: DataFrame, row_bound: int | None) -> DataFrame:
-    """Mark ``df`` for broadcast only when the caller proves a row bound."""
-    if row_bound is not None and row_bound <= MAX_BROADCAST_ROWS:
-        return F.broadcast(df)
-    return df
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (written under the shared checkpoint folder):
     used where one intermediate feeds several branches or outputs, so the

@@ -19,7 +19,7 @@ Ordinary keys keep the plain window; results are unioned.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PIECE = "_piece"
@@ -80,6 +80,3 @@ def carry_sum(rows: DataFrame, key: str, col: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
     return s.select(key, PIECE, F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_carry_sum"))
 
-
-def first_in_piece(key: str, seq: str) -> Column:
-    return F.row_number().over(Window.partitionBy(key, PIECE).orderBy(seq)) == 1
