@@ -70,3 +70,34 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if "://" not in path:
         os.makedirs(os.path.dirname(path), exist_ok=True)
     return path
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``carledger`` importable in Python workers (as ``--py-files``
+    would): zip the package once per application into the shared folder
+    and register it with ``addPyFile``. Needed by the operators that run
+    Python code on executors (the streamed change log)."""
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    path = shared_path(spark, "pyfiles") + "/carledger.zip"
+    if "://" in path:
+        local = tempfile.mkdtemp(prefix="carledger-zip-") + "/carledger.zip"
+    else:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        local = path
+    with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, dirs, files in os.walk(pkg):
+            dirs[:] = [d for d in dirs if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    spark.sparkContext.addPyFile(local)
+    _SHIPPED.add(app)

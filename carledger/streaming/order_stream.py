@@ -30,6 +30,7 @@ from carledger.functions.fixed import (
     STATUS_CLOSED, STATUS_OPEN,
 )
 from carledger.schema import ORDER_EVENTS, ORDERS_HISTORY
+from carledger.session import ship_package
 
 STATE_SCHEMA = T.StructType([
     T.StructField("client_pass", T.StringType()),
@@ -187,6 +188,7 @@ def change_log_stream(events: DataFrame, blocks: int | None = None) -> DataFrame
     life of a checkpoint, and should grow with the number of open orders
     (about a thousand per block keeps the rewritten state per call small).
     """
+    ship_package(events.sparkSession)
     if blocks is None:
         return events.groupBy("order_id").applyInPandasWithState(
             fold_order_events, ORDERS_HISTORY, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
