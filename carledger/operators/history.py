@@ -84,17 +84,21 @@ def _log_rows(ev: DataFrame) -> DataFrame:
         note.alias("note"), "v_user",
     )
     # A delete with no earlier row of its order deletes nothing: no row.
-    return out.filter(~((F.col("status") == STATUS_CLOSED) & F.col("client_pass").isNull()))
+    # The insert/update guard (order id > 0) only skips logging: the change
+    # still happens, so a later delete logs the unlogged last values.
+    closed = F.col("status") == STATUS_CLOSED
+    return out.filter(~(closed & F.col("client_pass").isNull()) & (closed | (F.col("order_id") > 0)))
 
 
 def order_change_log(events: DataFrame, split_hot: bool = True) -> DataFrame:
     """History rows for a batch of well-formed order events (per order: one
-    I first, U rows, at most one D last). Insert/update events of a
-    non-positive order id are skipped, as the insert/update guard does.
+    I first, U rows, at most one D last). Inserts and updates of a
+    non-positive order id change the order but write no row (the guard of
+    the insert/update trigger); its delete is logged.
 
     Orders with very many events (``plans.skew.hot_keys``) are cut into
     seq-range pieces scanned in parallel; the rest use one window."""
-    ev = events.filter((F.col("op") == "D") | (F.col("order_id") > 0))
+    ev = events
     hot = S.hot_keys(ev, "order_id", "seq") if split_hot else None
     if hot is None:
         return _log_rows(_prev_plain(ev))

@@ -32,9 +32,9 @@ SELECT seq AS id, order_id, ts AS changed_at,
             WHEN lag(client_pass) OVER w <> client_pass THEN 'client was changed.'
        END AS note,
        v_user
-FROM ev WHERE op = 'D' OR order_id > 0
+FROM ev
 WINDOW w AS (PARTITION BY order_id ORDER BY seq)) x
-WHERE NOT (status = '1' AND client_pass IS NULL)""", EVENTS)
+WHERE NOT (status = '1' AND client_pass IS NULL) AND (status = '1' OR order_id > 0)""", EVENTS)
     # The streamed change log must equal the batch one row for row.
     out["order_change_stream"] = out["order_change_log"]
 

@@ -4,8 +4,9 @@ Each order id is a state key (hash-partitioned on executors by
 ``groupBy('order_id')``); the state is the order's current row. Per
 micro-batch, the events of one key are sorted by ``seq`` and folded:
 
-* I: creates the order (skipped if it exists, or for a non-positive id);
+* I: creates the order (skipped if it exists);
 * U: writes the new row with the change note (skipped if no order);
+  for a non-positive order id I and U change the state but write no row;
 * D: writes the last row with status '1' and removes the state.
 
 Output is append-only; history ids come from the events' ``seq``, so a
@@ -95,11 +96,12 @@ def fold_order_events(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> I
                 emit(i, cur, STATUS_CLOSED, NOTE_RETURNED)
                 cur = None
         elif op in ("I", "U"):
-            if order_id <= 0 or (op == "I") == (cur is not None):
-                continue      # guard, duplicate insert, or update of a missing order
+            if (op == "I") == (cur is not None):
+                continue      # duplicate insert, or update of a missing order
             vals = (cols["client_pass"][i], cols["car_reg_num"][i], _ts(cols["rented_at"][i]),
                     _ts(cols["returned_at"][i]), _dec(cols["total_price"][i]))
-            emit(i, vals, STATUS_OPEN, NOTE_CREATED if op == "I" else _note(cur, vals))
+            if order_id > 0:  # the guard skips logging, not the change
+                emit(i, vals, STATUS_OPEN, NOTE_CREATED if op == "I" else _note(cur, vals))
             cur = vals
     if cur is None:
         if state.exists:
@@ -152,12 +154,14 @@ def fold_block_events(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> I
             vals, status, note = cur, STATUS_CLOSED, NOTE_RETURNED
             del book[oid]
         elif op in ("I", "U"):
-            if oid <= 0 or (op == "I") == (cur is not None):
+            if (op == "I") == (cur is not None):
                 continue
             vals = (cols["client_pass"][i], cols["car_reg_num"][i], _ts(cols["rented_at"][i]),
                     _ts(cols["returned_at"][i]), _dec(cols["total_price"][i]))
             status, note = STATUS_OPEN, (NOTE_CREATED if op == "I" else _note(cur, vals))
             book[oid] = vals
+            if oid <= 0:      # the guard skips logging, not the change
+                continue
         else:
             continue
         out["id"].append(int(cols["seq"][i]))

@@ -55,3 +55,31 @@ def test_stream_equals_batch_and_restarts(spark, fixture_tables, blocks):
     batch = H.order_change_log(ev)
     assert streamed.count() == 5
     assert rows(streamed) == rows(batch.select(*ORDERS_HISTORY.fieldNames()))
+
+
+def test_guard_skips_logging_not_the_change(spark):
+    """Order 0: insert and update are not logged, the delete is, with the
+    values of the unlogged update; order 5 is logged normally."""
+    from datetime import datetime
+    from decimal import Decimal
+    from carledger.schema import ORDER_EVENTS
+    t = datetime(2024, 2, 1)
+    d = Decimal("10.00")
+    ev = spark.createDataFrame([
+        (1, t, "I", 0, "c0", "car-a", t, t, d, "u"),
+        (2, t, "U", 0, "c0", "car-b", t, t, Decimal("20.00"), "u"),
+        (3, t, "D", 0, None, None, None, None, None, "u"),
+        (4, t, "I", 5, "c5", "car-c", t, t, d, "u"),
+    ], ORDER_EVENTS)
+    want = [(3, 0, "car-b", "1", Decimal("20.00"), "client returned a car."),
+            (4, 5, "car-c", "0", d, "order was created.")]
+    got = sorted((r.id, r.order_id, r.car_reg_num, r.status, r.total_price, r.note)
+                 for r in H.order_change_log(ev).collect())
+    assert got == want
+    for blocks in (None, 2):
+        src, sink, ckpt = (shared_path(spark, x) for x in ("ev", "sink", "ckpt"))
+        ev.write.parquet(src)
+        run_change_log(spark, src, sink, ckpt, blocks=blocks)
+        got = sorted((r.id, r.order_id, r.car_reg_num, r.status, r.total_price, r.note)
+                     for r in spark.read.schema(ORDERS_HISTORY).parquet(sink).collect())
+        assert got == want, blocks
