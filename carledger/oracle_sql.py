@@ -285,6 +285,18 @@ def _lines() -> dict[str, str]:
     out["fin_report_lines"] = over("fin_report") + "SELECT " + q_cat(
         "'Fin report for '", q_fmt17("start_ts"), "' - '", q_fmt17("end_ts"), "': '",
         f"coalesce({n('revenue')}, '')", "' P'") + " AS line FROM rep"
+    out["find_car_lines"] = over("find_car_by_type") + "SELECT reg_num, " + q_cat(
+        "'['", "coalesce(state, '')", "']'", "reg_num", "': '", "color", "', '", "type", "', '", "mark",
+        "' - '", n("price"), "'P'") + " AS line FROM rep"
+    out["list_cars_lines"] = over("list_cars") + "SELECT reg_num, " + q_cat(
+        "'['", "coalesce(state, '')", "']'", "reg_num", "': '", "color", "', '", "mark", "', '", "type",
+        "' - \ufffd'", n("price")) + " AS line FROM rep"
+    out["list_clients_lines"] = with_adapter("SELECT pass, pass || ': ' || name AS line FROM clients")
+    ts = "'%d.%m.%y %H:%M:%S,%f'"
+    out["list_orders_lines"] = with_adapter("SELECT id, " + q_cat(
+        "'['", "CAST(id AS VARCHAR)", "'], ('", "client_pass", "':'", "car_reg_num", "'), ('",
+        f"strftime(rented_at, {ts})", "' - '", f"strftime(returned_at, {ts})", "') - \ufffd'",
+        n("total_price")) + " AS line FROM rent_orders")
     out["autopark_status_lines"] = over("autopark_status") + "SELECT state_id, " + q_cat(
         "'['", "coalesce(state, '')", "'] '", n("num")) + " AS line FROM rep"
     return out

@@ -108,3 +108,9 @@ QUERIES.update({
     "fin_report_lines": _q(lambda t: L.fin_report_lines(R.fin_report(t.history, P.FIN_START, P.FIN_END))),
     "autopark_status_lines": _q(lambda t: L.autopark_status_lines(R.autopark_status(t.cars, t.car_states))),
 })
+QUERIES.update({
+    "find_car_lines": _q(lambda t: L.find_car_lines(R.find_car(t.cars, t.car_states, type=P.FIND_TYPE))),
+    "list_cars_lines": _q(lambda t: L.list_cars_lines(R.list_cars(t.cars, t.car_states))),
+    "list_clients_lines": _q(lambda t: L.list_clients_lines(R.list_clients(t.clients))),
+    "list_orders_lines": _q(lambda t: L.list_orders_lines(R.list_orders(t.orders))),
+})
