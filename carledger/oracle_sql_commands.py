@@ -50,14 +50,15 @@ FROM part""",
     "car_updates": f"""
 SELECT * FROM cu1
 UNION ALL
-SELECT seq + {SB}, ts + INTERVAL 1 DAY, reg_num, CAST(NULL AS INTEGER), 'repainted', mark, 'rebuilt',
+SELECT seq + {SB}, ts + INTERVAL 1 DAY, reg_num, CAST(NULL AS INTEGER),
+       CASE WHEN seq % 6 = 0 THEN 'repainted' END, mark, CASE WHEN seq % 6 = 0 THEN 'rebuilt' END,
        CAST(NULL AS DECIMAL(10,2)), CAST(NULL AS TIMESTAMP)
-FROM cu1 WHERE seq % 6 = 0""",
+FROM cu1""",
     "cd1": f"""
 SELECT CAST({K} AS BIGINT) AS seq, {at(f'{K} % 24')} AS ts,
        CASE WHEN {K} % 13 = 0 THEN {newkey('X', K)} ELSE {carkey(K)} END AS reg_num
 FROM part""",
-    "car_deletes": f"SELECT * FROM cd1 UNION ALL SELECT seq + {SB}, ts, reg_num FROM cd1 WHERE seq % 9 = 0",
+    "car_deletes": f"SELECT * FROM cd1 UNION ALL SELECT seq + {SB}, ts, reg_num FROM cd1",
     "client_adds": f"""
 SELECT CAST({C} AS BIGINT) AS seq, {at(f'{C} % 24')} AS ts,
        CASE WHEN {C} % 5 = 0 THEN {clientkey(C)} WHEN {C} % 7 = 0 THEN {newkey('N', f'{C} - 1')}
@@ -71,7 +72,7 @@ SELECT CAST({C} AS BIGINT) AS seq, {at(f'{C} % 24')} AS ts,
 FROM customer""",
     "client_updates": f"""
 SELECT seq, ts, pass, name FROM cl1
-UNION ALL SELECT seq + {SB}, ts, pass, c_name || ' jr' FROM cl1 WHERE seq % 6 = 0""",
+UNION ALL SELECT seq + {SB}, ts, pass, CASE WHEN seq % 6 = 0 THEN c_name || ' jr' END FROM cl1""",
     "client_deletes": f"""
 SELECT CAST({C} AS BIGINT) AS seq, {at(f'{C} % 24')} AS ts, {clientkey(C)} AS pass FROM customer""",
     "order_adds": f"""
@@ -100,13 +101,13 @@ FROM ofc
 UNION ALL
 SELECT id * 10 + 9, rented_at + INTERVAL 1 DAY, -id, CAST(NULL AS VARCHAR), CAST(NULL AS TIMESTAMP),
        returned_at + INTERVAL 1 DAY
-FROM ofc WHERE id % 11 = 0""",
+FROM ofc""",
     "od1": """
 SELECT id * 10 + 3 AS seq, rented_at + INTERVAL 1 DAY AS ts, id FROM rent_orders_u""",
     "order_deletes": """
 SELECT * FROM od1
-UNION ALL SELECT seq + 1, ts, id FROM od1 WHERE id % 4 = 0
-UNION ALL SELECT seq + 2, ts, -id FROM od1 WHERE id % 5 = 0""",
+UNION ALL SELECT seq + 1, ts, id FROM od1
+UNION ALL SELECT seq + 2, ts, -id FROM od1""",
 }
 
 UPD = {

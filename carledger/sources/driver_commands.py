@@ -50,10 +50,11 @@ def car_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 2 == 0, (F.col("p_retailprice").cast("decimal(10,2)") - 50).cast("decimal(10,2)"))
          .alias("price"),
         F.when(k % 5 == 0, F.lit(P.AS_OF).cast("timestamp_ntz")).alias("tech_serv_date"))
-    again = first.filter(F.col("seq") % 6 == 0).select(
+    six = F.col("seq") % 6 == 0
+    again = first.select(
         (F.col("seq") + SECOND_BATCH).alias("seq"), add_days("ts", 1).alias("ts"), "reg_num",
-        F.lit(None).cast("int").alias("state_id"), F.lit("repainted").alias("color"), "mark",
-        F.lit("rebuilt").alias("type"), F.lit(None).cast("decimal(10,2)").alias("price"),
+        F.lit(None).cast("int").alias("state_id"), F.when(six, F.lit("repainted")).alias("color"), "mark",
+        F.when(six, F.lit("rebuilt")).alias("type"), F.lit(None).cast("decimal(10,2)").alias("price"),
         F.lit(None).cast("timestamp_ntz").alias("tech_serv_date"))
     return first.unionByName(again)
 
@@ -63,8 +64,7 @@ def car_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     first = p.select(k.cast("long").alias("seq"), _at(k % 24).alias("ts"),
                      F.when(k % 13 == 0, _new_key("X", k)).otherwise(car_key(k)).alias("reg_num"))
-    again = first.filter(F.col("seq") % 9 == 0).select(
-        (F.col("seq") + SECOND_BATCH).alias("seq"), "ts", "reg_num")
+    again = first.select((F.col("seq") + SECOND_BATCH).alias("seq"), "ts", "reg_num")
     return first.unionByName(again)
 
 
@@ -83,9 +83,9 @@ def client_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = c.select(k.cast("long").alias("seq"), _at(k % 24).alias("ts"),
                      F.when(k % 11 == 0, _new_key("X", k)).otherwise(client_key(k)).alias("pass"),
                      F.when(k % 2 == 0, F.upper("c_name")).alias("name"), "c_name")
-    again = first.filter(F.col("seq") % 6 == 0).select(
+    again = first.select(
         (F.col("seq") + SECOND_BATCH).alias("seq"), "ts", "pass",
-        F.concat(F.col("c_name"), F.lit(" jr")).alias("name"))
+        F.when(F.col("seq") % 6 == 0, F.concat(F.col("c_name"), F.lit(" jr"))).alias("name"))
     return first.drop("c_name").unionByName(again)
 
 
@@ -108,7 +108,7 @@ def order_adds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_updates(orders_u: DataFrame, orders_first_car: DataFrame) -> DataFrame:
-    """Two calls per open order (extend or cut the end, swap back to the
+    """Per open order: two calls (extend or cut the end, swap back to the
     order's first car, fix the start) and one call for an unknown order."""
     o = orders_u.join(orders_first_car.select("id", "first_car"), "id")
     i = F.col("id")
@@ -123,7 +123,7 @@ def order_updates(orders_u: DataFrame, orders_first_car: DataFrame) -> DataFrame
         F.when(i % 3 == 0, F.col("first_car")).alias("car_reg_num"),
         F.when(i % 7 == 0, add_days("rented_at", 0, -1)).alias("rented_at"),
         F.when(i % 2 == 1, add_days("returned_at", 4)).alias("returned_at"))
-    unknown = o.filter(i % 11 == 0).select(
+    unknown = o.select(
         (i * 10 + 9).alias("seq"), add_days("rented_at", 1).alias("ts"), (-i).alias("id"),
         F.lit(None).cast("string").alias("car_reg_num"),
         F.lit(None).cast("timestamp_ntz").alias("rented_at"),
@@ -134,6 +134,6 @@ def order_updates(orders_u: DataFrame, orders_first_car: DataFrame) -> DataFrame
 def order_deletes(orders_u: DataFrame) -> DataFrame:
     i = F.col("id")
     base = orders_u.select((i * 10 + 3).alias("seq"), add_days("rented_at", 1).alias("ts"), "id")
-    again = base.filter(i % 4 == 0).select((F.col("seq") + 1).alias("seq"), "ts", "id")
-    unknown = base.filter(i % 5 == 0).select((F.col("seq") + 2).alias("seq"), "ts", (-i).alias("id"))
+    again = base.select((F.col("seq") + 1).alias("seq"), "ts", "id")
+    unknown = base.select((F.col("seq") + 2).alias("seq"), "ts", (-i).alias("id"))
     return base.unionByName(again).unionByName(unknown)
