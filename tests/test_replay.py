@@ -108,3 +108,20 @@ def test_replay_equals_sequential_fold(spark, hot_rows):
             o["car"], o["rented"], o["returned"], o["total"]), i
     assert {r.id: r.total_price for r in res.history.collect()} == totals
     assert {r.seq for r in res.rejects.collect()} == rejects
+
+
+def test_greedy_unique_equals_one_by_one(spark):
+    """Adds contending for 25 clients and 25 cars: the parallel rounds must
+    accept exactly the calls that one-by-one application accepts."""
+    rnd = random.Random(11)
+    calls = [(s, f"k{rnd.randrange(25)}", f"c{rnd.randrange(25)}") for s in range(1, 401)]
+    taken_k, taken_c, want = set(), set(), set()
+    for s, k, c in calls:
+        if k not in taken_k and c not in taken_c:
+            want.add(s)
+            taken_k.add(k)
+            taken_c.add(c)
+    df = spark.createDataFrame(calls, "seq long, client_pass string, car_reg_num string")
+    got = {r.seq for r in C.greedy_unique(df, ["client_pass", "car_reg_num"]).collect()}
+    assert got == want
+    assert 10 <= len(want) <= 25
