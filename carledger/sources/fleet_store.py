@@ -18,9 +18,10 @@ layout (insert sink); ``replace`` writes a new version folder and switches
 the catalog table to it (update/delete sink), so a table can be rebuilt
 from itself and readers never see a half-written table.
 
-If one order holds a large share of the history, its bucket is read by
-one task; set ``spark.sql.sources.bucketing.enabled=false`` for such data
-to fall back to split scans with partial aggregation before the shuffle.
+If one order holds more than two average buckets' worth of rows and more
+than ``carledger.hotKeyRows`` rows (checked by one aggregate at ingest), the history is stored unbucketed instead:
+scans split, per-order aggregates pre-aggregate before their shuffle and
+the ordered per-order scans split hot orders (``plans.skew``).
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from carledger.session import shared_path
 from carledger.sources import driver_tables as DT
@@ -47,13 +49,27 @@ def _buckets(spark: SparkSession) -> int:
     return int(n) if n else int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def has_hot_order(history: DataFrame, buckets: int) -> bool:
+    """True if one order holds more than two average buckets' worth of
+    history rows and more than ``carledger.hotKeyRows`` rows: bucketing by
+    order would then give one task most of the work, so the history is
+    stored unbucketed (per-order aggregates then pre-aggregate before their
+    shuffle, and windows split hot orders)."""
+    floor = int(history.sparkSession.conf.get("carledger.hotKeyRows", None) or 1_000_000)
+    r = (history.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"))
+         .agg(F.max("n").alias("top"), F.sum("n").alias("total")).collect()[0])
+    return bool(r["total"]) and r["top"] > max(2 * r["total"] / buckets, floor)
+
+
 class FleetStore:
     """Catalog tables ``fleet_<token>_<name>`` over files in the shared folder."""
 
     PLAIN = ("cars", "clients", "orders_u")
 
-    def __init__(self, spark: SparkSession, root: str, token: str, buckets: int):
+    def __init__(self, spark: SparkSession, root: str, token: str, buckets: int,
+                 bucket_history: bool = True):
         self.spark, self.root, self.token, self.buckets = spark, root, token, buckets
+        self.bucket_history = bucket_history
 
     def _name(self, table: str) -> str:
         return f"fleet_{self.token}_{table}"
@@ -64,9 +80,11 @@ class FleetStore:
     # --------------------------------------------------------------- write
     def _write(self, name: str, df: DataFrame, path: str, table: str, mode: str = "errorifexists") -> None:
         n = self.buckets
-        if name == "history":
+        if name == "history" and self.bucket_history:
             w = (df.repartition(n, "order_id").write.mode(mode).partitionBy("status")
                  .bucketBy(n, "order_id").sortBy("order_id", "id"))
+        elif name == "history":
+            w = df.sortWithinPartitions("order_id", "id").write.mode(mode).partitionBy("status")
         elif name == "orders":
             w = df.repartition(n, "id").write.mode(mode).bucketBy(n, "id").sortBy("id")
         else:
@@ -80,7 +98,8 @@ class FleetStore:
         given) under a fresh folder of the shared checkpoint location."""
         n = buckets or _buckets(spark)
         root = shared_path(spark, "fleet")
-        st = cls(spark, root, hashlib.sha1(root.encode()).hexdigest()[:10], n)
+        st = cls(spark, root, hashlib.sha1(root.encode()).hexdigest()[:10], n,
+                 bucket_history=not has_hot_order(history, n))
         st._write("cars", cars.select(*DT.CAR_COLS), f"{root}/cars/v0", st._name("cars"))
         st._write("clients", clients.select("pass", "name"), f"{root}/clients/v0", st._name("clients"))
         st._write("history", history.select(*HISTORY_COLS), f"{root}/history", st._name("history"))

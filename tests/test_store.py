@@ -29,3 +29,20 @@ def test_store_layout_and_apply(spark, fixture_tables):
     assert h.filter("id = 100").collect()[0].note == "client changed a car."
     ch = {r.order_id: r.changed_times for r in R.orders_changes(h).collect()}
     assert ch == {1: 4, 2: 2}
+
+
+def test_hot_order_turns_bucketing_off(spark, fixture_tables):
+    from pyspark.sql import functions as F
+    t = fixture_tables
+    h = t["history"]
+    big = h.filter("id = 5").crossJoin(spark.range(1, 200).withColumnRenamed("id", "k")) \
+        .withColumn("id", F.col("k") + 100).drop("k")
+    spark.conf.set("carledger.hotKeyRows", "50")
+    try:
+        st = FleetStore.create(spark, t["cars"], t["clients"], h.unionByName(big), t["orders"], buckets=4)
+    finally:
+        spark.conf.unset("carledger.hotKeyRows")
+    assert not st.bucket_history
+    ft = StoredFleetTables(spark, "-", store=st)
+    assert "Bucketed: true" not in plan(R.orders_changes(ft.history))
+    assert {r.order_id: r.changed_times for r in R.orders_changes(ft.history).collect()} == {1: 4, 2: 200}
