@@ -118,69 +118,82 @@ BLOCK_STATE_SCHEMA = T.StructType([
     T.StructField("car_reg_num", T.ArrayType(T.StringType())),
     T.StructField("rented_us", T.ArrayType(T.LongType())),
     T.StructField("returned_us", T.ArrayType(T.LongType())),
-    T.StructField("total_price", T.ArrayType(T.StringType())),
+    T.StructField("total_cents", T.ArrayType(T.LongType())),
 ])
+# Block output: money as integer cents; turned into decimal(10,2) by Spark.
+BLOCK_OUT = T.StructType([f if f.name != "total_price" else T.StructField("total_cents", T.LongType())
+                          for f in ORDERS_HISTORY.fields])
+BLOCK_OUT_COLS = [f.name for f in BLOCK_OUT.fields]
+VCOLS = ["client_pass", "car_reg_num", "rented_at", "returned_at", "total_cents"]
 
 
-def _us(ts) -> int | None:
-    return None if ts is None else int(pd.Timestamp(ts).value // 1000)
-
-
-def _from_us(v):
-    return None if v is None else pd.Timestamp(v, unit="us")
+def _changed(a: pd.Series, b: pd.Series) -> pd.Series:
+    """a <> b that is never true when either side is NULL."""
+    return a.notna() & b.notna() & (a != b)
 
 
 def fold_block_events(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Same rules as ``fold_order_events`` for every order of one hash
-    block: the state holds the current row of each open order of the block,
-    so one call (and one Python round trip) serves many orders."""
+    """Same rules as ``fold_order_events`` for all orders of one hash block,
+    vectorised: the state rows join the events as pseudo-events, existence
+    before each event comes from the last insert/delete marker (an ignored
+    duplicate insert or delete leaves the same state as an accepted one),
+    and the last effective row's values are forward-filled per order."""
     chunks = list(pdfs)
     ev = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
-    cols = {c: ev[c].tolist() for c in ("seq", "ts", "op", "order_id", "client_pass", "car_reg_num",
-                                        "rented_at", "returned_at", "total_price", "v_user")}
-    book: dict[int, tuple] = {}
+    ev = ev[["seq", "ts", "op", "order_id", *VCOLS, "v_user"]]
     if state.exists:
         ids, cl, cr, rt, ret, tot = state.get
-        book = {int(i): (c, r, _from_us(a), _from_us(b), Decimal(t))
-                for i, c, r, a, b, t in zip(ids, cl, cr, rt, ret, tot)}
-    order = sorted(range(len(cols["seq"])), key=lambda i: (cols["order_id"][i], cols["seq"][i]))
-    out = {c: [] for c in OUT_COLS}
-    for i in order:
-        oid, op = int(cols["order_id"][i]), cols["op"][i]
-        cur = book.get(oid)
-        if op == "D":
-            if cur is None:
-                continue
-            vals, status, note = cur, STATUS_CLOSED, NOTE_RETURNED
-            del book[oid]
-        elif op in ("I", "U"):
-            if (op == "I") == (cur is not None):
-                continue
-            vals = (cols["client_pass"][i], cols["car_reg_num"][i], _ts(cols["rented_at"][i]),
-                    _ts(cols["returned_at"][i]), _dec(cols["total_price"][i]))
-            status, note = STATUS_OPEN, (NOTE_CREATED if op == "I" else _note(cur, vals))
-            book[oid] = vals
-            if oid <= 0:      # the guard skips logging, not the change
-                continue
-        else:
-            continue
-        out["id"].append(int(cols["seq"][i]))
-        out["order_id"].append(oid)
-        out["changed_at"].append(cols["ts"][i])
-        for name, v in zip(VALS + ["total_price"], vals):
-            out[name].append(v)
-        out["status"].append(status)
-        out["note"].append(note)
-        out["v_user"].append(cols["v_user"][i])
-    if book:
-        keys = sorted(book)
-        state.update((keys, [book[k][0] for k in keys], [book[k][1] for k in keys],
-                      [_us(book[k][2]) for k in keys], [_us(book[k][3]) for k in keys],
-                      [str(book[k][4]) for k in keys]))
+        st = pd.DataFrame({
+            "seq": pd.Series([-(2 ** 62)] * len(ids), dtype="int64"), "ts": pd.NaT, "op": "S",
+            "order_id": pd.Series(ids, dtype="int64"), "client_pass": cl, "car_reg_num": cr,
+            "rented_at": pd.to_datetime(pd.Series(rt, dtype="Int64"), unit="us"),
+            "returned_at": pd.to_datetime(pd.Series(ret, dtype="Int64"), unit="us"),
+            "total_cents": pd.Series(tot, dtype="Int64"), "v_user": None})
+        df = pd.concat([st, ev], ignore_index=True)
+    else:
+        df = ev.reset_index(drop=True)
+    df["total_cents"] = df["total_cents"].astype("Int64")
+    df = df.sort_values(["order_id", "seq"], kind="mergesort", ignore_index=True)
+    oid, op = df["order_id"], df["op"]
+    marker = op.where(op.isin(["I", "D", "S"])).replace("S", "I")
+    filled = marker.groupby(oid).ffill()
+    exists_before = filled.groupby(oid).shift(1).eq("I")
+    effective = (((op == "I") & ~exists_before) | (op.isin(["U", "D"]) & exists_before)) & (op != "S")
+    valrow = (effective & op.isin(["I", "U"])) | (op == "S")
+    ff = df[VCOLS].where(valrow).groupby(oid).ffill()
+    prev = ff.groupby(oid).shift(1)
+
+    out_rows = effective & ((op == "D") | (oid > 0))
+    is_d = op == "D"
+    note = pd.Series(None, index=df.index, dtype="object")
+    upd = op == "U"
+    note[upd & _changed(prev["client_pass"], df["client_pass"])] = NOTE_CLIENT_CHANGED
+    note[upd & _changed(prev["returned_at"], df["returned_at"])] = NOTE_RENEWED
+    note[upd & _changed(prev["car_reg_num"], df["car_reg_num"])] = NOTE_CAR_CHANGED
+    note[op == "I"] = NOTE_CREATED
+    note[is_d] = NOTE_RETURNED
+    vals = df[VCOLS].mask(is_d, prev)
+    out = pd.DataFrame({
+        "id": df["seq"], "order_id": oid, "changed_at": df["ts"],
+        **{c: vals[c] for c in VCOLS},
+        "status": is_d.map({True: STATUS_CLOSED, False: STATUS_OPEN}),
+        "note": note, "v_user": df["v_user"],
+    })[out_rows][BLOCK_OUT_COLS]
+
+    last = df.groupby(oid, sort=False).tail(1).index
+    keep = filled.loc[last].eq("I")
+    live = ff.loc[last][keep.values]
+    ids_live = oid.loc[last][keep.values]
+    if len(live):
+        state.update((ids_live.astype("int64").tolist(), live["client_pass"].tolist(),
+                      live["car_reg_num"].tolist(),
+                      [None if pd.isna(v) else int(v.value // 1000) for v in live["rented_at"]],
+                      [None if pd.isna(v) else int(v.value // 1000) for v in live["returned_at"]],
+                      [None if pd.isna(v) else int(v) for v in live["total_cents"]]))
     elif state.exists:
         state.remove()
-    if out["id"]:
-        yield pd.DataFrame(out, columns=OUT_COLS)
+    if len(out):
+        yield out
 
 
 def change_log_stream(events: DataFrame, blocks: int | None = None) -> DataFrame:
@@ -196,9 +209,12 @@ def change_log_stream(events: DataFrame, blocks: int | None = None) -> DataFrame
     if blocks is None:
         return events.groupBy("order_id").applyInPandasWithState(
             fold_order_events, ORDERS_HISTORY, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    keyed = events.withColumn("_block", F.pmod(F.xxhash64("order_id"), F.lit(blocks)))
-    return keyed.groupBy("_block").applyInPandasWithState(
-        fold_block_events, ORDERS_HISTORY, BLOCK_STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    keyed = (events.withColumn("_block", F.pmod(F.xxhash64("order_id"), F.lit(blocks)))
+             .withColumn("total_cents", (F.col("total_price") * 100).cast("long")).drop("total_price"))
+    out = keyed.groupBy("_block").applyInPandasWithState(
+        fold_block_events, BLOCK_OUT, BLOCK_STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    money = (F.col("total_cents").cast("decimal(20,0)") / F.lit(100)).cast("decimal(10,2)")
+    return out.select(*[money.alias(c) if c == "total_price" else F.col(c) for c in OUT_COLS])
 
 
 def run_change_log(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
