@@ -172,6 +172,7 @@ def fold_block_events(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> I
     note[upd & _changed(prev["car_reg_num"], df["car_reg_num"])] = NOTE_CAR_CHANGED
     note[op == "I"] = NOTE_CREATED
     note[is_d] = NOTE_RETURNED
+    note = note.astype(object).where(note.notna(), None)
     vals = df[VCOLS].mask(is_d, prev)
     out = pd.DataFrame({
         "id": df["seq"], "order_id": oid, "changed_at": df["ts"],
