@@ -6,6 +6,7 @@ import random
 from decimal import Decimal
 
 import pandas as pd
+import pytest
 
 from carledger.streaming.order_stream import fold_block_events, fold_order_events
 
@@ -64,9 +65,6 @@ def _norm(rows):
     return sorted(rows, key=lambda r: r[0])
 
 
-import pytest
-
-
 @pytest.mark.parametrize("seed", [5, 6, 7, 8])
 def test_block_fold_equals_order_fold(seed):
     rnd = random.Random(seed)
