@@ -264,16 +264,49 @@ STATE = ["car_reg_num", "price", "rented_at", "returned_at"]
 START = ["car0", "price0", "rented0", "returned0"]
 
 
+DEN = MICROS_PER_DAY            # (cents x micros) / DEN = cents
+
+
 def _deltas(s: DataFrame) -> DataFrame:
-    """Exact per-call change of the total, rounded half up to cents (an
-    integer count of cents), from the state before and after the call."""
+    """Exact per-call change of the total in cents, rounded half up
+    (``_delta``), and whether it was an exact half-cent tie (``_tie``)."""
     num = (as_int(micros_between("prev_returned", "ts")) * (cents("price") - cents("prev_price"))
            + as_int(micros_between("returned_at", "prev_returned")) * cents("price"))
-    return s.withColumn("_delta", round_ratio_up(num, F.lit(MICROS_PER_DAY * 100), 2))
+    return (s.withColumn("_delta", round_ratio_up(num, F.lit(DEN), 0))
+            .withColumn("_tie", F.pmod(num, F.lit(DEN).cast("decimal(38,0)")) == F.lit(DEN // 2)))
 
 
 REPLAY_COLS = ["seq", "ts", "id", "client_pass", "car_reg_num", "price", "rented_at", "returned_at",
-               "prev_car", "prev_price", "prev_returned", "total_price"]
+               "prev_car", "prev_price", "prev_returned", "_tie", "_upper"]
+
+
+def _round_ties(s: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Totals rounded half away from zero after every call.
+
+    ``_upper`` is the running total with every half-cent tie rounded up;
+    that is exact while the total stays non-negative. A tie at call j
+    rounds down instead when the total is negative there, which is
+    ``_upper_j <= D_{j-1}`` with D the number of earlier down-rounded
+    ties. D is found as the fixpoint of prefix counts (it only grows from
+    0, and each call depends on earlier ones only); the total is
+    ``_upper - D``. One check skips all of it when no tie can be affected."""
+    s = s.withColumn("_tie_i", F.col("_tie").cast("long"))
+    s = materialize(SK.sum_before(s, "id", ["seq"], "_tie_i", "_ties_before", hot))
+    risky = s.filter(F.col("_tie") & (F.col("_upper") <= F.col("_ties_before"))).limit(1).count()
+    if risky == 0:
+        return s.withColumn("total_price", units_to_decimal(F.col("_upper"), 2))
+    d = s.select("seq", "id", "_tie", "_upper", F.lit(0).cast("long").alias("_dn"))
+    while True:
+        x = SK.sum_before(d, "id", ["seq"], "_dn", "_dprev", hot)
+        x = x.withColumn("_dn2", (F.col("_tie") & (F.col("_upper") <= F.col("_dprev"))).cast("long"))
+        changed = x.filter(F.col("_dn2") != F.col("_dn")).limit(1).count()
+        d = materialize(x.select("seq", "id", "_tie", "_upper", F.col("_dn2").alias("_dn")))
+        if changed == 0:
+            break
+    dd = SK.sum_before(d, "id", ["seq"], "_dn", "_dprev", hot).select(
+        "seq", (F.col("_dprev") + F.col("_dn")).alias("_down"))
+    return s.join(dd, "seq").withColumn("total_price",
+                                        units_to_decimal(F.col("_upper") - F.col("_down"), 2))
 
 
 def _replay(acc: DataFrame) -> DataFrame:
@@ -286,7 +319,7 @@ def _replay(acc: DataFrame) -> DataFrame:
         ["car_reg_num", "price", "returned_at"], ["car0", "price0", "returned0"],
         ["prev_car", "prev_price", "prev_returned"])])
     s = _deltas(s)
-    s = s.withColumn("total_price", units_to_decimal(cents("total0") + F.sum("_delta").over(wu), 2))
+    s = s.withColumn("_upper", (cents("total0") + F.sum("_delta").over(wu)).cast("decimal(38,0)"))
     return s.select(*REPLAY_COLS)
 
 
@@ -306,11 +339,58 @@ def _replay_split(acc: DataFrame) -> DataFrame:
         ["car_reg_num", "price", "returned_at"], ["prev_car", "prev_price", "prev_returned"])])
     s = _deltas(s)
     s = s.join(SK.carry_sum(s, "id", "_delta"), k, "left")
-    s = s.withColumn("total_price", units_to_decimal(
-        cents("total0") + F.col("_carry_sum") + F.sum("_delta").over(wpu), 2))
+    s = s.withColumn("_upper", (cents("total0") + F.col("_carry_sum") + F.sum("_delta").over(wpu))
+                     .cast("decimal(38,0)"))
     return s.select(*REPLAY_COLS)
 
 
+def exact_car_rule(calls: DataFrame, orders: DataFrame, hot_o: DataFrame | None = None) -> DataFrame:
+    """Accept flags (seq, _ok) of calls that pass their own checks, under
+    the rule that a new car must not be held by another open order at the
+    time of the call, exactly as one-by-one application in seq order.
+
+    ``calls``: seq, id, new_car, car0 and a starting guess ``_ok``. Given
+    flags, each order's car just before each call is the last accepted new
+    car (a last-non-NULL scan per order); the holders of car X just before
+    seq s are its start holders plus a running sum of +1 (accepted swap to
+    X) and -1 (accepted swap away from X) per car. A swap is accepted when
+    nobody but the caller holds X then. A call depends only on earlier
+    calls, so the fixpoint is unique and equals one-by-one application;
+    each round fixes at least the earliest wrong call, and the loop ends
+    when no flag changes (from a good guess, after one round). Both scans
+    split hot orders and hot cars into pieces (``plans.skew``)."""
+    init = orders.groupBy(F.col("car_reg_num").alias("new_car")).agg(F.count(F.lit(1)).alias("_init"))
+    # Only swaps change holders, and a call without a new car passes here.
+    swaps = calls.filter(F.col("new_car").isNotNull())
+    base = materialize(swaps.select("seq", "id", "new_car", "car0").join(init, "new_car", "left"))
+    flags = swaps.select("seq", "_ok")
+    hot_c = SK.hot_keys(base, "new_car", "seq")
+    hot_c = hot_c.withColumnRenamed("new_car", "_car") if hot_c is not None else None
+    none = F.lit(None).cast("long")
+    while True:
+        c = base.join(flags, "seq").withColumn("_eff", F.when(F.col("_ok"), F.col("new_car")))
+        c = SK.last_given_before(c, "id", "seq", "_eff", "car0", "_before", hot_o)
+        moved = c.filter(F.col("_ok") & (F.col("new_car") != F.col("_before")))
+        rows = (moved.select(F.col("new_car").alias("_car"), "seq", F.lit(1).alias("_kind"),
+                             F.lit(1).cast("long").alias("_v"), none.alias("_own"), none.alias("_init"))
+                .unionByName(moved.select(F.col("_before").alias("_car"), "seq", F.lit(1).alias("_kind"),
+                                          F.lit(-1).cast("long").alias("_v"), none.alias("_own"),
+                                          none.alias("_init")))
+                .unionByName(c.select(F.col("new_car").alias("_car"), "seq", F.lit(0).alias("_kind"),
+                                      F.lit(0).cast("long").alias("_v"),
+                                      (F.col("_before") == F.col("new_car")).cast("long").alias("_own"),
+                                      F.col("_init").cast("long").alias("_init"))))
+        held = SK.sum_before(rows, "_car", ["seq", "_kind"], "_v", "_held", hot_c).filter("_kind = 0")
+        free = (F.col("_held") + F.coalesce(F.col("_init"), F.lit(0)) - F.col("_own")) == 0
+        new = materialize(held.select("seq", free.alias("_ok")))
+        changed = (new.join(flags.withColumnRenamed("_ok", "_was"), "seq")
+                   .filter(F.col("_ok") != F.col("_was")).limit(1).count())
+        flags = new
+        if changed == 0:
+            return (calls.select("seq").join(flags, "seq", "left")
+                    .select("seq", F.coalesce(F.col("_ok"), F.lit(True)).alias("_ok")))
+
+
 def update_orders(orders: DataFrame, cars: DataFrame, updates: DataFrame, v_user: str) -> Result:
     """Extend, swap car, fix the start; many calls per order replayed
     in seq order without a loop.
@@ -319,13 +399,15 @@ def update_orders(orders: DataFrame, cars: DataFrame, updates: DataFrame, v_user
     total += days(r0 - ts)*(p1 - p0) + days(r1 - r0)*p1, rounded to cents
     after every call (p1, r1: the new price and end; NULL means keep).
     Since each total has whole cents, rounding the running total after
-    each step equals adding each step's delta rounded half up; the deltas
-    are exact integer ratios, so the replay is a running sum (window).
+    each step equals adding each step's delta rounded half up while the
+    total is not negative (the deltas are exact integer ratios, so this is
+    a running sum); ``_round_ties`` corrects exact half-cent ties where the
+    total is negative, so the result is rounded half away from zero at
+    every call, as the reference's decimal column does.
 
     Rejected: unknown order, new returned_at before ts, unknown new car,
-    or a new car held by another open order at batch
-    start or first asked for by another order in the batch (conservative:
-    a car another order gives up inside the batch is not handed on).
+    or a new car held by another open order at the time of the call, as in
+    one-by-one application (``exact_car_rule``).
     """
     o = orders.select("id", "client_pass", F.col("car_reg_num").alias("car0"),
                       F.col("rented_at").alias("rented0"), F.col("returned_at").alias("returned0"),
@@ -335,29 +417,36 @@ def update_orders(orders: DataFrame, cars: DataFrame, updates: DataFrame, v_user
          .join(o, "id", "left")
          .join(_price(cars, "car0", "price0"), "car0", "left")
          .join(_price(cars, "new_car", "new_price"), "new_car", "left"))
+    static = (F.col("car0").isNotNull() & F.col("price0").isNotNull()
+              & (F.col("new_returned").isNull() | (F.col("new_returned") >= F.col("ts")))
+              & (F.col("new_car").isNull() | F.col("new_price").isNotNull()))
+    # Starting guess for the car rule (often already exact): a car held by
+    # another order at batch start, or first asked for by another order, is
+    # refused.
     holders = orders.groupBy(F.col("car_reg_num").alias("new_car")).agg(
         F.min("id").alias("_h_min"), F.max("id").alias("_h_max"))
-    u = u.join(holders, "new_car", "left")
     first_req = (u.filter(F.col("new_car").isNotNull()).groupBy("new_car")
                  .agg(F.min_by("id", F.col("seq")).alias("_first_req")))
-    u = u.join(first_req, "new_car", "left")
-    car_free = (F.col("new_car").isNull()
-                | ((F.col("_h_min").isNull()
-                    | ((F.col("_h_min") == F.col("id")) & (F.col("_h_max") == F.col("id"))))
-                   & (F.col("_first_req") == F.col("id"))))
-    ok = (F.col("car0").isNotNull() & F.col("price0").isNotNull()
-          & (F.col("new_returned").isNull() | (F.col("new_returned") >= F.col("ts")))
-          & (F.col("new_car").isNull() | F.col("new_price").isNotNull())
-          & car_free)
-    u = materialize(u.withColumn("_ok0", ok))
+    u = u.join(holders, "new_car", "left").join(first_req, "new_car", "left")
+    guess = (F.col("new_car").isNull()
+             | ((F.col("_h_min").isNull()
+                 | ((F.col("_h_min") == F.col("id")) & (F.col("_h_max") == F.col("id"))))
+                & (F.col("_first_req") == F.col("id"))))
+    u = materialize(u.withColumn("_static", F.coalesce(static, F.lit(False)))
+                    .withColumn("_guess", F.coalesce(guess, F.lit(False))))
+    # Orders with very many calls (one bounded list, reused by both scans).
+    hot = SK.hot_keys(u, "id", "seq")
+    flags = exact_car_rule(u.filter("_static").select("seq", "id", "new_car", "car0",
+                                                      F.col("_guess").alias("_ok")), orders, hot)
+    u = u.join(flags, "seq", "left").withColumn("_ok0", F.coalesce(F.col("_ok"), F.lit(False)))
     acc = u.filter("_ok0")
 
-    hot = SK.hot_keys(acc, "id", "seq")
     if hot is None:
         s = _replay(acc)
     else:
         cold, warm = SK.split(acc, "id", "seq", hot)
         s = _replay(cold).unionByName(_replay_split(warm))
+    s = _round_ties(s, hot)
     # total_price is cast to decimal(10,2) on output: with ANSI mode on, a
     # total beyond 99,999,999.99 fails the job instead of being clipped.
     hist = _history(

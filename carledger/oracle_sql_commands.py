@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from carledger import params as P
 from carledger.oracle_sql import (
-    DAY_US, q_add, q_cents, q_hi, q_micros, q_money, q_round_ratio_up, q_ts, q_units, with_adapter,
+    DAY_US, q_add, q_cents, q_hi, q_micros, q_money, q_round_ratio, q_ts, with_adapter,
 )
 
 SB = 10_000_000
@@ -123,44 +123,55 @@ LEFT JOIN (SELECT car_reg_num, min(id) AS h_min, max(id) AS h_max FROM rent_orde
        ON h.car_reg_num = c.car_reg_num
 LEFT JOIN (SELECT car_reg_num, arg_min(id, seq) AS first_req FROM order_updates
            WHERE car_reg_num IS NOT NULL GROUP BY car_reg_num) fr ON fr.car_reg_num = c.car_reg_num""",
-    "uok": """
-SELECT *, coalesce(car0 IS NOT NULL AND price0 IS NOT NULL
-                   AND (new_returned IS NULL OR new_returned >= ts)
-                   AND (new_car IS NULL OR new_price IS NOT NULL)
-                   AND (new_car IS NULL OR ((h_min IS NULL OR (h_min = id AND h_max = id)) AND first_req = id)),
-                   false) AS ok
-FROM u""",
-    "s1": """
-SELECT *,
-       coalesce(last_value(new_car IGNORE NULLS) OVER wu, car0) AS car_reg_num,
-       coalesce(last_value(new_price IGNORE NULLS) OVER wu, price0) AS price,
-       coalesce(last_value(new_rented IGNORE NULLS) OVER wu, rented0) AS rented_at,
-       coalesce(last_value(new_returned IGNORE NULLS) OVER wu, returned0) AS returned_at
-FROM uok WHERE ok
-WINDOW wu AS (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
-    "s2": """
-SELECT *, coalesce(lag(car_reg_num) OVER w, car0) AS prev_car,
-          coalesce(lag(price) OVER w, price0) AS prev_price,
-          coalesce(lag(returned_at) OVER w, returned0) AS prev_returned
-FROM s1 WINDOW w AS (PARTITION BY id ORDER BY seq)""",
-    "s3": f"""
-SELECT *, {q_round_ratio_up(
-        f"{q_hi(q_micros('prev_returned', 'ts'))} * ({q_cents('price')} - {q_cents('prev_price')}) + "
-        f"{q_hi(q_micros('returned_at', 'prev_returned'))} * {q_cents('price')}", str(DAY_US * 100))} AS delta
-FROM s2""",
-    "s4": f"""
-SELECT *, {q_units(f"{q_cents('total0')} + sum(delta) OVER wu")} AS total_price
-FROM s3 WINDOW wu AS (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
 }
 
 
-def _with(body: str, *names: str, table: dict = CMD) -> str:
-    return with_adapter(body, *[(n, table[n]) for n in names])
+MPD = DAY_US
+P_ = "r.cur[c.id]"
+CAR1 = f"coalesce(c.new_car, {P_}.car)"
+PRICE1 = f"coalesce(c.new_price, {P_}.price)"
+RET1 = f"coalesce(c.new_returned, {P_}.ret)"
+RENT1 = f"coalesce(c.new_rented, {P_}.rent)"
+NUM = (f"({P_}.tot * {MPD} + {q_hi(q_micros(f'{P_}.ret', 'c.ts'))} * ({q_cents(PRICE1)} - {q_cents(f'{P_}.price')})"
+       f" + {q_hi(q_micros(RET1, f'{P_}.ret'))} * {q_cents(PRICE1)})")
+NXT = (f"{{'car': CAST({CAR1} AS VARCHAR), 'price': CAST({PRICE1} AS DECIMAL(10,2)), "
+       f"'rent': CAST({RENT1} AS TIMESTAMP), 'ret': CAST({RET1} AS TIMESTAMP), "
+       f"'tot': CAST({q_round_ratio(NUM, str(MPD), 0)} AS HUGEINT)}}")
+OK = (f"(c.static AND {P_} IS NOT NULL AND (c.new_car IS NULL OR len(list_filter(map_entries(r.cur), "
+      f"lambda e: e.value.car = c.new_car AND e.key <> c.id)) = 0))")
+
+# One call at a time in seq order; the state maps each open order to its
+# car, price, start, end and total in cents.
+SEQ = {
+    "cs": """
+SELECT row_number() OVER (ORDER BY seq) AS rn, seq, ts, id, new_car, new_rented, new_returned, new_price,
+       coalesce(car0 IS NOT NULL AND price0 IS NOT NULL AND (new_returned IS NULL OR new_returned >= ts)
+                AND (new_car IS NULL OR new_price IS NOT NULL), false) AS static
+FROM u""",
+    "init": """
+SELECT map_from_entries(list({'k': o.id, 'v': {'car': CAST(o.car_reg_num AS VARCHAR),
+        'price': CAST(k.price AS DECIMAL(10,2)), 'rent': CAST(o.rented_at AS TIMESTAMP),
+        'ret': CAST(o.returned_at AS TIMESTAMP), 'tot': CAST(o.total_price * 100 AS HUGEINT)}})) AS m
+FROM rent_orders_u o LEFT JOIN cars k ON k.reg_num = o.car_reg_num""",
+    "r": f"""
+SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS id,
+       CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS BOOLEAN) AS ok,
+       (SELECT m FROM init)[-1] AS prev, (SELECT m FROM init)[-1] AS nxt, (SELECT m FROM init) AS cur
+UNION ALL
+SELECT c.rn, c.seq, c.id, c.ts, {OK}, {P_}, {NXT},
+       CASE WHEN {OK} THEN map_concat(r.cur, map_from_entries([{{'k': c.id, 'v': {NXT}}}])) ELSE r.cur END
+FROM r JOIN cs c ON c.rn = r.rn + 1""",
+    "steps": "SELECT * EXCLUDE (cur) FROM r WHERE rn > 0",
+}
 
 
-def _upd(body: str) -> str:
+def _seq(body: str) -> str:
     return with_adapter(body, ("ofc", CMD["ofc"]), ("order_updates", CMD["order_updates"]),
-                        *UPD.items())
+                        ("u", UPD["u"]), *SEQ.items(), recursive=True)
+
+
+def _with(body: str, *names: str, table: dict = CMD) -> str:
+    return with_adapter(body, *[(n, table[n]) for n in names])
 
 
 def statements() -> dict[str, str]:
@@ -250,24 +261,23 @@ SELECT c.rn, c.seq, {take},
        CASE WHEN {take} THEN list_append(r.tk, c.car_reg_num) ELSE r.tk END
 FROM r JOIN c ON c.rn = r.rn + 1"""), recursive=True)
 
-    out["update_orders"] = _upd("""
-SELECT o.id, o.client_pass, coalesce(l.car_reg_num, o.car_reg_num) AS car_reg_num,
-       coalesce(l.rented_at, o.rented_at) AS rented_at, coalesce(l.returned_at, o.returned_at) AS returned_at,
-       CAST(coalesce(l.total_price, o.total_price) AS DECIMAL(10,2)) AS total_price
-FROM rent_orders_u o LEFT JOIN (
-  SELECT id, arg_max(car_reg_num, seq) AS car_reg_num, arg_max(rented_at, seq) AS rented_at,
-         arg_max(returned_at, seq) AS returned_at, arg_max(total_price, seq) AS total_price
-  FROM s4 GROUP BY id) l ON l.id = o.id""")
-    out["update_orders_log"] = _upd(f"""
-SELECT CAST(seq AS BIGINT) AS id, CAST(id AS BIGINT) AS order_id, ts AS changed_at, client_pass, car_reg_num,
-       rented_at, returned_at, '0' AS status, CAST(total_price AS DECIMAL(10,2)) AS total_price,
-       CASE WHEN prev_car <> car_reg_num THEN 'client changed a car.'
-            WHEN prev_returned <> returned_at THEN 'client renewed a car.' END AS note,
+    out["update_orders"] = _seq("""
+SELECT o.id, o.client_pass, coalesce(l.nxt.car, o.car_reg_num) AS car_reg_num,
+       coalesce(l.nxt.rent, o.rented_at) AS rented_at, coalesce(l.nxt.ret, o.returned_at) AS returned_at,
+       CAST(coalesce(CAST(l.nxt.tot AS DECIMAL(38,0)) * 0.01, o.total_price) AS DECIMAL(10,2)) AS total_price
+FROM rent_orders_u o
+LEFT JOIN (SELECT id, arg_max(nxt, seq) AS nxt FROM steps WHERE ok GROUP BY id) l ON l.id = o.id""")
+    out["update_orders_log"] = _seq(f"""
+SELECT CAST(s.seq AS BIGINT) AS id, CAST(s.id AS BIGINT) AS order_id, s.ts AS changed_at, o.client_pass,
+       s.nxt.car AS car_reg_num, s.nxt.rent AS rented_at, s.nxt.ret AS returned_at, '0' AS status,
+       CAST(CAST(s.nxt.tot AS DECIMAL(38,0)) * 0.01 AS DECIMAL(10,2)) AS total_price,
+       CASE WHEN s.prev.car <> s.nxt.car THEN 'client changed a car.'
+            WHEN s.prev.ret <> s.nxt.ret THEN 'client renewed a car.' END AS note,
        '{P.V_USER}' AS v_user
-FROM s4""")
-    out["update_orders_rejects"] = _upd("""
+FROM steps s JOIN rent_orders_u o ON o.id = s.id WHERE s.ok""")
+    out["update_orders_rejects"] = _seq("""
 SELECT seq, 'update_order' AS op, CAST(id AS VARCHAR) AS key, 'err: pcrud.update_order' AS err
-FROM uok WHERE NOT ok""")
+FROM steps WHERE NOT ok""")
 
     out["close_orders"] = _with(f"""
 SELECT CAST(d.seq AS BIGINT) AS id, o.id AS order_id, d.ts AS changed_at, o.client_pass, o.car_reg_num,

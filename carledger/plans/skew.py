@@ -80,3 +80,36 @@ def carry_sum(rows: DataFrame, key: str, col: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
     return s.select(key, PIECE, F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_carry_sum"))
 
+
+
+def last_given_before(df: DataFrame, key: str, seq: str, col: str, default: str, out: str,
+                      hot: DataFrame | None = None) -> DataFrame:
+    """``out`` = the last non-NULL ``col`` among earlier rows (smaller
+    ``seq``) of the same key, else the row's ``default`` column. Hot keys
+    are cut into pieces; each piece starts from the earlier pieces' value."""
+    def plain(d: DataFrame) -> DataFrame:
+        w = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+        return d.withColumn(out, F.coalesce(F.last(col, True).over(w), F.col(default)))
+    if hot is None:
+        return plain(df)
+    cold, warm = split(df, key, seq, hot)
+    wp = Window.partitionBy(key, PIECE).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    j = warm.join(carry_last_given(warm, key, seq, [col]), [key, PIECE], "left")
+    j = j.withColumn(out, F.coalesce(F.last(col, True).over(wp), F.col(f"_carry.{col}"), F.col(default)))
+    return plain(cold).unionByName(j.drop("_carry", PIECE))
+
+
+def sum_before(df: DataFrame, key: str, order: list[str], val: str, out: str,
+               hot: DataFrame | None = None) -> DataFrame:
+    """``out`` = sum of ``val`` over earlier rows of the same key in
+    ``order`` (the first column is the seq that hot keys are cut by)."""
+    def plain(d: DataFrame) -> DataFrame:
+        w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return d.withColumn(out, F.coalesce(F.sum(val).over(w), F.lit(0)))
+    if hot is None:
+        return plain(df)
+    cold, warm = split(df, key, order[0], hot)
+    wp = Window.partitionBy(key, PIECE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    j = warm.join(carry_sum(warm, key, val), [key, PIECE], "left")
+    j = j.withColumn(out, F.col("_carry_sum") + F.coalesce(F.sum(val).over(wp), F.lit(0)))
+    return plain(cold).unionByName(j.drop("_carry_sum", PIECE))

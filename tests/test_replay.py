@@ -42,6 +42,9 @@ def fold(orders, prices, cmds):
         if po is None or pn is None:
             rejects.add(c["seq"])
             continue
+        if c["car"] is not None and any(o2["car"] == c["car"] for k2, o2 in state.items() if k2 != c["id"]):
+            rejects.add(c["seq"])        # the car is held by another open order now
+            continue
         new_ret = c["returned"] if c["returned"] is not None else o["returned"]
         d1 = Fraction(us(o["returned"], c["ts"]), DAY_US)
         d2 = Fraction(us(new_ret, o["returned"]), DAY_US)
@@ -125,3 +128,42 @@ def test_greedy_unique_equals_one_by_one(spark):
     got = {r.seq for r in C.greedy_unique(df, ["client_pass", "car_reg_num"]).collect()}
     assert got == want
     assert 10 <= len(want) <= 25
+
+
+def test_replay_with_car_contention(spark, hot_rows):
+    """40 orders swap among 55 cars: cars are taken, given back and taken
+    again inside one batch; acceptance must follow one-by-one application."""
+    rnd = random.Random(3)
+    t0 = datetime(2024, 3, 1)
+    pool = [f"S{k:09d}" for k in range(55)]
+    prices = {r: Decimal(rnd.randint(50_000, 300_000)).scaleb(-2) for r in pool}
+    cars = [(r, 1, "c", "m", "t", p, t0) for r, p in prices.items()]
+    orders, cmds, seq = {}, [], 0
+    start = rnd.sample(pool, 40)
+    for oid in range(1, 41):
+        rented = t0 + timedelta(hours=rnd.randint(0, 48))
+        orders[oid] = {"car": start[oid - 1], "rented": rented,
+                       "returned": rented + timedelta(days=rnd.randint(3, 9)),
+                       "total": Decimal(rnd.randint(100_000, 900_000)).scaleb(-2)}
+    for _ in range(300):
+        seq += 1
+        oid = rnd.randint(1, 40)
+        now = orders[oid]["rented"] + timedelta(minutes=seq)
+        car = rnd.choice(pool + [None])
+        cmds.append({"seq": seq, "ts": now, "id": oid, "car": car, "rented": None,
+                     "returned": now + timedelta(days=rnd.randint(1, 5)) if rnd.random() < 0.3 else None})
+    cars_df = spark.createDataFrame(cars, S.CARS)
+    orders_df = spark.createDataFrame(
+        [(i, f"P{i:09d}", o["car"], o["rented"], o["returned"], o["total"]) for i, o in orders.items()],
+        S.ORDERS)
+    cmd_df = spark.createDataFrame(
+        [(c["seq"], c["ts"], c["id"], c["car"], c["rented"], c["returned"]) for c in cmds], S.ORDER_UPDATES)
+    res = C.update_orders(orders_df, cars_df, cmd_df, "T")
+    state, totals, rejects = fold(orders, prices, cmds)
+    got = {r.id: r for r in res.table.collect()}
+    for i, o in state.items():
+        assert (got[i].car_reg_num, got[i].returned_at, got[i].total_price) == (
+            o["car"], o["returned"], o["total"]), i
+    assert {r.seq for r in res.rejects.collect()} == rejects
+    assert {r.id: r.total_price for r in res.history.collect()} == totals
+    assert 20 < len(rejects) < 280
