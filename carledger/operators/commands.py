@@ -420,7 +420,7 @@ def update_orders(orders: DataFrame, cars: DataFrame, updates: DataFrame, v_user
     static = (F.col("car0").isNotNull() & F.col("price0").isNotNull()
               & (F.col("new_returned").isNull() | (F.col("new_returned") >= F.col("ts")))
               & (F.col("new_car").isNull() | F.col("new_price").isNotNull()))
-    # Starting guess for the car rule (often already exact): a car held by
+    # Starting guess for the car rule (the fixpoint below makes it exact): a car held by
     # another order at batch start, or first asked for by another order, is
     # refused.
     holders = orders.groupBy(F.col("car_reg_num").alias("new_car")).agg(
