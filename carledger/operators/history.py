@@ -50,51 +50,77 @@ def events_from_history(history: DataFrame) -> DataFrame:
         *VALUE_COLS, "v_user")
 
 
+def _op(name: str) -> Column:
+    return F.col("op") == name
+
+
+def _flags(exists_before: Column) -> tuple[Column, Column]:
+    """(effective, value row): an insert of a missing order or an update /
+    delete of an existing one takes effect; inserts and updates that take
+    effect carry the order's new values."""
+    eff = (_op("I") & ~exists_before) | ((F.col("op").isin("U", "D")) & exists_before)
+    return eff, eff & F.col("op").isin("I", "U")
+
+
 def _prev_plain(ev: DataFrame) -> DataFrame:
+    """Per event: did the order exist before it (last insert/delete marker,
+    an ignored duplicate leaves the same state), and the values of the last
+    effective insert/update before it. One window partitioning throughout."""
     w = Window.partitionBy("order_id").orderBy("seq")
-    return ev.select("*", *[F.lag(c).over(w).alias(f"_prev_{c}") for c in VALUE_COLS])
+    wb = w.rowsBetween(Window.unboundedPreceding, -1)
+    ev = ev.withColumn("_m", F.when(F.col("op").isin("I", "D"), F.col("op")))
+    ev = ev.withColumn("_exists", F.coalesce(F.last("_m", True).over(wb) == "I", F.lit(False)))
+    eff, val = _flags(F.col("_exists"))
+    ev = ev.withColumn("_eff", eff).withColumn("_val", val)
+    return ev.select("*", *[F.last(F.when(F.col("_val"), F.col(c)), True).over(wb).alias(f"_prev_{c}")
+                            for c in VALUE_COLS])
 
 
 def _prev_split(ev: DataFrame) -> DataFrame:
-    """Previous row for hot orders cut into seq-range pieces: lag inside the
-    piece, and the previous piece's last row for a piece's first row."""
-    w = Window.partitionBy("order_id", S.PIECE).orderBy("seq")
-    local = ev.select("*", *[F.lag(c).over(w).alias(f"_lp_{c}") for c in VALUE_COLS],
-                      F.row_number().over(w).alias("_rn"))
-    carry = S.carry_last_row(ev, "order_id", "seq", VALUE_COLS)
-    j = local.join(carry, ["order_id", S.PIECE], "left")
-    first = F.col("_rn") == 1
-    return j.select(*ev.columns, *[F.when(first, F.col(f"_carry.{c}")).otherwise(F.col(f"_lp_{c}"))
-                                   .alias(f"_prev_{c}") for c in VALUE_COLS]).drop(S.PIECE)
+    """The same for hot orders cut into seq-range pieces: each piece starts
+    from the last marker and the last effective values of earlier pieces."""
+    k = ["order_id", S.PIECE]
+    wb = Window.partitionBy(*k).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    ev = ev.withColumn("_m", F.when(F.col("op").isin("I", "D"), F.col("op")))
+    ev = ev.join(S.carry_last_given(ev, "order_id", "seq", ["_m"]), k, "left")
+    last_m = F.coalesce(F.last("_m", True).over(wb), F.col("_carry._m"))
+    ev = ev.withColumn("_exists", F.coalesce(last_m == "I", F.lit(False))).drop("_carry")
+    eff, val = _flags(F.col("_exists"))
+    ev = ev.withColumn("_eff", eff).withColumn("_val", val)
+    pv = [f"_pv_{c}" for c in VALUE_COLS]
+    ev = ev.select("*", *[F.when(F.col("_val"), F.col(c)).alias(p) for c, p in zip(VALUE_COLS, pv)])
+    ev = ev.join(S.carry_last_given(ev, "order_id", "seq", pv), k, "left")
+    ev = ev.select("*", *[F.coalesce(F.last(p, True).over(wb), F.col(f"_carry.{p}")).alias(f"_prev_{c}")
+                          for c, p in zip(VALUE_COLS, pv)])
+    return ev.drop("_carry", S.PIECE, *pv)
 
 
 def _log_rows(ev: DataFrame) -> DataFrame:
     prev = {c: F.col(f"_prev_{c}") for c in VALUE_COLS}
-    is_d, is_i = F.col("op") == "D", F.col("op") == "I"
-    vals = {c: F.when(is_d, prev[c]).otherwise(F.col(c)) for c in VALUE_COLS}
-    note = (F.when(is_d, F.lit(NOTE_RETURNED))
-            .when(is_i, F.lit(NOTE_CREATED))
+    vals = {c: F.when(_op("D"), prev[c]).otherwise(F.col(c)) for c in VALUE_COLS}
+    note = (F.when(_op("D"), F.lit(NOTE_RETURNED))
+            .when(_op("I"), F.lit(NOTE_CREATED))
             .otherwise(change_note(prev["client_pass"], prev["car_reg_num"], prev["returned_at"],
                                    F.col("client_pass"), F.col("car_reg_num"), F.col("returned_at"))))
-    out = ev.select(
+    # Only effective events write rows; the guard (order id > 0) of the
+    # insert/update trigger skips logging, not the change, so a later
+    # delete of such an order is logged with its unlogged last values.
+    keep = F.col("_eff") & (_op("D") | (F.col("order_id") > 0))
+    return ev.filter(keep).select(
         F.col("seq").alias("id"), "order_id", F.col("ts").alias("changed_at"),
         *[vals[c].alias(c) for c in VALUE_COLS[:4]],
-        F.when(is_d, F.lit(STATUS_CLOSED)).otherwise(F.lit(STATUS_OPEN)).alias("status"),
+        F.when(_op("D"), F.lit(STATUS_CLOSED)).otherwise(F.lit(STATUS_OPEN)).alias("status"),
         vals["total_price"].alias("total_price"),
         note.alias("note"), "v_user",
     )
-    # A delete with no earlier row of its order deletes nothing: no row.
-    # The insert/update guard (order id > 0) only skips logging: the change
-    # still happens, so a later delete logs the unlogged last values.
-    closed = F.col("status") == STATUS_CLOSED
-    return out.filter(~(closed & F.col("client_pass").isNull()) & (closed | (F.col("order_id") > 0)))
 
 
 def order_change_log(events: DataFrame, split_hot: bool = True) -> DataFrame:
-    """History rows for a batch of well-formed order events (per order: one
-    I first, U rows, at most one D last). Inserts and updates of a
-    non-positive order id change the order but write no row (the guard of
-    the insert/update trigger); its delete is logged.
+    """History rows for a batch of order events, with the same rules as the
+    streamed log: an insert of an existing order, or an update or delete of
+    a missing one, changes nothing and writes no row. Inserts and updates
+    of a non-positive order id change the order but write no row (the
+    guard of the insert/update trigger); its delete is logged.
 
     Orders with very many events (``plans.skew.hot_keys``) are cut into
     seq-range pieces scanned in parallel; the rest use one window."""

@@ -17,24 +17,29 @@ FROM rent_history""")
 
 def statements() -> dict[str, str]:
     out = {}
-    d = "CASE WHEN op = 'D' THEN lag({c}) OVER w ELSE {c} END AS {c}"
+    wb = "(PARTITION BY order_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    cols = ["client_pass", "car_reg_num", "rented_at", "returned_at", "total_price"]
+    prev = ",\n       ".join(f"last_value(CASE WHEN val THEN {c} END IGNORE NULLS) OVER {wb} AS p_{c}"
+                            for c in cols)
+    pick = ",\n       ".join(f"CASE WHEN op = 'D' THEN p_{c} ELSE {c} END AS {c}" for c in cols[:4])
     out["order_change_log"] = with_adapter(f"""
-SELECT * FROM (
 SELECT seq AS id, order_id, ts AS changed_at,
-       {d.format(c='client_pass')}, {d.format(c='car_reg_num')},
-       {d.format(c='rented_at')}, {d.format(c='returned_at')},
+       {pick},
        CASE WHEN op = 'D' THEN '1' ELSE '0' END AS status,
-       {d.format(c='total_price')},
+       CASE WHEN op = 'D' THEN p_total_price ELSE total_price END AS total_price,
        CASE WHEN op = 'D' THEN 'client returned a car.'
             WHEN op = 'I' THEN 'order was created.'
-            WHEN lag(car_reg_num) OVER w <> car_reg_num THEN 'client changed a car.'
-            WHEN lag(returned_at) OVER w <> returned_at THEN 'client renewed a car.'
-            WHEN lag(client_pass) OVER w <> client_pass THEN 'client was changed.'
+            WHEN p_car_reg_num <> car_reg_num THEN 'client changed a car.'
+            WHEN p_returned_at <> returned_at THEN 'client renewed a car.'
+            WHEN p_client_pass <> client_pass THEN 'client was changed.'
        END AS note,
        v_user
-FROM ev
-WINDOW w AS (PARTITION BY order_id ORDER BY seq)) x
-WHERE NOT (status = '1' AND client_pass IS NULL) AND (status = '1' OR order_id > 0)""", EVENTS)
+FROM (SELECT *, {prev}
+      FROM (SELECT *, eff AND op IN ('I', 'U') AS val
+            FROM (SELECT *, (op = 'I' AND NOT ex) OR (op IN ('U', 'D') AND ex) AS eff
+                  FROM (SELECT *, coalesce(last_value(m IGNORE NULLS) OVER {wb} = 'I', false) AS ex
+                        FROM (SELECT *, CASE WHEN op IN ('I', 'D') THEN op END AS m FROM ev) e1) e2) e3) e4) e5
+WHERE eff AND (op = 'D' OR order_id > 0)""", EVENTS)
     # The streamed change log must equal the batch one row for row.
     out["order_change_stream"] = out["order_change_log"]
 

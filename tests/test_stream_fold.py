@@ -92,3 +92,32 @@ def test_block_fold_equals_order_fold(seed):
 
     assert len(per_order) > 100
     assert _norm(block) == _norm(per_order)
+
+
+@pytest.mark.parametrize("hot", [None, "3"])
+def test_batch_log_equals_order_fold(spark, hot):
+    """The window-based batch change log follows the same rules on
+    malformed events, on the plain and on the hot-order split path."""
+    from carledger.operators import history as H
+    from carledger.schema import ORDER_EVENTS
+    ev = _events(random.Random(9))
+    per_order = []
+    for oid, g in _order_frame(ev).groupby("order_id"):
+        for out in fold_order_events((oid,), iter([g]), FakeState()):
+            for r in out.itertuples(index=False):
+                per_order.append((int(r.id), int(r.order_id), r.status, r.note, r.client_pass, r.car_reg_num,
+                                  pd.Timestamp(r.returned_at), int(r.total_price * 100)))
+    o = _order_frame(ev)
+    rows = [(int(r.seq), r.ts.to_pydatetime(), r.op, int(r.order_id), r.client_pass, r.car_reg_num,
+             None if pd.isna(r.rented_at) else r.rented_at.to_pydatetime(),
+             None if pd.isna(r.returned_at) else r.returned_at.to_pydatetime(), r.total_price, r.v_user)
+            for r in o.itertuples(index=False)]
+    if hot:
+        spark.conf.set("carledger.hotKeyRows", hot)
+    try:
+        got = H.order_change_log(spark.createDataFrame(rows, ORDER_EVENTS)).collect()
+    finally:
+        spark.conf.unset("carledger.hotKeyRows")
+    batch = [(r.id, r.order_id, r.status, r.note, r.client_pass, r.car_reg_num, pd.Timestamp(r.returned_at),
+              int(r.total_price * 100)) for r in got]
+    assert _norm(batch) == _norm(per_order)
