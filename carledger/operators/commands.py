@@ -36,6 +36,7 @@ from carledger.functions.fixed import (
     STATUS_CLOSED, STATUS_OPEN, WAITING,
 )
 from carledger.functions.timefn import MICROS_PER_DAY, micros_between, trunc_seconds
+from carledger import schema as S
 from carledger.operators.history import HISTORY_COLS, change_note
 from carledger.plans import skew as SK
 from carledger.plans.joins import materialize
@@ -54,6 +55,21 @@ class Result(NamedTuple):
 
 # ----------------------------------------------------------------- helpers
 
+def with_defaults(cmds: DataFrame, schema, defaults: dict | None = None) -> DataFrame:
+    """Command table in the verb's schema: a column left out of the table
+    is an argument left out of every call, so it takes the verb's default
+    (NULL unless given in ``defaults``); a NULL in a present column is an
+    explicit NULL. Columns are cast to the schema's types."""
+    defaults = defaults or {}
+    cols = []
+    for f in schema.fields:
+        if f.name in cmds.columns:
+            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
+        else:
+            cols.append(F.lit(defaults.get(f.name)).cast(f.dataType).alias(f.name))
+    return cmds.select(*cols)
+
+
 def _rejects(df: DataFrame, op: str, key: Column, err: Column) -> DataFrame:
     return df.select("seq", F.lit(op).alias("op"), key.cast("string").alias("key"), err.alias("err"))
 
@@ -103,6 +119,7 @@ def add_cars(cars: DataFrame, adds: DataFrame) -> Result:
     """Insert new cars: state 1 (waiting), service date = call time
     (to the second). Rejected: existing or repeated key, a missing value,
     a value too long or a price out of range."""
+    adds = with_defaults(adds, S.CAR_ADDS)
     c = _first_per_key(adds, "reg_num")
     c = _has_key(c, cars, "reg_num", "reg_num", "_exists")
     ok = (F.col("_first") & ~F.col("_exists")
@@ -123,6 +140,7 @@ def update_cars(cars: DataFrame, updates: DataFrame, car_states: DataFrame) -> R
     """Set-if-given update. ``state_id`` is 1 unless the call gives
     another value (the verb's default is 1, not "unchanged"); an explicit
     NULL keeps the state. Rejected: unknown car or state, bad values."""
+    updates = with_defaults(updates, S.CAR_UPDATES, {"state_id": WAITING})
     u = _has_key(updates, cars, "reg_num", "reg_num", "_exists")
     u = _has_key(u, car_states, "state_id", "id", "_state_ok")
     ok = (F.col("_exists") & (F.col("state_id").isNull() | F.col("_state_ok"))
@@ -139,7 +157,7 @@ def delete_cars(cars: DataFrame, deletes: DataFrame, orders: DataFrame) -> Resul
     """Delete cars not rented (state 2) and not in an open order.
     History rows of a deleted car stay. A repeated delete of a key is
     rejected: as busy while the car is rented, else as unknown/referenced."""
-    d = _first_per_key(deletes, "reg_num")
+    d = _first_per_key(with_defaults(deletes, S.CAR_DELETES), "reg_num")
     cs = cars.select("reg_num", "state_id")
     d = d.join(cs, "reg_num", "left")
     d = _has_key(d, orders, "reg_num", "car_reg_num", "_in_order")
@@ -157,6 +175,7 @@ def delete_cars(cars: DataFrame, deletes: DataFrame, orders: DataFrame) -> Resul
 def add_clients(clients: DataFrame, adds: DataFrame) -> Result:
     """C4: insert new clients; rejected: existing/repeated key, no name,
     key over 10 or name over 40 characters."""
+    adds = with_defaults(adds, S.CLIENT_ADDS)
     c = _first_per_key(adds, "pass")
     c = _has_key(c, clients, "pass", "pass", "_exists")
     ok = (F.col("_first") & ~F.col("_exists") & F.col("name").isNotNull()
@@ -169,7 +188,7 @@ def add_clients(clients: DataFrame, adds: DataFrame) -> Result:
 
 def update_clients(clients: DataFrame, updates: DataFrame) -> Result:
     """name = the last given name (NULL keeps); unknown key rejected."""
-    u = _has_key(updates, clients, "pass", "pass", "_exists")
+    u = _has_key(with_defaults(updates, S.CLIENT_UPDATES), clients, "pass", "pass", "_exists")
     u = u.withColumn("_ok", F.col("_exists") & _len_ok("name", 40))
     acc = u.filter("_ok").select("seq", "pass", "name")
     new = _apply_updates(clients.select(*CLIENT_COLS), "pass", acc, ["name"])
@@ -180,7 +199,7 @@ def update_clients(clients: DataFrame, updates: DataFrame) -> Result:
 def delete_clients(clients: DataFrame, deletes: DataFrame, orders: DataFrame) -> Result:
     """Delete clients without an open order; an unknown key is a
     silent success; a client with an open order is rejected."""
-    d = _has_key(deletes, orders, "pass", "client_pass", "_in_order")
+    d = _has_key(with_defaults(deletes, S.CLIENT_DELETES), orders, "pass", "client_pass", "_in_order")
     gone = d.filter(~F.col("_in_order")).select("pass")
     new = clients.select(*CLIENT_COLS).join(gone, "pass", "left_anti")
     rej = _rejects(d.filter("_in_order"), "del_client", F.col("pass"), F.lit(ERR_DEL_CLIENT))
@@ -237,7 +256,7 @@ def add_orders(orders: DataFrame, cars: DataFrame, clients: DataFrame, adds: Dat
     in an open order, total out of range, or client or car taken by an
     earlier accepted call of the same batch (exactly as one-by-one
     application: see ``greedy_unique``)."""
-    a = adds.join(_price(cars, "car_reg_num", "price"), "car_reg_num", "left")
+    a = with_defaults(adds, S.ORDER_ADDS).join(_price(cars, "car_reg_num", "price"), "car_reg_num", "left")
     a = _has_key(a, clients, "client_pass", "pass", "_client_ok")
     a = _has_key(a, orders, "client_pass", "client_pass", "_client_busy")
     a = _has_key(a, orders, "car_reg_num", "car_reg_num", "_car_busy")
@@ -412,7 +431,7 @@ def update_orders(orders: DataFrame, cars: DataFrame, updates: DataFrame, v_user
     o = orders.select("id", "client_pass", F.col("car_reg_num").alias("car0"),
                       F.col("rented_at").alias("rented0"), F.col("returned_at").alias("returned0"),
                       F.col("total_price").alias("total0"))
-    u = (updates.select("seq", "ts", "id", F.col("car_reg_num").alias("new_car"),
+    u = (with_defaults(updates, S.ORDER_UPDATES).select("seq", "ts", "id", F.col("car_reg_num").alias("new_car"),
                         F.col("rented_at").alias("new_rented"), F.col("returned_at").alias("new_returned"))
          .join(o, "id", "left")
          .join(_price(cars, "car0", "price0"), "car0", "left")
@@ -469,6 +488,7 @@ def close_orders(orders: DataFrame, deletes: DataFrame, v_user: str) -> Result:
     """Remove open orders; each closes with a '1' history row holding
     the order's last values (price unchanged). Unknown ids and repeated
     deletes are silent no-ops; the car's state is not touched."""
+    deletes = with_defaults(deletes, S.ORDER_DELETES)
     d = _first_per_key(deletes.select("seq", "ts", "id"), "id").filter("_first")
     gone = orders.select(*ORDER_COLS).join(d.select("seq", "ts", "id"), "id")
     hist = _history(gone, STATUS_CLOSED, F.lit(NOTE_RETURNED), v_user)

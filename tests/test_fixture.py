@@ -172,3 +172,17 @@ def test_report_lines(spark, fixture_tables):
     cl = L.client_report_lines(R.client_report(t["history"])).orderBy("line_no").collect()
     assert [r.line for r in cl] == ["Client: 1000000001, used cars: A000000001, A000000002",
                                     "  Revenue: 14400"]
+
+
+def test_left_out_state_means_waiting(spark, fixture_tables):
+    """update_car: a state left out is 1 (the verb's default); an explicit
+    NULL keeps the state."""
+    t = fixture_tables
+    left_out = spark.createDataFrame([(1, D(21), "A000000003", "grey")], "seq long, ts timestamp_ntz, "
+                                     "reg_num string, color string")
+    out = C.update_cars(t["cars"], left_out, t["car_states"]).table.filter("reg_num = 'A000000003'").collect()[0]
+    assert (out.state_id, out.color) == (1, "grey")
+    explicit = spark.createDataFrame([(1, D(21), "A000000003", None, "grey")], "seq long, ts timestamp_ntz, "
+                                     "reg_num string, state_id int, color string")
+    out = C.update_cars(t["cars"], explicit, t["car_states"]).table.filter("reg_num = 'A000000003'").collect()[0]
+    assert (out.state_id, out.color) == (3, "grey")
