@@ -5,8 +5,8 @@ A command table has one row per call with ``seq`` (the call order) and
 Each verb returns a ``Result``: the new table, the history rows it writes
 (order verbs only) and the rejected commands with the verb's error text.
 
-Batch rules, equal to applying the calls one by one in ``seq`` order
-except where a docstring says otherwise:
+``seq`` is unique within a batch. Every verb gives what applying the
+calls one by one in ``seq`` order gives:
 
 * a key added twice in one batch: the lowest ``seq`` wins, the rest are
   rejected (the key exists by then);
@@ -27,6 +27,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from carledger import schema as S
 from carledger.functions.exact import (
     as_int, cents, money_of_price_days, round_ratio_up, units_to_decimal,
 )
@@ -36,7 +37,6 @@ from carledger.functions.fixed import (
     STATUS_CLOSED, STATUS_OPEN, WAITING,
 )
 from carledger.functions.timefn import MICROS_PER_DAY, micros_between, trunc_seconds
-from carledger import schema as S
 from carledger.operators.history import HISTORY_COLS, change_note
 from carledger.plans import skew as SK
 from carledger.plans.joins import materialize
