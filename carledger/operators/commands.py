@@ -380,34 +380,39 @@ def exact_car_rule(calls: DataFrame, orders: DataFrame, hot_o: DataFrame | None
     split hot orders and hot cars into pieces (``plans.skew``)."""
     init = orders.groupBy(F.col("car_reg_num").alias("new_car")).agg(F.count(F.lit(1)).alias("_init"))
     # Only swaps change holders, and a call without a new car passes here.
-    swaps = calls.filter(F.col("new_car").isNotNull())
-    base = materialize(swaps.select("seq", "id", "new_car", "car0").join(init, "new_car", "left"))
-    flags = swaps.select("seq", "_ok")
-    hot_c = SK.hot_keys(base, "new_car", "seq")
+    cur = materialize(calls.filter(F.col("new_car").isNotNull())
+                      .select("seq", "id", "new_car", "car0", "_ok").join(init, "new_car", "left"))
+    hot_c = SK.hot_keys(cur, "new_car", "seq")
     hot_c = hot_c.withColumnRenamed("new_car", "_car") if hot_c is not None else None
-    none = F.lit(None).cast("long")
+    keep = ["id", "new_car", "car0", "_init"]
+    none_l, none_s = F.lit(None).cast("long"), F.lit(None).cast("string")
     while True:
-        c = base.join(flags, "seq").withColumn("_eff", F.when(F.col("_ok"), F.col("new_car")))
+        c = cur.withColumn("_eff", F.when(F.col("_ok"), F.col("new_car")))
         c = SK.last_given_before(c, "id", "seq", "_eff", "car0", "_before", hot_o)
+        if hot_o is not None or hot_c is not None:
+            c = materialize(c)        # split scans reuse c several times: keep plans small
         moved = c.filter(F.col("_ok") & (F.col("new_car") != F.col("_before")))
-        rows = (moved.select(F.col("new_car").alias("_car"), "seq", F.lit(1).alias("_kind"),
-                             F.lit(1).cast("long").alias("_v"), none.alias("_own"), none.alias("_init"))
-                .unionByName(moved.select(F.col("_before").alias("_car"), "seq", F.lit(1).alias("_kind"),
-                                          F.lit(-1).cast("long").alias("_v"), none.alias("_own"),
-                                          none.alias("_init")))
-                .unionByName(c.select(F.col("new_car").alias("_car"), "seq", F.lit(0).alias("_kind"),
-                                      F.lit(0).cast("long").alias("_v"),
-                                      (F.col("_before") == F.col("new_car")).cast("long").alias("_own"),
-                                      F.col("_init").cast("long").alias("_init"))))
+
+        def event(car, v):
+            return moved.select(F.col(car).alias("_car"), "seq", F.lit(1).alias("_kind"),
+                                F.lit(v).cast("long").alias("_v"), none_l.alias("_own"),
+                                none_l.alias("id"), none_s.alias("new_car"), none_s.alias("car0"),
+                                none_l.alias("_init"), F.lit(None).cast("boolean").alias("_was"))
+        # query rows carry the call's columns, so no join back is needed
+        query = c.select(F.col("new_car").alias("_car"), "seq", F.lit(0).alias("_kind"),
+                         F.lit(0).cast("long").alias("_v"),
+                         (F.col("_before") == F.col("new_car")).cast("long").alias("_own"),
+                         "id", "new_car", "car0", F.col("_init").cast("long").alias("_init"),
+                         F.col("_ok").alias("_was"))
+        rows = event("new_car", 1).unionByName(event("_before", -1)).unionByName(query)
         held = SK.sum_before(rows, "_car", ["seq", "_kind"], "_v", "_held", hot_c).filter("_kind = 0")
         free = (F.col("_held") + F.coalesce(F.col("_init"), F.lit(0)) - F.col("_own")) == 0
-        new = materialize(held.select("seq", free.alias("_ok")))
-        changed = (new.join(flags.withColumnRenamed("_ok", "_was"), "seq")
-                   .filter(F.col("_ok") != F.col("_was")).limit(1).count())
-        flags = new
-        if changed == 0:
+        cur = materialize(held.select("seq", *keep, free.alias("_ok"), "_was"))
+        if cur.filter(F.col("_ok") != F.col("_was")).limit(1).count() == 0:
+            flags = cur.select("seq", "_ok")
             return (calls.select("seq").join(flags, "seq", "left")
                     .select("seq", F.coalesce(F.col("_ok"), F.lit(True)).alias("_ok")))
+        cur = cur.drop("_was")
 
 
 def update_orders(orders: DataFrame, cars: DataFrame, updates: DataFrame, v_user: str) -> Result:
