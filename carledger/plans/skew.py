@@ -10,7 +10,7 @@ task. For keys that hold a large share of the rows, the scan is split:
 2. Rows of those keys get a ``piece`` number: their seq range is cut into
    equal-width slices, about ``hotKeyRows`` rows each, so every piece is an
    ordinary-sized window partition ``(key, piece)`` scanned in parallel.
-3. Per piece, a one-row summary (last row, last non-NULL values, sums) is
+3. Per piece, a one-row summary (last non-NULL values, sums) is
    carried to the next pieces with a small window over the summaries
    (pieces per key are few), joined back on ``(key, piece)``.
 
@@ -57,13 +57,6 @@ def split(df: DataFrame, key: str, seq: str, hot: DataFrame) -> tuple[DataFrame,
     return cold, warm
 
 
-def carry_last_row(rows: DataFrame, key: str, seq: str, cols: list[str]) -> DataFrame:
-    """Per (key, piece): the last row (``cols``) of the previous piece."""
-    last = rows.groupBy(key, PIECE).agg(F.max_by(F.struct(*cols), F.col(seq)).alias("_last"))
-    w = Window.partitionBy(key).orderBy(PIECE)
-    return last.select(key, PIECE, F.lag("_last").over(w).alias("_carry"))
-
-
 def carry_last_given(rows: DataFrame, key: str, seq: str, cols: list[str]) -> DataFrame:
     """Per (key, piece): for each column, the last non-NULL value in all
     earlier pieces (``_carry.<col>``)."""
