@@ -472,7 +472,8 @@ def update_orders(orders: DataFrame, cars: DataFrame, updates: DataFrame, v_user
         s = _replay(cold).unionByName(_replay_split(warm))
     s = _round_ties(s, hot)
     # total_price is cast to decimal(10,2) on output: with ANSI mode on, a
-    # total beyond 99,999,999.99 fails the job instead of being clipped.
+    # total beyond 99,999,999.99 fails the job (the reference rejects such
+    # a call; see README, known gap) instead of being clipped.
     hist = _history(
         s, STATUS_OPEN,
         change_note(F.col("client_pass"), F.col("prev_car"), F.col("prev_returned"),
