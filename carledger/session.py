@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
@@ -73,6 +74,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 _SHIPPED: set[str] = set()
+_SHIP_LOCK = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -80,14 +82,21 @@ def ship_package(spark: SparkSession) -> None:
     would): zip the package once per application into the shared folder
     and register it with ``addPyFile``. Needed by the operators that run
     Python code on executors (the streamed change log)."""
+    app = spark.sparkContext.applicationId
+    with _SHIP_LOCK:
+        if app not in _SHIPPED:
+            _ship(spark)
+            _SHIPPED.add(app)
+
+
+def _ship(spark: SparkSession) -> None:
     import zipfile
 
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
     pkg = os.path.dirname(os.path.abspath(__file__))
     path = shared_path(spark, "pyfiles") + "/carledger.zip"
     if "://" in path:
+        # addPyFile reads a driver-side file and serves it to executors;
+        # the zip is only staged on the driver, no executor reads it there.
         local = tempfile.mkdtemp(prefix="carledger-zip-") + "/carledger.zip"
     else:
         os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -100,4 +109,3 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     spark.sparkContext.addPyFile(local)
-    _SHIPPED.add(app)
