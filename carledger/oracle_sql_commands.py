@@ -134,11 +134,12 @@ RET1 = f"coalesce(c.new_returned, {P_}.ret)"
 RENT1 = f"coalesce(c.new_rented, {P_}.rent)"
 NUM = (f"({P_}.tot * {MPD} + {q_hi(q_micros(f'{P_}.ret', 'c.ts'))} * ({q_cents(PRICE1)} - {q_cents(f'{P_}.price')})"
        f" + {q_hi(q_micros(RET1, f'{P_}.ret'))} * {q_cents(PRICE1)})")
+TOT1 = f"CAST({q_round_ratio(NUM, str(MPD), 0)} AS HUGEINT)"
 NXT = (f"{{'car': CAST({CAR1} AS VARCHAR), 'price': CAST({PRICE1} AS DECIMAL(10,2)), "
-       f"'rent': CAST({RENT1} AS TIMESTAMP), 'ret': CAST({RET1} AS TIMESTAMP), "
-       f"'tot': CAST({q_round_ratio(NUM, str(MPD), 0)} AS HUGEINT)}}")
+       f"'rent': CAST({RENT1} AS TIMESTAMP), 'ret': CAST({RET1} AS TIMESTAMP), 'tot': {TOT1}}}")
+# accepted: own checks, the new car free now, the new total inside number(10,2)
 OK = (f"(c.static AND {P_} IS NOT NULL AND (c.new_car IS NULL OR len(list_filter(map_entries(r.cur), "
-      f"lambda e: e.value.car = c.new_car AND e.key <> c.id)) = 0))")
+      f"lambda e: e.value.car = c.new_car AND e.key <> c.id)) = 0) AND abs({TOT1}) < 10000000000)")
 
 # One call at a time in seq order; the state maps each open order to its
 # car, price, start, end and total in cents.

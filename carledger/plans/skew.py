@@ -106,3 +106,41 @@ def sum_before(df: DataFrame, key: str, order: list[str], val: str, out: str,
     j = warm.join(carry_sum(warm, key, val), [key, PIECE], "left")
     j = j.withColumn(out, F.col("_carry_sum") + F.coalesce(F.sum(val).over(wp), F.lit(0)))
     return plain(cold).unionByName(j.drop("_carry_sum", PIECE))
+
+
+def carry_sums(rows: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """Per (key, piece): sums of ``cols`` over all earlier pieces (``_carry``)."""
+    s = rows.groupBy(key, PIECE).agg(*[F.sum(c).alias(c) for c in cols])
+    w = Window.partitionBy(key).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    return s.select(key, PIECE, F.struct(*[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in cols])
+                    .alias("_carry"))
+
+
+def scan_before(df: DataFrame, key: str, seq: str, last: dict[str, tuple[str, str]],
+                sums: dict[str, str], hot: DataFrame | None = None) -> DataFrame:
+    """One ordered scan per key over earlier rows (smaller ``seq``):
+    ``last[out] = (col, default)``: last non-NULL ``col`` else ``default``;
+    ``sums[out] = col``: sum of ``col`` (0 if none). Hot keys are cut into
+    pieces that start from the earlier pieces' values."""
+    def plain(d: DataFrame) -> DataFrame:
+        w = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+        return d.select("*", *[F.coalesce(F.last(c, True).over(w), F.col(dflt)).alias(o)
+                               for o, (c, dflt) in last.items()],
+                        *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(o) for o, c in sums.items()])
+    if hot is None:
+        return plain(df)
+    cold, warm = split(df, key, seq, hot)
+    k = [key, PIECE]
+    wp = Window.partitionBy(*k).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    lc = [c for c, _ in last.values()]
+    sc = list(sums.values())
+    j = warm
+    if lc:
+        j = j.join(carry_last_given(warm, key, seq, lc).withColumnRenamed("_carry", "_cl"), k, "left")
+    if sc:
+        j = j.join(carry_sums(warm, key, sc).withColumnRenamed("_carry", "_cs"), k, "left")
+    j = j.select("*", *[F.coalesce(F.last(c, True).over(wp), F.col(f"_cl.{c}"), F.col(dflt)).alias(o)
+                        for o, (c, dflt) in last.items()],
+                 *[(F.coalesce(F.col(f"_cs.{c}"), F.lit(0)) + F.coalesce(F.sum(c).over(wp), F.lit(0))).alias(o)
+                   for o, c in sums.items()])
+    return plain(cold).unionByName(j.drop(*[c for c in ("_cl", "_cs") if c in j.columns], PIECE))

@@ -48,8 +48,11 @@ def fold(orders, prices, cmds):
         new_ret = c["returned"] if c["returned"] is not None else o["returned"]
         d1 = Fraction(us(o["returned"], c["ts"]), DAY_US)
         d2 = Fraction(us(new_ret, o["returned"]), DAY_US)
-        total = Fraction(o["total"]) + d1 * (Fraction(pn) - Fraction(po)) + d2 * Fraction(pn)
-        o["total"] = round_cents(total)
+        total = round_cents(Fraction(o["total"]) + d1 * (Fraction(pn) - Fraction(po)) + d2 * Fraction(pn))
+        if abs(total) >= Decimal(10 ** 8):
+            rejects.add(c["seq"])        # the total would leave number(10,2)
+            continue
+        o["total"] = total
         o["returned"] = new_ret
         if c["car"] is not None:
             o["car"] = c["car"]
@@ -167,3 +170,39 @@ def test_replay_with_car_contention(spark, hot_rows):
     assert {r.seq for r in res.rejects.collect()} == rejects
     assert {r.id: r.total_price for r in res.history.collect()} == totals
     assert 20 < len(rejects) < 280
+
+
+def test_replay_rejects_overflowing_totals(spark, hot_rows):
+    """Very expensive cars: some calls would push a total past
+    99,999,999.99 and are rejected; later calls continue from the state
+    without them, as one-by-one application does."""
+    rnd = random.Random(17)
+    t0 = datetime(2024, 4, 1)
+    pool = [f"B{k:09d}" for k in range(30)]
+    prices = {r: Decimal(rnd.randint(100_000_000, 900_000_000)).scaleb(-2) for r in pool}
+    cars = [(r, 1, "c", "m", "t", p, t0) for r, p in prices.items()]
+    orders, cmds = {}, []
+    for oid in range(1, 21):
+        rented = t0 + timedelta(hours=oid)
+        orders[oid] = {"car": pool[oid - 1], "rented": rented, "returned": rented + timedelta(days=5),
+                       "total": Decimal(rnd.randint(1_000_000, 90_000_000)).scaleb(-2)}
+    for seq in range(1, 201):
+        oid = rnd.randint(1, 20)
+        now = orders[oid]["rented"] + timedelta(minutes=seq)
+        cmds.append({"seq": seq, "ts": now, "id": oid, "car": rnd.choice(pool[20:] + [None, None]),
+                     "rented": None,
+                     "returned": now + timedelta(days=rnd.randint(1, 40)) if rnd.random() < 0.6 else None})
+    cars_df = spark.createDataFrame(cars, S.CARS)
+    orders_df = spark.createDataFrame(
+        [(i, f"P{i:09d}", o["car"], o["rented"], o["returned"], o["total"]) for i, o in orders.items()],
+        S.ORDERS)
+    cmd_df = spark.createDataFrame(
+        [(c["seq"], c["ts"], c["id"], c["car"], c["rented"], c["returned"]) for c in cmds], S.ORDER_UPDATES)
+    res = C.update_orders(orders_df, cars_df, cmd_df, "T")
+    state, totals, rejects = fold(orders, prices, cmds)
+    got = {r.id: r for r in res.table.collect()}
+    for i, o in state.items():
+        assert (got[i].car_reg_num, got[i].returned_at, got[i].total_price) == (
+            o["car"], o["returned"], o["total"]), i
+    assert {r.seq for r in res.rejects.collect()} == rejects
+    assert {r.id: r.total_price for r in res.history.collect()} == totals
