@@ -25,8 +25,8 @@ from carledger.llm.common import id_remainder, least_rows, ship
 
 #: Sample for the dictionaries: rows of a language, characters of a row.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 2000
-#: Bytes of a dictionary, of a piece, and of a piece that is repeated to
-#: four times its length: zstandard stores shorter ones as they are.
+#: Bytes of a dictionary and of a piece. A piece under SHORT bytes is repeated,
+#: at least four times and to SHORT bytes: zstandard stores tiny ones as they are.
 DICT_BYTES, PIECE, SHORT = 65536, 512, 96
 LEVEL = 6
 #: Least lead of the best size over the second, as a share of the best.
@@ -43,7 +43,7 @@ def normalised(text: str) -> str:
 def pieces(text: str) -> list[bytes]:
     b = text.encode("utf-8", "replace")
     cut = [b[i:i + PIECE] for i in range(0, len(b), PIECE)]
-    return [p if len(p) >= SHORT else b" ".join([p] * 4) for p in cut]
+    return [p if len(p) >= SHORT else b" ".join([p] * max(4, -(-SHORT // len(p)))) for p in cut]
 
 
 @dataclass(frozen=True)
@@ -84,7 +84,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     by: dict[str, list[str]] = {}
     for r in sample.select("lang", "text").collect():  # bounded: languages x SAMPLE_ROWS x SAMPLE_CHARS
         by.setdefault(r["lang"], []).append(r["text"])
-    order = sorted(by, key=lambda k: (-sum(map(len, by[k])), k))
+    often = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect() if r["lang"] in by}
+    order = sorted(by, key=lambda k: (-often[k], k))
     return Model(tuple((k, d) for k in order if (d := dictionary(by[k]))))
 
 
@@ -107,7 +108,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with a column ``lang_id``: struct(lang, score, margin,
     rejected); it replaces a column of that name. A text that is null, empty
     or has no letter is ``und``, score 0 and rejected; ties of size go to
-    the language with the larger sample and are rejected. One task reads
+    the language with more labelled rows and are rejected. One task reads
     some rows at a time; nothing is shuffled; the broadcast dictionaries
     take DICT_BYTES for each language."""
     ship(docs.sparkSession)
