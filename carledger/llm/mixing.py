@@ -90,8 +90,8 @@ def _source_of(name: Column, values: dict, default) -> Column:
     return out
 
 
-def allocate(docs: DataFrame, schedules=None, weights=None, total_share: float = 1.0,
-             max_epochs: int = 3) -> DataFrame:
+def allocate(docs: DataFrame, schedules=None, weights=None, total_share: float = 1.0, max_epochs: int = 3,
+             size: Column | None = None, order: Column | None = None) -> DataFrame:
     """One row for each row of ``docs``, which is kept whole in the struct
     column ``row``, with size, source_size, target, positions (one training
     time for each copy that the mix takes, ascending) and taken (words).
@@ -99,20 +99,21 @@ def allocate(docs: DataFrame, schedules=None, weights=None, total_share: float =
     ``schedules`` maps a source (None for null) to knots, or is a function
     from the sources in order of code points, null last, to such a map;
     ``weights`` is the short form for constant ones. Missing sources weigh
-    nothing. ``total_share``: the mix's size as a share of all words.
+    nothing. ``total_share``: the mix's size as a share of all words. ``size``
+    and ``order`` (words of a row, and the 64-bit hash that orders a queue)
+    are computed from the text unless given, for rows that come without it.
 
     Null texts and texts without words have size 0: they are taken once,
     for no words, at the place of their hash. Rows of a source are ordered
-    by the hash of id and text, then id, then text, so reruns agree; repeated
-    rows follow each other and swap freely. The sources (at most MAX_LABELS)
-    are collected to the driver, nothing else."""
+    by the hash of id and text, then id, so reruns agree; repeated rows
+    follow each other and swap freely. The sources (at most MAX_LABELS) are
+    collected to the driver, nothing else."""
     rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"),
-                       word_count(F.col("text")).alias("size"),
-                       F.xxhash64("doc_id", "text").alias("h"), F.col("doc_id").alias("id"))
-    # Words are counted once: ids, sizes and hashes are few bytes a row.
-    narrow = rows.select("source", "size", "h", F.lit(1).alias("n"))
-    by_source = {r["source"]: (r["size"], r["n"]) for r in narrow.groupBy("source")
-                 .agg(F.sum("size").alias("size"), F.count("n").alias("n")).limit(MAX_LABELS + 1).collect()}
+                       (word_count(F.col("text")) if size is None else size).cast("long").alias("size"),
+                       (F.xxhash64("doc_id", "text") if order is None else order).alias("h"),
+                       F.col("doc_id").alias("id"))
+    by_source = {r["source"]: (r["size"], r["n"]) for r in rows.groupBy("source")
+                 .agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_LABELS + 1).collect()}
     if len(by_source) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} sources")
     names = sorted(by_source, key=lambda s: (s is None, s or ""))
@@ -131,7 +132,7 @@ def allocate(docs: DataFrame, schedules=None, weights=None, total_share: float =
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_bucket.select(F.col("source").alias("s"), F.col("bucket").alias("b"),
                                F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"))
-    before = (Window.partitionBy("source", "bucket").orderBy("order", "id", F.col("row.text"))
+    before = (Window.partitionBy("source", "bucket").orderBy("order", "h", "id")
               .rowsBetween(Window.unboundedPreceding, -1))
     # Order by the same unsigned hash that cuts the buckets.
     queue = (rows.withColumn("bucket", bucket).withColumn("order", F.shiftrightunsigned("h", 1))
@@ -183,7 +184,10 @@ def curriculum(names: list) -> dict:
 def allocation(docs: DataFrame) -> DataFrame:
     """Per document: size, its source's size and target, words taken, and
     the first training position (null if not taken), sorted by it."""
-    placed = allocate(docs.select("doc_id", "text", "source"), schedules=curriculum)
+    # Texts are read once, for their words; ids and numbers go on.
+    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+                         F.xxhash64("doc_id", "text").alias("h")).checkpoint()
+    placed = allocate(narrow, schedules=curriculum, size=F.col("size"), order=F.col("h"))
     out = placed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken",
                         F.try_element_at("positions", F.lit(1)).alias("first_position"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
