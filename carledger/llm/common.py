@@ -23,7 +23,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     The files go when the application ends."""
     spark = df.sparkSession
     path = shared_path(spark, f"llm-{name}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
