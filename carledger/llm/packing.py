@@ -36,8 +36,9 @@ from carledger.llm.common import MAX_LABELS, ship, stage
 SEQUENCE = 4096
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-#: Words remembered with their ids by a worker (a cache; results are the same without it).
-CACHE_WORDS = 600_000
+#: Words of a generation that a worker remembers with their ids (a cache;
+#: results are the same without it).
+CACHE_WORDS = 500_000
 #: Rows of (task, source) sums that are broadcast; more of them are joined.
 BROADCAST_ROWS = 500_000
 TOKENISE_ROWS = 128
@@ -45,9 +46,12 @@ TOKENISE_ROWS = 128
 
 class WordTokenizer:
     """Ids of a text as the concatenation of the ids of its words. The
-    tokenizer cuts at white space itself and drops it, so words between
-    ASCII white space can be looked up one by one; unseen ones are encoded
-    in batches. Strings of special tokens in a text are ordinary text."""
+    tokenizer cuts at white space itself and drops it, and lowers case, so
+    lower-cased words between ASCII white space can be looked up one by one.
+    Unseen words of letters are encoded many at a time: each is then one
+    unit of the tokenizer, whose last id is one that ends a unit. Others are
+    encoded alone, full stops and commas after a word of letters apart.
+    Strings of special tokens in a text are ordinary text."""
 
     def __init__(self, name: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,16 +60,62 @@ class WordTokenizer:
         path = name if os.path.sep in name else public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        # Two generations: words of the older one that come again move up.
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 500):
+            some = words[i:i + 500]
+            ids = np.array(self._ids([" ".join(w.decode() for w in some)])[0], "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(some):
+                for w, a, b in zip(some, [0, *last[:-1].tolist()], last.tolist()):
+                    self.known[w] = ids[a:b].tobytes()
+            else:
+                self._alone(some)
+
+    def _alone(self, words: list[bytes]) -> None:
+        for w, ids in zip(words, self._ids([w.decode() for w in words])):
+            self.known[w] = np.array(ids, "<u4").tobytes()
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, older = self.known, self.older
+        letters, marked, alone = set(), [], set()
+        for w in words:
+            if w in older:
+                known[w] = older[w]
+                continue
+            core = w.rstrip(b".,")
+            if not core.decode().isalpha():
+                alone.add(w)
+                continue
+            if core not in known:
+                if core in older:
+                    known[core] = older[core]
+                else:
+                    letters.add(core)
+            if core != w:
+                marked.append((w, core, w[len(core):]))
+                if w[len(core):] not in known:
+                    alone.add(w[len(core):])
+        self._letters(list(letters))
+        self._alone(list(alone))
+        for w, core, mark in marked:
+            known[w] = known[core] + known[mark]
 
     def encode_batch(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        words = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list({w for ws in words for w in ws} - self.known.keys())
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.known, self.older = {}, self.known
+        self._learn({w for ws in words for w in ws} - self.known.keys())
         return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
 
 
