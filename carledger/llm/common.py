@@ -107,6 +107,16 @@ def connected(edges: DataFrame, nodes: str = "a", others: str = "b") -> DataFram
             return names
 
 
+#: Rows of a few numbers each that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, a written table of narrow rows, marked for broadcast if it
+    has at most BROADCAST_ROWS rows; a larger one is joined as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def batches(it: Iterator, rows: int) -> Iterator:
     """Arrow batches cut to at most ``rows`` rows."""
     for b in it:

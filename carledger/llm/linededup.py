@@ -72,12 +72,18 @@ def cleaned(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs.select("doc_id", "text"))
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: str | None = None) -> DataFrame:
     """``docs`` with repeated passages removed; a document of which no word
-    is left was all repeats, and goes."""
+    is left was all repeats, and goes. ``length``: a column that is set to
+    the new length of a changed text."""
     rows = remove_repeats(docs.drop("n_removed"))
     left = F.coalesce(F.col("text").rlike(HAS_WORD), F.lit(False))
-    return rows.filter((F.col("n_removed") == 0) | left).select(*docs.columns)
+    rows = rows.filter((F.col("n_removed") == 0) | left)
+    if length in docs.columns:
+        kind = docs.schema[length].dataType
+        rows = rows.withColumn(length, F.when(F.col("n_removed") == 0, F.col(length))
+                               .otherwise(F.length("text").cast(kind)))
+    return rows.select(*[c for c in docs.columns if c != "n_removed"])
 
 
 SQL = r"""
