@@ -8,8 +8,8 @@ Each verb returns a ``Result``: the new table, the history rows it writes
 ``seq`` is unique within a batch. Every verb gives what applying the
 calls one by one in ``seq`` order gives:
 
-* a key added twice in one batch: the lowest ``seq`` wins, the rest are
-  rejected (the key exists by then);
+* a key added twice in one batch: the lowest ``seq`` of the calls that
+  pass their own checks wins, the rest are rejected (the key exists by then);
 * several updates of one key apply in ``seq`` order: each column ends as
   the last non-NULL value given (NULL means "keep");
 * per-key winners come from ``groupBy(key).agg(min(seq))`` joined back,
@@ -36,6 +36,7 @@ from carledger.functions.fixed import (
     ERR_UPDATE_CAR, ERR_UPDATE_CLIENT, ERR_UPDATE_ORDER, NOTE_CREATED, NOTE_RETURNED, RENTED,
     STATUS_CLOSED, STATUS_OPEN, WAITING,
 )
+from carledger.functions.textfn import no_empty
 from carledger.functions.timefn import MICROS_PER_DAY, micros_between, trunc_seconds
 from carledger.operators.history import HISTORY_COLS, change_note
 from carledger.plans import skew as SK
@@ -59,12 +60,13 @@ def with_defaults(cmds: DataFrame, schema, defaults: dict | None = None) -> Data
     """Command table in the verb's schema: a column left out of the table
     is an argument left out of every call, so it takes the verb's default
     (NULL unless given in ``defaults``); a NULL in a present column is an
-    explicit NULL. Columns are cast to the schema's types."""
+    explicit NULL, and so is an empty text. Columns are cast to the schema's
+    types."""
     defaults = defaults or {}
     cols = []
     for f in schema.fields:
         if f.name in cmds.columns:
-            cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
+            cols.append(no_empty(F.col(f.name), f.dataType).alias(f.name))
         else:
             cols.append(F.lit(defaults.get(f.name)).cast(f.dataType).alias(f.name))
     return cmds.select(*cols)
@@ -120,14 +122,15 @@ def add_cars(cars: DataFrame, adds: DataFrame) -> Result:
     (to the second). Rejected: existing or repeated key, a missing value,
     a value too long or a price out of range."""
     adds = with_defaults(adds, S.CAR_ADDS)
-    c = _first_per_key(adds, "reg_num")
-    c = _has_key(c, cars, "reg_num", "reg_num", "_exists")
-    ok = (F.col("_first") & ~F.col("_exists")
-          & F.col("color").isNotNull() & F.col("mark").isNotNull() & F.col("type").isNotNull()
-          & F.col("price").isNotNull()
-          & (F.length("reg_num") <= 10) & _len_ok("color", 20) & _len_ok("mark", 20) & _len_ok("type", 20)
-          & _money_ok("price"))
-    c = c.withColumn("_ok", ok)
+    c = _has_key(adds, cars, "reg_num", "reg_num", "_exists")
+    own = (~F.col("_exists") & F.col("reg_num").isNotNull()
+           & F.col("color").isNotNull() & F.col("mark").isNotNull() & F.col("type").isNotNull()
+           & F.col("price").isNotNull()
+           & (F.length("reg_num") <= 10) & _len_ok("color", 20) & _len_ok("mark", 20) & _len_ok("type", 20)
+           & _money_ok("price"))
+    # A call that fails by itself does not take the key from a later one.
+    c = c.withColumn("_own", F.coalesce(own, F.lit(False)))
+    c = _first_per_key(c, "reg_num", "_ok", among=F.col("_own"))
     new = c.filter("_ok").select(
         "reg_num", F.lit(WAITING).cast("int").alias("state_id"), "color", "mark", "type",
         F.col("price").cast("decimal(10,2)").alias("price"),
@@ -176,11 +179,11 @@ def add_clients(clients: DataFrame, adds: DataFrame) -> Result:
     """C4: insert new clients; rejected: existing/repeated key, no name,
     key over 10 or name over 40 characters."""
     adds = with_defaults(adds, S.CLIENT_ADDS)
-    c = _first_per_key(adds, "pass")
-    c = _has_key(c, clients, "pass", "pass", "_exists")
-    ok = (F.col("_first") & ~F.col("_exists") & F.col("name").isNotNull()
-          & (F.length("pass") <= 10) & _len_ok("name", 40))
-    c = c.withColumn("_ok", ok)
+    c = _has_key(adds, clients, "pass", "pass", "_exists")
+    own = (~F.col("_exists") & F.col("pass").isNotNull() & F.col("name").isNotNull()
+           & (F.length("pass") <= 10) & _len_ok("name", 40))
+    c = c.withColumn("_own", F.coalesce(own, F.lit(False)))
+    c = _first_per_key(c, "pass", "_ok", among=F.col("_own"))
     new = c.filter("_ok").select("pass", "name")
     rej = _rejects(c.filter(~F.col("_ok")), "add_client", F.col("pass"), F.lit(ERR_ADD_CLIENT))
     return Result(clients.select(*CLIENT_COLS).unionByName(new), rej)

@@ -72,6 +72,13 @@ def q_add(ts: str, days: str = "0", hours: str = "0") -> str:
     return f"({ts} + to_days(CAST({days} AS INTEGER)) + to_hours(CAST({hours} AS INTEGER)))"
 
 
+def q_key(prefix: str, k: str) -> str:
+    """A key of 10 characters: prefix and hexadecimal digits, or an error."""
+    digits = 10 - len(prefix)
+    return (f"(CASE WHEN ({k}) BETWEEN 0 AND {16 ** digits - 1} THEN '{prefix}' || "
+            f"lpad(to_hex(CAST({k} AS BIGINT)), {digits}, '0') WHEN ({k}) IS NOT NULL THEN error('key too long') END)")
+
+
 # ------------------------------------------------------------- adapter CTEs
 
 LINE_ORDER = ("l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate, "
@@ -79,7 +86,7 @@ LINE_ORDER = ("l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity,
 
 ADAPTER = {
     "cars": f"""
-SELECT 'C' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS reg_num,
+SELECT {q_key('C', 'p_partkey')} AS reg_num,
        CAST(p_partkey % 3 + 1 AS INTEGER) AS state_id,
        split_part(p_name, ' ', 1) AS color,
        p_brand AS mark,
@@ -87,8 +94,8 @@ SELECT 'C' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS reg_num,
        CAST(p_retailprice AS DECIMAL(10,2)) AS price,
        {q_add(q_ts('1995-01-01 00:00:00'), 'p_partkey % 60')} AS tech_serv_date
 FROM part""",
-    "clients": """
-SELECT lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS pass, c_name AS name FROM customer""",
+    "clients": f"""
+SELECT {q_key('', 'c_custkey')} AS pass, c_name AS name FROM customer""",
     "car_states": """
 SELECT * FROM (VALUES (1, 'waiting'), (2, 'rented'), (3, 'onserving')) AS t(id, state)""",
     "rh_seq": f"""
@@ -99,14 +106,13 @@ SELECT l.l_orderkey, l.l_partkey, l.l_extendedprice, o.o_custkey, o.o_orderstatu
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 WINDOW w AS (PARTITION BY l.l_orderkey ORDER BY {LINE_ORDER})""",
     "rh_cols": f"""
-SELECT CAST(l_orderkey * 100 + seq AS BIGINT) AS id,
+SELECT CAST(l_orderkey AS BIGINT) * 1000000 + CASE WHEN seq < 1000000 THEN seq ELSE error('too many lines') END AS id,
        CAST(l_orderkey AS BIGINT) AS order_id,
        seq,
        {q_add('o_orderdate', '0', 'seq - 1')} AS changed_at,
-       lpad(CAST(CASE WHEN l_orderkey % 50 = 0 AND seq >= 4 THEN greatest(o_custkey - 1, 0)
-                      ELSE o_custkey END AS VARCHAR), 10, '0') AS client_pass,
-       'C' || lpad(CAST(CASE WHEN seq % 2 = 0 THEN prev_partkey ELSE l_partkey END AS VARCHAR), 9, '0')
-           AS car_reg_num,
+       {q_key('', 'CASE WHEN l_orderkey % 50 = 0 AND seq >= 4 THEN greatest(o_custkey - 1, 0) ELSE o_custkey END')}
+           AS client_pass,
+       {q_key('C', 'CASE WHEN seq % 2 = 0 THEN prev_partkey ELSE l_partkey END')} AS car_reg_num,
        {q_add('o_orderdate', 'CASE WHEN seq % 5 = 0 THEN -1 ELSE 0 END')} AS rented_at,
        {q_add('o_orderdate', 'CASE WHEN seq % 4 = 0 THEN seq - 1 ELSE seq END', '3 * (l_orderkey % 8)')}
            AS returned_at,
@@ -135,11 +141,6 @@ SELECT order_id AS id,
 FROM rent_history GROUP BY order_id HAVING max(status) = '0'""",
     "rent_orders": """
 SELECT id, client_pass, car_reg_num, rented_at, returned_at, total_price FROM open_orders""",
-    "rent_orders_u": """
-SELECT id, client_pass, car_reg_num, rented_at, returned_at, total_price
-FROM (SELECT *, max(id) OVER (PARTITION BY client_pass) AS mc,
-                max(id) OVER (PARTITION BY car_reg_num) AS mr FROM rent_orders) t
-WHERE id = mc AND id = mr""",
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from carledger import params as P
 from carledger.oracle_sql import (
-    DAY_US, q_cents, q_hi, q_micros, q_money, q_ts, with_adapter,
+    DAY_US, q_cents, q_hi, q_key, q_micros, q_money, q_ts, with_adapter,
 )
 
 EVENTS = ("ev", """
@@ -49,6 +49,9 @@ SELECT CAST({P.EXPIRE_ID_OFFSET} + id AS BIGINT) AS id, id AS order_id, {exp} AS
        client_pass, car_reg_num, rented_at, returned_at, '1' AS status, total_price,
        'client returned a car.' AS note, '{P.V_USER}' AS v_user
 FROM rent_orders WHERE returned_at <= {exp}""")
+    out["expired_orders_left"] = with_adapter(f"""
+SELECT id, client_pass, car_reg_num, rented_at, returned_at, total_price
+FROM rent_orders WHERE NOT (returned_at <= {exp})""")
 
     t = q_ts(P.TICK_AT)
     due = f"(s1 = 1 AND {q_micros(t, 'tech_serv_date')} >= {20 * DAY_US})"
@@ -87,7 +90,14 @@ FROM rent_orders o JOIN cars c ON c.reg_num = o.car_reg_num""")
 SELECT CAST(id * 10 + 7 AS BIGINT) AS id, id AS order_id, rented_at + INTERVAL 1 DAY AS changed_at,
        client_pass, car_reg_num, rented_at, returned_at, '1' AS status, total_price,
        'client returned a car.' AS note, '{P.V_USER}' AS v_user
-FROM rent_orders_u""")
+FROM rent_orders WHERE id % 3 = 0""")
+    out["close_early_orders"] = with_adapter("""
+SELECT id, client_pass, car_reg_num, rented_at, returned_at, total_price FROM rent_orders
+WHERE id % 3 <> 0""")
+    out["close_early_cars"] = with_adapter("""
+SELECT reg_num, CAST(CASE WHEN reg_num IN (SELECT car_reg_num FROM rent_orders WHERE id % 3 = 0) THEN 1
+                          ELSE state_id END AS INTEGER) AS state_id, color, mark, type, price, tech_serv_date
+FROM cars""")
 
     def dup(table, rule, src, key):
         return (f"SELECT '{table}' AS table_name, '{rule}' AS rule, CAST(count(*) AS BIGINT) AS violations "
@@ -132,7 +142,7 @@ FROM rent_orders_u""")
     from carledger import oracle_sql_commands
     out.update(oracle_sql_commands.statements())
 
-    out["free_keys"] = with_adapter("""
-SELECT k.pass FROM (SELECT DISTINCT lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS pass FROM part) k
+    out["free_keys"] = with_adapter(f"""
+SELECT k.pass FROM (SELECT DISTINCT {q_key('', 'p_partkey')} AS pass FROM part) k
 WHERE NOT EXISTS (SELECT 1 FROM clients c WHERE c.pass = k.pass)""")
     return out

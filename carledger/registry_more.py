@@ -19,7 +19,8 @@ def _swaps(t):
 
 
 def _closes(t):
-    o = t.orders_u
+    """Every third open order is closed early."""
+    o = t.orders.filter(F.col("id") % 3 == 0)
     return o.select((F.col("id") * 10 + 7).alias("seq"), add_days("rented_at", 1).alias("ts"), "id")
 
 
@@ -37,7 +38,10 @@ QUERIES = {
     "pick_free_car": _q(lambda t: FO.pick_free_car(t.cars, P.PICK_SEED)),
     "swap_quote": _q(lambda t: FO.swap_quote(t.orders, t.cars, _swaps(t))),
     "renew_quote": _q(lambda t: FO.renew_quote(t.orders, t.cars)),
-    "close_early": _q(lambda t: FO.close_early(t.orders_u, t.cars, _closes(t), P.V_USER).history),
+    "expired_orders_left": _q(lambda t: FO.expired_orders(t.orders, P.EXPIRE_AT, P.V_USER, P.EXPIRE_ID_OFFSET).orders),
+    "close_early": _q(lambda t: FO.close_early(t.orders, t.cars, _closes(t), P.V_USER).history),
+    "close_early_orders": _q(lambda t: FO.close_early(t.orders, t.cars, _closes(t), P.V_USER).orders),
+    "close_early_cars": _q(lambda t: FO.close_early(t.orders, t.cars, _closes(t), P.V_USER).cars),
     "constraint_violations": _q(lambda t: Q.constraint_violations(
         t.car_states, t.cars, t.clients, t.orders, t.history)),
     "free_keys": _q(_free_keys),
@@ -53,25 +57,33 @@ def _cmd(fn):
     return _q(lambda t: fn(t, t.spark, t.sf_dir))
 
 
-QUERIES.update({
-    "add_cars": _cmd(lambda t, s, d: C.add_cars(t.cars, DC.car_adds(s, d)).table),
-    "update_cars": _cmd(lambda t, s, d: C.update_cars(t.cars, DC.car_updates(s, d), t.car_states).table),
-    "delete_cars": _cmd(lambda t, s, d: C.delete_cars(t.cars, DC.car_deletes(s, d), t.orders).table),
-    "add_clients": _cmd(lambda t, s, d: C.add_clients(t.clients, DC.client_adds(s, d)).table),
-    "update_clients": _cmd(lambda t, s, d: C.update_clients(t.clients, DC.client_updates(s, d)).table),
-    "delete_clients": _cmd(lambda t, s, d: C.delete_clients(t.clients, DC.client_deletes(s, d),
-                                                            t.orders).table),
-    "add_orders": _cmd(lambda t, s, d: C.add_orders(t.orders_u, t.cars, t.clients, DC.order_adds(s, d),
-                                                    P.V_USER, P.ORDER_ID_OFFSET).table),
-    "update_orders": _cmd(lambda t, s, d: C.update_orders(
-        t.orders_u, t.cars, DC.order_updates(t.orders_u, t.orders_first_car), P.V_USER).table),
-    "update_orders_log": _cmd(lambda t, s, d: C.update_orders(
-        t.orders_u, t.cars, DC.order_updates(t.orders_u, t.orders_first_car), P.V_USER).history),
-    "update_orders_rejects": _cmd(lambda t, s, d: C.update_orders(
-        t.orders_u, t.cars, DC.order_updates(t.orders_u, t.orders_first_car), P.V_USER).rejects),
-    "close_orders": _cmd(lambda t, s, d: C.close_orders(t.orders_u, DC.order_deletes(t.orders_u),
-                                                        P.V_USER).history),
-})
+_VERBS = {
+    "add_cars": lambda t, s, d: C.add_cars(t.cars, DC.car_adds(s, d)),
+    "update_cars": lambda t, s, d: C.update_cars(t.cars, DC.car_updates(s, d), t.car_states),
+    "delete_cars": lambda t, s, d: C.delete_cars(t.cars, DC.car_deletes(s, d), t.orders),
+    "add_clients": lambda t, s, d: C.add_clients(t.clients, DC.client_adds(s, d)),
+    "update_clients": lambda t, s, d: C.update_clients(t.clients, DC.client_updates(s, d)),
+    "delete_clients": lambda t, s, d: C.delete_clients(t.clients, DC.client_deletes(s, d), t.orders),
+    "add_orders": lambda t, s, d: C.add_orders(t.orders, t.cars, t.clients, DC.order_adds(s, d, t.orders),
+                                               P.V_USER, P.ORDER_ID_OFFSET),
+    "update_orders": lambda t, s, d: C.update_orders(t.orders, t.cars, DC.order_updates(t.orders_first_car), P.V_USER),
+    "close_orders": lambda t, s, d: C.close_orders(t.orders, DC.order_deletes(t.orders), P.V_USER),
+}
+
+
+def _output(verb, part):
+    return _cmd(lambda t, s, d: getattr(verb(t, s, d), part))
+
+
+# The table after a batch, its rejected calls, and for orders the history rows.
+for _name, _verb in _VERBS.items():
+    if _name == "close_orders":
+        QUERIES["close_orders"], QUERIES["close_orders_table"] = _output(_verb, "history"), _output(_verb, "table")
+        continue
+    QUERIES[_name] = _output(_verb, "table")
+    QUERIES[f"{_name}_rejects"] = _output(_verb, "rejects")
+    if _name in ("add_orders", "update_orders"):
+        QUERIES[f"{_name}_log"] = _output(_verb, "history")
 
 
 # ----------------------------------------------------------------- streaming

@@ -8,6 +8,7 @@ shared storage. Only when it is unset (local tests) do we make one.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import threading
 import uuid
@@ -54,7 +55,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
-        # Unset means a local test session; a cluster always names one.
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        # A local session: one machine, so a folder of its own will do.
         # spark.checkpoint.dir cannot change at runtime, so only the
         # context's checkpoint folder is set (it adds a unique subfolder).
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="carledger-ckpt-"))
@@ -73,6 +76,31 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the application ends."""
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def files_state(spark: SparkSession, paths: list[str]) -> tuple:
+    """(length, time) of each path's content: changes when a file does."""
+    out = []
+    for path in paths:
+        fs, p = _hadoop(spark, path)
+        out.append(tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p))))
+    return tuple(out)
+
+
 _SHIPPED: set[str] = set()
 _SHIP_LOCK = threading.Lock()
 

@@ -7,14 +7,14 @@ past), so both outputs of every verb are exercised.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carledger import params as P
 from carledger.functions.timefn import add_days
-from carledger.sources.driver_tables import car_key, client_key, read_table
+from carledger.sources.driver_tables import car_key, client_key, fixed_key, read_table
 
-SECOND_BATCH = 10_000_000   # seq offset of the repeated commands
+# The first call of a key has seq 2 k, the repeated one 2 k + 1.
 
 
 def _at(hours) -> F.Column:
@@ -22,7 +22,7 @@ def _at(hours) -> F.Column:
 
 
 def _new_key(prefix: str, k) -> F.Column:
-    return F.concat(F.lit(prefix), F.lpad(k.cast("string"), 9, "0"))
+    return fixed_key(prefix, k)
 
 
 def car_adds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +32,10 @@ def car_adds(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(k % 7 == 0, _new_key("N", k - 1))
            .otherwise(_new_key("N", k)))
     price = F.when(k % 11 != 0, (F.col("p_retailprice").cast("decimal(10,2)") + 100).cast("decimal(10,2)"))
+    # An empty text is no value, so every 17th call lacks its color.
+    color = F.when(k % 17 == 0, F.lit("")).otherwise(F.split_part(F.col("p_name"), F.lit(" "), F.lit(2)))
     return p.select(k.cast("long").alias("seq"), _at(k % 24).alias("ts"), reg.alias("reg_num"),
-                    F.split_part(F.col("p_name"), F.lit(" "), F.lit(2)).alias("color"),
+                    color.alias("color"),
                     F.col("p_brand").alias("mark"), F.col("p_type").alias("type"), price.alias("price"))
 
 
@@ -41,18 +43,18 @@ def car_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part", ["p_partkey", "p_retailprice"])
     k = F.col("p_partkey")
     first = p.select(
-        k.cast("long").alias("seq"), _at(k % 24).alias("ts"),
+        (k * 2).cast("long").alias("seq"), _at(k % 24).alias("ts"),
         F.when(k % 13 == 0, _new_key("X", k)).otherwise(car_key(k)).alias("reg_num"),
         F.when(k % 8 == 3, 9).when(k % 4 == 0, None).when(k % 4 == 1, 1).when(k % 4 == 2, 3)
          .otherwise(2).cast("int").alias("state_id"),
-        F.when(k % 3 == 0, F.lit("mixed")).alias("color"),
+        F.when(k % 3 == 0, F.lit("mixed")).when(k % 3 == 1, F.lit("")).alias("color"),
         F.lit(None).cast("string").alias("mark"), F.lit(None).cast("string").alias("type"),
         F.when(k % 2 == 0, (F.col("p_retailprice").cast("decimal(10,2)") - 50).cast("decimal(10,2)"))
          .alias("price"),
         F.when(k % 5 == 0, F.lit(P.AS_OF).cast("timestamp_ntz")).alias("tech_serv_date"))
-    six = F.col("seq") % 6 == 0
+    six = F.col("seq") % 12 == 0
     again = first.select(
-        (F.col("seq") + SECOND_BATCH).alias("seq"), add_days("ts", 1).alias("ts"), "reg_num",
+        (F.col("seq") + 1).alias("seq"), add_days("ts", 1).alias("ts"), "reg_num",
         F.lit(None).cast("int").alias("state_id"), F.when(six, F.lit("repainted")).alias("color"), "mark",
         F.when(six, F.lit("rebuilt")).alias("type"), F.lit(None).cast("decimal(10,2)").alias("price"),
         F.lit(None).cast("timestamp_ntz").alias("tech_serv_date"))
@@ -62,9 +64,9 @@ def car_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def car_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part", ["p_partkey"])
     k = F.col("p_partkey")
-    first = p.select(k.cast("long").alias("seq"), _at(k % 24).alias("ts"),
+    first = p.select((k * 2).cast("long").alias("seq"), _at(k % 24).alias("ts"),
                      F.when(k % 13 == 0, _new_key("X", k)).otherwise(car_key(k)).alias("reg_num"))
-    again = first.select((F.col("seq") + SECOND_BATCH).alias("seq"), "ts", "reg_num")
+    again = first.select((F.col("seq") + 1).alias("seq"), "ts", "reg_num")
     return first.unionByName(again)
 
 
@@ -74,18 +76,18 @@ def client_adds(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (F.when(k % 5 == 0, client_key(k)).when(k % 7 == 0, _new_key("N", k - 1))
            .otherwise(_new_key("N", k)))
     return c.select(k.cast("long").alias("seq"), _at(k % 24).alias("ts"), key.alias("pass"),
-                    F.when(k % 9 != 0, F.col("c_name")).alias("name"))
+                    F.when(k % 9 == 1, F.lit("")).when(k % 9 != 0, F.col("c_name")).alias("name"))
 
 
 def client_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name"])
     k = F.col("c_custkey")
-    first = c.select(k.cast("long").alias("seq"), _at(k % 24).alias("ts"),
+    first = c.select((k * 2).cast("long").alias("seq"), _at(k % 24).alias("ts"),
                      F.when(k % 11 == 0, _new_key("X", k)).otherwise(client_key(k)).alias("pass"),
-                     F.when(k % 2 == 0, F.upper("c_name")).alias("name"), "c_name")
+                     F.when(k % 2 == 0, F.upper("c_name")).when(k % 3 == 0, F.lit("")).alias("name"), "c_name")
     again = first.select(
-        (F.col("seq") + SECOND_BATCH).alias("seq"), "ts", "pass",
-        F.when(F.col("seq") % 6 == 0, F.concat(F.col("c_name"), F.lit(" jr"))).alias("name"))
+        (F.col("seq") + 1).alias("seq"), "ts", "pass",
+        F.when(F.col("seq") % 12 == 0, F.concat(F.col("c_name"), F.lit(" jr"))).alias("name"))
     return first.drop("c_name").unionByName(again)
 
 
@@ -95,22 +97,42 @@ def client_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(k.cast("long").alias("seq"), _at(k % 24).alias("ts"), client_key(k).alias("pass"))
 
 
-def order_adds(spark: SparkSession, sf_dir: str) -> DataFrame:
+FREE_BLOCK = 1000   # keys of a block: free clients and cars meet by rank inside it
+
+
+def order_adds(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    """One call per customer, nearly all for busy clients or cars, and two
+    calls for each client without an open order that a free car is found
+    for: the first can succeed, the second, for the next free car, comes
+    when the client has one."""
     c = read_table(spark, sf_dir, "customer", ["c_custkey"])
     k = F.col("c_custkey")
     ts = _at(k % 24)
     ret = (F.when(k % 10 == 0, add_days(ts, -1))
            .when(k % 17 == 0, F.lit(None).cast("timestamp_ntz"))
            .otherwise(add_days(ts, k % 7 + 1, (k % 4) * 6)))
-    return c.select(k.cast("long").alias("seq"), ts.alias("ts"), client_key(k).alias("client_pass"),
-                    F.when(k % 6 == 0, car_key(k - 1)).otherwise(car_key(k)).alias("car_reg_num"),
-                    ret.alias("returned_at"))
-
-
-def order_updates(orders_u: DataFrame, orders_first_car: DataFrame) -> DataFrame:
-    """Per open order: two calls (extend or cut the end, swap back to the
+    plain = c.select((k * 3).cast("long").alias("seq"), ts.alias("ts"), client_key(k).alias("client_pass"),
+                     car_key(F.when(k % 6 == 0, F.greatest(k - 1, F.lit(0))).otherwise(k)).alias("car_reg_num"),
+                     ret.alias("returned_at"))
+
+    def free(name: str, key: str, text, busy: str) -> DataFrame:
+        rows = read_table(spark, sf_dir, name, [key]).select(F.col(key).alias("k"), text(F.col(key)).alias(busy))
+        rows = rows.join(orders.select(busy).distinct(), busy, "left_anti")
+        block = F.floor(F.col("k") / FREE_BLOCK).cast("long").alias("block")
+        w = Window.partitionBy("block").orderBy("k")
+        return rows.select("*", block).withColumn("rank", F.row_number().over(w))
+    clients = free("customer", "c_custkey", client_key, "client_pass")
+    cars = free("part", "p_partkey", car_key, "car_reg_num").drop("k")
+    pairs = [clients.join(cars.withColumn("rank", F.col("rank") - i), ["block", "rank"]).select(
+        (F.col("k") * 3 + 1 + i).cast("long").alias("seq"), _at(F.col("k") % 24).alias("ts"), "client_pass", "car_reg_num",
+        add_days(_at(F.col("k") % 24), F.col("k") % 5 + 1).alias("returned_at")) for i in (0, 1)]
+    return plain.unionByName(pairs[0]).unionByName(pairs[1])
+
+
+def order_updates(orders: DataFrame) -> DataFrame:
+    """Per open order (with the car it started with, ``first_car``): two calls (extend or cut the end, swap back to the
     order's first car, fix the start) and one call for an unknown order."""
-    o = orders_u.join(orders_first_car.select("id", "first_car"), "id")
+    o = orders
     i = F.col("id")
     a = o.select(
         (i * 10).alias("seq"), add_days("rented_at", 1).alias("ts"), "id",
@@ -131,9 +153,10 @@ def order_updates(orders_u: DataFrame, orders_first_car: DataFrame) -> DataFrame
     return a.unionByName(b).unionByName(unknown)
 
 
-def order_deletes(orders_u: DataFrame) -> DataFrame:
+def order_deletes(orders: DataFrame) -> DataFrame:
     i = F.col("id")
-    base = orders_u.select((i * 10 + 3).alias("seq"), add_days("rented_at", 1).alias("ts"), "id")
+    # Every fourth order stays open; its calls are for an unknown id.
+    base = orders.filter(i % 4 != 0).select((i * 10 + 3).alias("seq"), add_days("rented_at", 1).alias("ts"), "id")
     again = base.select((F.col("seq") + 1).alias("seq"), "ts", "id")
-    unknown = base.select((F.col("seq") + 2).alias("seq"), "ts", (-i).alias("id"))
+    unknown = orders.select((i * 10 + 5).alias("seq"), add_days("rented_at", 1).alias("ts"), (-i).alias("id"))
     return base.unionByName(again).unionByName(unknown)

@@ -8,8 +8,7 @@ engine (the DuckDB form lives in ``carledger.oracle_sql``):
 * ``rent_history`` <- lineitem JOIN orders: every line of an order is one
   change of that order; the last line closes it unless the order is 'O'.
 * ``rent_orders``  <- the last history row of each order without a
-  closed row (the open orders), ``rent_orders_u`` <- the subset that obeys
-  one open order per client and per car.
+  closed row (the open orders).
 
 Only the needed columns are read, so the parquet scans prune columns.
 """
@@ -31,12 +30,35 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, cols: list[str]) ->
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
+KEY_WIDTH = 10      # characters of a car's or a client's key
+
+
+def fixed_key(prefix: str, k) -> F.Column:
+    """``prefix`` and the number in hexadecimal digits, KEY_WIDTH characters
+    in all: different numbers give different keys, and a number that does
+    not fit is an error, never cut."""
+    digits = KEY_WIDTH - len(prefix)
+    text = F.concat(F.lit(prefix), F.lpad(F.hex(k.cast("long")), digits, "0"))
+    fits = (k >= 0) & (k < F.lit(16 ** digits).cast("long"))
+    return F.when(k.isNull(), F.lit(None).cast("string")).when(fits, text).otherwise(
+        F.raise_error(F.concat(F.lit(f"a key of {KEY_WIDTH} characters cannot hold "), k.cast("string"))).cast("string"))
+
+
 def car_key(partkey) -> F.Column:
-    return F.concat(F.lit("C"), F.lpad(partkey.cast("string"), 9, "0"))
+    return fixed_key("C", partkey)
 
 
 def client_key(custkey) -> F.Column:
-    return F.lpad(custkey.cast("string"), 10, "0")
+    return fixed_key("", custkey)
+
+
+LINES = 1_000_000   # lines of an order: ids are order * LINES + line
+
+
+def line_id(order, line) -> F.Column:
+    """A history id of an order's line; more lines than LINES are an error."""
+    return F.when(line < LINES, order.cast("long") * F.lit(LINES).cast("long") + line).otherwise(
+        F.raise_error(F.lit("an order has too many lines")).cast("long"))
 
 
 def cars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +107,7 @@ def rent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("o_custkey"))
     car = F.when(s % 2 == 0, F.col("prev_partkey")).otherwise(F.col("l_partkey"))
     rows = base.select(
-        (key * 100 + s).cast("long").alias("id"),
+        line_id(key, s).alias("id"),
         key.cast("long").alias("order_id"),
         s.alias("seq"),
         add_days(d, 0, s - 1).alias("changed_at"),
@@ -127,18 +149,14 @@ def open_orders_with_first_car(history: DataFrame) -> DataFrame:
         F.col("order_id").alias("id"), "last.*", "first_car")
 
 
-def rent_orders(history: DataFrame) -> DataFrame:
-    return open_orders_with_first_car(history).select(*ORDER_COLS)
+def first_cars(history: DataFrame) -> DataFrame:
+    """(id, first_car) of every order: the car of its first history row."""
+    first = history.groupBy("order_id").agg(F.min_by("car_reg_num", F.col("id")).alias("first_car"))
+    return first.withColumnRenamed("order_id", "id")
 
 
-def unique_open_orders(orders: DataFrame) -> DataFrame:
-    """Rows holding the largest id of their client and of their car, so at
-    most one open order per client and per car remains."""
-    by_client = orders.groupBy("client_pass").agg(F.max("id").alias("id"))
-    by_car = orders.groupBy("car_reg_num").agg(F.max("id").alias("id"))
-    return (orders.join(by_client, ["client_pass", "id"], "left_semi")
-            .join(by_car, ["car_reg_num", "id"], "left_semi")
-            .select(*orders.columns))
+def rent_orders(history: DataFrame) -> DataFrame:
+    return open_orders_with_first_car(history).select(*ORDER_COLS)
 
 
 class FleetTables:
@@ -173,10 +191,6 @@ class FleetTables:
     def orders_first_car(self) -> DataFrame:
         return self._get("orders_fc", lambda: open_orders_with_first_car(self.history))
 
-    @property
-    def orders_u(self) -> DataFrame:
-        return self._get("orders_u", lambda: unique_open_orders(self.orders))
-
     @property
     def car_states(self) -> DataFrame:
         from carledger.operators.quality import car_states

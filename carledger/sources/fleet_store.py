@@ -12,18 +12,21 @@ re-read, not a re-derivation. Layout, chosen for the queries that follow:
   (changes report, change log, open orders) then run without a shuffle,
   and closed-row reports read only the ``status=1`` directory, the role
   the status index plays in the reference schema.
-* ``orders``: bucketed by ``id``; ``cars``, ``clients``, ``orders_u``:
-  plain parquet (dimension-sized).
+* ``orders``: bucketed by ``id``, with the car each order began with, so
+  no query reads the history for it; ``cars``, ``clients``: plain parquet.
+  Empty texts are stored as NULL.
 
 Applying a verb's result: ``append_history`` appends rows with the same
 layout (insert sink); ``replace`` writes a new version folder and switches
 the catalog table to it (update/delete sink), so a table can be rebuilt
-from itself and readers never see a half-written table.
+from itself and readers never see a half-written table. ``apply`` does both
+for one batch and can be repeated after a crash: see there.
 
 If one order holds more than two average buckets' worth of rows and more
-than ``carledger.hotKeyRows`` rows (checked by one aggregate at ingest), the history is stored unbucketed instead:
-scans split, per-order aggregates pre-aggregate before their shuffle and
-the ordered per-order scans split hot orders (``plans.skew``).
+than ``carledger.hotKeyRows`` rows (checked on the raw lines' keys, without
+a join), the history is stored unbucketed instead: scans split, per-order
+aggregates pre-aggregate before their shuffle and the ordered per-order
+scans split hot orders (``plans.skew``). Results are the same.
 """
 
 from __future__ import annotations
@@ -32,14 +35,16 @@ import hashlib
 import threading
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carledger.session import shared_path
+from carledger.functions.textfn import without_empty
+from carledger.session import delete_path, files_state, forget_at_exit, shared_path
 from carledger.sources import driver_tables as DT
 
 _LOCK = threading.Lock()
-_STORES: dict[tuple[str, str], "FleetStore"] = {}
+_STORES: dict[tuple[str, str], tuple] = {}      # (state of the source files, store)
 
 
 HISTORY_COLS = ["id", "order_id", "changed_at", "client_pass", "car_reg_num", "rented_at", "returned_at",
@@ -51,23 +56,25 @@ def _buckets(spark: SparkSession) -> int:
     return int(n) if n else int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def has_hot_order(history: DataFrame, buckets: int) -> bool:
-    """True if one order holds more than two average buckets' worth of
+def has_hot_order(lines: DataFrame, key: str, buckets: int) -> bool:
+    """True if one order (``key`` of ``lines``) holds more than two average buckets' worth of
     history rows and more than ``carledger.hotKeyRows`` rows: bucketing by
     order would then give one task most of the work, so the history is
     stored unbucketed (per-order aggregates then pre-aggregate before their
     shuffle, and windows split hot orders)."""
-    floor = int(history.sparkSession.conf.get("carledger.hotKeyRows", None) or 1_000_000)
-    r = (history.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"))
+    floor = int(lines.sparkSession.conf.get("carledger.hotKeyRows", None) or 1_000_000)
+    r = (lines.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
          .agg(F.max("n").alias("top"), F.sum("n").alias("total")).collect()[0])
     return bool(r["total"]) and r["top"] > max(2 * r["total"] / buckets, floor)
 
 
+def state_of(spark: SparkSession, sf_dir: str) -> tuple:
+    return files_state(spark, [f"{sf_dir}/{t}.parquet" for t in ("part", "customer", "lineitem", "orders")])
+
+
 class FleetStore:
     """Catalog tables ``fleet_<token>_<name>`` over files in the shared folder."""
 
-    PLAIN = ("cars", "clients", "orders_u")
-
     def __init__(self, spark: SparkSession, root: str, token: str, buckets: int,
                  bucket_history: bool = True):
         self.spark, self.root, self.token, self.buckets = spark, root, token, buckets
@@ -100,27 +107,33 @@ class FleetStore:
 
     @classmethod
     def create(cls, spark: SparkSession, cars: DataFrame, clients: DataFrame, history: DataFrame,
-               orders: DataFrame | None = None, buckets: int | None = None) -> "FleetStore":
+               orders: DataFrame | None = None, buckets: int | None = None,
+               lines: tuple[DataFrame, str] | None = None) -> "FleetStore":
         """Write the tables (open orders derived from the history if not
-        given) under a fresh folder of the shared checkpoint location."""
+        given) under a fresh folder of the shared checkpoint location, which
+        goes when the application ends. ``lines``: a table with one row for
+        each history row and its order column, if there is a cheaper one
+        than the history to look for hot orders in."""
         n = buckets or _buckets(spark)
         root = shared_path(spark, "fleet")
-        st = cls(spark, root, hashlib.sha1(root.encode()).hexdigest()[:10], n,
-                 bucket_history=not has_hot_order(history, n))
-        st._write("cars", cars.select(*DT.CAR_COLS), f"{root}/cars/v0", st._name("cars"))
-        st._write("clients", clients.select("pass", "name"), f"{root}/clients/v0", st._name("clients"))
-        st._write("history", history.select(*HISTORY_COLS), f"{root}/history", st._name("history"))
+        forget_at_exit(spark, root)
+        hot = has_hot_order(*(lines or (history, "order_id")), n)
+        st = cls(spark, root, hashlib.sha1(root.encode()).hexdigest()[:10], n, bucket_history=not hot)
+        st._write("cars", without_empty(cars.select(*DT.CAR_COLS)), f"{root}/cars/v0", st._name("cars"))
+        st._write("clients", without_empty(clients.select("pass", "name")), f"{root}/clients/v0", st._name("clients"))
+        st._write("history", without_empty(history.select(*HISTORY_COLS)), f"{root}/history", st._name("history"))
         if orders is None:
-            orders = DT.rent_orders(st.table("history"))
-        st._write("orders", orders.select(*DT.ORDER_COLS), f"{root}/orders/v0", st._name("orders"))
-        o = st.table("orders")
-        st._write("orders_u", DT.unique_open_orders(o), f"{root}/orders_u/v0", st._name("orders_u"))
+            orders = DT.open_orders_with_first_car(st.table("history"))
+        elif "first_car" not in orders.columns:
+            orders = orders.select(*DT.ORDER_COLS).join(DT.first_cars(st.table("history")), "id", "left")
+        st._write("orders", without_empty(orders.select(*DT.ORDER_COLS, "first_car")), f"{root}/orders/v0", st._name("orders"))
         return st
 
     @classmethod
     def ingest(cls, spark: SparkSession, sf_dir: str, buckets: int | None = None) -> "FleetStore":
         return cls.create(spark, DT.cars(spark, sf_dir), DT.clients(spark, sf_dir),
-                          DT.rent_history(spark, sf_dir), buckets=buckets)
+                          DT.rent_history(spark, sf_dir), buckets=buckets,
+                          lines=(DT.read_table(spark, sf_dir, "lineitem", ["l_orderkey"]), "l_orderkey"))
 
     # ------------------------------------------------------- apply results
     def append_history(self, rows: DataFrame) -> None:
@@ -142,21 +155,84 @@ class FleetStore:
         self.spark.sql(f"REFRESH TABLE {self._name(name)}")
         return path
 
-    def apply(self, name: str, result) -> None:
-        """Store a verb's ``Result``: the new table, then its history rows."""
-        self.replace(name, result.table)
-        if getattr(result, "history", None) is not None:
-            self.append_history(result.history)
+    # One row for each step of each batch: (batch, step, first_id, folder).
+    LEDGER = "batch string, step string, first_id long, folder string"
+
+    def _ledger(self, batch: str) -> dict:
+        try:
+            rows = self.spark.read.schema(self.LEDGER).parquet(f"{self.root}/ledger").filter(F.col("batch") == batch).collect()
+        except AnalysisException:
+            rows = []
+        return {r["step"]: r for r in rows}
+
+    def _note(self, batch: str, step: str, first_id: int, folder: str) -> None:
+        (self.spark.createDataFrame([(batch, step, first_id, folder)], self.LEDGER).coalesce(1)
+         .write.mode("append").parquet(f"{self.root}/ledger"))
+
+    def apply(self, name: str, result, batch: str | None = None) -> bool:
+        """Store a verb's ``Result`` under a batch name: the new table and
+        its history rows, whose ids are the verb's plus the largest stored
+        id, so they differ over batches. Returns False if the batch is
+        stored already.
+
+        Repeatable: (1) the ids' start and the folders are noted; (2) table
+        and history rows are written to those folders, each computed once;
+        (3) history rows that are not stored yet are appended; (4) the
+        table is switched; (5) the batch is noted as done. A batch that was
+        broken off is taken up with the noted ids and folders, so a repeated
+        step writes the same rows. One writer at a time."""
+        batch = batch or uuid.uuid4().hex
+        steps = self._ledger(batch)
+        if "done" in steps:
+            return False
+        if "begun" not in steps:
+            top = self.table("history").agg(F.max("id")).first()[0] or 0
+            self._note(batch, "begun", int(top), f"v{uuid.uuid4().hex[:8]}")
+            steps = self._ledger(batch)
+        first_id, folder = steps["begun"]["first_id"], steps["begun"]["folder"]
+        path, rows_path = f"{self.root}/{name}/{folder}", f"{self.root}/staged/{folder}"
+        history = getattr(result, "history", None)
+        if "written" not in steps:
+            tmp = self._name(f"{name}_{folder}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {tmp}")
+            new = result.table
+            if name == "orders" and "first_car" not in new.columns:
+                # An order that was not there before begins with its car.
+                old = self.table("orders").select("id", "first_car")
+                new = new.join(old, "id", "left").withColumn("first_car", F.coalesce("first_car", "car_reg_num"))
+            self._write(name, new, path, tmp, mode="overwrite")
+            self.spark.sql(f"DROP TABLE {tmp}")        # external table: files stay
+            if history is not None:
+                (history.select(*HISTORY_COLS).withColumn("id", F.col("id") + F.lit(first_id).cast("long"))
+                 .write.mode("overwrite").parquet(rows_path))
+            self._note(batch, "written", first_id, folder)
+        if history is not None:
+            stored = self.table("history").filter(F.col("id") > first_id).select("id")
+            self.append_history(self.spark.read.parquet(rows_path).join(stored, "id", "left_anti"))
+        self.spark.sql(f"ALTER TABLE {self._name(name)} SET LOCATION '{path}'")
+        self.spark.sql(f"REFRESH TABLE {self._name(name)}")
+        self._note(batch, "done", first_id, folder)
+        return True
+
+    def drop(self) -> None:
+        """Remove the store's tables and files."""
+        for t in ("cars", "clients", "history", "orders"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(t)}")
+        delete_path(self.spark, self.root)
 
     @classmethod
     def for_dir(cls, spark: SparkSession, sf_dir: str) -> "FleetStore":
-        """The session's store for ``sf_dir``, ingested on first use."""
+        """The session's store for ``sf_dir``, ingested on first use and
+        again (the old one dropped) when files of its tables have changed."""
         key = (spark.sparkContext.applicationId, sf_dir)
+        now = state_of(spark, sf_dir)
         with _LOCK:
-            st = _STORES.get(key)
-            if st is None:
+            state, st = _STORES.get(key, (None, None))
+            if st is None or state != now:
+                if st is not None:
+                    st.drop()
                 st = cls.ingest(spark, sf_dir)
-                _STORES[key] = st
+                _STORES[key] = (now, st)
             return st
 
 
@@ -181,17 +257,13 @@ class StoredFleetTables:
 
     @property
     def orders_first_car(self) -> DataFrame:
-        """Open orders with their first car, from the bucketed history."""
-        return DT.open_orders_with_first_car(self.history)
+        """Open orders with the car each began with."""
+        return self.store.table("orders").select(*DT.ORDER_COLS, "first_car")
 
     @property
     def orders(self) -> DataFrame:
         return self.store.table("orders").select(*DT.ORDER_COLS)
 
-    @property
-    def orders_u(self) -> DataFrame:
-        return self.store.table("orders_u")
-
     @property
     def car_states(self) -> DataFrame:
         from carledger.operators.quality import car_states
