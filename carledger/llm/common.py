@@ -79,32 +79,32 @@ def connected(edges: DataFrame, nodes: str = "a", others: str = "b") -> DataFram
     pseudo-random order (in which long chains halve at each round), edges
     are rewritten to the new names and repeated ones dropped, until none is
     left; names are then looked up once per round. Nothing is collected:
-    rounds end when an edge count is 0. A hub with many neighbours is
-    reduced by map-side minima, and its join is one that Spark splits."""
+    rounds end when no edge is left. A hub with many neighbours is reduced
+    by map-side minima, and its join is one that Spark splits.
+
+    Every round's tables are written and read back; a plain checkpoint
+    would carry the constraints of all earlier rounds into the next plan."""
     both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    e = (edges.select(F.col(nodes).alias("u"), F.col(others).alias("v")).filter("u <> v").distinct().checkpoint())
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    names = None
-    salt = 0
-    while True:
+    u, v = F.least(nodes, others).alias("u"), F.greatest(nodes, others).alias("v")
+    e = stage(edges.select(u, v).filter("u <> v").distinct(), "edges")
+    names, salt = None, 0
+    while not e.isEmpty():
         salt += 1
         rank = F.struct(F.xxhash64(F.lit(salt), "v").alias("h"), F.col("v").alias("n"))
         own = F.struct(F.xxhash64(F.lit(salt), "u").alias("h"), F.col("u").alias("n"))
-        least = (both(e).groupBy("u").agg(F.min(rank).alias("least"))
-                 .select("u", F.least("least", own)["n"].alias("to")).checkpoint())
+        least = stage(both(e).groupBy("u").agg(F.min(rank).alias("least"))
+                      .select("u", F.least("least", own)["n"].alias("to")), "moves")
         if names is None:
             names = least.select(F.col("u").alias("node"), F.col("to").alias("root"))
         else:
-            step = least.select(F.col("u").alias("root"), "to")
-            names = names.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        names = names.checkpoint()
-        left = least.select("u", F.col("to").alias("nu"))
-        right = least.select(F.col("u").alias("v"), F.col("to").alias("nv"))
-        e = (e.join(left, "u").join(right, "v").filter("nu <> nv")
-             .select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")).distinct().checkpoint())
-        if e.isEmpty():
-            return names
+            step = least.withColumnRenamed("u", "root")
+            names = stage(names.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "names")
+        left, right = least.toDF("u", "nu"), least.toDF("v", "nv")
+        e = stage(e.join(left, "u").join(right, "v").filter("nu <> nv")
+                  .select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")).distinct(), "edges")
+    if names is None:
+        names = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return names
 
 
 #: Rows of a few numbers each that may be broadcast.

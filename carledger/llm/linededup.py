@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carledger.llm.common import stage
+
 WINDOW = 3
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
@@ -51,8 +53,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
              .select("key", F.col("w.a").alias("a"), F.col("w.b").alias("b"), F.col("w.at").alias("at")))
     place = F.struct("key", F.get("at", F.lit(0)).alias("line"))
     # min and max of all occurrences tell whether there are two of them.
-    again = (found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-             .filter("first <> last").select("a", "b", "first").checkpoint())
+    again = stage(found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+                  .filter("first <> last").select("a", "b", "first"), "repeats")
     later = found.join(again, ["a", "b"]).filter(place != F.col("first"))
     gone = (later.select("key", F.explode("at").alias("line")).groupBy("key")
             .agg(F.collect_set("line").alias("gone")).withColumnRenamed("key", "of"))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carledger.llm.common import MAX_LABELS, WORD
+from carledger.llm.common import MAX_LABELS, WORD, stage
 
 #: Knots of a constant weight of one.
 CONSTANT = ((0.0, 1.0), (1.0, 1.0))
@@ -185,8 +185,8 @@ def allocation(docs: DataFrame) -> DataFrame:
     """Per document: size, its source's size and target, words taken, and
     the first training position (null if not taken), sorted by it."""
     # Texts are read once, for their words; ids and numbers go on.
-    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
-                         F.xxhash64("doc_id", "text").alias("h")).checkpoint()
+    narrow = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+                               F.xxhash64("doc_id", "text").alias("h")), "sizes")
     placed = allocate(narrow, schedules=curriculum, size=F.col("size"), order=F.col("h"))
     out = placed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken",
                         F.try_element_at("positions", F.lit(1)).alias("first_position"))

@@ -3,8 +3,9 @@
 A document is its set of distinct shingles. All sets are sorted by one global
 order, rare shingles first, so two sets that are similar enough share a
 shingle in short prefixes. A document whose prefix holds frequent shingles
-lengthens it by l - 1 shingles and asks in return that l of them be shared
-(every pair needs the smaller l of its two); l minimises the estimated cost of
+lengthens it by l - 1 shingles and asks in return that more of them be
+shared: of a pair that needs an intersection of o, at least o - n + p lie in
+the prefix of length p of each side. l minimises the estimated cost of
 reading postings and verifying candidates.
 
 1. Frequencies: every shingle of every document adds to one of 2^22
@@ -34,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carledger.llm.common import batches, bounded, connected, ship, sized_parts, stage
@@ -51,9 +52,9 @@ NOISE, LEAST_EXCESS, HOT = 6.0, 16, 10
 MOST_SHARED, VERIFY_COST = 8, 20.0
 #: Packed shingles that meet in one part, and shingles a task holds at once.
 PART_TOKENS, TASK_TOKENS = 2_000_000, 1_000_000
-#: Rounds of pairing with one document only; more follow while the pairs left
-#: outnumber the postings.
-STARS = 4
+#: Rounds of pairing with few documents only, and members of a larger
+#: component that smaller ones are paired with in a round.
+ROUNDS, HUBS = 5, 64
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                  0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -99,6 +100,15 @@ def needed(n: int) -> int:
     return -(-NUMERATOR * n // DENOMINATOR)
 
 
+def shared_needed(n, m, d, e):
+    """Least number of shared prefix shingles of a linked pair of sizes n and
+    m, where d and e are prefix length less size: all but n - o shingles of a
+    set are common, so p - (n - o) of its prefix are, and as common shingles
+    stand in the same order in both, the smaller of the two counts is shared."""
+    total = NUMERATOR + DENOMINATOR
+    return F.ceil((n + m) * F.lit(NUMERATOR) / F.lit(total)) + F.least(d, e)
+
+
 def counter_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
@@ -294,13 +304,14 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) pairs whose whole sets are similar, written."""
-    pairs = bounded(pairs.checkpoint())
+    """The (a, b) pairs whose whole sets are similar, with their other
+    columns, written."""
+    pairs = bounded(stage(pairs, "pairs"))
     left = sets.select(F.col("node").alias("b"), F.col("items").alias("_b"))
     right = sets.select(F.col("node").alias("a"), F.col("items").alias("_a"))
     # A class that many pairs name is on the side that Spark can split.
     both = left.join(pairs, "b").join(right, "a")
-    return both.filter(F.pandas_udf(_similar, "boolean")("_a", "_b")).select("a", "b").checkpoint()
+    return stage(both.filter(F.pandas_udf(_similar, "boolean")("_a", "_b")).drop("_a", "_b"), "links")
 
 
 def _near(n: str, m: str):
@@ -323,22 +334,22 @@ def components(docs: DataFrame) -> DataFrame:
     found = postings(docs, levels, total)
     rows = found.filter("kind = 0").select("doc_id", "h", "sig", "n", "ell", "ref")
     one = F.struct("ref", "doc_id", "h", "n", "ell")
-    classes = (rows.filter("sig is not null").groupBy("sig").agg(F.min(one).alias("one"), F.min("doc_id").alias("least"))
-               .select("sig", "least", F.col("one.ref").alias("node"), "one.doc_id", "one.h", "one.n", "one.ell")
-               .checkpoint())
-    # Postings of one document of each class.
+    classes = stage(rows.filter("sig is not null").groupBy("sig").agg(F.min(one).alias("one"), F.min("doc_id").alias("least"))
+                    .select("sig", "least", F.col("one.ref").alias("node"), "one.doc_id", "one.h", "one.n", "one.ell"),
+                    "classes")
+    # Postings of one document of each class; ``short`` is prefix less size.
+    short = F.col("ell") - F.ceil(F.col("n") * F.lit(NUMERATOR) / F.lit(DENOMINATOR))
     posted = (found.filter("kind = 1").select("token", F.col("ref").alias("node"))
-              .join(classes.select("node", "n", "ell"), "node"))
-    several = posted.groupBy("token").agg(F.count("node").alias("k")).filter("k > 1").select("token").checkpoint()
-    posted = posted.join(several, "token").checkpoint()
-    wanted = posted.select("node").distinct().join(classes.select("node", "doc_id", "h"), "node").checkpoint()
+              .join(classes.select("node", "n", short.cast("int").alias("short")), "node"))
+    posted = _linkable(stage(posted, "postings-of-classes"))
+    wanted = stage(posted.select("node").distinct().join(classes.select("node", "doc_id", "h"), "node"), "wanted")
     names = None
     if not wanted.isEmpty():
         names = _link(posted, _sets(docs, wanted))
     if names is not None:
-        classes = classes.join(names.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        lowest = classes.groupBy("root").agg(F.min("least").alias("component_id")).checkpoint()
-        classes = classes.join(lowest, "root").select("sig", "component_id").checkpoint()
+        classes = classes.join(names, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        lowest = stage(classes.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
+        classes = stage(classes.join(lowest, "root").select("sig", "component_id"), "class-components")
     else:
         classes = classes.select("sig", F.col("least").alias("component_id"))
     out = rows.join(classes.withColumnRenamed("sig", "_sig"), F.col("sig") == F.col("_sig"), "left")
@@ -346,47 +357,80 @@ def components(docs: DataFrame) -> DataFrame:
                       F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _link(posted: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(node, root) of all classes with a link, or None."""
-    links, names = None, None
+def _linkable(posted: DataFrame) -> DataFrame:
+    """Postings of classes that can have a link, of shingles that two have:
+    a class needs as many shared shingles as its most lenient partner would
+    ask for."""
+    token = posted.groupBy("token").agg(F.count("node").alias("k"), F.min("n").alias("lo"), F.min("short").alias("other"))
+    several = stage(token.filter("k > 1").drop("k"), "tokens")
+    p = stage(posted.join(several, "token"), "posted")
+    least = F.ceil(F.col("n") * F.lit(NUMERATOR) / F.lit(DENOMINATOR))
+    node = p.groupBy("node", "n", "short").agg(F.count("token").alias("k"), F.min("lo").alias("lo"), F.min("other").alias("other"))
+    alive = node.filter(F.col("k") >= shared_needed(F.col("n"), F.greatest("lo", least), F.col("short"), F.col("other")))
+    p = p.select("token", "node", "n", "short").join(stage(alive.select("node"), "alive"), "node")
+    several = stage(p.groupBy("token").agg(F.count("node").alias("k")).filter("k > 1").select("token"), "tokens")
+    return stage(p.join(several, "token"), "posted")
+
+
+def _link(posted: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root) of all classes of ``posted`` (token, node, n, short).
+
+    First every shingle pairs its classes with one of them. Then, while the
+    pairs of different components outnumber the postings, classes of smaller
+    components are paired with HUBS members of larger ones, other members in
+    every round. At last all pairs of different components are verified that
+    share enough shingles; only those are left out that could not change a
+    component."""
+    nodes = stage(posted.select("node").distinct().withColumn("root", F.col("node")), "nodes")
+    p = posted.withColumn("root", F.col("node"))
 
-    def add(pairs: DataFrame):
-        nonlocal links, names
+    def merge(pairs: DataFrame) -> bool:
+        nonlocal nodes, p
         new = verified(pairs, sets)
-        if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            names = connected(links)
-
-    def placed() -> DataFrame:
-        """Postings of shingles whose documents lie in two components."""
-        if names is None:
-            return posted.withColumn("root", F.col("node"))
-        p = posted.join(names, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if new.isEmpty():
+            return False
+        moves = connected(new, "root_a", "root_b").toDF("root", "to")
+        moved = lambda t: t.join(moves, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
+        nodes = stage(moved(nodes), "nodes")
+        p = moved(p)
         ends = p.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-        return p.join(ends.select("token").checkpoint(), "token").checkpoint()
-    p = posted.withColumn("root", F.col("node"))
-    for turn in range(STARS):
-        rank = F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node").alias("hub"), F.col("n").alias("hub_n"),
-                        F.col("root").alias("hub_root"), F.col("ell").alias("hub_ell"))
-        hubs = p.groupBy("token").agg(F.min(rank).alias("r")).select("token", "r.hub", "r.hub_n", "r.hub_root", "r.hub_ell")
-        star = (p.join(hubs.checkpoint(), "token").filter((F.col("root") != F.col("hub_root")) & _near("n", "hub_n"))
-                .groupBy("node", "hub").agg(F.count("token").alias("k"), F.first(F.least("ell", "hub_ell")).alias("ell")))
-        add(star.filter("k >= ell").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        p = placed()
-        # Pairs of different components that a full pass would list.
-        within = p.groupBy("token", "root").agg(F.count("node").alias("k"))
-        left = (within.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
-                .agg(F.sum((F.col("k").cast("double") * F.col("k") - F.col("own")) / 2).alias("pairs"),
-                     F.sum("k").alias("rows")).first())
-        if not left["pairs"]:
-            return names
-        if left["pairs"] <= 4 * left["rows"]:
+        p = stage(p.join(stage(ends.select("token"), "tokens"), "token"), "posted")
+        return True
+
+    def shared(found: DataFrame, share: float = 1.0) -> DataFrame:
+        """Pairs (node, hub) that share as many shingles as both ask for, or
+        a share of it where not all of their shingles are in ``found``."""
+        return (found.filter((F.col("root") != F.col("hub_root")) & _near("n", "hub_n")).groupBy("node", "hub").agg(
+            F.count("token").alias("k"), F.first(shared_needed(F.col("n"), F.col("hub_n"), F.col("short"), F.col("hub_short"))).alias("least"),
+            F.first("root").alias("root_b"), F.first("hub_root").alias("root_a"))
+            .filter(F.col("k") >= share * F.col("least")).select(F.col("hub").alias("a"), F.col("node").alias("b"), "root_a", "root_b"))
+
+    def pairs_left() -> tuple[float, int]:
+        within = p.groupBy("token", "root").agg(F.count("node").cast("double").alias("k"))
+        each = within.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
+        r = each.agg(F.sum((F.col("k") * F.col("k") - F.col("own")) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
+        return r["pairs"] or 0.0, r["rows"] or 0
+    hub = lambda t: t.select("token", *[F.col(c).alias(f"hub_{c}") for c in ("n", "short", "root")],
+                             F.col("node").alias("hub"))
+    first = p.groupBy("token").agg(F.min(F.struct(F.xxhash64("node"), "node", "n", "short", "root")).alias("r"))
+    found = merge(shared(p.join(stage(hub(first.select("token", "r.*")), "hubs"), "token"), 0.1))
+    for turn in range(1, ROUNDS):
+        pairs, rows = pairs_left()
+        if not found or pairs <= 4 * rows:
             break
-    q = p.select("token", *[F.col(c).alias(f"{c}_2") for c in ("node", "root", "n", "ell")])
-    rest = (p.join(q, "token").filter((F.col("node") < F.col("node_2")) & (F.col("root") != F.col("root_2")) & _near("n", "n_2"))
-            .groupBy("node", "node_2").agg(F.count("token").alias("k"), F.first(F.least("ell", "ell_2")).alias("ell")))
-    add(rest.filter("k >= ell").select(F.col("node").alias("a"), F.col("node_2").alias("b")))
-    return names
+        sizes = stage(nodes.groupBy("root").agg(F.count("node").alias("size")).filter("size > 1"), "sizes")
+        rank = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64(F.lit(turn), "node")))
+        few = p.select("node", "root").distinct().join(sizes, "root").withColumn("rank", rank).filter(F.col("rank") <= HUBS)
+        hubs = stage(
+            p.join(stage(few.select("node", "size"), "few"), "node").select(
+                "token", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("short").alias("hub_short"),
+                F.col("root").alias("hub_root"), F.col("size").alias("hub_size")), "hubs")
+        asked = p.join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+        smaller = F.struct("size", "root") < F.struct("hub_size", "hub_root")
+        found = merge(shared(asked.join(hubs, "token").filter(smaller)))
+    rest = p.join(hub(p), "token").filter(F.col("node") < F.col("hub"))
+    merge(shared(rest))
+    return nodes
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -399,15 +443,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     row with the smallest doc_id stays (of equal ids the one with the least
     hash of id and text); rows equal in id and text count once. Documents
     without words all stay."""
-    found = components(docs).checkpoint()
+    found = stage(components(docs), "components")
     own = F.struct(F.coalesce("doc_id", F.lit(2 ** 63 - 1)).alias("i"), "h", "doc_id")
     full = found.filter("n_shingles > 0")
-    first = full.groupBy("component_id").agg(F.min(own).alias("first")).checkpoint()
+    first = stage(full.groupBy("component_id").agg(F.min(own).alias("first")), "first")
     joined = full.join(first.withColumnRenamed("component_id", "_c"), F.col("component_id").eqNullSafe(F.col("_c")))
     gone = joined.filter(F.col("h") != F.col("first.h")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"),
                        F.xxhash64("doc_id", "text").alias("h"))
-    gone = bounded(gone.checkpoint())
+    gone = bounded(stage(gone, "gone"))
     kept = rows.join(gone, rows["id"].eqNullSafe(gone["_id"]) & (rows["h"] == gone["_h"]), "left_anti")
     if not full.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
         wordless = kept.filter(~F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))

@@ -278,8 +278,8 @@ def pack(docs: DataFrame, weights: dict | None = None, length: int = SEQUENCE, n
     tokens = tokenise(docs, name, end_id)
     sums = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    places = sums.select(F.col("source").alias("_source"), F.col("part").alias("_part"), "n",
-                         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base")).checkpoint()
+    places = stage(sums.select(F.col("source").alias("_source"), F.col("part").alias("_part"), "n",
+                               F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base")), "places")
     totals = {r["_source"]: int(r["n"]) for r in places.groupBy("_source").agg(F.sum("n").alias("n"))
               .limit(MAX_LABELS + 1).collect()}
     if len(totals) > MAX_LABELS:

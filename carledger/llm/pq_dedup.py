@@ -177,15 +177,15 @@ def links(vectors: DataFrame) -> DataFrame:
         .select("*", F.monotonically_increasing_id().alias("node"), F.size("vector").alias("dim")), "vector-classes")
     books = train(classes)
     coded = stage(_coded(classes, books), "vector-codes")
-    found = _search(coded, books).checkpoint()
+    found = stage(_search(coded, books), "vector-links")
     count = found.filter("other is null").groupBy("node").agg(F.sum("links").alias("n_links"))
     edges = found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
     names = connected(edges)
     full = (classes.select("label", "k1", "k2", "node", "least").join(count, "node", "left").join(names, "node", "left")
             .withColumn("root", F.coalesce("root", "node")))
     lowest = full.groupBy("root").agg(F.min("least").alias("component_id"))
-    full = (full.join(lowest, "root").select(F.col("label").alias("_l"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"),
-                                             "n_links", "component_id").checkpoint())
+    full = stage(full.join(lowest, "root").select(F.col("label").alias("_l"), F.col("k1").alias("_k1"),
+                                                  F.col("k2").alias("_k2"), "n_links", "component_id"), "vector-components")
     same = (rows["label"] == full["_l"]) & (rows["k1"] == full["_k1"]) & (rows["k2"] == full["_k2"]) & rows["ok"]
     out = rows.join(full, same, "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -235,7 +235,7 @@ def _search(coded: DataFrame, books: dict[int, Codebook]) -> DataFrame:
              .withColumn("start", F.floor(F.coalesce(F.sum("room").over(before), F.lit(0)) / BLOCK).cast("int")))
     plan = lists.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(
         "list", F.struct("start", "split")))).alias("plan"))
-    plan = bounded(plan.checkpoint())
+    plan = bounded(stage(plan, "plan"))
     at = coded.join(plan, key)
     # A split list begins in a block that a smaller one may share.
     own = F.col("plan")[F.col("list")]
@@ -244,7 +244,7 @@ def _search(coded: DataFrame, books: dict[int, Codebook]) -> DataFrame:
         F.col("plan")[k]["start"], F.col("plan")[k]["start"] + F.col("plan")[k]["split"] - 1))))
     stored = at.select(*key, "node", "many", "vector", "list", "codes", "missed", block.alias("block"))
     asked = at.select(*key, "node", "vector", "probes", F.explode(visited).alias("block"))
-    chunks = bounded(asked.groupBy(*key, "block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")).checkpoint())
+    chunks = bounded(stage(asked.groupBy(*key, "block").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "chunks"))
     group = [*key, "block"]
     empty = lambda t: F.lit(None).cast(t)
     stored = stored.join(chunks, group).select(
