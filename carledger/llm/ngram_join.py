@@ -52,6 +52,8 @@ NOISE, LEAST_EXCESS, HOT = 6.0, 16, 10
 MOST_SHARED, VERIFY_COST = 8, 20.0
 #: Packed shingles that meet in one part, and shingles a task holds at once.
 PART_TOKENS, TASK_TOKENS = 2_000_000, 1_000_000
+#: Classes of a component that are compared at once, and classes with them.
+BLOCK = 512
 #: Rounds of pairing with few documents only, and members of a larger
 #: component that smaller ones are paired with in a round.
 ROUNDS, HUBS = 5, 64
@@ -280,9 +282,9 @@ def postings(docs: DataFrame, levels: np.ndarray, total: int) -> DataFrame:
     return stage(packed.mapInArrow(met, POSTINGS), "postings")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
     """(node, items): whole sets of the wanted classes, whose documents
-    (doc_id, h, node) are given."""
+    (doc_id, h, node) are given. ``repeated``: rows may be equal in both."""
     def found(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 500):
             yield pa.record_batch([b.column(0), pa.array([shingles(t).tobytes() for t in b.column(1).to_pylist()],
@@ -290,7 +292,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     w = bounded(wanted.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "node"))
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("h"), "text")
     hit = rows.join(w, rows["doc_id"].eqNullSafe(w["_id"]) & (rows["h"] == w["_h"])).select("node", "text")
-    return stage(hit.mapInArrow(found, "node long, items binary").dropDuplicates(["node"]), "sets")
+    if repeated:
+        hit = hit.dropDuplicates(["node"])
+    return stage(hit.mapInArrow(found, "node long, items binary"), "sets")
 
 
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -345,7 +349,8 @@ def components(docs: DataFrame) -> DataFrame:
     wanted = stage(posted.select("node").distinct().join(classes.select("node", "doc_id", "h"), "node"), "wanted")
     names = None
     if not wanted.isEmpty():
-        names = _link(posted, _sets(docs, wanted))
+        repeated = not rows.groupBy("doc_id", "h").count().filter("count > 1").isEmpty()
+        names = _link(posted, _sets(docs, wanted, repeated))
     if names is not None:
         classes = classes.join(names, "node", "left").withColumn("root", F.coalesce("root", "node"))
         lowest = stage(classes.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
@@ -428,11 +433,88 @@ def _link(posted: DataFrame, sets: DataFrame) -> DataFrame:
         asked = p.join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
         smaller = F.struct("size", "root") < F.struct("hub_size", "hub_root")
         found = merge(shared(asked.join(hubs, "token").filter(smaller)))
-    rest = p.join(hub(p), "token").filter(F.col("node") < F.col("hub"))
-    merge(shared(rest))
+    if not p.isEmpty():
+        sizes = stage(nodes.groupBy("root").agg(F.count("node").alias("size")), "sizes")
+        merge(_all_pairs(p.join(sizes, "root")))
     return nodes
 
 
+PAIRS = "a long, b long, root_a long, root_b long"
+
+
+def _all_pairs(p: DataFrame) -> DataFrame:
+    """All pairs of classes of different components that share as many
+    shingles as both ask for; ``p``: postings with root and its size.
+
+    A class is matched with the larger components that it shares shingles
+    with. If a pair shares t of the postings here, the first shared one, in
+    any common order, has t - 1 more after it on both sides, so a class and
+    a component meet only in shingles that leave both that room. The members of such a component are cut into blocks, the classes
+    matched with it into chunks; a task counts shared shingles of one block
+    and one chunk and returns only pairs that share enough."""
+    after = F.count(F.lit(1)).over(Window.partitionBy("node")) - F.row_number().over(Window.partitionBy("node").orderBy("token"))
+    p = stage(p.withColumn("after", after.cast("int")), "rooms")
+    here = p.groupBy("token", "root", "size").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("short").alias("other"), F.max("after").alias("room")).toDF(
+        "token", "into", "into_size", "lo", "hi", "other", "room")
+    smaller = F.struct("size", "root") < F.struct("into_size", "into")
+    fits = (F.col("lo") * NUMERATOR <= F.col("n") * DENOMINATOR) & (F.col("n") * NUMERATOR <= F.col("hi") * DENOMINATOR)
+    least = shared_needed(F.col("n"), F.greatest("lo", F.ceil(F.col("n") * F.lit(NUMERATOR) / F.lit(DENOMINATOR))),
+                          F.col("short"), F.col("other"))
+    room = F.least("after", "room") >= least - 1
+    asked = p.join(stage(here, "roots"), "token").filter(smaller & fits & room).select("node", "into").distinct()
+    asked = stage(asked, "asked")
+    members = stage(p.groupBy("node", "root", "n", "short").agg(F.collect_list("token").alias("tokens")), "members")
+    many = members.groupBy(F.col("root").alias("into")).agg(F.ceil(F.count("node") / BLOCK).cast("int").alias("blocks"))
+    plan = asked.groupBy("into").agg(F.ceil(F.count("node") / BLOCK).cast("int").alias("chunks")).join(many, "into")
+    plan = bounded(stage(plan, "plan"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pick = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    own = ["node", "n", "short", "root", "tokens"]
+    held = (members.join(plan, members["root"] == plan["into"])
+            .select("into", pick("blocks").alias("block"), spread("chunks").alias("chunk"), F.lit(0).alias("side"), *own))
+    asks = (asked.join(members, "node").join(plan, "into")
+            .select("into", spread("blocks").alias("block"), pick("chunks").alias("chunk"), F.lit(1).alias("side"), *own))
+    key = ["into", "block", "chunk"]
+    rows = held.unionByName(asks).repartition(sized_parts(p), *key).sortWithinPartitions(*key, "side")
+    return rows.mapInArrow(_count_blocks, PAIRS)
+
+
+def _count_blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, held, asks = None, [], []
+    for b in batches(it, 500):
+        for r in b.to_pylist():
+            k = (r["into"], r["block"], r["chunk"])
+            if k != key:
+                yield from _count_block(held, asks)
+                key, held, asks = k, [], []
+            (asks if r["side"] else held).append(r)
+    yield from _count_block(held, asks)
+
+
+def _count_block(held: list[dict], asks: list[dict]) -> Iterator[pa.RecordBatch]:
+    if not held or not asks:
+        return
+    column = lambda rows, c: np.array([r[c] for r in rows], np.int64)
+    tokens = np.concatenate([np.array(r["tokens"], np.int64) for r in held])
+    owner = np.repeat(np.arange(len(held)), [len(r["tokens"]) for r in held])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    node, n, short = (column(held, c) for c in ("node", "n", "short"))
+    out = []
+    for r in asks:
+        t = np.array(r["tokens"], np.int64)
+        a, b = np.searchsorted(tokens, t), np.searchsorted(tokens, t, "right")
+        at = np.repeat(a, b - a) + np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
+        k = np.bincount(owner[at], minlength=len(held))
+        total = NUMERATOR + DENOMINATOR
+        least = -(-(n + r["n"]) * NUMERATOR // total) + np.minimum(short, r["short"])
+        near = (n * NUMERATOR <= r["n"] * DENOMINATOR) & (r["n"] * NUMERATOR <= n * DENOMINATOR)
+        out += [(int(y), r["node"], held[0]["root"], r["root"]) for y in node[near & (k >= least) & (k > 0)]]
+    if out:
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=[x.split()[0] for x in PAIRS.split(", ")])
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     return components(docs).select("doc_id", "n_shingles", "component_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from carledger.llm import langid, linededup, mixing, ngram_join, packing, pii, pq_dedup, quality_net, quality_rules, warc
 from carledger.llm.common import table
+from carledger.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
     "op1_language_id": lambda s, d: langid.predictions(table(s, d, "documents")),
@@ -18,4 +19,3 @@ QUERIES = {
     "op9_quality_net": lambda s, d: quality_net.scores(table(s, d, "documents"), table(s, d, "labels")),
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": linededup.SQL}
