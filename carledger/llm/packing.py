@@ -38,10 +38,10 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Words of a generation that a worker remembers with their ids (a cache;
 #: results are the same without it).
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 #: Rows of (task, source) sums that are broadcast; more of them are joined.
 BROADCAST_ROWS = 500_000
-TOKENISE_ROWS = 128
+TOKENISE_ROWS = 512
 
 
 class WordTokenizer:
@@ -63,6 +63,7 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.kind = "<u2" if len(self.ends) <= 65536 else "<u4"
         # Two generations: words of the older one that come again move up.
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -71,52 +72,54 @@ class WordTokenizer:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _letters(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 500):
-            some = words[i:i + 500]
-            ids = np.array(self._ids([" ".join(w.decode() for w in some)])[0], "<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
+        for i in range(0, len(words), 2000):
+            some = words[i:i + 2000]
+            ids = np.array(self._ids([b" ".join(some).decode()])[0], self.kind)
+            last = ids.itemsize * (np.flatnonzero(self.ends[ids]) + 1)
             if len(last) == len(some):
-                for w, a, b in zip(some, [0, *last[:-1].tolist()], last.tolist()):
-                    self.known[w] = ids[a:b].tobytes()
+                data, cut = ids.tobytes(), last.tolist()
+                self.known.update(zip(some, map(data.__getitem__, map(slice, [0, *cut[:-1]], cut))))
             else:
                 self._alone(some)
 
     def _alone(self, words: list[bytes]) -> None:
         for w, ids in zip(words, self._ids([w.decode() for w in words])):
-            self.known[w] = np.array(ids, "<u4").tobytes()
+            self.known[w] = np.array(ids, self.kind).tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
         known, older = self.known, self.older
+        for w in words.intersection(older):
+            known[w] = older[w]
         letters, marked, alone = set(), [], set()
-        for w in words:
-            if w in older:
-                known[w] = older[w]
-                continue
+        for w in words.difference(older):
             core = w.rstrip(b".,")
             if not core.decode().isalpha():
                 alone.add(w)
-                continue
-            if core not in known:
-                if core in older:
-                    known[core] = older[core]
-                else:
-                    letters.add(core)
-            if core != w:
-                marked.append((w, core, w[len(core):]))
-                if w[len(core):] not in known:
-                    alone.add(w[len(core):])
+            elif core == w:
+                letters.add(w)
+            else:
+                mark = w[len(core):]
+                marked.append((w, core, mark))
+                if core not in known:
+                    if core in older:
+                        known[core] = older[core]
+                    else:
+                        letters.add(core)
+                if mark not in known:
+                    alone.add(mark)
         self._letters(list(letters))
         self._alone(list(alone))
         for w, core, mark in marked:
             known[w] = known[core] + known[mark]
 
     def encode_batch(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian ids of each text, as ``kind`` says."""
         words = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known
-        self._learn({w for ws in words for w in ws} - self.known.keys())
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+        self._learn(set().union(*words).difference(self.known))
+        known = self.known.__getitem__
+        return [b"".join(map(known, ws)) for ws in words]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -139,15 +142,14 @@ def tokenise(docs: DataFrame, name: str = TOKENIZER, end_id: int = END_ID) -> Da
 
     def encoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part = tokenizer(name), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
-        narrow = "<u2" if tok.tokenizer.get_vocab_size() <= 65536 else "<u4"
+        end = np.array([end_id], tok.kind).tobytes()
         at: dict[str | None, int] = {}
         for batch in it:
             for i in range(0, batch.num_rows, TOKENISE_ROWS):
                 b = batch.slice(i, TOKENISE_ROWS)
                 sources = b.column(1).to_pylist()
-                ids = [np.frombuffer(x + end, "<u4") for x in tok.encode_batch(b.column(2).to_pylist())]
-                n = [len(x) for x in ids]
+                ids = [x + end for x in tok.encode_batch(b.column(2).to_pylist())]
+                n = [len(x) // len(end) for x in ids]
                 place = []
                 for s, k in zip(sources, n):
                     place.append(at.get(s, 0))
@@ -155,7 +157,7 @@ def tokenise(docs: DataFrame, name: str = TOKENIZER, end_id: int = END_ID) -> Da
                 yield pa.record_batch([
                     b.column(0), pa.array(sources, pa.string()), pa.array([part] * len(n), pa.int32()),
                     pa.array(place, pa.int64()), pa.array(n, pa.int64()),
-                    pa.array([x.astype(narrow).tobytes() for x in ids], pa.binary())],
+                    pa.array(ids, pa.binary())],
                     names=["doc_id", "source", "part", "place", "n", "ids"])
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
     return stage(rows.mapInArrow(encoded, TOKENS), "tokens")
