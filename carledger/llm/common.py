@@ -33,9 +33,18 @@ def forget_at_exit(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
+#: Rows that a task and its Python worker exchange at once: whole texts are
+#: a few kilobytes each, and both sides hold a batch in more than one form.
+ARROW_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Python workers import this package by name."""
+    """Python workers import this package by name, and get batches of at
+    most ARROW_ROWS rows (a smaller setting of the session holds)."""
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def id_remainder(doc_id: Column, n: int) -> Column:

@@ -67,7 +67,7 @@ class _Words(dict):
     """64-bit hashes of words, remembered by a worker."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -38,7 +38,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Words of a generation that a worker remembers with their ids (a cache;
 #: results are the same without it).
-CACHE_WORDS = 800_000
+CACHE_WORDS = 350_000
 #: Rows of (task, source) sums that are broadcast; more of them are joined.
 BROADCAST_ROWS = 500_000
 TOKENISE_ROWS = 512
