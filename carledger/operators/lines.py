@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from carledger.functions.timefn import col_, fmt17
 
-# Currency marks of the printed lines (the car and order lists
+# The label texts of the lines below, and currency marks of the printed lines (the car and order lists
 # carry U+FFFD where the source file lost its character; other lines use P).
 MARK_BROKEN = "�"
 MARK_P = "P"

@@ -69,6 +69,11 @@ def any_null(*cols: str) -> F.Column:
     return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
 
 
+def any_longer(**widths: int) -> F.Column:
+    """A text wider than its column was declared."""
+    return reduce(lambda a, b: a | b, [F.coalesce(F.length(c) > n, F.lit(False)) for c, n in widths.items()])
+
+
 def constraint_violations(states: DataFrame, cars: DataFrame, clients: DataFrame,
                           orders: DataFrame, history: DataFrame) -> DataFrame:
     spark = cars.sparkSession
@@ -84,9 +89,11 @@ def constraint_violations(states: DataFrame, cars: DataFrame, clients: DataFrame
     ])
     parts = [
         keys,
-        row_rules(cars, "cars", {"not_null": any_null(*cars.columns)}),
+        row_rules(states, "carstates", {"not_null": any_null("id", "state")}),
+        row_rules(cars, "cars", {"not_null": any_null(*cars.columns),
+                                 "widths": any_longer(reg_num=10, color=20, mark=20, type=20)}),
         fk_missing(cars, "cars", "fk_state_id", "state_id", states, "id"),
-        row_rules(clients, "clients", {"not_null": any_null("pass", "name")}),
+        row_rules(clients, "clients", {"not_null": any_null("pass", "name"), "widths": any_longer(**{"pass": 10, "name": 40})}),
         row_rules(orders, "orders", {"not_null": any_null(*orders.columns)}),
         fk_missing(orders, "orders", "fk_client_pass", "client_pass", clients, "pass"),
         fk_missing(orders, "orders", "fk_car_reg_num", "car_reg_num", cars, "reg_num"),

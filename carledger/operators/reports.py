@@ -102,13 +102,15 @@ def cars_history_export(history: DataFrame, cars: DataFrame) -> DataFrame:
 def cars_report(history: DataFrame, cars: DataFrame, as_of) -> DataFrame:
     """Per rented car: orders, clients, revenue, days in rent, and days
     since the last service at ``as_of`` (all rounded to 2 places)."""
-    s = _spans_priced(history, cars, extra=("tech_serv_date",))
-    g = s.groupBy("car_reg_num", "tech_serv_date").agg(
+    s = car_spans(history).withColumn("span_micros", micros_between("returned_at", "rented_at"))
+    # Price and service date belong to the car, so spans are summed per car
+    # first and cars join one row each.
+    per_car = s.groupBy("car_reg_num").agg(
         F.count_distinct("order_id").alias("orders_num"),
         F.count_distinct("client_pass").alias("clients_num"),
-        F.sum(as_int("span_micros") * cents("price")).alias("cents_micros"),
-        F.sum(as_int("span_micros")).alias("micros"),
-    )
+        F.sum(as_int("span_micros")).alias("micros"))
+    c = cars.select(F.col("reg_num").alias("car_reg_num"), "price", "tech_serv_date")
+    g = per_car.join(c, "car_reg_num").withColumn("cents_micros", F.col("micros") * cents("price"))
     return g.select(
         F.col("car_reg_num").alias("reg_num"), "orders_num", "clients_num",
         money_of_price_days(F.col("cents_micros"), 2).alias("total_revenue"),

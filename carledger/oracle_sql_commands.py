@@ -156,42 +156,45 @@ LEFT JOIN (SELECT car_reg_num, arg_min(id, seq) AS first_req FROM order_updates
 
 
 MPD = DAY_US
-P_ = "r.cur[c.id]"
-CAR1 = f"coalesce(c.new_car, {P_}.car)"
-PRICE1 = f"coalesce(c.new_price, {P_}.price)"
-RET1 = f"coalesce(c.new_returned, {P_}.ret)"
-RENT1 = f"coalesce(c.new_rented, {P_}.rent)"
-NUM = (f"({P_}.tot * {MPD} + {q_hi(q_micros(f'{P_}.ret', 'c.ts'))} * ({q_cents(PRICE1)} - {q_cents(f'{P_}.price')})"
-       f" + {q_hi(q_micros(RET1, f'{P_}.ret'))} * {q_cents(PRICE1)})")
+CAR1 = "coalesce(c.new_car, o.car)"
+PRICE1 = "coalesce(c.new_price, o.price)"
+RET1 = "coalesce(c.new_returned, o.ret)"
+RENT1 = "coalesce(c.new_rented, o.rent)"
+NUM = (f"(o.tot * {MPD} + {q_hi(q_micros('o.ret', 'c.ts'))} * ({q_cents(PRICE1)} - {q_cents('o.price')})"
+       f" + {q_hi(q_micros(RET1, 'o.ret'))} * {q_cents(PRICE1)})")
 TOT1 = f"CAST({q_round_ratio(NUM, str(MPD), 0)} AS HUGEINT)"
-NXT = (f"{{'car': CAST({CAR1} AS VARCHAR), 'price': CAST({PRICE1} AS DECIMAL(10,2)), "
-       f"'rent': CAST({RENT1} AS TIMESTAMP), 'ret': CAST({RET1} AS TIMESTAMP), 'tot': {TOT1}}}")
-# accepted: own checks, the new car free now, the new total inside number(10,2)
-OK = (f"(c.static AND {P_} IS NOT NULL AND (c.new_car IS NULL OR len(list_filter(map_entries(r.cur), "
-      f"lambda e: e.value.car = c.new_car AND e.key <> c.id)) = 0) AND abs({TOT1}) < 10000000000)")
-
-# One call at a time in seq order; the state maps each open order to its
-# car, price, start, end and total in cents.
+
+# One call at a time in seq order, over a table keyed by (kind, k): kind 'o'
+# is an open order with its car, price, start, end and total in cents, 's'
+# the outcome of a call, 'c' the number of the call to come.
 SEQ = {
     "cs": """
 SELECT row_number() OVER (ORDER BY seq) AS rn, seq, ts, id, new_car, new_rented, new_returned, new_price,
        coalesce(car0 IS NOT NULL AND price0 IS NOT NULL AND (new_returned IS NULL OR new_returned >= ts)
                 AND (new_car IS NULL OR new_price IS NOT NULL), false) AS static
 FROM u""",
-    "init": """
-SELECT map_from_entries(list({'k': o.id, 'v': {'car': CAST(o.car_reg_num AS VARCHAR),
-        'price': CAST(k.price AS DECIMAL(10,2)), 'rent': CAST(o.rented_at AS TIMESTAMP),
-        'ret': CAST(o.returned_at AS TIMESTAMP), 'tot': CAST(o.total_price * 100 AS HUGEINT)}})) AS m
-FROM rent_orders o LEFT JOIN cars k ON k.reg_num = o.car_reg_num""",
-    "r": f"""
-SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS id,
-       CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS BOOLEAN) AS ok,
-       (SELECT m FROM init)[-1] AS prev, (SELECT m FROM init)[-1] AS nxt, (SELECT m FROM init) AS cur
-UNION ALL
-SELECT c.rn, c.seq, c.id, c.ts, {OK}, {P_}, {NXT},
-       CASE WHEN {OK} THEN map_concat(r.cur, map_from_entries([{{'k': c.id, 'v': {NXT}}}])) ELSE r.cur END
-FROM r JOIN cs c ON c.rn = r.rn + 1""",
-    "steps": "SELECT * EXCLUDE (cur) FROM r WHERE rn > 0",
+    "r(kind, k, car, price, rent, ret, tot, ok, seq, ts, prev_car, prev_ret) USING KEY (kind, k)": f"""
+SELECT 'o', CAST(o.id AS BIGINT), CAST(o.car_reg_num AS VARCHAR), CAST(k.price AS DECIMAL(10,2)),
+       CAST(o.rented_at AS TIMESTAMP), CAST(o.returned_at AS TIMESTAMP), CAST(o.total_price * 100 AS HUGEINT),
+       CAST(NULL AS BOOLEAN), CAST(NULL AS BIGINT), CAST(NULL AS TIMESTAMP), CAST(NULL AS VARCHAR),
+       CAST(NULL AS TIMESTAMP)
+FROM rent_orders o LEFT JOIN cars k ON k.reg_num = o.car_reg_num
+UNION ALL SELECT 'c', 0, NULL, NULL, NULL, NULL, 0, NULL, NULL, NULL, NULL, NULL
+UNION
+SELECT w.kind, CASE w.kind WHEN 'c' THEN 0 WHEN 's' THEN x.rn ELSE x.id END,
+       CASE WHEN w.kind <> 'c' THEN x.car END, x.price, x.rent, x.ret, CASE WHEN w.kind = 'c' THEN x.rn ELSE x.tot END,
+       x.ok, x.seq, x.ts, x.prev_car, x.prev_ret
+FROM (SELECT y.*, y.static AND y.tot IS NOT NULL AND y.others = 0 AND abs(y.tot) < 10000000000 AS ok
+      FROM (SELECT c.rn, CAST(c.id AS BIGINT) AS id, CAST({CAR1} AS VARCHAR) AS car, CAST({PRICE1} AS DECIMAL(10,2)) AS price,
+                   CAST({RENT1} AS TIMESTAMP) AS rent, CAST({RET1} AS TIMESTAMP) AS ret, {TOT1} AS tot,
+                   c.seq, c.ts, c.static, o.car AS prev_car, o.ret AS prev_ret,
+                   (SELECT count(*) FROM recurring.r h WHERE h.kind = 'o' AND h.car = c.new_car AND h.k <> c.id) AS others
+            FROM (SELECT tot FROM r WHERE kind = 'c') n JOIN cs c ON c.rn = n.tot + 1
+            LEFT JOIN recurring.r o ON o.kind = 'o' AND o.k = c.id) y) x
+JOIN (VALUES ('c'), ('s'), ('o')) w(kind) ON w.kind <> 'o' OR x.ok""",
+    "steps": """
+SELECT r.seq, cs.id, r.ts, r.ok, r.car, r.rent, r.ret, r.tot, r.prev_car, r.prev_ret
+FROM r JOIN cs ON cs.rn = r.k WHERE r.kind = 's'""",
 }
 
 
@@ -310,22 +313,20 @@ SELECT v.seq, 'add_order' AS op, v.client_pass AS key, '{X.ERR_ADD_ORDER}' AS er
 FROM v JOIN r ON r.seq = v.seq WHERE NOT r.ok""", *steps, recursive=True)
 
     out["update_orders"] = _seq("""
-SELECT o.id, o.client_pass, coalesce(l.nxt.car, o.car_reg_num) AS car_reg_num,
-       coalesce(l.nxt.rent, o.rented_at) AS rented_at, coalesce(l.nxt.ret, o.returned_at) AS returned_at,
-       CAST(coalesce(CAST(l.nxt.tot AS DECIMAL(38,0)) * 0.01, o.total_price) AS DECIMAL(10,2)) AS total_price
-FROM rent_orders o
-LEFT JOIN (SELECT id, arg_max(nxt, seq) AS nxt FROM steps WHERE ok GROUP BY id) l ON l.id = o.id""")
+SELECT o.id, o.client_pass, l.car AS car_reg_num, l.rent AS rented_at, l.ret AS returned_at,
+       CAST(CAST(l.tot AS DECIMAL(38,0)) * 0.01 AS DECIMAL(10,2)) AS total_price
+FROM rent_orders o JOIN r l ON l.kind = 'o' AND l.k = o.id""")
     out["update_orders_log"] = _seq(f"""
 SELECT CAST(s.seq AS BIGINT) AS id, CAST(s.id AS BIGINT) AS order_id, s.ts AS changed_at, o.client_pass,
-       s.nxt.car AS car_reg_num, s.nxt.rent AS rented_at, s.nxt.ret AS returned_at, '0' AS status,
-       CAST(CAST(s.nxt.tot AS DECIMAL(38,0)) * 0.01 AS DECIMAL(10,2)) AS total_price,
-       CASE WHEN s.prev.car <> s.nxt.car THEN 'client changed a car.'
-            WHEN s.prev.ret <> s.nxt.ret THEN 'client renewed a car.' END AS note,
+       s.car AS car_reg_num, s.rent AS rented_at, s.ret AS returned_at, '0' AS status,
+       CAST(CAST(s.tot AS DECIMAL(38,0)) * 0.01 AS DECIMAL(10,2)) AS total_price,
+       CASE WHEN s.prev_car <> s.car THEN 'client changed a car.'
+            WHEN s.prev_ret <> s.ret THEN 'client renewed a car.' END AS note,
        '{P.V_USER}' AS v_user
 FROM steps s JOIN rent_orders o ON o.id = s.id WHERE s.ok""")
     out["update_orders_rejects"] = _seq("""
 SELECT seq, 'update_order' AS op, CAST(id AS VARCHAR) AS key, 'err: pcrud.update_order' AS err
-FROM steps WHERE NOT ok""")
+FROM steps WHERE ok IS NOT TRUE""")
 
     out["close_orders"] = _with(f"""
 SELECT CAST(d.seq AS BIGINT) AS id, o.id AS order_id, d.ts AS changed_at, o.client_pass, o.car_reg_num,

@@ -123,10 +123,13 @@ FROM cars""")
         dup("carstates", "pk_id", "car_states", "id"),
         dup("carstates", "unique_state", "car_states", "state"),
         dup("cars", "pk_reg_num", "cars", "reg_num"),
+        rows("carstates", "not_null", "car_states", nulls("id", "state")),
         rows("cars", "not_null", "cars", nulls(*car_cols)),
+        rows("cars", "widths", "cars", "length(reg_num) > 10 OR length(color) > 20 OR length(mark) > 20 OR length(type) > 20"),
         fk("cars", "fk_state_id", "cars", "state_id", "car_states", "id"),
         dup("clients", "pk_pass", "clients", "pass"),
         rows("clients", "not_null", "clients", nulls("pass", "name")),
+        rows("clients", "widths", "clients", "length(pass) > 10 OR length(name) > 40"),
         dup("orders", "pk_id", "rent_orders", "id"),
         dup("orders", "unique_client_pass", "rent_orders", "client_pass"),
         dup("orders", "unique_car_reg_num", "rent_orders", "car_reg_num"),

@@ -9,8 +9,8 @@
   stays a sort-merge join, and AQE splits skewed partitions
   (``spark.sql.adaptive.skewJoin.enabled``). No hint forces a broadcast of
   a table whose size grows with the data.
-* The hot-key table of ``plans.skew`` is broadcast: its row count is
-  capped when it is fetched.
+* The hot-key table of ``plans.skew`` is a written table and joined like
+  any other.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
 def with_state_name(df: DataFrame, car_states: DataFrame) -> DataFrame:
     """Left join of the state name (3-row table, broadcast)."""
     s = car_states.select(F.col("id").alias("state_id"), "state")

@@ -3,13 +3,15 @@
 A window ``partitionBy(key).orderBy(seq)`` sorts all rows of one key in one
 task. For keys that hold a large share of the rows, the scan is split:
 
-1. ``hot_keys``: one aggregate (count, min/max seq per key) finds keys with
-   more than ``carledger.hotKeyRows`` rows (default 1,000,000); at most
-   ``carledger.maxHotKeys`` of them (default 4 x shuffle partitions) are
-   fetched, largest first, so the fetched list is bounded by construction.
-2. Rows of those keys get a ``piece`` number: their seq range is cut into
-   equal-width slices, about ``hotKeyRows`` rows each, so every piece is an
-   ordinary-sized window partition ``(key, piece)`` scanned in parallel.
+1. ``hot_keys``: one aggregate counts rows per key; a second, over the rows
+   of keys with more than ``carledger.hotKeyRows`` rows (default 1,000,000),
+   takes quantiles of their seq. The result is a written table, a row per
+   hot key, however many there are; only a count and the largest number of
+   rows come to the driver.
+2. Rows of those keys get a ``piece`` number: the quantile range their seq
+   lies in, so pieces hold about ``hotKeyRows`` rows each whatever the gaps
+   between seqs, and every piece is an ordinary-sized window partition
+   ``(key, piece)`` scanned in parallel.
 3. Per piece, a one-row summary (last non-NULL values, sums) is
    carried to the next pieces with a small window over the summaries
    (pieces per key are few), joined back on ``(key, piece)``.
@@ -22,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from carledger.plans.joins import materialize
+
 PIECE = "_piece"
 
 
@@ -31,29 +35,28 @@ def _conf_int(df: DataFrame, name: str, default: int) -> int:
 
 
 def hot_keys(df: DataFrame, key: str, seq: str) -> DataFrame | None:
-    """Bounded table (key, _lo, _hi, _pieces) of hot keys, or None."""
+    """Written table (key, _cuts) of the hot keys, or None: ``_cuts`` are
+    ascending seq values between pieces."""
     rows = _conf_int(df, "carledger.hotKeyRows", 1_000_000)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cap = _conf_int(df, "carledger.maxHotKeys", 4 * parts)
-    stats = (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(seq).alias("_lo"),
-                                 F.max(seq).alias("_hi"))
-             .filter(F.col("_n") > rows).orderBy(F.desc("_n")).limit(cap))
-    found = stats.collect()
-    if not found:
+    many = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
+    top = many.agg(F.max("_n")).first()[0]
+    if top is None:
         return None
-    data = [(r[key], int(r["_lo"]), int(r["_hi"]), int(-(-r["_n"] // rows))) for r in found]
-    kt = df.schema[key].dataType.simpleString()
-    return df.sparkSession.createDataFrame(data, f"{key} {kt}, _lo long, _hi long, _pieces long")
+    many = materialize(many)
+    pieces = -(-top // rows)
+    shares = [i / pieces for i in range(1, pieces)]
+    # A hot key's rows are many, so the quantiles are pre-aggregated.
+    hot = df.select(key, seq).join(many.select(key), key)
+    return materialize(hot.groupBy(key).agg(F.array_sort(F.array_distinct(
+        F.percentile_approx(seq, shares, 20 * pieces))).alias("_cuts")))
 
 
 def split(df: DataFrame, key: str, seq: str, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of ordinary keys, rows of hot keys with a ``_piece`` column).
-    ``hot`` is bounded (see ``hot_keys``), so it is broadcast."""
-    h = F.broadcast(hot)
-    cold = df.join(h.select(key), key, "left_anti")
-    width = (F.col("_hi") - F.col("_lo")) / F.col("_pieces") + 1
-    warm = df.join(h, key).withColumn(PIECE, F.floor((F.col(seq) - F.col("_lo")) / width).cast("long")) \
-        .drop("_lo", "_hi", "_pieces")
+    ``hot`` is joined as its size allows (Spark measures the written table)."""
+    cold = df.join(hot.select(key), key, "left_anti")
+    piece = F.size(F.filter("_cuts", lambda c: c < F.col(seq)))
+    warm = df.join(hot, key).withColumn(PIECE, piece.cast("long")).drop("_cuts")
     return cold, warm
 
 

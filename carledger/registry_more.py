@@ -89,17 +89,23 @@ for _name, _verb in _VERBS.items():
 # ----------------------------------------------------------------- streaming
 def _change_stream(t):
     """H1 streamed: events written in two waves (inserts, then updates and
-    deletes; each wave one file per order partition) to the shared folder,
-    consumed by an availableNow stream into a parquet sink."""
-    from carledger.session import shared_path
-    from carledger.streaming.order_stream import run_change_log
+    deletes) of small files to the shared folder, consumed by an
+    availableNow stream in micro-batches of a bounded number of files into
+    a parquet sink. The folders go when the application ends."""
+    from carledger.session import forget_at_exit, shared_path
+    from carledger.streaming.order_stream import blocks_for, run_change_log
     spark = t.spark
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ev = H.events_from_history(t.history)
     src, sink, ckpt = (shared_path(spark, x) for x in ("events", "history-stream", "stream-ckpt"))
-    ev.filter(F.col("op") == "I").repartition(n, "order_id").write.parquet(f"{src}/wave=1")
-    ev.filter(F.col("op") != "I").repartition(n, "order_id").write.parquet(f"{src}/wave=2")
-    run_change_log(spark, f"{src}/*", sink, ckpt, max_files_per_trigger=n, blocks=P.STREAM_BLOCKS)
+    for path in (src, sink, ckpt):
+        forget_at_exit(spark, path)
+    for wave, rows in ((1, ev.filter(F.col("op") == "I")), (2, ev.filter(F.col("op") != "I"))):
+        # One order's events of a wave follow each other in one task's files.
+        (rows.repartition(n, "order_id").sortWithinPartitions("order_id", "seq").write
+         .option("maxRecordsPerFile", P.STREAM_FILE_ROWS).parquet(f"{src}/wave={wave}"))
+    orders = t.history.agg(F.approx_count_distinct("order_id")).first()[0]
+    run_change_log(spark, f"{src}/*", sink, ckpt, max_files_per_trigger=n, blocks=blocks_for(orders))
     return spark.read.schema(ORDERS_HISTORY).parquet(sink)
 
 

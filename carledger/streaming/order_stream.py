@@ -9,10 +9,16 @@ micro-batch, the events of one key are sorted by ``seq`` and folded:
   for a non-positive order id I and U change the state but write no row;
 * D: writes the last row with status '1' and removes the state.
 
+An event older than the last one its order has seen (a smaller ``seq``
+that comes in a later micro-batch) is dropped: the log has rows for what
+came after it already. So the state keeps every order's last seq, a closed
+order's too; that is one small row per order.
+
 Output is append-only; history ids come from the events' ``seq``, so a
 replayed micro-batch after a failure rewrites the same rows, and the file
-sink's commit log keeps them exactly once. Group size per batch is bounded
-by the source's ``maxFilesPerTrigger``; state is one row per open order.
+sink's commit log keeps them exactly once. A micro-batch holds at most
+``maxFilesPerTrigger`` files, so the source's file size bounds it, and a
+group's events with it.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ STATE_SCHEMA = T.StructType([
     T.StructField("rented_at", T.TimestampNTZType()),
     T.StructField("returned_at", T.TimestampNTZType()),
     T.StructField("total_price", T.StringType()),   # exact decimal as text
+    T.StructField("open", T.BooleanType()),
+    T.StructField("last_seq", T.LongType()),
 ])
 OUT_COLS = [f.name for f in ORDERS_HISTORY.fields]
 VALS = ["client_pass", "car_reg_num", "rented_at", "returned_at"]
@@ -73,10 +81,11 @@ def fold_order_events(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> I
     cols = {c: ev[c].tolist() for c in ("seq", "ts", "op", "client_pass", "car_reg_num", "rented_at",
                                         "returned_at", "total_price", "v_user")}
     order = sorted(range(len(cols["seq"])), key=cols["seq"].__getitem__)
-    cur = None
+    cur, last_seq = None, None
     if state.exists:
-        c, r, rt, ret, tot = state.get
-        cur = (c, r, _ts(rt), _ts(ret), Decimal(tot))
+        c, r, rt, ret, tot, is_open, last_seq = state.get
+        if is_open:
+            cur = (c, r, _ts(rt), _ts(ret), _dec(tot))
     out = {c: [] for c in OUT_COLS}
 
     def emit(i, vals, status, note):
@@ -91,6 +100,9 @@ def fold_order_events(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> I
 
     for i in order:
         op = cols["op"][i]
+        if last_seq is not None and cols["seq"][i] <= last_seq:
+            continue          # older than what the log holds
+        last_seq = int(cols["seq"][i])
         if op == "D":
             if cur is not None:
                 emit(i, cur, STATUS_CLOSED, NOTE_RETURNED)
@@ -103,11 +115,10 @@ def fold_order_events(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> I
             if order_id > 0:  # the guard skips logging, not the change
                 emit(i, vals, STATUS_OPEN, NOTE_CREATED if op == "I" else _note(cur, vals))
             cur = vals
-    if cur is None:
-        if state.exists:
-            state.remove()
-    else:
-        state.update((cur[0], cur[1], cur[2], cur[3], str(cur[4])))
+    if last_seq is not None:
+        money = lambda d: None if d is None else str(d)
+        state.update((None, None, None, None, None, False, last_seq) if cur is None
+                     else (cur[0], cur[1], cur[2], cur[3], money(cur[4]), True, last_seq))
     if out["id"]:
         yield pd.DataFrame(out, columns=OUT_COLS)
 
@@ -119,6 +130,8 @@ BLOCK_STATE_SCHEMA = T.StructType([
     T.StructField("rented_us", T.ArrayType(T.LongType())),
     T.StructField("returned_us", T.ArrayType(T.LongType())),
     T.StructField("total_cents", T.ArrayType(T.LongType())),
+    T.StructField("open", T.ArrayType(T.BooleanType())),
+    T.StructField("last_seq", T.ArrayType(T.LongType())),
 ])
 # Block output: money as integer cents; turned into decimal(10,2) by Spark.
 BLOCK_OUT = T.StructType([f if f.name != "total_price" else T.StructField("total_cents", T.LongType())
@@ -137,14 +150,16 @@ def fold_block_events(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> I
     vectorised: the state rows join the events as pseudo-events, existence
     before each event comes from the last insert/delete marker (an ignored
     duplicate insert or delete leaves the same state as an accepted one),
-    and the last effective row's values are forward-filled per order."""
+    and the last effective row's values are forward-filled per order. A
+    closed order's state row stands as a delete, and only for its last seq."""
     chunks = list(pdfs)
     ev = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
     ev = ev[["seq", "ts", "op", "order_id", *VCOLS, "v_user"]]
     if state.exists:
-        ids, cl, cr, rt, ret, tot = state.get
+        ids, cl, cr, rt, ret, tot, is_open, last = state.get
+        ev = ev[ev["seq"] > ev["order_id"].map(dict(zip(ids, last))).fillna(-(2 ** 62))]
         st = pd.DataFrame({
-            "seq": pd.Series([-(2 ** 62)] * len(ids), dtype="int64"), "ts": pd.NaT, "op": "S",
+            "seq": pd.Series(last, dtype="int64"), "ts": pd.NaT, "op": ["S" if o else "X" for o in is_open],
             "order_id": pd.Series(ids, dtype="int64"), "client_pass": cl, "car_reg_num": cr,
             "rented_at": pd.to_datetime(pd.Series(rt, dtype="Int64"), unit="us"),
             "returned_at": pd.to_datetime(pd.Series(ret, dtype="Int64"), unit="us"),
@@ -155,10 +170,10 @@ def fold_block_events(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> I
     df["total_cents"] = df["total_cents"].astype("Int64")
     df = df.sort_values(["order_id", "seq"], kind="mergesort", ignore_index=True)
     oid, op = df["order_id"], df["op"]
-    marker = op.where(op.isin(["I", "D", "S"])).replace("S", "I")
+    marker = op.where(op.isin(["I", "D", "S", "X"])).replace({"S": "I", "X": "D"})
     filled = marker.groupby(oid).ffill()
     exists_before = filled.groupby(oid).shift(1).eq("I")
-    effective = (((op == "I") & ~exists_before) | (op.isin(["U", "D"]) & exists_before)) & (op != "S")
+    effective = (((op == "I") & ~exists_before) | (op.isin(["U", "D"]) & exists_before))
     valrow = (effective & op.isin(["I", "U"])) | (op == "S")
     ff = df[VCOLS].where(valrow).groupby(oid).ffill()
     prev = ff.groupby(oid).shift(1)
@@ -182,29 +197,35 @@ def fold_block_events(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> I
     })[out_rows][BLOCK_OUT_COLS]
 
     last = df.groupby(oid, sort=False).tail(1).index
-    keep = filled.loc[last].eq("I")
-    live = ff.loc[last][keep.values]
-    ids_live = oid.loc[last][keep.values]
-    if len(live):
-        state.update((ids_live.astype("int64").tolist(), live["client_pass"].tolist(),
-                      live["car_reg_num"].tolist(),
-                      [None if pd.isna(v) else int(v.value // 1000) for v in live["rented_at"]],
-                      [None if pd.isna(v) else int(v.value // 1000) for v in live["returned_at"]],
-                      [None if pd.isna(v) else int(v) for v in live["total_cents"]]))
-    elif state.exists:
-        state.remove()
+    is_open = filled.loc[last].eq("I")
+    now = ff.loc[last].astype(object).where(is_open, None)
+    if len(last):
+        text = lambda c: [None if pd.isna(v) else v for v in now[c]]
+        micros = lambda c: [None if pd.isna(v) else int(pd.Timestamp(v).value // 1000) for v in now[c]]
+        state.update((oid.loc[last].astype("int64").tolist(), text("client_pass"), text("car_reg_num"),
+                      micros("rented_at"), micros("returned_at"),
+                      [None if pd.isna(v) else int(v) for v in now["total_cents"]], is_open.tolist(),
+                      df["seq"].loc[last].astype("int64").tolist()))
     if len(out):
         yield out
 
 
+ORDERS_PER_BLOCK = 1000
+
+
+def blocks_for(orders: int) -> int:
+    """Number of blocks for so many orders."""
+    return max(1, -(-orders // ORDERS_PER_BLOCK))
+
+
 def change_log_stream(events: DataFrame, blocks: int | None = None) -> DataFrame:
     """Streaming DataFrame of history rows from a streaming event frame.
 
     ``blocks=None`` keys the state by order id (one Python call per order
     per micro-batch). ``blocks=n`` keys it by ``pmod(xxhash64(order_id), n)``
     so each call folds all events of one block; n must stay fixed for the
-    life of a checkpoint, and should grow with the number of open orders
-    (about a thousand per block keeps the rewritten state per call small).
+    life of a checkpoint, and grow with the number of orders
+    (``blocks_for``: about ORDERS_PER_BLOCK in each).
     """
     ship_package(events.sparkSession)
     if blocks is None:

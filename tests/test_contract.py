@@ -30,4 +30,4 @@ def test_bench_prints_one_json_line(tmp_path):
     d = json.loads(lines[0])
     assert d["unit"] == "sec" and d["sf"] == 0.001 and d["value"] > 0
     import __spark_entry__ as E
-    assert set(d["queries"]) | set(d["stream_queries"]) == set(E.queries())
+    assert set(d["queries"]) | set(d["stream_queries"]) | set(d["corpus_queries"]) == set(E.queries())

@@ -26,11 +26,42 @@ def test_store_layout_and_apply(spark, fixture_tables):
     assert [(r.id, r.car_reg_num, r.total_price) for r in ft.orders.collect()] == [(2, "A000000002", M(2200))]
     h = ft.history
     assert h.count() == 6
-    assert h.filter("id = 100").collect()[0].note == "client changed a car."
+    assert h.filter("id = 105").collect()[0].note == "client changed a car."
     ch = {r.order_id: r.changed_times for r in R.orders_changes(h).collect()}
     assert ch == {1: 4, 2: 2}
 
 
+def test_batches_keep_ids_unique_and_can_be_repeated(spark, fixture_tables, monkeypatch):
+    t = fixture_tables
+    st = FleetStore.create(spark, t["cars"], t["clients"], t["history"], t["orders"], buckets=2)
+    ft = StoredFleetTables(spark, "-", store=st)
+    adds = spark.createDataFrame([(1, D(15), "1000000001", "A000000002", D(16)),
+                                  (2, D(15), "1000000003", "A000000004", D(17))], S.ORDER_ADDS)
+    add = lambda: C.add_orders(ft.orders, ft.cars, ft.clients, adds, "T", 100)
+    # A crash between the two writes: the batch is taken up where it stopped.
+    real, calls = FleetStore._note, []
+
+    def crash(self, batch, step, *a):
+        calls.append(step)
+        if step == "done":
+            raise RuntimeError("lost")
+        real(self, batch, step, *a)
+    monkeypatch.setattr(FleetStore, "_note", crash)
+    try:
+        st.apply("orders", add(), "b1")
+    except RuntimeError:
+        pass
+    monkeypatch.setattr(FleetStore, "_note", real)
+    assert st.apply("orders", add(), "b1") and not st.apply("orders", add(), "b1")
+    assert sorted(r.id for r in ft.orders.collect()) == [2, 101, 102]
+    assert {r.id: r.first_car for r in ft.orders_first_car.collect()} == {2: "A000000001", 101: "A000000002", 102: "A000000004"}
+    closes = spark.createDataFrame([(1, D(16), 101), (2, D(16), 102)], S.ORDER_DELETES)
+    assert st.apply("orders", C.close_orders(ft.orders, closes, "T"), "b2")
+    ids = [r.id for r in ft.history.collect()]
+    assert len(ids) == len(set(ids)) == 5 + 2 + 2
+    assert [r.id for r in ft.orders.collect()] == [2]
+
+
 def test_hot_order_turns_bucketing_off(spark, fixture_tables):
     from pyspark.sql import functions as F
     t = fixture_tables
