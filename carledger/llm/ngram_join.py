@@ -51,7 +51,7 @@ NOISE, LEAST_EXCESS, HOT = 6.0, 16, 10
 #: pair in postings read.
 MOST_SHARED, VERIFY_COST = 8, 20.0
 #: Packed shingles that meet in one part, and shingles a task holds at once.
-PART_TOKENS, TASK_TOKENS = 2_000_000, 1_000_000
+PART_TOKENS, TASK_TOKENS = 1_000_000, 400_000
 #: Classes of a component that are compared at once, and classes with them.
 BLOCK = 512
 #: Rounds of pairing with few documents only, and members of a larger
@@ -310,9 +310,12 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) pairs whose whole sets are similar, with their other
     columns, written."""
-    pairs = bounded(stage(pairs, "pairs"))
+    written = stage(pairs, "pairs")
+    pairs = bounded(written)
+    # Only sets that a pair names go through the join's shuffle.
+    named = bounded(stage(written.select("a").distinct(), "named"))
     left = sets.select(F.col("node").alias("b"), F.col("items").alias("_b"))
-    right = sets.select(F.col("node").alias("a"), F.col("items").alias("_a"))
+    right = sets.join(named, sets["node"] == named["a"]).select("a", F.col("items").alias("_a"))
     # A class that many pairs name is on the side that Spark can split.
     both = left.join(pairs, "b").join(right, "a")
     return stage(both.filter(F.pandas_udf(_similar, "boolean")("_a", "_b")).drop("_a", "_b"), "links")
