@@ -38,7 +38,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Words of a generation that a worker remembers with their ids (a cache;
 #: results are the same without it).
-CACHE_WORDS = 350_000
+CACHE_WORDS = 600_000
 #: Rows of (task, source) sums that are broadcast; more of them are joined.
 BROADCAST_ROWS = 500_000
 TOKENISE_ROWS = 512
@@ -117,9 +117,18 @@ class WordTokenizer:
         words = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known
-        self._learn(set().union(*words).difference(self.known))
-        known = self.known.__getitem__
-        return [b"".join(map(known, ws)) for ws in words]
+        flat = [w for ws in words for w in ws]
+        ids = list(map(self.known.get, flat))
+        new = [i for i, x in enumerate(ids) if x is None]
+        if new:
+            self._learn({flat[i] for i in new})
+            for i in new:
+                ids[i] = self.known[flat[i]]
+        out, at = [], 0
+        for ws in words:
+            out.append(b"".join(ids[at:at + len(ws)]))
+            at += len(ws)
+        return out
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
