@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,6 +47,18 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+#: Clears what an operator keeps in a Python worker between its tasks.
+WORKER_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def only_caches_of(operator: str) -> None:
+    """Called as a task begins: a worker serves many operators, and what the
+    others remember in it would only take memory."""
+    for name, clear in WORKER_CACHES.items():
+        if name != operator:
+            clear()
+
+
 def id_remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id's text modulo ``n`` (a null id counts as '')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n

@@ -21,7 +21,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carledger.llm.common import id_remainder, least_rows, ship
+from carledger.llm.common import id_remainder, least_rows, only_caches_of, ship
 
 #: Sample for the dictionaries: rows of a language, characters of a row.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 2000
@@ -116,6 +116,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("lang string, score double, margin double, rejected boolean")
     def found(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        only_caches_of("langid")
         compressors = model.compressors()
         for texts in it:
             yield pd.DataFrame([classify(t, langs, compressors) for t in texts],

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carledger.llm.common import batches, bounded, connected, ship, sized_parts, stage
+from carledger.llm.common import WORKER_CACHES, batches, bounded, connected, only_caches_of, ship, sized_parts, stage
 
 SHINGLE = 5
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
@@ -74,6 +74,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+WORKER_CACHES["ngram_join"] = _WORDS.clear
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -143,6 +144,7 @@ def frequency_levels(docs: DataFrame) -> tuple[np.ndarray, int]:
     n, width = 1 << (COUNTER_BITS - SLICE_BITS), 1 << SLICE_BITS
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_caches_of("ngram_join")
         counts = np.zeros(1 << COUNTER_BITS, np.int32)
         held, size = [], 0
 

@@ -31,14 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carledger.llm.common import MAX_LABELS, ship, stage
+from carledger.llm.common import MAX_LABELS, WORKER_CACHES, only_caches_of, ship, stage
 
 SEQUENCE = 4096
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Words of a generation that a worker remembers with their ids (a cache;
 #: results are the same without it).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
 #: Rows of (task, source) sums that are broadcast; more of them are joined.
 BROADCAST_ROWS = 500_000
 TOKENISE_ROWS = 512
@@ -117,23 +117,17 @@ class WordTokenizer:
         words = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known
-        flat = [w for ws in words for w in ws]
-        ids = list(map(self.known.get, flat))
-        new = [i for i, x in enumerate(ids) if x is None]
-        if new:
-            self._learn({flat[i] for i in new})
-            for i in new:
-                ids[i] = self.known[flat[i]]
-        out, at = [], 0
-        for ws in words:
-            out.append(b"".join(ids[at:at + len(ws)]))
-            at += len(ws)
-        return out
+        self._learn(set().union(*words).difference(self.known))
+        known = self.known.__getitem__
+        return [b"".join(map(known, ws)) for ws in words]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
+WORKER_CACHES["packing"] = _TOKENIZERS.clear
+
+
 def tokenizer(name: str) -> WordTokenizer:
     """One for each Python worker, which serves many tasks."""
     if name not in _TOKENIZERS:
@@ -150,6 +144,7 @@ def tokenise(docs: DataFrame, name: str = TOKENIZER, end_id: int = END_ID) -> Da
     ship(docs.sparkSession)
 
     def encoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_caches_of("packing")
         tok, part = tokenizer(name), TaskContext.get().partitionId()
         end = np.array([end_id], tok.kind).tobytes()
         at: dict[str | None, int] = {}
