@@ -15,6 +15,10 @@ gives every source its exact total at the end, and lets a task that knows
 where its documents stand in their queues find their windows and offsets by
 itself. The deficits thus pass over partitions without a sequential step.
 
+With schedules the proportions change along the sequences: training time is
+cut into steps, and what the schedules ask for between two of them is a phase
+of its own. Queues then follow a given order instead of that of the scan.
+
 Two passes: texts are tokenised once and written with their place in the
 queue of their own task; token sums of (task, source) give each task's place
 in the queues; the second pass cuts pieces.
@@ -28,10 +32,10 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carledger.llm.common import MAX_LABELS, WORKER_CACHES, only_caches_of, ship, stage
+from carledger.llm.common import MAX_LABELS, WORKER_CACHES, bounded, only_caches_of, ship, sized_parts, stage
 
 SEQUENCE = 4096
 TOKENIZER = "word_bpe_49k.json"
@@ -42,6 +46,8 @@ CACHE_WORDS = 350_000
 #: Rows of (task, source) sums that are broadcast; more of them are joined.
 BROADCAST_ROWS = 500_000
 TOKENISE_ROWS = 512
+#: Steps of training time within which proportions hold still.
+STEPS = 1024
 
 
 class WordTokenizer:
@@ -135,12 +141,13 @@ def tokenizer(name: str) -> WordTokenizer:
     return _TOKENIZERS[name]
 
 
-TOKENS = "doc_id long, source string, part int, place long, n long, ids binary"
+TOKENS = "doc_id long, source string, h long, part int, place long, n long, ids binary"
 
 
-def tokenise(docs: DataFrame, name: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """One written row for each document: its ids with ``end_id``, its task,
-    and its place among the task's tokens of its source."""
+def tokenise(docs: DataFrame, name: str = TOKENIZER, end_id: int = END_ID, order: Column | None = None) -> DataFrame:
+    """One written row for each document: its ids with ``end_id``, its
+    ``order``, its task, and its place among the task's tokens of its
+    source."""
     ship(docs.sparkSession)
 
     def encoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,18 +159,19 @@ def tokenise(docs: DataFrame, name: str = TOKENIZER, end_id: int = END_ID) -> Da
             for i in range(0, batch.num_rows, TOKENISE_ROWS):
                 b = batch.slice(i, TOKENISE_ROWS)
                 sources = b.column(1).to_pylist()
-                ids = [x + end for x in tok.encode_batch(b.column(2).to_pylist())]
+                ids = [x + end for x in tok.encode_batch(b.column(3).to_pylist())]
                 n = [len(x) // len(end) for x in ids]
                 place = []
                 for s, k in zip(sources, n):
                     place.append(at.get(s, 0))
                     at[s] = place[-1] + k
                 yield pa.record_batch([
-                    b.column(0), pa.array(sources, pa.string()), pa.array([part] * len(n), pa.int32()),
+                    b.column(0), pa.array(sources, pa.string()), b.column(2), pa.array([part] * len(n), pa.int32()),
                     pa.array(place, pa.int64()), pa.array(n, pa.int64()),
                     pa.array(ids, pa.binary())],
-                    names=["doc_id", "source", "part", "place", "n", "ids"])
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
+                    names=["doc_id", "source", "h", "part", "place", "n", "ids"])
+    h = (F.lit(None) if order is None else order).cast("long").alias("h")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), h, "text")
     return stage(rows.mapInArrow(encoded, TOKENS), "tokens")
 
 
@@ -187,6 +195,25 @@ def phases(totals: Sequence[int], weights: Sequence[float]) -> list[list[int]]:
     return out
 
 
+def scheduled(totals: Sequence[int], schedules: Sequence, steps: int = STEPS) -> list[list[int]]:
+    """Tokens of each source in each step of training time: its total times
+    what its schedule's integral grows by (knots as in ``mixing``). Sources
+    without a schedule come last, in proportion to what they hold."""
+    times = np.unique([k / steps for k in range(steps + 1)] + [t for s in schedules if s for t, _ in s])
+    out = np.zeros((len(times), len(totals)), object)
+    for i, (n, knots) in enumerate(zip(totals, schedules)):
+        if knots:
+            t, w = np.array(knots, float).T
+            area = np.concatenate([[0.0], np.cumsum(np.diff(t) * (w[1:] + w[:-1]) / 2)])
+            k = np.clip(np.searchsorted(t, times, "right") - 1, 0, len(t) - 2)
+            x = times - t[k]
+            share = (area[k] + w[k] * x + (w[k + 1] - w[k]) / (t[k + 1] - t[k]) * x * x / 2) / area[-1]
+            out[:, i] = [min(n, max(0, int(n * float(y)))) for y in np.maximum.accumulate(share)]
+            out[-1, i] = n
+    plan = np.diff(out, axis=0).tolist()
+    return [p for p in [*plan, [0 if s else n for n, s in zip(totals, schedules)]] if any(p)]
+
+
 class RoundRobin:
     """Tokens of each source among the first n tokens served, and the
     boundaries of sequences."""
@@ -197,6 +224,14 @@ class RoundRobin:
         self.total = sum(map(sum, plan))
         # Products of two token counts must be exact.
         self.kind = np.int64 if self.total < 3_000_000_000 else object
+        held = np.array(plan, self.kind).reshape(len(plan), self.sources)
+        none = np.zeros((1, self.sources), self.kind)
+        #: Of each phase: tokens of each source before it, sums over its
+        #: sources, its first token and its last.
+        self.before = np.concatenate([none, np.cumsum(held, axis=0)])
+        self.sums = np.concatenate([np.zeros((len(plan), 1), self.kind), np.cumsum(held, axis=1)], axis=1)
+        self.ends = np.cumsum(self.sums[:, -1])
+        self.starts = self.ends - self.sums[:, -1]
         full = self.total // length
         tail, at = [], full * length
         for bit in reversed(range(length.bit_length())):
@@ -211,64 +246,92 @@ class RoundRobin:
     def sequences(self) -> int:
         return self.full + len(self.tail)
 
-    def bound(self, w: int) -> int:
-        """Tokens served before sequence w."""
-        return w * self.length if w <= self.full else self.tail[min(w, self.sequences) - self.full - 1]
+    def bound(self, w):
+        """Tokens served before sequence w (a number or an array)."""
+        w = np.minimum(np.array(w, self.kind), self.sequences)
+        tail = np.array([self.full * self.length, *self.tail], self.kind)
+        return np.where(w <= self.full, w * self.length, tail[np.maximum(w - self.full, 0).astype(np.int64)])[()]
 
     def served(self, n) -> np.ndarray:
         """(len(n), sources): tokens of each source among the first n."""
-        n = np.array(n, self.kind)
+        n = np.minimum(np.maximum(np.array(n, self.kind), 0), self.total)
         out = np.zeros((len(n), self.sources), self.kind)
-        start = 0
-        for totals in self.plan:
-            size = sum(totals)
-            sums = [0]
-            for t in totals:
-                sums.append(sums[-1] + t)
-
-            def split(k, lo, hi):
-                if hi - lo == 1:
-                    out[:, lo] += k
-                    return
-                mid, whole = (lo + hi) // 2, sums[hi] - sums[lo]  # noqa: B023
-                a = k * (sums[mid] - sums[lo]) // whole if whole else k * 0  # noqa: B023
-                split(a, lo, mid)
-                split(k - a, mid, hi)
-            split(np.minimum(np.maximum(n - start, 0), size), 0, len(totals))
-            start += size
+        if not self.total:
+            return out
+        phase = np.minimum(np.searchsorted(self.ends, n), len(self.plan) - 1)
+        sums = self.sums[phase]
+        out += self.before[phase]
+
+        def split(k, lo, hi):
+            if hi - lo == 1:
+                out[:, lo] += k
+                return
+            mid, whole = (lo + hi) // 2, sums[:, hi] - sums[:, lo]
+            a = k * (sums[:, mid] - sums[:, lo]) // np.maximum(whole, 1)
+            split(a, lo, mid)
+            split(k - a, mid, hi)
+        split(n - self.starts[phase], 0, self.sources)
         return out
 
-    def sequence_of(self, source: int, place: int) -> int:
-        """The sequence that holds a token of a source's queue."""
-        lo, hi = 0, self.sequences - 1
-        while lo < hi:
+    def own(self, source: int, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens served before each sequence w: of the source, and of the
+        sources before it."""
+        c = self.served(self.bound(w))
+        return c[:, source].astype(np.int64), c[:, :source].sum(axis=1).astype(np.int64)
+
+    def sequences_of(self, source: int, place: np.ndarray) -> np.ndarray:
+        """The sequences that hold tokens of a source's queue."""
+        lo, hi = np.zeros(len(place), np.int64), np.full(len(place), self.sequences - 1)
+        while (lo < hi).any():
             mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if self.served([self.bound(mid)])[0, source] <= place else (lo, mid - 1)
+            here = self.own(source, mid)[0] <= place
+            lo, hi = np.where(here, mid, lo), np.where(here, hi, mid - 1)
         return lo
 
     def cut(self, source: int, place: np.ndarray, n: np.ndarray):
-        """Pieces of documents that follow each other in a source's queue:
+        """Pieces of documents of a source by their places in its queue:
         (document, start, length, sequence, offset) arrays."""
-        first = self.sequence_of(source, int(place.min()))
-        last = self.sequence_of(source, int((place + n).max()) - 1)
-        c = self.served([self.bound(w) for w in range(first, last + 2)])
-        own = c[:, source].astype(np.int64)
-        offset = (c[1:, :source] - c[:-1, :source]).sum(axis=1).astype(np.int64) if source else np.zeros(len(c) - 1, np.int64)
-        a = np.searchsorted(own, place, "right") - 1
-        b = np.searchsorted(own, place + n, "left")
-        doc = np.repeat(np.arange(len(n)), b - a)
-        w = np.arange(len(doc)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
-        start = np.maximum(place[doc], own[w])
-        length = np.minimum(place[doc] + n[doc], own[w + 1]) - start
+        first, last = np.split(self.sequences_of(source, np.concatenate([place, place + n - 1])), 2)
+        k = last - first + 1
+        doc = np.repeat(np.arange(len(n)), k)
+        w = np.arange(len(doc)) - np.repeat(np.cumsum(k) - k - first, k)
+        (own, others), (own_end, others_end) = self.own(source, w), self.own(source, w + 1)
+        start = np.maximum(place[doc], own)
+        length = np.minimum(place[doc] + n[doc], own_end) - start
         some = length > 0
-        return tuple(x[some] for x in (doc, start - place[doc], length, w + first, offset[w] + start - own[w]))
+        return tuple(x[some] for x in (doc, start - place[doc], length, w, others_end - others + start - own))
 
 
 PIECES = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+def in_order(tokens: DataFrame) -> DataFrame:
+    """``tokens`` with their places in the queues of their sources: by round,
+    then by the unsigned hash ``h``, then id. The k-th row with the same
+    source, id and hash belongs to round k; texts without ids are all in the
+    first. As in ``mixing``, a queue is cut by hash into about sqrt(n)
+    buckets, whose sums are added up first."""
+    buckets = max(1, int(tokens.count() ** 0.5))
+    bucket = F.floor((F.shiftrightunsigned("h", 11).cast("double") * F.lit(2.0 ** -53)) * buckets).cast("long")
+    copy = F.row_number().over(Window.partitionBy("source", "bucket", "h", "doc_id").orderBy("n")) - 1
+
+    def rounds(t: DataFrame) -> DataFrame:
+        # One shuffle serves both windows.
+        dealt = t.withColumn("bucket", bucket).repartition(sized_parts(t), "source", "bucket")
+        return dealt.withColumn("part", (F.when(F.col("n") > 1, copy).otherwise(0) * F.lit(buckets) + F.col("bucket")).cast("long"))
+    sums = rounds(tokens.select("source", "h", "doc_id", "n")).groupBy("source", "part").agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = bounded(stage(sums.select(F.col("source").alias("_source"), F.col("part").alias("_part"),
+                                      F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base")), "places"))
+    before = (Window.partitionBy("source", "bucket", "part").orderBy(F.shiftrightunsigned("h", 1), "h", "doc_id")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    placed = rounds(tokens).withColumn("place", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return (placed.join(bases, (placed["part"] == bases["_part"]) & placed["source"].eqNullSafe(bases["_source"]))
+            .withColumn("place", F.col("_base") + F.col("place")))
+
+
 def pack(docs: DataFrame, weights: dict | None = None, length: int = SEQUENCE, name: str = TOKENIZER,
-         end_id: int = END_ID) -> DataFrame:
+         end_id: int = END_ID, schedules: dict | None = None, order: Column | None = None) -> DataFrame:
     """Pieces of all documents (doc_id, source, text; others are ignored):
     where each lies in its document (start, length) and in its sequence
     (sequence_id, offset), and its ids (little-endian unsigned 32-bit).
@@ -276,27 +339,37 @@ def pack(docs: DataFrame, weights: dict | None = None, length: int = SEQUENCE, n
     ``weights``: target proportions by source; without them those of the
     tokens there are, so that all queues end together. With them, a source
     that is used up leaves its share to the others; sources without weight
-    come last. Sequences have ``length`` tokens, the last few powers of two,
+    come last. ``schedules`` (source to knots, as in ``mixing``) instead lets
+    proportions follow training time, which runs over the sequences; within
+    one of STEPS steps of it they hold still. ``order``: a 64-bit hash that
+    orders every queue as ``mixing.allocate`` does, further copies of a row
+    in further rounds; without it queues follow the scan. Sequences have ``length`` tokens, the last few powers of two,
     so none is padded. Null and empty texts are the end id alone; a null
     source is one more source; repeated rows are packed each; an empty table
     gives no pieces. At most MAX_LABELS sources; their totals are the only
     thing that the driver reads."""
-    tokens = tokenise(docs, name, end_id)
+    tokens = tokenise(docs, name, end_id, order)
     sums = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
-    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    places = stage(sums.select(F.col("source").alias("_source"), F.col("part").alias("_part"), "n",
-                               F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base")), "places")
-    totals = {r["_source"]: int(r["n"]) for r in places.groupBy("_source").agg(F.sum("n").alias("n"))
+    totals = {r["source"]: int(r["n"]) for r in sums.groupBy("source").agg(F.sum("n").alias("n"))
               .limit(MAX_LABELS + 1).collect()}
     if len(totals) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} sources")
     names = sorted(totals, key=lambda s: (s is None, s or ""))
     held = [totals[s] for s in names]
-    plan = phases(held, [weights.get(s, 0.0) for s in names]) if weights else [held] if held else []
-    bases = places.drop("n")
-    if bases.count() <= BROADCAST_ROWS:
-        bases = F.broadcast(bases)
-    placed = tokens.join(bases, (tokens["part"] == bases["_part"]) & tokens["source"].eqNullSafe(bases["_source"]))
+    if schedules:
+        plan = scheduled(held, [schedules.get(s) for s in names])
+    else:
+        plan = phases(held, [weights.get(s, 0.0) for s in names]) if weights else [held] if held else []
+    if order is None:
+        earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        bases = stage(sums.select(F.col("source").alias("_source"), F.col("part").alias("_part"),
+                                  F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base")), "places")
+        if bases.count() <= BROADCAST_ROWS:
+            bases = F.broadcast(bases)
+        placed = (tokens.join(bases, (tokens["part"] == bases["_part"]) & tokens["source"].eqNullSafe(bases["_source"]))
+                  .withColumn("place", F.col("_base") + F.col("place")))
+    else:
+        placed = in_order(tokens)
     number = {s: i for i, s in enumerate(names)}
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,16 +378,15 @@ def pack(docs: DataFrame, weights: dict | None = None, length: int = SEQUENCE, n
             size = np.array(batch.column("n"))
             place = np.array(batch.column("place"))
             sources = batch.column("source").to_pylist()
-            key = np.array(batch.column("part"), np.int64) * len(names) + np.array([number[s] for s in sources])
-            order = np.argsort(key, kind="stable")
-            for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-                if not len(rows):
+            key = np.array([number[s] for s in sources])
+            order = np.lexsort((place, key))
+            for own in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+                if not len(own):
                     continue
-                own = rows[np.argsort(place[rows], kind="stable")]
                 k = number[sources[own[0]]]
                 for i in range(0, len(own), 512):
                     yield _pieces(batch, own[i:i + 512], robin.cut(k, place[own[i:i + 512]], size[own[i:i + 512]]))
-    out = placed.select("doc_id", "source", "part", (F.col("_base") + F.col("place")).alias("place"), "n", "ids")
+    out = placed.select("doc_id", "source", "place", "n", "ids")
     return out.mapInArrow(cut, PIECES)
 
 
@@ -338,7 +410,7 @@ def assemble(pieces: DataFrame) -> DataFrame:
         whole, F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, **how) -> DataFrame:
     """Per piece, with the checksum of its ids instead of them."""
-    return pack(docs.select("doc_id", "source", "text")).select(
+    return pack(docs.select("doc_id", "source", "text"), **how).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")

@@ -4,12 +4,17 @@ Each stage takes all that the one before has kept and its decisions take
 effect: documents without a certain language go, repeated passages are cut
 out, one of each group of near-duplicates stays, sources are repeated or
 thinned to their target weights in the order of training, and what is left
-is packed. All stages but the last return the columns of ``documents``.
+is packed in that order, the shares of sources following the curriculum over
+the sequences. All stages but the last return the columns of ``documents``.
+
+The curriculum is one of the corpus's own sources: a source that a stage
+empties does not move the weights of others, so mixing and packing agree.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from carledger.llm import langid, linededup, mixing, ngram_join, packing
 from carledger.llm.common import stage, table
@@ -27,12 +32,18 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     return ngram_join.keep_one(docs)
 
 
+def curriculum(spark: SparkSession, sf_dir: str) -> dict:
+    names = [r["source"] for r in table(spark, sf_dir, "documents").select("source").distinct().collect()]
+    return mixing.curriculum(sorted(names, key=lambda s: (s is None, s or "")))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, schedules=mixing.curriculum)
+    return mixing.mix(docs, schedules=curriculum(spark, sf_dir))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs)
+    # The order of the mixing stage's queues, found again from its rows.
+    return packing.packed(docs, schedules=curriculum(spark, sf_dir), order=F.xxhash64("doc_id", "text"))
 
 
 STAGES = [

@@ -157,3 +157,47 @@ def test_mix_rows(spark):
     assert n["a"] == 30 and n["b"] == 10
     assert mixing.mix(rows.limit(0), weights={"a": 1.0}).count() == 0
     assert mixing.allocation(rows.limit(0)).count() == 0
+
+
+def test_packing_keeps_the_order_of_training(spark):
+    """Mixed rows, dealt anew, come out of packing in the order of training:
+    heavy sources fall off over the sequences, queues keep their order."""
+    from pyspark.sql import functions as F
+    rng = random.Random(12)
+    docs = [(i, " ".join(rng.choice(("red", "blue", "green")) for _ in range(rng.randint(20, 60))), "abc"[i % 3]) for i in range(600)]
+    rows = spark.createDataFrame(docs + [(None, None, "a"), (None, None, "a"), (1000, "", "c")], DOC)
+    plans = mixing.curriculum(["a", "b", "c"])
+    mixed = mixing.mix(rows, schedules=plans)
+    pieces = packing.packed(mixed.repartition(7), schedules=plans, order=F.xxhash64("doc_id", "text")).collect()
+    got = defaultdict(Counter)
+    for r in pieces:
+        got[r["sequence_id"]][r["source"]] += r["length"]
+    assert sum(map(lambda c: sum(c.values()), got.values())) == sum(len((r["text"] or "").split()) + 1 for r in mixed.collect())
+    last = max(k for k, c in got.items() if sum(c.values()) == packing.SEQUENCE)
+    share = lambda w, s: got[w][s] / sum(got[w].values())
+    assert last >= 4 and share(0, "a") > share(last, "a") + 0.1 and share(0, "c") < share(last, "c") - 0.05
+    whole = [sum(got[w][s] for w in got) for s in "abc"]
+    for w in range(last + 1):
+        # Tokens up to here are the integral of the schedules.
+        upto = [sum(got[v][s] for v in range(w + 1)) for s in "abc"]
+        t = np.linspace(0, 1, 4001)
+        area = [n * (k[0][1] * t + (k[1][1] - k[0][1]) * t * t / 2) / mixing.schedule_area(k) for n, k in zip(whole, plans.values())]
+        at = np.searchsorted(np.sum(area, axis=0), sum(upto))
+        assert all(abs(area[i][min(at, 4000)] - upto[i]) < 20 for i in range(3))
+    # A document's copies begin in the order of their training positions.
+    begin = defaultdict(list)
+    for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])):
+        if r["start"] == 0 and r["doc_tokens"] > 1:
+            begin[r["source"]].append(r["doc_id"])
+    want = defaultdict(list)
+    for r in mixing.allocate(rows, schedules=plans).collect():
+        if r["size"]:
+            want[r["row"]["source"]] += [(p, r["row"]["doc_id"]) for p in r["positions"]]
+    assert dict(begin) == {s: [i for _, i in sorted(v)] for s, v in want.items()}
+
+
+def test_phases_of_schedules():
+    plan = packing.scheduled([1000, 10 ** 12, 77, 0], [((0, 1), (0.5, 0), (1, 0)), ((0, 1), (1, 3)), None, ((0, 1), (1, 1))])
+    assert [sum(p[i] for p in plan) for i in range(4)] == [1000, 10 ** 12, 77, 0] and plan[-1] == [0, 0, 77, 0]
+    assert all(n >= 0 for p in plan for n in p)
+    assert packing.scheduled([], []) == []
