@@ -330,7 +330,8 @@ def _near(n: str, m: str):
 
 def components(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text; others are ignored):
-    doc_id, h (hash of id and text), n_shingles, component_id.
+    doc_id, h (hash of id and text), n_shingles, component_id, component
+    (an internal key of the component, never null).
 
     Null and empty texts have an empty set, link with nothing and are their
     own component. Rows with equal sets are one class; a null doc_id is
@@ -359,12 +360,14 @@ def components(docs: DataFrame) -> DataFrame:
     if names is not None:
         classes = classes.join(names, "node", "left").withColumn("root", F.coalesce("root", "node"))
         lowest = stage(classes.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
-        classes = stage(classes.join(lowest, "root").select("sig", "component_id"), "class-components")
+        classes = stage(classes.join(lowest, "root").select("sig", "component_id", F.col("root").alias("component")),
+                        "class-components")
     else:
-        classes = classes.select("sig", F.col("least").alias("component_id"))
+        classes = classes.select("sig", F.col("least").alias("component_id"), F.col("node").alias("component"))
     out = rows.join(classes.withColumnRenamed("sig", "_sig"), F.col("sig") == F.col("_sig"), "left")
     return out.select("doc_id", "h", F.col("n").cast("long").alias("n_shingles"),
-                      F.coalesce("component_id", "doc_id").alias("component_id"))
+                      F.coalesce("component_id", "doc_id").alias("component_id"),
+                      F.coalesce("component", "ref").alias("component"))
 
 
 def _linkable(posted: DataFrame) -> DataFrame:
@@ -529,12 +532,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the
     row with the smallest doc_id stays (of equal ids the one with the least
     hash of id and text); rows equal in id and text count once. Documents
-    without words all stay."""
+    without words all stay. Components are told apart by an internal key, as
+    those without any id have no name."""
     found = stage(components(docs), "components")
     own = F.struct(F.coalesce("doc_id", F.lit(2 ** 63 - 1)).alias("i"), "h", "doc_id")
     full = found.filter("n_shingles > 0")
-    first = stage(full.groupBy("component_id").agg(F.min(own).alias("first")), "first")
-    joined = full.join(first.withColumnRenamed("component_id", "_c"), F.col("component_id").eqNullSafe(F.col("_c")))
+    first = stage(full.groupBy("component").agg(F.min(own).alias("first")), "first")
+    joined = full.join(first, "component")
     gone = joined.filter(F.col("h") != F.col("first.h")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"),
                        F.xxhash64("doc_id", "text").alias("h"))

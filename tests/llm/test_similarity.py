@@ -77,6 +77,22 @@ def test_ngram_join_without_rows_or_links(spark):
     assert sorted(tuple(r) for r in ngram_join.groups(alone).collect()) == [(1, 0, 1), (2, 0, 2), (3, 1, 3)]
 
 
+@pytest.mark.parametrize("linked", [True, False])
+def test_keep_one_of_documents_without_id(spark, linked):
+    text = lambda k, n=30: " ".join(f"w{k}x{i}" for i in range(n))
+    docs = [(None, text(k)) for k in range(8)] + [(None, text(0)), (None, None), (None, ""), (7, text(20)), (8, text(21))]
+    want = [text(k) for k in range(8)] + [None, "", text(20), text(21)]
+    if linked:
+        # A near copy without id of one without id, and of one with an id.
+        docs += [(None, text(30, 60)), (None, text(30, 58)), (9, text(40, 60)), (None, text(40, 58))]
+        want += [text(40, 60)]
+    kept = [r["text"] for r in ngram_join.keep_one(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()]
+    if linked:
+        assert len({text(30, 60), text(30, 58)} & set(kept)) == 1
+        kept = [t for t in kept if t not in (text(30, 60), text(30, 58))]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 def test_prefixes_share_enough():
     """Every linked pair shares the shingles that the pair rule asks for,
     whatever the levels."""
