@@ -138,6 +138,31 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def numbered(df: DataFrame, by: list[Column], value: str) -> DataFrame:
+    """A written table: ``df`` with its row number ``_i`` in the order of
+    ``by``, from 0, and ``_before``, the sum of ``value`` over all earlier
+    rows. Only the sums of the sorted partitions meet in one task."""
+    def written(t: DataFrame) -> DataFrame:
+        return stage(t, "numbered")
+    rows = written(df.repartitionByRange(sized_parts(df), *by).sortWithinPartitions(*by)
+                   .withColumn("_id", F.monotonically_increasing_id()))
+    part, row = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit(2 ** 33 - 1))
+    rows = rows.withColumn("_part", part)
+    sums = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("k"), F.sum(value).alias("v"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_part", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("_k"),
+                         F.coalesce(F.sum("v").over(earlier), F.lit(0)).alias("_v"))
+    own = Window.partitionBy("_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    return written(rows.withColumn("_own", F.coalesce(F.sum(value).over(own), F.lit(0))).join(F.broadcast(starts), "_part")
+                   .withColumn("_i", (F.col("_k") + row).cast("long")).withColumn("_before", (F.col("_v") + F.col("_own")).cast("long"))
+                   .drop("_id", "_part", "_own", "_k", "_v"))
+
+
+def by_name(source: str = "source") -> list[Column]:
+    """The order of sources: code points, null last."""
+    return [F.col(source).isNull(), F.col(source)]
+
+
 def batches(it: Iterator, rows: int) -> Iterator:
     """Arrow batches cut to at most ``rows`` rows."""
     for b in it:

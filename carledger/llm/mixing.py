@@ -22,10 +22,12 @@ data. Everything here is Spark's own functions.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carledger.llm.common import MAX_LABELS, WORD, stage
+from carledger.llm.common import WORD, bounded, by_name, numbered, stage
 
 #: Knots of a constant weight of one.
 CONSTANT = ((0.0, 1.0), (1.0, 1.0))
@@ -82,12 +84,60 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _source_of(name: Column, values: dict, default) -> Column:
-    """A constant of each source by name (null included), as one expression."""
-    out = F.lit(default)
-    for k, v in values.items():
-        out = F.when(name.eqNullSafe(F.lit(k)), v).otherwise(out)
-    return out
+@dataclass
+class Schedules:
+    """Knots of each kind of schedule, and a table (source, kind) of the
+    sources that have one, however many they are."""
+    knots: list
+    table: DataFrame
+
+
+def schedules_of(sources: DataFrame, schedules=None, weights=None) -> Schedules:
+    """``schedules`` and ``weights`` as in ``allocate``; ``sources``: a table
+    of all sources. A function with ``cycle`` repeats it over the sources in
+    Spark; any other gets the names, which then come to the driver."""
+    if isinstance(schedules, Schedules):
+        return schedules
+    if callable(schedules) and hasattr(schedules, "cycle") and not weights:
+        rows = numbered(sources.select("source").distinct().withColumn("_one", F.lit(1)), by_name(), "_one")
+        kinds = [checked(k) for k in schedules.cycle]
+        return Schedules(kinds, rows.select("source", (F.col("_i") % len(kinds)).cast("int").alias("kind")))
+    if callable(schedules):
+        names = [r["source"] for r in sources.select("source").distinct().collect()]
+        schedules = schedules(sorted(names, key=lambda s: (s is None, s or "")))
+    plans = {s: checked(k) for s, k in (schedules or {}).items()}
+    plans |= {s: ((0.0, float(w)), (1.0, float(w))) for s, w in (weights or {}).items() if w > 0}
+    kinds = list(dict.fromkeys(plans.values()))
+    number = {k: i for i, k in enumerate(kinds)}
+    return Schedules(kinds, sources.sparkSession.createDataFrame([(s, number[k]) for s, k in plans.items()], "source string, kind int"))
+
+
+def by_kind(values: list, default) -> Column:
+    """A constant of each kind of schedule."""
+    if not values:
+        return F.lit(default)
+    return F.coalesce(F.element_at(F.array(*[F.lit(v) for v in values]), F.col("kind") + 1), F.lit(default))
+
+
+def with_targets(sources: DataFrame, plans: Schedules, total_share: float, max_epochs: float) -> DataFrame:
+    """``sources`` (source, size) with kind, weight and target, as
+    ``targets`` has them: a source is full if its share exceeds what it
+    holds; rounds raise the share of a unit of weight by what full sources
+    leave, until none becomes full. Each is one aggregate."""
+    t = sources.join(bounded(plans.table.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    t = stage(t.withColumn("weight", by_kind([schedule_area(k) for k in plans.knots], 0.0)), "weights")
+    total = total_share * float(t.agg(F.sum("size")).first()[0] or 0)
+    free = (F.col("size") > 0) & (F.col("weight") > 0)
+    most = (F.lit(max_epochs) * F.col("size")).cast("double")
+    unit, known = 0.0, -1
+    while True:
+        full = free & (F.col("weight") * F.lit(unit) > most)
+        r = t.agg(F.count_if(full).alias("n"), F.sum(F.when(full, most)).alias("taken"),
+                  F.sum(F.when(free & ~full, F.col("weight"))).alias("weight")).first()
+        if r["n"] == known or not r["weight"] or total <= 0:
+            break
+        known, unit = r["n"], (total - (r["taken"] or 0.0)) / r["weight"]
+    return t.withColumn("target", F.when(~free | F.lit(total <= 0), 0.0).otherwise(F.least(F.col("weight") * F.lit(unit), most)))
 
 
 def allocate(docs: DataFrame, schedules=None, weights=None, total_share: float = 1.0, max_epochs: int = 3,
@@ -97,8 +147,8 @@ def allocate(docs: DataFrame, schedules=None, weights=None, total_share: float =
     time for each copy that the mix takes, ascending) and taken (words).
 
     ``schedules`` maps a source (None for null) to knots, or is a function
-    from the sources in order of code points, null last, to such a map;
-    ``weights`` is the short form for constant ones. Missing sources weigh
+    from the sources in order of code points, null last, to such a map, or
+    is Schedules; ``weights`` is the short form for constant ones. Missing sources weigh
     nothing. ``total_share``: the mix's size as a share of all words. ``size``
     and ``order`` (words of a row, and the 64-bit hash that orders a queue)
     are computed from the text unless given, for rows that come without it.
@@ -106,25 +156,16 @@ def allocate(docs: DataFrame, schedules=None, weights=None, total_share: float =
     Null texts and texts without words have size 0: they are taken once,
     for no words, at the place of their hash. Rows of a source are ordered
     by the hash of id and text, then id, so reruns agree; repeated rows
-    follow each other and swap freely. The sources (at most MAX_LABELS) are
-    collected to the driver, nothing else."""
+    follow each other and swap freely. Sizes, targets and kinds of schedules
+    of the sources are a table that is joined."""
     rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"),
                        (word_count(F.col("text")) if size is None else size).cast("long").alias("size"),
                        (F.xxhash64("doc_id", "text") if order is None else order).alias("h"),
                        F.col("doc_id").alias("id"))
-    by_source = {r["source"]: (r["size"], r["n"]) for r in rows.groupBy("source")
-                 .agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_LABELS + 1).collect()}
-    if len(by_source) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} sources")
-    names = sorted(by_source, key=lambda s: (s is None, s or ""))
-    if callable(schedules):
-        schedules = schedules(names)
-    plans = {s: checked(k) for s, k in (schedules or {}).items()}
-    plans |= {s: ((0.0, float(w)), (1.0, float(w))) for s, w in (weights or {}).items() if w > 0}
-    sizes = {s: int(by_source[s][0] or 0) for s in names}
-    goal = dict.fromkeys(names, 0.0) | targets({s: sizes[s] for s in names if s in plans}, plans,
-                                               total_share * sum(sizes.values()), max_epochs)
-    buckets = max(1, int(sum(n for _, n in by_source.values()) ** 0.5))
+    held = stage(rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "sources")
+    plans = schedules_of(held, schedules, weights)
+    sources = stage(with_targets(held, plans, total_share, max_epochs), "targets")
+    buckets = max(1, int((held.agg(F.sum("n")).first()[0] or 0) ** 0.5))
     bucket = F.floor((F.shiftrightunsigned("h", 11).cast("double") * F.lit(2.0 ** -53)) * buckets).cast("long")
 
     per_bucket = (rows.select("source", "size", bucket.alias("bucket")).groupBy("source", "bucket")
@@ -140,16 +181,19 @@ def allocate(docs: DataFrame, schedules=None, weights=None, total_share: float =
     placed = (queue.join(starts, queue["source"].eqNullSafe(starts["s"]) & (queue["bucket"] == starts["b"]), "left")
               .select("row", "source", "size", (F.col("start") + F.col("within")).alias("at")))
 
-    own = lambda v, d: _source_of(F.col("source"), v, d)
-    placed = placed.select("*", own({s: F.lit(n) for s, n in sizes.items()}, 0).cast("long").alias("source_size"),
-                           own({s: F.lit(x) for s, x in goal.items()}, 0.0).alias("target"))
+    own = bounded(sources.select(F.col("source").alias("_s"), F.col("size").cast("long").alias("source_size"), "target", "kind"))
+    placed = placed.join(own, placed["source"].eqNullSafe(own["_s"])).drop("_s")
     middle = lambda epoch: F.col("at") + epoch * F.col("source_size") + F.col("size") / 2
     in_mix = lambda epoch: F.when(
         F.col("source_size") == 0, epoch == 0).otherwise(
         (F.col("target") > 0) & ((middle(epoch) < F.col("target")) & ((F.col("size") > 0) | (epoch == 0))))
     demand = lambda epoch: F.when(F.col("target") > 0, F.least(
         middle(epoch) / F.col("target"), F.lit(1.0))).otherwise(F.lit(0.0))
-    times = lambda epoch: own({s: position(demand(epoch), k) for s, k in plans.items()}, 0.0)
+    def times(epoch: Column) -> Column:
+        out = F.lit(0.0)
+        for i, k in enumerate(plans.knots):
+            out = F.when(F.col("kind") == i, position(demand(epoch), k)).otherwise(out)
+        return out
     epochs = F.filter(F.array(*[F.lit(i) for i in range(max_epochs)]), in_mix)
     return (placed.withColumn("positions", F.transform(epochs, times))
             .withColumn("taken", F.size("positions") * F.col("size"))
@@ -181,6 +225,10 @@ def curriculum(names: list) -> dict:
     return out
 
 
+#: The same for any number of sources, repeated over them in Spark.
+curriculum.cycle = list(curriculum(range(len(CYCLE))).values())
+
+
 def allocation(docs: DataFrame) -> DataFrame:
     """Per document: size, its source's size and target, words taken, and
     the first training position (null if not taken), sorted by it."""

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carledger.llm.common import MAX_LABELS, WORKER_CACHES, bounded, only_caches_of, ship, sized_parts, stage
+from carledger.llm import mixing
+from carledger.llm.common import WORKER_CACHES, bounded, by_name, numbered, only_caches_of, ship, sized_parts, stage
 
 SEQUENCE = 4096
 TOKENIZER = "word_bpe_49k.json"
@@ -214,8 +216,44 @@ def scheduled(totals: Sequence[int], schedules: Sequence, steps: int = STEPS) ->
     return [p for p in [*plan, [0 if s else n for n, s in zip(totals, schedules)]] if any(p)]
 
 
+class Member(NamedTuple):
+    """A source in its group: its number, the group's first number, last
+    number + 1, tokens before its first source and after its last, and the
+    tokens before each of the sources that halve the way to this one."""
+    group: int
+    number: int
+    range: tuple[int, int, int, int]
+    cuts: list[int]
+
+
+def members(totals: DataFrame) -> tuple[DataFrame, dict[int, tuple[int, int, int, int]]]:
+    """(a table of group, number and cuts of each source, ranges of groups)
+    from (source, grp, n); only the groups come to the driver."""
+    t = numbered(totals, [F.col("grp"), *by_name()], "n")
+    ranges = {r["grp"]: (r["lo"], r["hi"], r["start"], r["end"]) for r in t.groupBy("grp").agg(
+        F.min("_i").alias("lo"), (F.max("_i") + 1).alias("hi"), F.min("_before").alias("start"),
+        F.max(F.col("_before") + F.col("n")).alias("end")).collect()}
+    depth = max([hi - lo for lo, hi, _, _ in ranges.values()], default=1).bit_length() + 1
+    edges = t.groupBy(F.col("grp").alias("_g")).agg(F.min("_i").alias("lo"), (F.max("_i") + 1).alias("hi"))
+    first = F.struct(F.col("lo").alias("lo"), F.col("hi").alias("hi"), F.array().cast("array<bigint>").alias("mids"))
+
+    def halve(x: Column, _) -> Column:
+        mid = F.shiftright(x["lo"] + x["hi"], 1)
+        left = F.col("_i") < mid
+        return F.when(x["hi"] - x["lo"] > 1, F.struct(
+            F.when(left, x["lo"]).otherwise(mid).alias("lo"), F.when(left, mid).otherwise(x["hi"]).alias("hi"),
+            F.concat(x["mids"], F.array(mid)).alias("mids"))).otherwise(x)
+    mids = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), first, halve, lambda x: x["mids"])
+    steps = t.join(edges, F.col("grp") == F.col("_g")).select(F.col("_i").alias("_k"), F.posexplode(mids).alias("level", "mid"))
+    cuts = (steps.join(t.select(F.col("_i").alias("mid"), "_before"), "mid").groupBy("_k")
+            .agg(F.sort_array(F.collect_list(F.struct("level", "_before")))["_before"].alias("cuts")))
+    out = t.join(cuts, t["_i"] == cuts["_k"], "left").select(
+        F.col("source").alias("_name"), "grp", F.col("_i").alias("number"), F.coalesce("cuts", F.array().cast("array<bigint>")).alias("cuts"))
+    return stage(out, "members"), ranges
+
+
 class RoundRobin:
-    """Tokens of each source among the first n tokens served, and the
+    """Tokens of each source (or group of sources) among the first n tokens served, and the
     boundaries of sequences."""
 
     def __init__(self, plan: list[list[int]], length: int = SEQUENCE):
@@ -273,13 +311,23 @@ class RoundRobin:
         split(n - self.starts[phase], 0, self.sources)
         return out
 
-    def own(self, source: int, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def own(self, source: Member, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens served before each sequence w: of the source, and of the
-        sources before it."""
+        sources before it. What its group is served is halved on the way to
+        the source, as ``served`` does for the groups."""
         c = self.served(self.bound(w))
-        return c[:, source].astype(np.int64), c[:, :source].sum(axis=1).astype(np.int64)
+        k, others = c[:, source.group], c[:, :source.group].sum(axis=1)
+        lo, hi, start, end = source.range
+        for cut in source.cuts:
+            mid = (lo + hi) // 2
+            a = k * (cut - start) // max(end - start, 1)
+            if source.number < mid:
+                k, hi, end = a, mid, cut
+            else:
+                k, others, lo, start = k - a, others + a, mid, cut
+        return k.astype(np.int64), others.astype(np.int64)
 
-    def sequences_of(self, source: int, place: np.ndarray) -> np.ndarray:
+    def sequences_of(self, source: Member, place: np.ndarray) -> np.ndarray:
         """The sequences that hold tokens of a source's queue."""
         lo, hi = np.zeros(len(place), np.int64), np.full(len(place), self.sequences - 1)
         while (lo < hi).any():
@@ -288,7 +336,7 @@ class RoundRobin:
             lo, hi = np.where(here, mid, lo), np.where(here, hi, mid - 1)
         return lo
 
-    def cut(self, source: int, place: np.ndarray, n: np.ndarray):
+    def cut(self, source: Member, place: np.ndarray, n: np.ndarray):
         """Pieces of documents of a source by their places in its queue:
         (document, start, length, sequence, offset) arrays."""
         first, last = np.split(self.sequences_of(source, np.concatenate([place, place + n - 1])), 2)
@@ -331,7 +379,7 @@ def in_order(tokens: DataFrame) -> DataFrame:
 
 
 def pack(docs: DataFrame, weights: dict | None = None, length: int = SEQUENCE, name: str = TOKENIZER,
-         end_id: int = END_ID, schedules: dict | None = None, order: Column | None = None) -> DataFrame:
+         end_id: int = END_ID, schedules: dict | mixing.Schedules | None = None, order: Column | None = None) -> DataFrame:
     """Pieces of all documents (doc_id, source, text; others are ignored):
     where each lies in its document (start, length) and in its sequence
     (sequence_id, offset), and its ids (little-endian unsigned 32-bit).
@@ -346,20 +394,27 @@ def pack(docs: DataFrame, weights: dict | None = None, length: int = SEQUENCE, n
     in further rounds; without it queues follow the scan. Sequences have ``length`` tokens, the last few powers of two,
     so none is padded. Null and empty texts are the end id alone; a null
     source is one more source; repeated rows are packed each; an empty table
-    gives no pieces. At most MAX_LABELS sources; their totals are the only
-    thing that the driver reads."""
+    gives no pieces. Sources of one kind of schedule, or without a weight,
+    are a group whose proportions hold still; the driver reads the totals of
+    groups (with ``weights``, each source that has one is a group)."""
     tokens = tokenise(docs, name, end_id, order)
     sums = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
-    totals = {r["source"]: int(r["n"]) for r in sums.groupBy("source").agg(F.sum("n").alias("n"))
-              .limit(MAX_LABELS + 1).collect()}
-    if len(totals) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} sources")
-    names = sorted(totals, key=lambda s: (s is None, s or ""))
-    held = [totals[s] for s in names]
+    totals = stage(sums.groupBy("source").agg(F.sum("n").cast("long").alias("n")), "totals")
+    if schedules:
+        plans = mixing.schedules_of(totals, schedules)
+        kinds, knots = plans.table.select(F.col("source").alias("_s"), "kind"), plans.knots
+    else:
+        named = sorted((s for s, w in (weights or {}).items() if w > 0), key=lambda s: (s is None, s or ""))
+        kinds = docs.sparkSession.createDataFrame([(s, i) for i, s in enumerate(named)], "_s string, kind int")
+        knots = named
+    totals = totals.join(bounded(kinds), totals["source"].eqNullSafe(kinds["_s"]), "left").select(
+        "source", "n", F.coalesce("kind", F.lit(len(knots))).alias("grp"))
+    table, ranges = members(stage(totals, "groups"))
+    held = [ranges[g][3] - ranges[g][2] if g in ranges else 0 for g in range(len(knots) + 1)]
     if schedules:
-        plan = scheduled(held, [schedules.get(s) for s in names])
+        plan = scheduled(held, [*knots, None])
     else:
-        plan = phases(held, [weights.get(s, 0.0) for s in names]) if weights else [held] if held else []
+        plan = phases(held, [*(weights[s] for s in knots), 0.0])
     if order is None:
         earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         bases = stage(sums.select(F.col("source").alias("_source"), F.col("part").alias("_part"),
@@ -370,23 +425,24 @@ def pack(docs: DataFrame, weights: dict | None = None, length: int = SEQUENCE, n
                   .withColumn("place", F.col("_base") + F.col("place")))
     else:
         placed = in_order(tokens)
-    number = {s: i for i, s in enumerate(names)}
+    table = bounded(table)
+    placed = placed.join(table, placed["source"].eqNullSafe(table["_name"]))
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         robin = RoundRobin(plan, length)
         for batch in it:
             size = np.array(batch.column("n"))
             place = np.array(batch.column("place"))
-            sources = batch.column("source").to_pylist()
-            key = np.array([number[s] for s in sources])
+            key = np.array(batch.column("number"))
             order = np.lexsort((place, key))
             for own in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
                 if not len(own):
                     continue
-                k = number[sources[own[0]]]
+                group, cuts = (batch.column(c)[int(own[0])].as_py() for c in ("grp", "cuts"))
+                source = Member(group, int(key[own[0]]), ranges[group], cuts)
                 for i in range(0, len(own), 512):
-                    yield _pieces(batch, own[i:i + 512], robin.cut(k, place[own[i:i + 512]], size[own[i:i + 512]]))
-    out = placed.select("doc_id", "source", "place", "n", "ids")
+                    yield _pieces(batch, own[i:i + 512], robin.cut(source, place[own[i:i + 512]], size[own[i:i + 512]]))
+    out = placed.select("doc_id", "source", "place", "n", "ids", "grp", "number", "cuts")
     return out.mapInArrow(cut, PIECES)
 
 

@@ -32,9 +32,8 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     return ngram_join.keep_one(docs)
 
 
-def curriculum(spark: SparkSession, sf_dir: str) -> dict:
-    names = [r["source"] for r in table(spark, sf_dir, "documents").select("source").distinct().collect()]
-    return mixing.curriculum(sorted(names, key=lambda s: (s is None, s or "")))
+def curriculum(spark: SparkSession, sf_dir: str) -> mixing.Schedules:
+    return mixing.schedules_of(table(spark, sf_dir, "documents").select("source"), mixing.curriculum)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

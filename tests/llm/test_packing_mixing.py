@@ -201,3 +201,40 @@ def test_phases_of_schedules():
     assert [sum(p[i] for p in plan) for i in range(4)] == [1000, 10 ** 12, 77, 0] and plan[-1] == [0, 0, 77, 0]
     assert all(n >= 0 for p in plan for n in p)
     assert packing.scheduled([], []) == []
+
+
+def test_any_number_of_sources(spark):
+    docs = [(i, "red blue " * (1 + i % 5), f"site{i % 700:03}.org") for i in range(1500)] + [(5000, "red", None)]
+    rows = spark.createDataFrame(docs, DOC).repartition(3)
+    sizes = Counter()
+    for _, t, s in docs:
+        sizes[s] += len(t.split())
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    plans = mixing.curriculum(names)
+    want = mixing.targets(dict(sizes), {s: mixing.checked(k) for s, k in plans.items()}, sum(sizes.values()), 3)
+    got = mixing.allocate(rows, schedules=mixing.curriculum).collect()
+    assert len(got) == len(docs) and all(abs(r["target"] - want[r["row"]["source"]]) < 1e-6 for r in got)
+    tokens = Counter()
+    for _, t, s in docs:
+        tokens[s] += len(t.split()) + 1
+    for how in ({}, {"schedules": plans}):
+        pieces = packing.pack(rows, length=1024, **how).collect()
+        own, fill = Counter(), defaultdict(list)
+        for r in pieces:
+            own[r["source"]] += r["length"]
+            fill[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert own == tokens
+        for s in fill.values():
+            at = 0
+            for o, n in sorted(s):
+                assert o == at
+                at += n
+            assert at == 1024 or at & (at - 1) == 0
+    # Same halving as over a list of all sources.
+    robin = packing.RoundRobin([[tokens[s] for s in names]], 1024)
+    c = robin.served([robin.bound(w) for w in range(robin.sequences + 1)])
+    want = {(s, w): int(n) for w, row in enumerate(np.diff(c, axis=0)) for s, n in zip(names, row) if n}
+    got = Counter()
+    for r in packing.pack(rows, length=1024).collect():
+        got[r["source"], r["sequence_id"]] += r["length"]
+    assert got == want
