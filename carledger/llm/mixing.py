@@ -171,8 +171,9 @@ def allocate(docs: DataFrame, schedules=None, weights=None, total_share: float =
     per_bucket = (rows.select("source", "size", bucket.alias("bucket")).groupBy("source", "bucket")
                   .agg(F.sum("size").alias("words")))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_bucket.select(F.col("source").alias("s"), F.col("bucket").alias("b"),
-                               F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"))
+    # Broadcast if small, so that the rows with their texts are not shuffled for it.
+    starts = bounded(stage(per_bucket.select(F.col("source").alias("s"), F.col("bucket").alias("b"),
+                                             F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start")), "starts"))
     before = (Window.partitionBy("source", "bucket").orderBy("order", "h", "id")
               .rowsBetween(Window.unboundedPreceding, -1))
     # Order by the same unsigned hash that cuts the buckets.
