@@ -71,9 +71,41 @@ found AS (
 SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM found
 """
 
+PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM words, (VALUES (1), (2), (3)) t(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM grams GROUP BY lang, k, phrase),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, w, f AS a FROM f WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, x.f AS l, y.f AS r, c.cut,
+         CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM (SELECT c.*, unnest(range(1, k)) AS cut FROM candidates c) c
+  JOIN f x ON x.lang = c.lang AND x.k = c.cut AND x.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - c.cut AND y.phrase = array_to_string(c.w[c.cut + 1:], ' ')),
+scored AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS turn FROM cuts) x WHERE turn = 1),
+inner_pairs AS (
+  SELECT lang, array_to_string(w[s:s + 1], ' ') AS phrase, max(a) AS longer
+  FROM candidates, (VALUES (1), (2)) t(s) WHERE k = 3 GROUP BY ALL),
+ranked AS (
+  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank, s.phrase, s.a, s.l, s.r, s.score
+  FROM scored s LEFT JOIN inner_pairs i ON s.k = 2 AND i.lang = s.lang AND i.phrase = s.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < 50 * s.a)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, CAST(r.score AS BIGINT) AS score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
+
 ORACLES = {
     "op2_line_dedup": linededup.SQL,
     "op5_warc": WARC,
     "op6_pq_near_dedup": VECTORS,
     "op10_ngram_join": NGRAM,
+    "op13_collocations": PHRASES,
 }
