@@ -21,9 +21,11 @@ calls one by one in ``seq`` order gives:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +42,9 @@ from carledger.functions.textfn import no_empty
 from carledger.functions.timefn import MICROS_PER_DAY, micros_between, trunc_seconds
 from carledger.operators.history import HISTORY_COLS, change_note
 from carledger.plans import skew as SK
+from carledger.plans.components import connected
 from carledger.plans.joins import materialize
+from carledger.session import ship_package
 
 CAR_COLS = ["reg_num", "state_id", "color", "mark", "type", "price", "tech_serv_date"]
 CLIENT_COLS = ["pass", "name"]
@@ -223,30 +227,59 @@ def _price(cars: DataFrame, key: str, name: str) -> DataFrame:
     return cars.select(F.col("reg_num").alias(key), F.col("price").alias(name))
 
 
+#: Most calls that share clients or cars, one with the next, in one task.
+CHAIN_CALLS = 1_000_000
+
+
+def _first_come(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The seqs of calls whose key values no accepted call before has; the
+    calls of a task come in the order of seq."""
+    taken: set[tuple] = set()
+    for batch in it:
+        seqs, *keys = (batch.column(i).to_pylist() for i in range(batch.num_columns))
+        won = []
+        for seq, *values in zip(seqs, *keys):
+            own = {(k, v) for k, v in enumerate(values)}
+            if taken.isdisjoint(own):
+                taken |= own
+                won.append(seq)
+        yield pa.record_batch([pa.array(won, pa.int64())], names=["seq"])
+
+
 def greedy_unique(calls: DataFrame, keys: list[str]) -> DataFrame:
     """Calls (``seq`` + ``keys``) accepted when applied one by one in seq
     order, where a call fails if any of its key values is already taken by
-    an accepted call. Decided in rounds: a call that has the lowest seq of
-    the undecided calls for each of its key values is accepted, and
-    undecided calls sharing a key value with it are rejected. The globally
-    first undecided call is always accepted, so every round decides at
-    least one call and the loop ends; rounds are few unless calls form long
-    chains through shared keys. Each round is checkpointed."""
+    an accepted call.
+
+    Calls that share key values, directly or through others, are a
+    component; each is decided in one task in seq order, all components at
+    once, so a chain of dependent calls takes no job of its own. If one has
+    more than CHAIN_CALLS calls, the sequence is cut at quantiles of seq and
+    the parts are decided one after the other, each without the calls whose
+    values are taken by then; in a part components are smaller."""
     und = materialize(calls.select("seq", *keys))
-    won = []
-    while not und.isEmpty():
-        flag = und
-        for k in keys:
-            flag = flag.join(und.groupBy(k).agg(F.min("seq").alias(f"_m_{k}")), k)
-        win = materialize(flag.filter(reduce(lambda a, b: a & b,
-                                             [F.col("seq") == F.col(f"_m_{k}") for k in keys]))
-                          .select("seq", *keys))
-        won.append(win.select("seq"))
-        rest = und.join(win.select("seq"), "seq", "left_anti")
-        for k in keys:
-            rest = rest.join(win.select(k).distinct(), k, "left_anti")
-        und = materialize(rest)
-    return reduce(lambda a, b: a.unionByName(b), won) if won else calls.select("seq").limit(0)
+    ship_package(und.sparkSession)
+    node = lambda i: F.concat(F.lit(f"{i}:"), F.col(keys[i]).cast("string"))
+    pairs = reduce(lambda a, b: a.unionByName(b), [und.select(node(0).alias("a"), node(i).alias("b")) for i in range(1, len(keys))])
+    comps = connected(pairs).withColumnRenamed("node", "_node")
+    dealt = materialize(und.join(comps, node(0) == F.col("_node")).drop("_node"))
+    largest = dealt.groupBy("root").count().agg(F.max("count")).first()[0] or 0
+    if largest <= CHAIN_CALLS:
+        n = int(und.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return dealt.repartition(n, "root").sortWithinPartitions("seq").select("seq", *keys).mapInArrow(_first_come, "seq long")
+    parts = -(-largest // CHAIN_CALLS) + 1
+    cuts = sorted(set(und.agg(F.percentile_approx("seq", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]))
+    won, left = [], und
+    for high in [*cuts, None]:
+        part = left if high is None else left.filter(F.col("seq") <= high)
+        own = materialize(left.join(greedy_unique(part, keys), "seq", "left_semi"))
+        won.append(own.select("seq"))
+        if high is not None:
+            left = left.filter(F.col("seq") > high)
+            for k in keys:
+                left = left.join(own.select(k).distinct(), k, "left_anti")
+            left = materialize(left.select("seq", *keys))
+    return reduce(lambda a, b: a.unionByName(b), won)
 
 
 def add_orders(orders: DataFrame, cars: DataFrame, clients: DataFrame, adds: DataFrame,
@@ -269,7 +302,8 @@ def add_orders(orders: DataFrame, cars: DataFrame, clients: DataFrame, adds: Dat
              & ~F.col("_client_busy") & ~F.col("_car_busy") & (F.abs(total) < MAX_MONEY))
     a = materialize(a.withColumn("_valid", F.coalesce(valid, F.lit(False))).withColumn("total_price", total))
     ok = greedy_unique(a.filter("_valid"), ["client_pass", "car_reg_num"]).withColumn("_ok", F.lit(True))
-    a = a.join(ok, "seq", "left").withColumn("_ok", F.coalesce(F.col("_ok"), F.lit(False)))
+    # Written once for the table, the log and the rejected calls.
+    a = materialize(a.join(ok, "seq", "left").withColumn("_ok", F.coalesce(F.col("_ok"), F.lit(False))))
     acc = a.filter("_ok").select(
         "seq", "ts", (F.lit(id_offset) + F.col("seq")).cast("long").alias("id"), "client_pass",
         "car_reg_num", F.col("ts").alias("rented_at"), "returned_at", "total_price")

@@ -96,6 +96,12 @@ ORDER_UPDATES = _cmd(T.StructField("id", T.LongType(), False), _s("car_reg_num")
                      T.StructField("rented_at", TS, True), T.StructField("returned_at", TS, True))
 ORDER_DELETES = _cmd(T.StructField("id", T.LongType(), False))
 
+# Calls of all verbs in one sequence; a verb reads the arguments it has.
+JOURNAL = _cmd(_s("verb", False), _s("reg_num"), _s("color"), _s("mark"), _s("type"), T.StructField("price", MONEY, True),
+               T.StructField("state_id", T.IntegerType(), True), T.StructField("tech_serv_date", TS, True), _s("pass"),
+               _s("name"), T.StructField("id", T.LongType(), True), T.StructField("rented_at", TS, True),
+               T.StructField("returned_at", TS, True))
+
 REJECTS = T.StructType([
     T.StructField("seq", T.LongType(), False),
     T.StructField("op", T.StringType(), False),
