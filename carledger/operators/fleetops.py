@@ -111,8 +111,9 @@ class Closed(NamedTuple):
 
 def close_early(orders: DataFrame, cars: DataFrame, closes: DataFrame, v_user: str) -> Closed:
     """``closes(seq, ts, id)``: the orders leave, their cars wait again,
-    and each close writes a '1' history row (id = seq); the price stays."""
-    c = closes.select("seq", "ts", "id")
+    and each close writes a '1' history row (id = seq); the price stays. A
+    repeated call for an order finds nothing: the first in seq order counts."""
+    c = closes.groupBy("id").agg(F.min_by(F.struct("seq", "ts"), F.col("seq")).alias("c")).select("c.seq", "c.ts", "id")
     gone = orders.join(c, "id")
     hist = history_rows(gone, STATUS_CLOSED, NOTE_RETURNED, F.col("ts"), v_user, F.col("seq"))
     new_cars = _flag_cars(cars, gone.select("car_reg_num"), "_freed")

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from carledger import params as P
 from carledger.functions import fixed as X
-from carledger.oracle_sql import (
-    DAY_US, q_add, q_cents, q_hi, q_key, q_micros, q_money, q_round_ratio, q_ts, with_adapter,
-)
+from carledger.oracle_sql import q_add, q_cents, q_hi, q_key, q_micros, q_money, q_ts, with_adapter
 
 AS_OF = q_ts(P.AS_OF)
 
@@ -132,77 +130,13 @@ SELECT id * 10 + 9, rented_at + INTERVAL 1 DAY, -id, CAST(NULL AS VARCHAR), CAST
        returned_at + INTERVAL 1 DAY
 FROM ofc""",
     "od1": """
-SELECT id * 10 + 3 AS seq, rented_at + INTERVAL 1 DAY AS ts, id FROM rent_orders WHERE id % 4 <> 0""",
+SELECT id * 10 + 3 AS seq, rented_at + INTERVAL 1 DAY AS ts, CASE WHEN id % 4 <> 0 THEN id ELSE -id END AS id FROM rent_orders""",
     "order_deletes": """
 SELECT * FROM od1
 UNION ALL SELECT seq + 1, ts, id FROM od1
 UNION ALL SELECT id * 10 + 5, rented_at + INTERVAL 1 DAY, -id FROM rent_orders""",
 }
 
-UPD = {
-    "u": """
-SELECT c.seq, c.ts, c.id, c.car_reg_num AS new_car, c.rented_at AS new_rented, c.returned_at AS new_returned,
-       o.client_pass, o.car_reg_num AS car0, o.rented_at AS rented0, o.returned_at AS returned0,
-       o.total_price AS total0, p0.price AS price0, pn.price AS new_price, h.h_min, h.h_max, fr.first_req
-FROM order_updates c
-LEFT JOIN rent_orders o ON o.id = c.id
-LEFT JOIN cars p0 ON p0.reg_num = o.car_reg_num
-LEFT JOIN cars pn ON pn.reg_num = c.car_reg_num
-LEFT JOIN (SELECT car_reg_num, min(id) AS h_min, max(id) AS h_max FROM rent_orders GROUP BY car_reg_num) h
-       ON h.car_reg_num = c.car_reg_num
-LEFT JOIN (SELECT car_reg_num, arg_min(id, seq) AS first_req FROM order_updates
-           WHERE car_reg_num IS NOT NULL GROUP BY car_reg_num) fr ON fr.car_reg_num = c.car_reg_num""",
-}
-
-
-MPD = DAY_US
-CAR1 = "coalesce(c.new_car, o.car)"
-PRICE1 = "coalesce(c.new_price, o.price)"
-RET1 = "coalesce(c.new_returned, o.ret)"
-RENT1 = "coalesce(c.new_rented, o.rent)"
-NUM = (f"(o.tot * {MPD} + {q_hi(q_micros('o.ret', 'c.ts'))} * ({q_cents(PRICE1)} - {q_cents('o.price')})"
-       f" + {q_hi(q_micros(RET1, 'o.ret'))} * {q_cents(PRICE1)})")
-TOT1 = f"CAST({q_round_ratio(NUM, str(MPD), 0)} AS HUGEINT)"
-
-# One call at a time in seq order, over a table keyed by (kind, k): kind 'o'
-# is an open order with its car, price, start, end and total in cents, 's'
-# the outcome of a call, 'c' the number of the call to come.
-SEQ = {
-    "cs": """
-SELECT row_number() OVER (ORDER BY seq) AS rn, seq, ts, id, new_car, new_rented, new_returned, new_price,
-       coalesce(car0 IS NOT NULL AND price0 IS NOT NULL AND (new_returned IS NULL OR new_returned >= ts)
-                AND (new_car IS NULL OR new_price IS NOT NULL), false) AS static
-FROM u""",
-    "r(kind, k, car, price, rent, ret, tot, ok, seq, ts, prev_car, prev_ret) USING KEY (kind, k)": f"""
-SELECT 'o', CAST(o.id AS BIGINT), CAST(o.car_reg_num AS VARCHAR), CAST(k.price AS DECIMAL(10,2)),
-       CAST(o.rented_at AS TIMESTAMP), CAST(o.returned_at AS TIMESTAMP), CAST(o.total_price * 100 AS HUGEINT),
-       CAST(NULL AS BOOLEAN), CAST(NULL AS BIGINT), CAST(NULL AS TIMESTAMP), CAST(NULL AS VARCHAR),
-       CAST(NULL AS TIMESTAMP)
-FROM rent_orders o LEFT JOIN cars k ON k.reg_num = o.car_reg_num
-UNION ALL SELECT 'c', 0, NULL, NULL, NULL, NULL, 0, NULL, NULL, NULL, NULL, NULL
-UNION
-SELECT w.kind, CASE w.kind WHEN 'c' THEN 0 WHEN 's' THEN x.rn ELSE x.id END,
-       CASE WHEN w.kind <> 'c' THEN x.car END, x.price, x.rent, x.ret, CASE WHEN w.kind = 'c' THEN x.rn ELSE x.tot END,
-       x.ok, x.seq, x.ts, x.prev_car, x.prev_ret
-FROM (SELECT y.*, y.static AND y.tot IS NOT NULL AND y.others = 0 AND abs(y.tot) < 10000000000 AS ok
-      FROM (SELECT c.rn, CAST(c.id AS BIGINT) AS id, CAST({CAR1} AS VARCHAR) AS car, CAST({PRICE1} AS DECIMAL(10,2)) AS price,
-                   CAST({RENT1} AS TIMESTAMP) AS rent, CAST({RET1} AS TIMESTAMP) AS ret, {TOT1} AS tot,
-                   c.seq, c.ts, c.static, o.car AS prev_car, o.ret AS prev_ret,
-                   (SELECT count(*) FROM recurring.r h WHERE h.kind = 'o' AND h.car = c.new_car AND h.k <> c.id) AS others
-            FROM (SELECT tot FROM r WHERE kind = 'c') n JOIN cs c ON c.rn = n.tot + 1
-            LEFT JOIN recurring.r o ON o.kind = 'o' AND o.k = c.id) y) x
-JOIN (VALUES ('c'), ('s'), ('o')) w(kind) ON w.kind <> 'o' OR x.ok""",
-    "steps": """
-SELECT r.seq, cs.id, r.ts, r.ok, r.car, r.rent, r.ret, r.tot, r.prev_car, r.prev_ret
-FROM r JOIN cs ON cs.rn = r.k WHERE r.kind = 's'""",
-}
-
-
-def _seq(body: str) -> str:
-    return with_adapter(body, ("ofc", CMD["ofc"]), ("order_updates", CMD["order_updates"]),
-                        ("u", UPD["u"]), *SEQ.items(), recursive=True)
-
-
 def _with(body: str, *names: str, table: dict = CMD) -> str:
     return with_adapter(body, *[(n, table[n]) for n in names])
 
@@ -312,22 +246,6 @@ FROM v JOIN r ON r.seq = v.seq WHERE r.ok""", *steps, recursive=True)
 SELECT v.seq, 'add_order' AS op, v.client_pass AS key, '{X.ERR_ADD_ORDER}' AS err
 FROM v JOIN r ON r.seq = v.seq WHERE NOT r.ok""", *steps, recursive=True)
 
-    out["update_orders"] = _seq("""
-SELECT o.id, o.client_pass, l.car AS car_reg_num, l.rent AS rented_at, l.ret AS returned_at,
-       CAST(CAST(l.tot AS DECIMAL(38,0)) * 0.01 AS DECIMAL(10,2)) AS total_price
-FROM rent_orders o JOIN r l ON l.kind = 'o' AND l.k = o.id""")
-    out["update_orders_log"] = _seq(f"""
-SELECT CAST(s.seq AS BIGINT) AS id, CAST(s.id AS BIGINT) AS order_id, s.ts AS changed_at, o.client_pass,
-       s.car AS car_reg_num, s.rent AS rented_at, s.ret AS returned_at, '0' AS status,
-       CAST(CAST(s.tot AS DECIMAL(38,0)) * 0.01 AS DECIMAL(10,2)) AS total_price,
-       CASE WHEN s.prev_car <> s.car THEN 'client changed a car.'
-            WHEN s.prev_ret <> s.ret THEN 'client renewed a car.' END AS note,
-       '{P.V_USER}' AS v_user
-FROM steps s JOIN rent_orders o ON o.id = s.id WHERE s.ok""")
-    out["update_orders_rejects"] = _seq("""
-SELECT seq, 'update_order' AS op, CAST(id AS VARCHAR) AS key, 'err: pcrud.update_order' AS err
-FROM steps WHERE ok IS NOT TRUE""")
-
     out["close_orders"] = _with(f"""
 SELECT CAST(d.seq AS BIGINT) AS id, o.id AS order_id, d.ts AS changed_at, o.client_pass, o.car_reg_num,
        o.rented_at, o.returned_at, '1' AS status, o.total_price, 'client returned a car.' AS note,

@@ -86,18 +86,23 @@ SELECT o.id, o.car_reg_num, date_trunc('second', o.returned_at) + INTERVAL 1 DAY
        o.total_price + c.price AS total_price
 FROM rent_orders o JOIN cars c ON c.reg_num = o.car_reg_num""")
 
+    # Two calls for each open order, most for unknown ones; the first counts.
+    closes = [("calls", """
+SELECT id * 10 + 7 + i.i AS seq, rented_at + to_days(1 + i.i) AS ts, CASE WHEN id % 3 = 0 THEN id ELSE -id END AS id
+FROM rent_orders, (VALUES (0), (1)) i(i)"""), ("closes", """
+SELECT seq, ts, id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS turn FROM calls) c WHERE turn = 1""")]
     out["close_early"] = with_adapter(f"""
-SELECT CAST(id * 10 + 7 AS BIGINT) AS id, id AS order_id, rented_at + INTERVAL 1 DAY AS changed_at,
+SELECT CAST(c.seq AS BIGINT) AS id, o.id AS order_id, c.ts AS changed_at,
        client_pass, car_reg_num, rented_at, returned_at, '1' AS status, total_price,
        'client returned a car.' AS note, '{P.V_USER}' AS v_user
-FROM rent_orders WHERE id % 3 = 0""")
+FROM rent_orders o JOIN closes c ON c.id = o.id""", *closes)
     out["close_early_orders"] = with_adapter("""
 SELECT id, client_pass, car_reg_num, rented_at, returned_at, total_price FROM rent_orders
-WHERE id % 3 <> 0""")
+WHERE id NOT IN (SELECT id FROM closes)""", *closes)
     out["close_early_cars"] = with_adapter("""
-SELECT reg_num, CAST(CASE WHEN reg_num IN (SELECT car_reg_num FROM rent_orders WHERE id % 3 = 0) THEN 1
+SELECT reg_num, CAST(CASE WHEN reg_num IN (SELECT car_reg_num FROM rent_orders o JOIN closes c ON c.id = o.id) THEN 1
                           ELSE state_id END AS INTEGER) AS state_id, color, mark, type, price, tech_serv_date
-FROM cars""")
+FROM cars""", *closes)
 
     def dup(table, rule, src, key):
         return (f"SELECT '{table}' AS table_name, '{rule}' AS rule, CAST(count(*) AS BIGINT) AS violations "
@@ -144,6 +149,8 @@ FROM cars""")
 
     from carledger import oracle_sql_commands
     out.update(oracle_sql_commands.statements())
+    from carledger import oracle_sql_journal
+    out.update(oracle_sql_journal.statements())
 
     out["free_keys"] = with_adapter(f"""
 SELECT k.pass FROM (SELECT DISTINCT {q_key('', 'p_partkey')} AS pass FROM part) k

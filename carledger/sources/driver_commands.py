@@ -7,11 +7,14 @@ past), so both outputs of every verb are exercised.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carledger import params as P
 from carledger.functions.timefn import add_days
+from carledger.schema import JOURNAL
 from carledger.sources.driver_tables import car_key, client_key, fixed_key, read_table
 
 # The first call of a key has seq 2 k, the repeated one 2 k + 1.
@@ -155,8 +158,51 @@ def order_updates(orders: DataFrame) -> DataFrame:
 
 def order_deletes(orders: DataFrame) -> DataFrame:
     i = F.col("id")
-    # Every fourth order stays open; its calls are for an unknown id.
-    base = orders.filter(i % 4 != 0).select((i * 10 + 3).alias("seq"), add_days("rented_at", 1).alias("ts"), "id")
+    # Calls for every fourth order name an unknown id, so it stays open.
+    base = orders.select((i * 10 + 3).alias("seq"), add_days("rented_at", 1).alias("ts"), F.when(i % 4 != 0, i).otherwise(-i).alias("id"))
     again = base.select((F.col("seq") + 1).alias("seq"), "ts", "id")
     unknown = orders.select((i * 10 + 5).alias("seq"), add_days("rented_at", 1).alias("ts"), (-i).alias("id"))
     return base.unionByName(again).unionByName(unknown)
+
+
+# Place of an entity's calls in the journal: entities take turns by key.
+def _turn(k, kind: int, i: int) -> F.Column:
+    return ((k.cast("long") * 3 + kind) * 16 + i).alias("seq")
+
+
+def journal(spark: SparkSession, sf_dir: str, orders: DataFrame, id_offset: int) -> DataFrame:
+    """One sequence of all verbs: per part a car that comes, one that
+    changes, one that goes; per customer a client that comes, rents, swaps,
+    closes and goes, and an old one that rents; per open order (with the car
+    it started with, ``first_car``) a swap, a new end and a close."""
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_retailprice"])
+    c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_name"])
+    k, b, o = F.col("p_partkey"), F.col("c_custkey"), F.col("id")
+    price = F.col("p_retailprice").cast("decimal(10,2)")
+
+    def calls(df, key, kind, i, verb, ts, **args):
+        fields = [f for f in JOURNAL.fields if f.name not in ("seq", "ts", "verb")]
+        return df.select(_turn(key, kind, i), ts.alias("ts"), F.lit(verb).alias("verb"),
+                         *[(args[f.name] if f.name in args else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    at, bt, ot = _at(k % 24), _at(b % 24), add_days("rented_at", 1)
+    near = lambda d: b - b % 8 + (b + d) % 8
+    mine = F.lit(id_offset) + (b.cast("long") * 3 + 1) * 16 + 2     # the order that call 2 of a customer makes
+    parts = [
+        calls(p, k, 0, 0, "add_car", at, reg_num=_new_key("N", k), color=F.split_part("p_name", F.lit(" "), F.lit(2)), mark=F.col("p_brand"),
+              type=F.col("p_type"), price=F.when(k % 11 != 0, price + 100)),
+        calls(p, k, 0, 1, "update_car", at, reg_num=car_key(k), price=F.when(k % 2 == 0, price - 50),
+              state_id=F.when(k % 8 == 3, 9).when(k % 4 == 1, 1).when(k % 4 == 2, 3), color=F.when(k % 3 == 0, F.lit("mixed"))),
+        calls(p, k, 0, 8, "del_car", at, reg_num=F.when(k % 3 == 0, car_key(k)).otherwise(_new_key("N", k))),
+        calls(c, b, 1, 0, "add_client", bt, **{"pass": _new_key("N", b)}, name=F.when(b % 9 != 0, F.col("c_name"))),
+        calls(c, b, 1, 1, "update_client", bt, **{"pass": client_key(b)}, name=F.when(b % 2 == 0, F.upper("c_name"))),
+        calls(c, b, 1, 2, "add_order", bt, **{"pass": _new_key("N", b)}, reg_num=_new_key("N", b - b % 2),
+              returned_at=F.when(b % 13 != 0, add_days(bt, b % 7 + 1, (b % 4) * 6))),
+        calls(c, b, 1, 3, "add_order", bt, **{"pass": client_key(b)}, reg_num=_new_key("N", near(3)), returned_at=add_days(bt, 2)),
+        calls(c, b, 1, 4, "update_order", bt, id=mine, reg_num=_new_key("N", near(5)), returned_at=add_days(bt, b % 5 + 1)),
+        calls(c, b, 1, 5, "del_order", bt, id=F.when(b % 3 != 0, mine).otherwise(-b)),
+        calls(c, b, 1, 6, "del_client", bt, **{"pass": F.when(b % 4 == 0, client_key(b)).otherwise(_new_key("N", b))}),
+        calls(orders, o, 2, 0, "update_order", ot, id=o, reg_num=F.when(o % 2 == 0, F.col("first_car")), returned_at=add_days("returned_at", 2)),
+        calls(orders, o, 2, 1, "update_order", ot, id=o, returned_at=add_days("returned_at", F.when(o % 5 == 0, -9).otherwise(-1))),
+        calls(orders, o, 2, 2, "del_order", ot, id=F.when(o % 3 != 0, o).otherwise(-o)),
+    ]
+    return reduce(lambda x, y: x.unionByName(y), parts)

@@ -79,6 +79,8 @@ class FleetStore:
                  bucket_history: bool = True):
         self.spark, self.root, self.token, self.buckets = spark, root, token, buckets
         self.bucket_history = bucket_history
+        #: Results whose outputs are written once and read by several queries.
+        self.results: dict = {}
 
     def _name(self, table: str) -> str:
         return f"fleet_{self.token}_{table}"
@@ -243,6 +245,13 @@ class StoredFleetTables:
         self.spark, self.sf_dir = spark, sf_dir
         self.store = store or FleetStore.for_dir(spark, sf_dir)
 
+    def once(self, name: str, build):
+        """A result on the stored tables that several queries read: built by
+        the first of them, gone with the store."""
+        if name not in self.store.results:
+            self.store.results[name] = build()
+        return self.store.results[name]
+
     @property
     def cars(self) -> DataFrame:
         return self.store.table("cars")
