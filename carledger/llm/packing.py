@@ -27,6 +27,7 @@ in the queues; the second pass cuts pieces.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -58,8 +59,10 @@ class WordTokenizer:
     lower-cased words between ASCII white space can be looked up one by one.
     Unseen words of letters are encoded many at a time: each is then one
     unit of the tokenizer, whose last id is one that ends a unit. Others are
-    encoded alone, full stops and commas after a word of letters apart.
-    Strings of special tokens in a text are ordinary text."""
+    encoded alone, full stops and commas after a word of letters apart; a
+    word is one of letters if it still is when the tokenizer has lower-cased
+    it (a dotted capital I gets a mark that joins what follows). Strings of
+    special tokens in a text are those tokens, as the tokenizer has it."""
 
     def __init__(self, name: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,11 +70,16 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         path = name if os.path.sep in name else public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
+        # Texts are cut at special strings first; what lower-casing makes
+        # like one is ordinary text.
         self.tokenizer.encode_special_tokens = True
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.kind = "<u2" if len(self.ends) <= 65536 else "<u4"
+        self.special_ids = {t: np.array([i], self.kind).tobytes() for t, i in special.items()}
         # Two generations: words of the older one that come again move up.
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -101,7 +109,7 @@ class WordTokenizer:
         letters, marked, alone = set(), [], set()
         for w in words.difference(older):
             core = w.rstrip(b".,")
-            if not core.decode().isalpha():
+            if not core.decode().lower().isalpha():
                 alone.add(w)
             elif core == w:
                 letters.add(w)
@@ -122,12 +130,22 @@ class WordTokenizer:
 
     def encode_batch(self, texts: Sequence[str | None]) -> list[bytes]:
         """Little-endian ids of each text, as ``kind`` says."""
-        words = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+        # Texts cut at special strings: the tokenizer takes those out first.
+        texts = [t or "" for t in texts]
+        marked = {i: self.special.findall(t) for i, t in enumerate(texts) if self.special and self.special.search(t)}
+        plain = [t for i, t in enumerate(texts) if i not in marked]
+        parts = [p for i in marked for p in self.special.split(texts[i])]
+        words = [t.encode("utf-8", "replace").lower().split() for t in plain + parts]
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {}, self.known
         self._learn(set().union(*words).difference(self.known))
         known = self.known.__getitem__
-        return [b"".join(map(known, ws)) for ws in words]
+        ids = [b"".join(map(known, ws)) for ws in words]
+        if not marked:
+            return ids
+        whole, rest = iter(ids[:len(plain)]), iter(ids[len(plain):])
+        return [next(whole) if i not in marked else next(rest) + b"".join(self.special_ids[m] + next(rest) for m in marked[i])
+                for i in range(len(texts))]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -202,7 +220,7 @@ def scheduled(totals: Sequence[int], schedules: Sequence, steps: int = STEPS) ->
     what its schedule's integral grows by (knots as in ``mixing``). Sources
     without a schedule come last, in proportion to what they hold."""
     times = np.unique([k / steps for k in range(steps + 1)] + [t for s in schedules if s for t, _ in s])
-    out = np.zeros((len(times), len(totals)), object)
+    out = np.zeros((len(times), len(totals)), np.int64)
     for i, (n, knots) in enumerate(zip(totals, schedules)):
         if knots:
             t, w = np.array(knots, float).T
@@ -252,6 +270,18 @@ def members(totals: DataFrame) -> tuple[DataFrame, dict[int, tuple[int, int, int
     return stage(out, "members"), ranges
 
 
+def share_of(k: np.ndarray, part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """floor(k * part / whole), exact for 0 <= k, part <= whole < 2^52: a
+    quotient in floating point is off by one at most, which the remainder
+    shows; it is small, so that 64 bits hold it though not the product."""
+    whole = np.maximum(whole, 1)
+    q = (k.astype(float) * part / whole).astype(np.int64)
+    with np.errstate(over="ignore"):
+        r = k * part - q * whole
+    step = (r >= whole).astype(np.int64) - (r < 0)
+    return q + step
+
+
 class RoundRobin:
     """Tokens of each source (or group of sources) among the first n tokens served, and the
     boundaries of sequences."""
@@ -260,14 +290,12 @@ class RoundRobin:
         self.plan, self.length = plan, length
         self.sources = len(plan[0]) if plan else 0
         self.total = sum(map(sum, plan))
-        # Products of two token counts must be exact.
-        self.kind = np.int64 if self.total < 3_000_000_000 else object
-        held = np.array(plan, self.kind).reshape(len(plan), self.sources)
-        none = np.zeros((1, self.sources), self.kind)
+        held = np.array(plan, np.int64).reshape(len(plan), self.sources)
+        none = np.zeros((1, self.sources), np.int64)
         #: Of each phase: tokens of each source before it, sums over its
         #: sources, its first token and its last.
         self.before = np.concatenate([none, np.cumsum(held, axis=0)])
-        self.sums = np.concatenate([np.zeros((len(plan), 1), self.kind), np.cumsum(held, axis=1)], axis=1)
+        self.sums = np.concatenate([np.zeros((len(plan), 1), np.int64), np.cumsum(held, axis=1)], axis=1)
         self.ends = np.cumsum(self.sums[:, -1])
         self.starts = self.ends - self.sums[:, -1]
         full = self.total // length
@@ -286,14 +314,14 @@ class RoundRobin:
 
     def bound(self, w):
         """Tokens served before sequence w (a number or an array)."""
-        w = np.minimum(np.array(w, self.kind), self.sequences)
-        tail = np.array([self.full * self.length, *self.tail], self.kind)
+        w = np.minimum(np.array(w, np.int64), self.sequences)
+        tail = np.array([self.full * self.length, *self.tail], np.int64)
         return np.where(w <= self.full, w * self.length, tail[np.maximum(w - self.full, 0).astype(np.int64)])[()]
 
     def served(self, n) -> np.ndarray:
         """(len(n), sources): tokens of each source among the first n."""
-        n = np.minimum(np.maximum(np.array(n, self.kind), 0), self.total)
-        out = np.zeros((len(n), self.sources), self.kind)
+        n = np.minimum(np.maximum(np.array(n, np.int64), 0), self.total)
+        out = np.zeros((len(n), self.sources), np.int64)
         if not self.total:
             return out
         phase = np.minimum(np.searchsorted(self.ends, n), len(self.plan) - 1)
@@ -305,7 +333,7 @@ class RoundRobin:
                 out[:, lo] += k
                 return
             mid, whole = (lo + hi) // 2, sums[:, hi] - sums[:, lo]
-            a = k * (sums[:, mid] - sums[:, lo]) // np.maximum(whole, 1)
+            a = share_of(k, sums[:, mid] - sums[:, lo], whole)
             split(a, lo, mid)
             split(k - a, mid, hi)
         split(n - self.starts[phase], 0, self.sources)
@@ -320,12 +348,12 @@ class RoundRobin:
         lo, hi, start, end = source.range
         for cut in source.cuts:
             mid = (lo + hi) // 2
-            a = k * (cut - start) // max(end - start, 1)
+            a = share_of(k, np.int64(cut - start), np.int64(end - start))
             if source.number < mid:
                 k, hi, end = a, mid, cut
             else:
                 k, others, lo, start = k - a, others + a, mid, cut
-        return k.astype(np.int64), others.astype(np.int64)
+        return k, others
 
     def sequences_of(self, source: Member, place: np.ndarray) -> np.ndarray:
         """The sequences that hold tokens of a source's queue."""
@@ -392,8 +420,9 @@ def pack(docs: DataFrame, weights: dict | None = None, length: int = SEQUENCE, n
     one of STEPS steps of it they hold still. ``order``: a 64-bit hash that
     orders every queue as ``mixing.allocate`` does, further copies of a row
     in further rounds; without it queues follow the scan. Sequences have ``length`` tokens, the last few powers of two,
-    so none is padded. Null and empty texts are the end id alone; a null
-    source is one more source; repeated rows are packed each; an empty table
+    so none is padded. Null and empty texts are the end id alone; a very long
+    text is cut over as many sequences as it takes; a null source is one
+    more source; repeated rows are packed each; an empty table
     gives no pieces. Sources of one kind of schedule, or without a weight,
     are a group whose proportions hold still; the driver reads the totals of
     groups (with ``weights``, each source that has one is a group)."""

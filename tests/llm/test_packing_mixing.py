@@ -29,6 +29,35 @@ def test_round_robin_is_exact_and_monotone():
     assert huge.served([10 ** 14]).tolist() == [[3 * 10 ** 13, 7 * 10 ** 13]]
 
 
+def untouched():
+    """The tokenizer as its library opens it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+
+
+def test_ids_are_those_of_the_library():
+    rng = random.Random(12)
+    bits = ["TEKİ", "İ", "ı", "a", "B", "word", "ẞ", "Σ", "ΟΔΟΣ", "ǅ", "é", "e\u0301", "\u0307", "\u0300", "한", "\u1112\u1161", "日本", "1", "²", "Ⅷ",
+            ",", ".", "..", ",.", "'s", "'", "-", " ", " ", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2028", "\u200b",
+            "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "</w>", "�", "🙂", "ﬁ"]
+    letters = [chr(c) for c in range(0xC0, 0x530) if chr(c).isalpha()] + [chr(c) for c in range(0x1E00, 0x2000) if chr(c).isalpha()]
+    texts = ["".join(rng.choice(bits if rng.random() < 0.8 else letters) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    tok, own = packing.WordTokenizer(), untouched()
+    got = [x for i in range(0, len(texts), 700) for x in tok.encode_batch(texts[i:i + 700])]
+    for t, g, e in zip(texts, got, own.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(g, tok.kind).tolist() == e.ids, repr(t)
+
+
+def test_shares_are_exact_at_any_size():
+    rng = random.Random(2)
+    for high in (10, 3 * 10 ** 9, 25 * 10 ** 12, 2 ** 52 - 1):
+        whole = [rng.randint(1, high) for _ in range(3000)] + [high]
+        k, part = ([rng.choice([0, w, rng.randint(0, w)]) for w in whole] for _ in range(2))
+        got = packing.share_of(np.array(k), np.array(part), np.array(whole))
+        assert got.dtype == np.int64 and got.tolist() == [a * b // w for a, b, w in zip(k, part, whole)]
+
+
 def docs_of(rng):
     word = lambda: "".join(rng.choice("abcdeé,.'") for _ in range(rng.randint(1, 8)))
     out = [(i, " ".join(word() for _ in range(rng.randint(0, 200))), rng.choice(["a", "a", "a", "b", None])) for i in range(200)]
@@ -41,8 +70,8 @@ def test_round_trip(spark, weights):
     docs = docs_of(random.Random(4))
     rows = spark.createDataFrame([(*d, 7, b"x") for d in docs], DOC + ", part int, ids binary").repartition(5)
     got = packing.pack(rows, weights=weights, length=256).collect()
-    tok = packing.WordTokenizer()
-    ids = lambda t: tok.tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+    own = untouched()
+    ids = lambda t: own.encode(t or "", add_special_tokens=False).ids + [2]
     sequences = defaultdict(list)
     for r in got:
         assert len(r["ids"]) == 4 * r["length"] > 0
