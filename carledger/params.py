@@ -12,4 +12,5 @@ PICK_SEED = "fleet"                    # pick_free_car seed
 V_USER = "BATCH"                       # user recorded by batch commands
 EXPIRE_ID_OFFSET = 10 ** 15          # history ids of expired_orders: offset + order id
 ORDER_ID_OFFSET = 10 ** 12             # add_orders: new order id = offset + seq
-STREAM_FILE_ROWS = 4000                # order_change_stream: events of a file at most
+STREAM_FILE_ROWS = 20000               # order_change_stream: events of a file at most
+STREAM_LATE = "800 days"               # over two years: a micro-batch may hold files of two

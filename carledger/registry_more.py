@@ -9,6 +9,7 @@ from carledger.functions.timefn import add_days
 from carledger.operators import fleetops as FO
 from carledger.operators import history as H
 from carledger.operators import quality as Q
+from carledger.plans.joins import materialize
 from carledger.registry import _q
 from carledger.sources.driver_tables import client_key, read_table
 
@@ -106,24 +107,29 @@ for _name, _part in {"apply_journal": "orders", "apply_journal_cars": "cars", "a
 
 # ----------------------------------------------------------------- streaming
 def _change_stream(t):
-    """H1 streamed: events written in two waves (inserts, then updates and
-    deletes) of small files to the shared folder, consumed by an
+    """H1 streamed: events arrive year by year, as they happened, in small
+    files dealt by the hash that deals the state, and are consumed by an
     availableNow stream in micro-batches of a bounded number of files into
     a parquet sink. The folders go when the application ends."""
     from carledger.session import forget_at_exit, shared_path
     from carledger.streaming.order_stream import blocks_for, run_change_log
     spark = t.spark
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ev = H.events_from_history(t.history)
+    ev = H.events_from_history(t.history).withColumn("year", F.year("ts"))
     src, sink, ckpt = (shared_path(spark, x) for x in ("events", "history-stream", "stream-ckpt"))
     for path in (src, sink, ckpt):
         forget_at_exit(spark, path)
-    for wave, rows in ((1, ev.filter(F.col("op") == "I")), (2, ev.filter(F.col("op") != "I"))):
-        # One order's events of a wave follow each other in one task's files.
-        (rows.repartition(n, "order_id").sortWithinPartitions("order_id", "seq").write
-         .option("maxRecordsPerFile", P.STREAM_FILE_ROWS).parquet(f"{src}/wave={wave}"))
-    orders = t.history.agg(F.approx_count_distinct("order_id")).first()[0]
-    run_change_log(spark, f"{src}/*", sink, ckpt, max_files_per_trigger=n, blocks=blocks_for(orders))
+    about = t.history.agg(F.approx_count_distinct("order_id").alias("orders"), F.min(F.year("changed_at")).alias("first"),
+                          F.max(F.year("changed_at")).alias("last")).first()
+    blocks = blocks_for(about["orders"])
+    ev = materialize(ev.repartition(n, F.pmod(F.xxhash64("order_id"), F.lit(blocks))))
+    for year in range(about["first"] or 0, (about["last"] or -1) + 1):
+        # A block's events of a year lie in one task's files.
+        (ev.filter(F.col("year") == year).drop("year").write
+         .option("maxRecordsPerFile", P.STREAM_FILE_ROWS).parquet(f"{src}/year={year}"))
+    if about["first"] is None:
+        return spark.createDataFrame([], ORDERS_HISTORY)
+    run_change_log(spark, f"{src}/*", sink, ckpt, max_files_per_trigger=n, blocks=blocks, late=P.STREAM_LATE)
     return spark.read.schema(ORDERS_HISTORY).parquet(sink)
 
 

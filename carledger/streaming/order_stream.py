@@ -11,8 +11,14 @@ micro-batch, the events of one key are sorted by ``seq`` and folded:
 
 An event older than the last one its order has seen (a smaller ``seq``
 that comes in a later micro-batch) is dropped: the log has rows for what
-came after it already. So the state keeps every order's last seq, a closed
-order's too; that is one small row per order.
+came after it already. So the state keeps the last seq of an order that is
+closed (or never was there), until the watermark passes its last event.
+
+The watermark follows the events' ``ts`` at a distance of ``late``. An event
+at or behind it is dropped by Spark, so nothing that a forgotten order
+would have refused can come any more: the state holds the open orders and
+those that were closed within ``late``, however many orders there have been.
+An order that is inserted anew after that time begins anew.
 
 Output is append-only; history ids come from the events' ``seq``, so a
 replayed micro-batch after a failure rewrites the same rows, and the file
@@ -72,11 +78,18 @@ def _dec(v):
     return None if v is None or (isinstance(v, float) and v != v) else Decimal(v)
 
 
+def _millis(ts) -> int:
+    return pd.Timestamp(ts).value // 1_000_000
+
+
 def fold_order_events(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Fold one order's events of a micro-batch (plain lists: the groups
     are small and many, so per-group pandas work would dominate)."""
     order_id = int(key[0])
     chunks = list(pdfs)
+    if state.hasTimedOut:
+        state.remove()
+        return
     ev = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
     cols = {c: ev[c].tolist() for c in ("seq", "ts", "op", "client_pass", "car_reg_num", "rented_at",
                                         "returned_at", "total_price", "v_user")}
@@ -119,6 +132,9 @@ def fold_order_events(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> I
         money = lambda d: None if d is None else str(d)
         state.update((None, None, None, None, None, False, last_seq) if cur is None
                      else (cur[0], cur[1], cur[2], cur[3], money(cur[4]), True, last_seq))
+        if cur is None:
+            last = max(_millis(t) for t in cols["ts"])
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
     if out["id"]:
         yield pd.DataFrame(out, columns=OUT_COLS)
 
@@ -132,6 +148,7 @@ BLOCK_STATE_SCHEMA = T.StructType([
     T.StructField("total_cents", T.ArrayType(T.LongType())),
     T.StructField("open", T.ArrayType(T.BooleanType())),
     T.StructField("last_seq", T.ArrayType(T.LongType())),
+    T.StructField("last_us", T.ArrayType(T.LongType())),
 ])
 # Block output: money as integer cents; turned into decimal(10,2) by Spark.
 BLOCK_OUT = T.StructType([f if f.name != "total_price" else T.StructField("total_cents", T.LongType())
@@ -145,21 +162,40 @@ def _changed(a: pd.Series, b: pd.Series) -> pd.Series:
     return a.notna() & b.notna() & (a != b)
 
 
+def _keep(state: GroupState, *columns: list) -> None:
+    """The block's state without closed orders behind the watermark, and a
+    call when the next of them falls behind it."""
+    mark = state.getCurrentWatermarkMs()
+    is_open, last_us = columns[6], columns[8]
+    stays = [o or us // 1000 >= mark for o, us in zip(is_open, last_us)]
+    if any(stays):
+        state.update(tuple([v for v, s in zip(c, stays) if s] for c in columns))
+        closed = [us // 1000 for o, us, s in zip(is_open, last_us, stays) if s and not o]
+        if closed:
+            state.setTimeoutTimestamp(min(closed) + 1)
+    elif state.exists:
+        state.remove()
+
+
 def fold_block_events(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Same rules as ``fold_order_events`` for all orders of one hash block,
     vectorised: the state rows join the events as pseudo-events, existence
     before each event comes from the last insert/delete marker (an ignored
     duplicate insert or delete leaves the same state as an accepted one),
     and the last effective row's values are forward-filled per order. A
-    closed order's state row stands as a delete, and only for its last seq."""
+    closed order's state row stands as a delete, and only for its last seq;
+    it goes when the watermark has passed the order's last event."""
     chunks = list(pdfs)
+    if state.hasTimedOut or not chunks:
+        _keep(state, *([list(c) for c in state.get] if state.exists else [[] for _ in BLOCK_STATE_SCHEMA]))
+        return
     ev = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
     ev = ev[["seq", "ts", "op", "order_id", *VCOLS, "v_user"]]
     if state.exists:
-        ids, cl, cr, rt, ret, tot, is_open, last = state.get
+        ids, cl, cr, rt, ret, tot, is_open, last, last_us = state.get
         ev = ev[ev["seq"] > ev["order_id"].map(dict(zip(ids, last))).fillna(-(2 ** 62))]
         st = pd.DataFrame({
-            "seq": pd.Series(last, dtype="int64"), "ts": pd.NaT, "op": ["S" if o else "X" for o in is_open],
+            "seq": pd.Series(last, dtype="int64"), "ts": pd.to_datetime(pd.Series(last_us, dtype="int64"), unit="us"), "op": ["S" if o else "X" for o in is_open],
             "order_id": pd.Series(ids, dtype="int64"), "client_pass": cl, "car_reg_num": cr,
             "rented_at": pd.to_datetime(pd.Series(rt, dtype="Int64"), unit="us"),
             "returned_at": pd.to_datetime(pd.Series(ret, dtype="Int64"), unit="us"),
@@ -202,10 +238,11 @@ def fold_block_events(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> I
     if len(last):
         text = lambda c: [None if pd.isna(v) else v for v in now[c]]
         micros = lambda c: [None if pd.isna(v) else int(pd.Timestamp(v).value // 1000) for v in now[c]]
-        state.update((oid.loc[last].astype("int64").tolist(), text("client_pass"), text("car_reg_num"),
-                      micros("rented_at"), micros("returned_at"),
-                      [None if pd.isna(v) else int(v) for v in now["total_cents"]], is_open.tolist(),
-                      df["seq"].loc[last].astype("int64").tolist()))
+        _keep(state, oid.loc[last].astype("int64").tolist(), text("client_pass"), text("car_reg_num"),
+              micros("rented_at"), micros("returned_at"),
+              [None if pd.isna(v) else int(v) for v in now["total_cents"]], is_open.tolist(),
+              df["seq"].loc[last].astype("int64").tolist(),
+              [pd.Timestamp(t).value // 1000 for t in df["ts"].loc[last]])
     if len(out):
         yield out
 
@@ -218,7 +255,12 @@ def blocks_for(orders: int) -> int:
     return max(1, -(-orders // ORDERS_PER_BLOCK))
 
 
-def change_log_stream(events: DataFrame, blocks: int | None = None) -> DataFrame:
+#: How far events may come behind the latest one, and how long the state
+#: remembers a closed order.
+LATE = "30 days"
+
+
+def change_log_stream(events: DataFrame, blocks: int | None = None, late: str = LATE) -> DataFrame:
     """Streaming DataFrame of history rows from a streaming event frame.
 
     ``blocks=None`` keys the state by order id (one Python call per order
@@ -228,25 +270,26 @@ def change_log_stream(events: DataFrame, blocks: int | None = None) -> DataFrame
     (``blocks_for``: about ORDERS_PER_BLOCK in each).
     """
     ship_package(events.sparkSession)
+    events = events.withColumn("_time", F.col("ts").cast("timestamp")).withWatermark("_time", late)
     if blocks is None:
         return events.groupBy("order_id").applyInPandasWithState(
-            fold_order_events, ORDERS_HISTORY, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+            fold_order_events, ORDERS_HISTORY, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
     keyed = (events.withColumn("_block", F.pmod(F.xxhash64("order_id"), F.lit(blocks)))
              .withColumn("total_cents", (F.col("total_price") * 100).cast("long")).drop("total_price"))
     out = keyed.groupBy("_block").applyInPandasWithState(
-        fold_block_events, BLOCK_OUT, BLOCK_STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+        fold_block_events, BLOCK_OUT, BLOCK_STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
     money = (F.col("total_cents").cast("decimal(20,0)") / F.lit(100)).cast("decimal(10,2)")
     return out.select(*[money.alias(c) if c == "total_price" else F.col(c) for c in OUT_COLS])
 
 
 def run_change_log(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                   max_files_per_trigger: int | None = None, blocks: int | None = None):
+                   max_files_per_trigger: int | None = None, blocks: int | None = None, late: str = LATE):
     """Process every event file now in ``source_dir`` (availableNow) into a
     parquet history sink; returns the finished query."""
     reader = spark.readStream.schema(ORDER_EVENTS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    out = change_log_stream(reader.parquet(source_dir), blocks)
+    out = change_log_stream(reader.parquet(source_dir), blocks, late)
     q = (out.writeStream.format("parquet").option("path", sink_dir)
          .option("checkpointLocation", checkpoint_dir).outputMode("append")
          .trigger(availableNow=True).start())

@@ -12,8 +12,17 @@ from carledger.streaming.order_stream import fold_block_events, fold_order_event
 
 
 class FakeState:
+    hasTimedOut = False
+
     def __init__(self):
-        self.value = None
+        self.value, self.mark, self.wakes = None, 0, None
+
+    def getCurrentWatermarkMs(self):
+        return self.mark
+
+    def setTimeoutTimestamp(self, ms):
+        assert ms > self.mark
+        self.wakes = ms
 
     @property
     def exists(self):
@@ -121,3 +130,51 @@ def test_batch_log_equals_order_fold(spark, hot):
     batch = [(r.id, r.order_id, r.status, r.note, r.client_pass, r.car_reg_num, pd.Timestamp(r.returned_at),
               int(r.total_price * 100)) for r in got]
     assert _norm(batch) == _norm(per_order)
+
+
+def _order(oid, seq, day, op):
+    t = pd.Timestamp("2024-01-01") + pd.Timedelta(days=day)
+    gone = op == "D"
+    return {"seq": seq, "ts": t, "op": op, "order_id": oid, "client_pass": None if gone else "c", "car_reg_num": None if gone else "k",
+            "rented_at": pd.NaT if gone else t, "returned_at": pd.NaT if gone else t, "cents": None if gone else 5, "v_user": "u"}
+
+
+def test_block_state_forgets_closed_orders():
+    st, sizes = FakeState(), []
+    for wave in range(10):
+        rows = [_order(100 * wave + i, 1000 * wave + i, 10 * wave, "I") for i in range(20)]
+        rows += [_order(100 * wave + i, 1000 * wave + 500 + i, 10 * wave + 1, "D") for i in range(19)]
+        st.mark = (pd.Timestamp("2024-01-01") + pd.Timedelta(days=10 * wave - 15)).value // 10 ** 6 if wave else 0
+        list(fold_block_events((0,), iter([_block_frame(pd.DataFrame(rows))]), st))
+        sizes.append(len(st.get[0]))
+        assert st.wakes is not None
+    # One order of each wave stays open; closed ones are those of two waves.
+    assert sizes == [20, 40] + [41 + k for k in range(8)]
+    st.mark, st.hasTimedOut = (pd.Timestamp("2025-01-01")).value // 10 ** 6, True
+    list(fold_block_events((0,), iter([]), st))
+    assert len(st.get[0]) == 10 and all(st.get[6])
+
+
+@pytest.mark.parametrize("blocks", [None, 2])
+def test_stream_state_stays_flat(spark, blocks):
+    """Waves of orders that open and close: the state does not grow, and an
+    event that comes too late is dropped, not taken for a new order."""
+    from carledger.schema import ORDER_EVENTS, ORDERS_HISTORY
+    from carledger.session import shared_path
+    from carledger.streaming.order_stream import run_change_log
+    src, sink, ckpt = (shared_path(spark, x) for x in ("ev", "sink", "ckpt"))
+    plain = lambda v: None if v is None or pd.isna(v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v
+    kept, want = [], 0
+    for wave in range(5):
+        rows = [_order(10 * wave + i + 1, 100 * wave + i, 10 * wave, "I") for i in range(6)]
+        rows += [_order(10 * wave + i + 1, 100 * wave + 50 + i, 10 * wave + 1, "D") for i in range(6)]
+        want += 12
+        if wave == 4:
+            rows.append(_order(1, 10_000, 0, "I"))       # 40 days late, of an order that is forgotten
+        rows = [(r["seq"], plain(r["ts"]), r["op"], r["order_id"], r["client_pass"], r["car_reg_num"], plain(r["rented_at"]),
+                 plain(r["returned_at"]), None if r["cents"] is None else Decimal(r["cents"]), "u") for r in rows]
+        spark.createDataFrame(rows, ORDER_EVENTS).coalesce(1).write.parquet(f"{src}/wave={wave}")
+        q = run_change_log(spark, f"{src}/*", sink, ckpt, blocks=blocks, late="5 days")
+        kept.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert spark.read.schema(ORDERS_HISTORY).parquet(sink).count() == want
+    assert max(kept[1:]) <= (12 if blocks is None else 2), kept
