@@ -140,3 +140,23 @@ def history_rows(rows: DataFrame, status: str, note: Column | str | None,
         id_col.cast("long").alias("id"), F.col("id").cast("long").alias("order_id"),
         changed_at.alias("changed_at"), *VALUE_COLS[:4], F.lit(status).alias("status"),
         "total_price", n.alias("note"), F.lit(v_user).alias("v_user"))
+
+
+def diff_log(before: DataFrame, after: DataFrame, changed_at: Column, v_user: str, id_offset: int = 0) -> DataFrame:
+    """History rows for what differs between two versions of the open
+    orders: an order that came, one whose values changed (compared
+    null-safe), one that went (its last values, status '1'). An order gives
+    at most one row, with id ``id_offset`` + order id; orders with a
+    non-positive id are logged only when they go (the trigger's guard)."""
+    old, new = (df.select("id", F.struct(*VALUE_COLS).alias(n)) for df, n in ((before, "_old"), (after, "_new")))
+    j = old.join(new, "id", "full_outer")
+    came, went = F.col("_old").isNull(), F.col("_new").isNull()
+    differs = came | went | ~F.col("_old").eqNullSafe(F.col("_new"))
+    j = j.filter(differs & (went | (F.col("id") > 0)))
+    note = (F.when(came, F.lit(NOTE_CREATED)).when(went, F.lit(NOTE_RETURNED))
+            .otherwise(change_note(*[F.col(f"{v}.{c}") for v in ("_old", "_new") for c in ("client_pass", "car_reg_num", "returned_at")])))
+    vals = F.coalesce(F.col("_new"), F.col("_old"))
+    return j.select(
+        (F.lit(id_offset) + F.col("id")).cast("long").alias("id"), F.col("id").cast("long").alias("order_id"), changed_at.alias("changed_at"),
+        *[vals[c].alias(c) for c in VALUE_COLS[:4]], F.when(went, F.lit(STATUS_CLOSED)).otherwise(F.lit(STATUS_OPEN)).alias("status"),
+        vals["total_price"].alias("total_price"), note.alias("note"), F.lit(v_user).alias("v_user"))

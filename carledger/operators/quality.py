@@ -74,6 +74,16 @@ def any_longer(**widths: int) -> F.Column:
     return reduce(lambda a, b: a | b, [F.coalesce(F.length(c) > n, F.lit(False)) for c, n in widths.items()])
 
 
+def order_rules(orders: DataFrame) -> dict[str, F.Column]:
+    return {"not_null": any_null(*orders.columns)}
+
+
+def history_rules(history: DataFrame) -> dict[str, F.Column]:
+    return {"not_null": any_null(*[c for c in history.columns if c != "note"]),
+            "check_status": ~F.col("status").isin(STATUS_OPEN, STATUS_CLOSED),
+            "widths": any_longer(note=100, v_user=10)}
+
+
 def constraint_violations(states: DataFrame, cars: DataFrame, clients: DataFrame,
                           orders: DataFrame, history: DataFrame) -> DataFrame:
     spark = cars.sparkSession
@@ -94,13 +104,37 @@ def constraint_violations(states: DataFrame, cars: DataFrame, clients: DataFrame
                                  "widths": any_longer(reg_num=10, color=20, mark=20, type=20)}),
         fk_missing(cars, "cars", "fk_state_id", "state_id", states, "id"),
         row_rules(clients, "clients", {"not_null": any_null("pass", "name"), "widths": any_longer(**{"pass": 10, "name": 40})}),
-        row_rules(orders, "orders", {"not_null": any_null(*orders.columns)}),
+        row_rules(orders, "orders", order_rules(orders)),
         fk_missing(orders, "orders", "fk_client_pass", "client_pass", clients, "pass"),
         fk_missing(orders, "orders", "fk_car_reg_num", "car_reg_num", cars, "reg_num"),
-        row_rules(history, "orders_history", {
-            "not_null": any_null(*[c for c in history.columns if c != "note"]),
-            "check_status": ~F.col("status").isin(STATUS_OPEN, STATUS_CLOSED),
-        }),
+        row_rules(history, "orders_history", history_rules(history)),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def new_duplicates(table: DataFrame, batch: DataFrame, name: str, rule: str, key: str) -> DataFrame:
+    """Key values that one row or none holds and more do with the batch.
+    The table is first reduced to the batch's keys (its key column is all
+    that is read); only what is left is counted."""
+    new = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    held = table.select(key).join(new.select(key), key, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("held"))
+    bad = (F.coalesce("held", F.lit(0)) <= 1) & (F.coalesce("held", F.lit(0)) + F.col("n") > 1)
+    return _one(new.join(held, key, "left").agg(F.count(F.when(bad, 1)).alias("violations")), name, rule)
+
+
+def batch_violations(cars: DataFrame, clients: DataFrame, orders: DataFrame, history: DataFrame,
+                     new_orders: DataFrame, new_history: DataFrame) -> DataFrame:
+    """What appending rows to orders and history adds to
+    ``constraint_violations``, without a scan of whole tables: row rules see
+    the batch alone, keys are counted where the batch has them."""
+    parts = [new_duplicates(orders, new_orders, "orders", rule, key) for rule, key in
+             (("pk_id", "id"), ("unique_client_pass", "client_pass"), ("unique_car_reg_num", "car_reg_num"))]
+    parts += [
+        new_duplicates(history, new_history, "orders_history", "pk_id", "id"),
+        row_rules(new_orders, "orders", order_rules(new_orders)),
+        row_rules(new_history, "orders_history", history_rules(new_history)),
+        fk_missing(new_orders, "orders", "fk_client_pass", "client_pass", clients, "pass"),
+        fk_missing(new_orders, "orders", "fk_car_reg_num", "car_reg_num", cars, "reg_num"),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carledger.functions.exact import (
@@ -27,7 +27,7 @@ from carledger.functions.exact import (
 )
 from carledger.functions.fixed import CHANGE_STATUS, EXPORT_STATUS, STATUS_CLOSED
 from carledger.functions.timefn import MICROS_PER_DAY, fmt17, micros_between, ts_diff
-from carledger.plans.joins import with_state_name
+from carledger.plans.joins import materialize, with_state_name
 
 
 def _ts(v) -> F.Column:
@@ -102,7 +102,12 @@ def cars_history_export(history: DataFrame, cars: DataFrame) -> DataFrame:
 def cars_report(history: DataFrame, cars: DataFrame, as_of) -> DataFrame:
     """Per rented car: orders, clients, revenue, days in rent, and days
     since the last service at ``as_of`` (all rounded to 2 places)."""
-    s = car_spans(history).withColumn("span_micros", micros_between("returned_at", "rented_at"))
+    return cars_report_of(car_spans(history), cars, as_of)
+
+
+def cars_report_of(spans: DataFrame, cars: DataFrame, as_of) -> DataFrame:
+    """``cars_report`` from the spans of (order, client, car)."""
+    s = spans.withColumn("span_micros", micros_between("returned_at", "rented_at"))
     # Price and service date belong to the car, so spans are summed per car
     # first and cars join one row each.
     per_car = s.groupBy("car_reg_num").agg(
@@ -128,10 +133,15 @@ def orders_changes(history: DataFrame) -> DataFrame:
     g = history.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("changed_times"),
         F.count_distinct("car_reg_num").alias("used_cars"),
-        ts_diff(F.max("returned_at"), F.min("returned_at")).alias("renews_on"),
+        F.min("returned_at").alias("returned_lo"), F.max("returned_at").alias("returned_hi"),
         F.max("status").alias("max_status"),
     )
-    return g.select("order_id", "changed_times", "used_cars", "renews_on",
+    return changes_of(g)
+
+
+def changes_of(g: DataFrame) -> DataFrame:
+    """``orders_changes`` from one row per order."""
+    return g.select("order_id", "changed_times", "used_cars", ts_diff("returned_hi", "returned_lo").alias("renews_on"),
                     _label("max_status", {"1": CHANGE_STATUS["1"], "0": CHANGE_STATUS["0"]})
                     .alias("status"))
 
@@ -156,6 +166,11 @@ def orders_changes_report(history: DataFrame, orders: DataFrame) -> DataFrame:
         F.min(F.when(closed, F.col("total_price"))).alias("closed_min"),
         F.max(F.when(closed, F.col("total_price"))).alias("closed_max"),
     )
+    return changes_report_of(per_order, orders)
+
+
+def changes_report_of(per_order: DataFrame, orders: DataFrame) -> DataFrame:
+    """``orders_changes_report`` from one row per order."""
     a = per_order.agg(
         F.count(F.lit(1)).alias("distinct_orders"),
         F.sum("n").alias("sum_changes"),
@@ -221,6 +236,43 @@ def client_report(history: DataFrame) -> DataFrame:
     )
 
 
+#: Cars in a piece of a client's car list.
+PART_CARS = 50
+
+
+def client_report_parts(history: DataFrame, size: int = PART_CARS) -> DataFrame:
+    """R8 with the car list in pieces of ``size`` cars, one row each, in
+    order: no row grows with a client's cars, however many. ``part_no``
+    counts from 0; joined by ", " the pieces are the list of R8.
+
+    A client's cars are numbered in two levels: distinct (client, car)
+    pairs are range-sorted, so that a client with very many lies in several
+    partitions; its rows count within each, and the counts of the earlier
+    partitions are added."""
+    closed = F.col("status") == STATUS_CLOSED
+    pairs = history.groupBy("client_pass", "car_reg_num").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(closed, 1)).alias("closed_n"),
+        F.sum(F.when(closed, F.col("total_price"))).alias("closed_sum"))
+    parts = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["client_pass", "car_reg_num"]
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit(2 ** 33 - 1))
+    dealt = materialize(pairs.repartitionByRange(parts, *key).sortWithinPartitions(*key)
+                        .withColumn("_at", row).withColumn("_part", F.spark_partition_id()))
+    within = dealt.groupBy("client_pass", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy("client_pass").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = within.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    rank = F.col("_before") + F.col("_at") - F.col("_first")
+    pieces = (dealt.join(starts, ["client_pass", "_part"]).withColumn("part_no", F.floor(rank / size).cast("long"))
+              .groupBy("client_pass", "part_no").agg(F.array_join(F.array_sort(F.collect_list("car_reg_num")), ", ").alias("car_list")))
+    per = dealt.groupBy("client_pass").agg(
+        F.sum("n").alias("n"), F.sum("closed_n").alias("closed_n"), F.sum("closed_sum").alias("closed_sum"),
+        F.ceil(F.count(F.lit(1)) / size).cast("long").alias("parts")).filter(F.col("closed_n") > 0)
+    return pieces.join(per, "client_pass").select(
+        "client_pass", "part_no", "parts", "car_list",
+        (F.col("n").cast("decimal(20,0)") * F.col("closed_sum")).cast("decimal(38,2)").alias("revenue"),
+        F.col("closed_sum").cast("decimal(38,2)").alias("closed_revenue"))
+
+
 # R9 - R13 ---------------------------------------------------------------
 
 def autopark_status(cars: DataFrame, car_states: DataFrame) -> DataFrame:

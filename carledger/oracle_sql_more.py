@@ -144,13 +144,15 @@ FROM cars""", *closes)
         dup("orders_history", "pk_id", "rent_history", "id"),
         rows("orders_history", "not_null", "rent_history", nulls(*hist_cols)),
         rows("orders_history", "check_status", "rent_history", "status NOT IN ('0', '1')"),
+        rows("orders_history", "widths", "rent_history", "length(note) > 100 OR length(v_user) > 10"),
     ]
     out["constraint_violations"] = with_adapter("\nUNION ALL\n".join(parts))
 
     from carledger import oracle_sql_commands
     out.update(oracle_sql_commands.statements())
-    from carledger import oracle_sql_journal
+    from carledger import oracle_sql_journal, oracle_sql_stored
     out.update(oracle_sql_journal.statements())
+    out.update(oracle_sql_stored.statements())
 
     out["free_keys"] = with_adapter(f"""
 SELECT k.pass FROM (SELECT DISTINCT {q_key('', 'p_partkey')} AS pass FROM part) k

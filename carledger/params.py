@@ -14,3 +14,7 @@ EXPIRE_ID_OFFSET = 10 ** 15          # history ids of expired_orders: offset + o
 ORDER_ID_OFFSET = 10 ** 12             # add_orders: new order id = offset + seq
 STREAM_FILE_ROWS = 20000               # order_change_stream: events of a file at most
 STREAM_LATE = "800 days"               # over two years: a micro-batch may hold files of two
+LOOKUP_KEYS = list(range(1, 1000, 27))   # client_lookup, car_lookup: numbers of the keys
+ROLLING_CUTS = [1994, 1996]            # rolling reports: a batch ends before each of these years
+DIFF_ID_OFFSET = 2 * 10 ** 15          # orders_diff_log: history id = offset + order id
+PART_CARS = 10                         # client_report_parts: cars of a piece

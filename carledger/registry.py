@@ -48,6 +48,7 @@ REPORTS: dict[str, Query] = {
 
 def queries() -> dict[str, Query]:
     out = dict(REPORTS)
-    from carledger import registry_more
+    from carledger import registry_more, registry_stored
     out.update(registry_more.QUERIES)
+    out.update(registry_stored.QUERIES)
     return out

@@ -6,21 +6,23 @@ on a cluster), which also cuts the lineage: a lost executor costs a file
 re-read, not a re-derivation. Layout, chosen for the queries that follow:
 
 * ``history``: bucketed by ``order_id`` (sorted by order_id, id),
-  partitioned by ``status``, with parquet bloom filters on ``client_pass``
-  and ``car_reg_num`` for point lookups (the source schema's secondary
-  indexes on status, client and car). Per-order aggregates and per-order windows
-  (changes report, change log, open orders) then run without a shuffle,
-  and closed-row reports read only the ``status=1`` directory, the role
-  the status index plays in the reference schema.
+  partitioned by ``batch`` and ``status``, with parquet bloom filters on
+  ``client_pass`` and ``car_reg_num`` for point lookups (the source schema's
+  secondary indexes on status, client and car). Per-order aggregates and
+  per-order windows (changes report, change log, open orders) then run
+  without a shuffle, and closed-row reports read only the ``status=1``
+  directories, the role the status index plays in the reference schema.
 * ``orders``: bucketed by ``id``, with the car each order began with, so
-  no query reads the history for it; ``cars``, ``clients``: plain parquet.
-  Empty texts are stored as NULL.
+  no query reads the history for it; ``cars``, ``clients``: plain parquet; all
+  three partitioned by ``version``. Empty texts are stored as NULL.
+* ``layout(key)``: the history again, bucketed by client or car, for lookups.
 
-Applying a verb's result: ``append_history`` appends rows with the same
-layout (insert sink); ``replace`` writes a new version folder and switches
-the catalog table to it (update/delete sink), so a table can be rebuilt
-from itself and readers never see a half-written table. ``apply`` does both
-for one batch and can be repeated after a crash: see there.
+Applying a batch of calls (``apply``): its history rows are partition
+``batch=b`` of the history, the tables it changes partition ``version=b``,
+each one write with dynamic partition overwrite. A batch is computed from
+the tables as they were before it, so a batch that is repeated, after a crash
+or by mistake, writes the same rows over its own. Readers see a batch when
+all of its writes are done.
 
 If one order holds more than two average buckets' worth of rows and more
 than ``carledger.hotKeyRows`` rows (checked on the raw lines' keys, without
@@ -33,9 +35,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
-import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +51,10 @@ HISTORY_COLS = ["id", "order_id", "changed_at", "client_pass", "car_reg_num", "r
                 "status", "total_price", "note", "v_user"]
 
 
+#: Layouts of the history for lookups: name -> key.
+LAYOUTS = {"history_by_client": "client_pass", "history_by_car": "car_reg_num"}
+
+
 def _buckets(spark: SparkSession) -> int:
     n = spark.conf.get("carledger.buckets", None)
     return int(n) if n else int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -79,28 +83,57 @@ class FleetStore:
                  bucket_history: bool = True):
         self.spark, self.root, self.token, self.buckets = spark, root, token, buckets
         self.bucket_history = bucket_history
+        #: Versions of each table, and batches of the history, that are done.
+        self.done = {"cars": [0], "clients": [0], "orders": [0], "history": [0]}
+        self.bucket_layout: dict[str, bool] = {}
+        self.layouts: dict[str, int] = {}
         #: Results whose outputs are written once and read by several queries.
         self.results: dict = {}
 
     def _name(self, table: str) -> str:
         return f"fleet_{self.token}_{table}"
 
-    def table(self, name: str) -> DataFrame:
-        return self.spark.table(self._name(name))
+    def table(self, name: str, before: int | None = None) -> DataFrame:
+        """A table as it is, or as it was before a batch."""
+        done = [v for v in self.done[name] if before is None or v < before]
+        df = self.spark.table(self._name(name))
+        if name == "history":
+            return df.filter(F.col("batch") <= max(done)).drop("batch")
+        return df.filter(F.col("version") == max(done)).drop("version")
+
+    def layout(self, key: str) -> DataFrame:
+        """The history bucketed by ``client_pass`` or ``car_reg_num``, written
+        when first asked for after a batch. If one key holds so much that
+        its bucket would be most of the work, it is sorted by the key
+        instead, and row groups are skipped by their range and bloom filter."""
+        name = next(n for n, k in LAYOUTS.items() if k == key)
+        last = max(self.done["history"])
+        table = self._name(f"{name}_{last}")
+        if name not in self.layouts or self.layouts[name] != last:
+            rows = self.table("history").select(*HISTORY_COLS)
+            self.bucket_layout[name] = not has_hot_order(rows, key, self.buckets)
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            self._write(name, rows, f"{self.root}/{name}/batch{last}", table, mode="overwrite")
+            self.layouts[name] = last
+        return self.spark.table(table)
 
     # --------------------------------------------------------------- write
     def _write(self, name: str, df: DataFrame, path: str, table: str, mode: str = "errorifexists") -> None:
         n = self.buckets
         if name == "history" and self.bucket_history:
-            w = (df.repartition(n, "order_id").write.mode(mode).partitionBy("status")
+            w = (df.repartition(n, "order_id").write.mode(mode).partitionBy("batch", "status")
                  .bucketBy(n, "order_id").sortBy("order_id", "id"))
         elif name == "history":
-            w = df.sortWithinPartitions("order_id", "id").write.mode(mode).partitionBy("status")
+            w = df.sortWithinPartitions("order_id", "id").write.mode(mode).partitionBy("batch", "status")
         elif name == "orders":
-            w = df.repartition(n, "id").write.mode(mode).bucketBy(n, "id").sortBy("id")
+            w = df.repartition(n, "id").write.mode(mode).partitionBy("version").bucketBy(n, "id").sortBy("id")
+        elif name in LAYOUTS and self.bucket_layout[name]:
+            w = df.repartition(n, LAYOUTS[name]).write.mode(mode).bucketBy(n, LAYOUTS[name]).sortBy(LAYOUTS[name], "id")
+        elif name in LAYOUTS:
+            w = df.sortWithinPartitions(LAYOUTS[name], "id").write.mode(mode)
         else:
-            w = df.write.mode(mode)
-        if name == "history":
+            w = df.write.mode(mode).partitionBy("version")
+        if name == "history" or name in LAYOUTS:
             # Point lookups by client or car (the secondary indexes of the
             # source schema) skip row groups through parquet bloom filters.
             w = (w.option("parquet.bloom.filter.enabled#client_pass", "true")
@@ -121,14 +154,15 @@ class FleetStore:
         forget_at_exit(spark, root)
         hot = has_hot_order(*(lines or (history, "order_id")), n)
         st = cls(spark, root, hashlib.sha1(root.encode()).hexdigest()[:10], n, bucket_history=not hot)
-        st._write("cars", without_empty(cars.select(*DT.CAR_COLS)), f"{root}/cars/v0", st._name("cars"))
-        st._write("clients", without_empty(clients.select("pass", "name")), f"{root}/clients/v0", st._name("clients"))
-        st._write("history", without_empty(history.select(*HISTORY_COLS)), f"{root}/history", st._name("history"))
+        first = lambda df, c="version": without_empty(df).withColumn(c, F.lit(0))
+        st._write("cars", first(cars.select(*DT.CAR_COLS)), f"{root}/cars", st._name("cars"))
+        st._write("clients", first(clients.select("pass", "name")), f"{root}/clients", st._name("clients"))
+        st._write("history", first(history.select(*HISTORY_COLS), "batch"), f"{root}/history", st._name("history"))
         if orders is None:
             orders = DT.open_orders_with_first_car(st.table("history"))
         elif "first_car" not in orders.columns:
             orders = orders.select(*DT.ORDER_COLS).join(DT.first_cars(st.table("history")), "id", "left")
-        st._write("orders", without_empty(orders.select(*DT.ORDER_COLS, "first_car")), f"{root}/orders/v0", st._name("orders"))
+        st._write("orders", first(orders.select(*DT.ORDER_COLS, "first_car")), f"{root}/orders", st._name("orders"))
         return st
 
     @classmethod
@@ -138,88 +172,56 @@ class FleetStore:
                           lines=(DT.read_table(spark, sf_dir, "lineitem", ["l_orderkey"]), "l_orderkey"))
 
     # ------------------------------------------------------- apply results
-    def append_history(self, rows: DataFrame) -> None:
-        """Append history rows (the insert sink); the bucket layout is kept."""
-        self._write("history", rows.select(*HISTORY_COLS), f"{self.root}/history",
-                    self._name("history"), mode="append")
-        self.spark.sql(f"REFRESH TABLE {self._name('history')}")
-
-    def replace(self, name: str, df: DataFrame) -> str:
-        """Update/delete sink: write the new table to a new version folder,
-        then switch the catalog table to it. Readers of the old version keep
-        consistent files; ``df`` may be computed from the old table."""
-        ver = uuid.uuid4().hex[:8]
-        path = f"{self.root}/{name}/v{ver}"
-        tmp = self._name(f"{name}_v{ver}")
-        self._write(name, df, path, tmp)
-        self.spark.sql(f"DROP TABLE {tmp}")            # external table: files stay
-        self.spark.sql(f"ALTER TABLE {self._name(name)} SET LOCATION '{path}'")
-        self.spark.sql(f"REFRESH TABLE {self._name(name)}")
-        return path
-
-    # One row for each step of each batch: (batch, step, first_id, folder).
-    LEDGER = "batch string, step string, first_id long, folder string"
-
-    def _ledger(self, batch: str) -> dict:
+    def _put(self, name: str, df: DataFrame, column: str, batch: int) -> None:
+        """Write one partition (``column`` = batch), over what it may hold."""
+        table = self.spark.table(self._name(name))
+        key = {"history": "order_id", "orders": "id"}.get(name)
+        if key and (name == "orders" or self.bucket_history):
+            df = df.repartition(self.buckets, key)
+        mode = "spark.sql.sources.partitionOverwriteMode"
+        before = self.spark.conf.get(mode)
+        self.spark.conf.set(mode, "dynamic")
         try:
-            rows = self.spark.read.schema(self.LEDGER).parquet(f"{self.root}/ledger").filter(F.col("batch") == batch).collect()
-        except AnalysisException:
-            rows = []
-        return {r["step"]: r for r in rows}
-
-    def _note(self, batch: str, step: str, first_id: int, folder: str) -> None:
-        (self.spark.createDataFrame([(batch, step, first_id, folder)], self.LEDGER).coalesce(1)
-         .write.mode("append").parquet(f"{self.root}/ledger"))
-
-    def apply(self, name: str, result, batch: str | None = None) -> bool:
-        """Store a verb's ``Result`` under a batch name: the new table and
-        its history rows, whose ids are the verb's plus the largest stored
-        id, so they differ over batches. Returns False if the batch is
-        stored already.
-
-        Repeatable: (1) the ids' start and the folders are noted; (2) table
-        and history rows are written to those folders, each computed once;
-        (3) history rows that are not stored yet are appended; (4) the
-        table is switched; (5) the batch is noted as done. A batch that was
-        broken off is taken up with the noted ids and folders, so a repeated
-        step writes the same rows. One writer at a time."""
-        batch = batch or uuid.uuid4().hex
-        steps = self._ledger(batch)
-        if "done" in steps:
-            return False
-        if "begun" not in steps:
-            top = self.table("history").agg(F.max("id")).first()[0] or 0
-            self._note(batch, "begun", int(top), f"v{uuid.uuid4().hex[:8]}")
-            steps = self._ledger(batch)
-        first_id, folder = steps["begun"]["first_id"], steps["begun"]["folder"]
-        path, rows_path = f"{self.root}/{name}/{folder}", f"{self.root}/staged/{folder}"
-        history = getattr(result, "history", None)
-        if "written" not in steps:
-            tmp = self._name(f"{name}_{folder}")
-            self.spark.sql(f"DROP TABLE IF EXISTS {tmp}")
-            new = result.table
-            if name == "orders" and "first_car" not in new.columns:
-                # An order that was not there before begins with its car.
-                old = self.table("orders").select("id", "first_car")
-                new = new.join(old, "id", "left").withColumn("first_car", F.coalesce("first_car", "car_reg_num"))
-            self._write(name, new, path, tmp, mode="overwrite")
-            self.spark.sql(f"DROP TABLE {tmp}")        # external table: files stay
-            if history is not None:
-                (history.select(*HISTORY_COLS).withColumn("id", F.col("id") + F.lit(first_id).cast("long"))
-                 .write.mode("overwrite").parquet(rows_path))
-            self._note(batch, "written", first_id, folder)
-        if history is not None:
-            stored = self.table("history").filter(F.col("id") > first_id).select("id")
-            self.append_history(self.spark.read.parquet(rows_path).join(stored, "id", "left_anti"))
-        self.spark.sql(f"ALTER TABLE {self._name(name)} SET LOCATION '{path}'")
-        self.spark.sql(f"REFRESH TABLE {self._name(name)}")
-        self._note(batch, "done", first_id, folder)
-        return True
+            df.withColumn(column, F.lit(batch)).select(*table.columns).write.mode("overwrite").insertInto(self._name(name))
+        finally:
+            self.spark.conf.set(mode, before)
+
+    def apply(self, batch: int, verb, name: str | None = None) -> None:
+        """Apply a batch of calls under its number, which grows from batch
+        to batch: ``verb`` gets the tables as they were before the batch and
+        gives its result, for table ``name``, or for all tables (a journal's
+        result). History ids are the verb's plus the largest id of earlier
+        batches, so they differ over batches. One writer at a time.
+
+        The same number again computes the same rows and overwrites them;
+        one that is not larger than another batch that came later is an
+        error."""
+        if batch <= 0 or any(v > batch for done in self.done.values() for v in done):
+            raise ValueError(f"batch {batch} is not the last one")
+        result = verb(StoredFleetTables(self.spark, "-", store=self, before=batch))
+        tables = {name: result.table} if name else {n: getattr(result, n) for n in ("cars", "clients", "orders")}
+        if "orders" in tables and "first_car" not in tables["orders"].columns:
+            # An order that was not there before begins with its car.
+            old = self.table("orders", batch).select("id", "first_car")
+            tables["orders"] = (tables["orders"].join(old, "id", "left")
+                                .withColumn("first_car", F.coalesce("first_car", "car_reg_num")))
+        if result.history is not None:
+            top = self.table("history", batch).agg(F.max("id")).first()[0] or 0
+            rows = result.history.select(*HISTORY_COLS).withColumn("id", F.col("id") + F.lit(top).cast("long"))
+            self._put("history", without_empty(rows), "batch", batch)
+        for n, df in tables.items():
+            self._put(n, without_empty(df), "version", batch)
+        for n in [*tables, *(["history"] if result.history is not None else [])]:
+            self.spark.sql(f"REFRESH TABLE {self._name(n)}")
+            self.done[n] = [*[v for v in self.done[n] if v != batch], batch]
+        self.results.clear()
 
     def drop(self) -> None:
         """Remove the store's tables and files."""
         for t in ("cars", "clients", "history", "orders"):
             self.spark.sql(f"DROP TABLE IF EXISTS {self._name(t)}")
+        for t, last in self.layouts.items():
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(f'{t}_{last}')}")
         delete_path(self.spark, self.root)
 
     @classmethod
@@ -241,10 +243,13 @@ class FleetStore:
 class StoredFleetTables:
     """Same interface as ``driver_tables.FleetTables``, over the store."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, store: FleetStore | None = None):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, store: FleetStore | None = None, before: int | None = None):
+        self.spark, self.sf_dir, self.before = spark, sf_dir, before
         self.store = store or FleetStore.for_dir(spark, sf_dir)
 
+    def _table(self, name: str) -> DataFrame:
+        return self.store.table(name, self.before)
+
     def once(self, name: str, build):
         """A result on the stored tables that several queries read: built by
         the first of them, gone with the store."""
@@ -254,24 +259,24 @@ class StoredFleetTables:
 
     @property
     def cars(self) -> DataFrame:
-        return self.store.table("cars")
+        return self._table("cars").select(*DT.CAR_COLS)
 
     @property
     def clients(self) -> DataFrame:
-        return self.store.table("clients")
+        return self._table("clients").select("pass", "name")
 
     @property
     def history(self) -> DataFrame:
-        return self.store.table("history").select(*HISTORY_COLS)
+        return self._table("history").select(*HISTORY_COLS)
 
     @property
     def orders_first_car(self) -> DataFrame:
         """Open orders with the car each began with."""
-        return self.store.table("orders").select(*DT.ORDER_COLS, "first_car")
+        return self._table("orders").select(*DT.ORDER_COLS, "first_car")
 
     @property
     def orders(self) -> DataFrame:
-        return self.store.table("orders").select(*DT.ORDER_COLS)
+        return self._table("orders").select(*DT.ORDER_COLS)
 
     @property
     def car_states(self) -> DataFrame:
