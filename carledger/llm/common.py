@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from carledger.session import shared_path, ship_package
+from carledger.session import delete_path, shared_path, ship_package
 
 #: A word: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,12 +21,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: one
     computation feeds several readers, and a lost executor costs a re-read.
-    The files go when the application ends."""
+    The files go when the application ends, or when they are released."""
     spark = df.sparkSession
     path = shared_path(spark, f"llm-{name}")
     df.write.option("compression", "zstd").parquet(path)
     forget_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    for own in _COLLECTORS:
+        own.append(out)
+    return out
+
+
+#: Lists that get the tables staged while they are here (``staged_in``).
+_COLLECTORS: list[list] = []
+
+
+@contextmanager
+def staged_in(own: list):
+    """``own`` gets every table that is staged within the block."""
+    _COLLECTORS.append(own)
+    try:
+        yield own
+    finally:
+        _COLLECTORS.remove(own)
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete the files of staged tables that nothing will read again: what
+    was computed from them is written itself. Other tables are left."""
+    for t in tables:
+        path = getattr(t, "_staged", None)
+        if path:
+            delete_path(t.sparkSession, path)
+            t._staged = None
 
 
 def forget_at_exit(spark: SparkSession, path: str) -> None:
@@ -108,7 +137,7 @@ def connected(edges: DataFrame, nodes: str = "a", others: str = "b") -> DataFram
     both = lambda e: e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     u, v = F.least(nodes, others).alias("u"), F.greatest(nodes, others).alias("v")
     e = stage(edges.select(u, v).filter("u <> v").distinct(), "edges")
-    names, salt = None, 0
+    names, old, salt = None, [], 0      # old: tables that ``names`` is read from
     while not e.isEmpty():
         salt += 1
         rank = F.struct(F.xxhash64(F.lit(salt), "v").alias("h"), F.col("v").alias("n"))
@@ -116,13 +145,18 @@ def connected(edges: DataFrame, nodes: str = "a", others: str = "b") -> DataFram
         least = stage(both(e).groupBy("u").agg(F.min(rank).alias("least"))
                       .select("u", F.least("least", own)["n"].alias("to")), "moves")
         if names is None:
-            names = least.select(F.col("u").alias("node"), F.col("to").alias("root"))
+            names, old = least.select(F.col("u").alias("node"), F.col("to").alias("root")), [least]
+            gone = []
         else:
             step = least.withColumnRenamed("u", "root")
+            gone = [least, *old]
             names = stage(names.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "names")
+            old = [names]
         left, right = least.toDF("u", "nu"), least.toDF("v", "nv")
-        e = stage(e.join(left, "u").join(right, "v").filter("nu <> nv")
-                  .select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")).distinct(), "edges")
+        rest = stage(e.join(left, "u").join(right, "v").filter("nu <> nv")
+                     .select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")).distinct(), "edges")
+        release(e, *gone)
+        e = rest
     if names is None:
         names = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return names

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carledger.llm.common import WORKER_CACHES, batches, bounded, connected, only_caches_of, ship, sized_parts, stage
+from carledger.llm.common import WORKER_CACHES, batches, bounded, connected, only_caches_of, release, ship, sized_parts, stage
 
 SHINGLE = 5
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
@@ -54,9 +54,9 @@ MOST_SHARED, VERIFY_COST = 8, 20.0
 PART_TOKENS, TASK_TOKENS = 1_000_000, 400_000
 #: Classes of a component that are compared at once, and classes with them.
 BLOCK = 512
-#: Rounds of pairing with few documents only, and members of a larger
-#: component that smaller ones are paired with in a round.
-ROUNDS, HUBS = 5, 64
+#: Rounds of pairing with few documents only, as many at every size, and
+#: members of a larger component that smaller ones are paired with in one.
+ROUNDS, HUBS = 2, 64
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                  0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -315,12 +315,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     written = stage(pairs, "pairs")
     pairs = bounded(written)
     # Only sets that a pair names go through the join's shuffle.
-    named = bounded(stage(written.select("a").distinct(), "named"))
+    own = stage(written.select("a").distinct(), "named")
+    named = bounded(own)
     left = sets.select(F.col("node").alias("b"), F.col("items").alias("_b"))
     right = sets.join(named, sets["node"] == named["a"]).select("a", F.col("items").alias("_a"))
     # A class that many pairs name is on the side that Spark can split.
     both = left.join(pairs, "b").join(right, "a")
-    return stage(both.filter(F.pandas_udf(_similar, "boolean")("_a", "_b")).drop("_a", "_b"), "links")
+    links = stage(both.filter(F.pandas_udf(_similar, "boolean")("_a", "_b")).drop("_a", "_b"), "links")
+    release(written, own)
+    return links
 
 
 def _near(n: str, m: str):
@@ -342,7 +345,7 @@ def components(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     levels, total = frequency_levels(docs)
     found = postings(docs, levels, total)
-    rows = found.filter("kind = 0").select("doc_id", "h", "sig", "n", "ell", "ref")
+    rows = stage(found.filter("kind = 0").select("doc_id", "h", "sig", "n", "ell", "ref"), "rows")
     one = F.struct("ref", "doc_id", "h", "n", "ell")
     classes = stage(rows.filter("sig is not null").groupBy("sig").agg(F.min(one).alias("one"), F.min("doc_id").alias("least"))
                     .select("sig", "least", F.col("one.ref").alias("node"), "one.doc_id", "one.h", "one.n", "one.ell"),
@@ -351,12 +354,18 @@ def components(docs: DataFrame) -> DataFrame:
     short = F.col("ell") - F.ceil(F.col("n") * F.lit(NUMERATOR) / F.lit(DENOMINATOR))
     posted = (found.filter("kind = 1").select("token", F.col("ref").alias("node"))
               .join(classes.select("node", "n", short.cast("int").alias("short")), "node"))
-    posted = _linkable(stage(posted, "postings-of-classes"))
+    whole = stage(posted, "postings-of-classes")
+    release(found)
+    posted = _linkable(whole)
+    release(whole)
     wanted = stage(posted.select("node").distinct().join(classes.select("node", "doc_id", "h"), "node"), "wanted")
     names = None
     if not wanted.isEmpty():
         repeated = not rows.groupBy("doc_id", "h").count().filter("count > 1").isEmpty()
-        names = _link(posted, _sets(docs, wanted, repeated))
+        sets = _sets(docs, wanted, repeated)
+        names = _link(posted, sets)
+        release(sets)
+    release(wanted)
     if names is not None:
         classes = classes.join(names, "node", "left").withColumn("root", F.coalesce("root", "node"))
         lowest = stage(classes.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
@@ -380,9 +389,12 @@ def _linkable(posted: DataFrame) -> DataFrame:
     least = F.ceil(F.col("n") * F.lit(NUMERATOR) / F.lit(DENOMINATOR))
     node = p.groupBy("node", "n", "short").agg(F.count("token").alias("k"), F.min("lo").alias("lo"), F.min("other").alias("other"))
     alive = node.filter(F.col("k") >= shared_needed(F.col("n"), F.greatest("lo", least), F.col("short"), F.col("other")))
-    p = p.select("token", "node", "n", "short").join(stage(alive.select("node"), "alive"), "node")
-    several = stage(p.groupBy("token").agg(F.count("node").alias("k")).filter("k > 1").select("token"), "tokens")
-    return stage(p.join(several, "token"), "posted")
+    alive = stage(alive.select("node"), "alive")
+    left = p.select("token", "node", "n", "short").join(alive, "node")
+    again = stage(left.groupBy("token").agg(F.count("node").alias("k")).filter("k > 1").select("token"), "tokens")
+    out = stage(left.join(again, "token"), "posted")
+    release(several, p, alive, again)
+    return out
 
 
 def _link(posted: DataFrame, sets: DataFrame) -> DataFrame:
@@ -395,19 +407,26 @@ def _link(posted: DataFrame, sets: DataFrame) -> DataFrame:
     share enough shingles; only those are left out that could not change a
     component."""
     nodes = stage(posted.select("node").distinct().withColumn("root", F.col("node")), "nodes")
-    p = posted.withColumn("root", F.col("node"))
+    p, read = posted.withColumn("root", F.col("node")), [posted, nodes]     # read: tables of p and nodes
 
-    def merge(pairs: DataFrame) -> bool:
-        nonlocal nodes, p
+    def merge(pairs: DataFrame, *used: DataFrame) -> bool:
+        """Verify pairs, join components; ``used``: tables of the pairs."""
+        nonlocal nodes, p, read
         new = verified(pairs, sets)
+        release(*used)
         if new.isEmpty():
+            release(new)
             return False
-        moves = connected(new, "root_a", "root_b").toDF("root", "to")
+        comps = connected(new, "root_a", "root_b")
+        moves = comps.toDF("root", "to")
         moved = lambda t: t.join(moves, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
         nodes = stage(moved(nodes), "nodes")
         p = moved(p)
         ends = p.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-        p = stage(p.join(stage(ends.select("token"), "tokens"), "token"), "posted")
+        several = stage(ends.select("token"), "tokens")
+        p = stage(p.join(several, "token"), "posted")
+        release(several, new, comps, *read)
+        read = [p, nodes]
         return True
 
     def shared(found: DataFrame, share: float = 1.0) -> DataFrame:
@@ -426,7 +445,8 @@ def _link(posted: DataFrame, sets: DataFrame) -> DataFrame:
     hub = lambda t: t.select("token", *[F.col(c).alias(f"hub_{c}") for c in ("n", "short", "root")],
                              F.col("node").alias("hub"))
     first = p.groupBy("token").agg(F.min(F.struct(F.xxhash64("node"), "node", "n", "short", "root")).alias("r"))
-    found = merge(shared(p.join(stage(hub(first.select("token", "r.*")), "hubs"), "token"), 0.1))
+    hubs = stage(hub(first.select("token", "r.*")), "hubs")
+    found = merge(shared(p.join(hubs, "token"), 0.1), hubs)
     for turn in range(1, ROUNDS):
         pairs, rows = pairs_left()
         if not found or pairs <= 4 * rows:
@@ -434,25 +454,28 @@ def _link(posted: DataFrame, sets: DataFrame) -> DataFrame:
         sizes = stage(nodes.groupBy("root").agg(F.count("node").alias("size")).filter("size > 1"), "sizes")
         rank = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64(F.lit(turn), "node")))
         few = p.select("node", "root").distinct().join(sizes, "root").withColumn("rank", rank).filter(F.col("rank") <= HUBS)
+        few = stage(few.select("node", "size"), "few")
         hubs = stage(
-            p.join(stage(few.select("node", "size"), "few"), "node").select(
+            p.join(few, "node").select(
                 "token", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("short").alias("hub_short"),
                 F.col("root").alias("hub_root"), F.col("size").alias("hub_size")), "hubs")
         asked = p.join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
         smaller = F.struct("size", "root") < F.struct("hub_size", "hub_root")
-        found = merge(shared(asked.join(hubs, "token").filter(smaller)))
+        found = merge(shared(asked.join(hubs, "token").filter(smaller)), sizes, few, hubs)
     if not p.isEmpty():
         sizes = stage(nodes.groupBy("root").agg(F.count("node").alias("size")), "sizes")
-        merge(_all_pairs(p.join(sizes, "root")))
+        merge(*_all_pairs(p.join(sizes, "root")), sizes)
+    release(*[t for t in read if t is not nodes])
     return nodes
 
 
 PAIRS = "a long, b long, root_a long, root_b long"
 
 
-def _all_pairs(p: DataFrame) -> DataFrame:
+def _all_pairs(p: DataFrame) -> list[DataFrame]:
     """All pairs of classes of different components that share as many
-    shingles as both ask for; ``p``: postings with root and its size.
+    shingles as both ask for, and the tables they are read from; ``p``:
+    postings with root and its size.
 
     A class is matched with the larger components that it shares shingles
     with. If a pair shares t of the postings here, the first shared one, in
@@ -470,12 +493,14 @@ def _all_pairs(p: DataFrame) -> DataFrame:
     least = shared_needed(F.col("n"), F.greatest("lo", F.ceil(F.col("n") * F.lit(NUMERATOR) / F.lit(DENOMINATOR))),
                           F.col("short"), F.col("other"))
     room = F.least("after", "room") >= least - 1
-    asked = p.join(stage(here, "roots"), "token").filter(smaller & fits & room).select("node", "into").distinct()
-    asked = stage(asked, "asked")
+    here = stage(here, "roots")
+    asked = stage(p.join(here, "token").filter(smaller & fits & room).select("node", "into").distinct(), "asked")
+    release(here)
     members = stage(p.groupBy("node", "root", "n", "short").agg(F.collect_list("token").alias("tokens")), "members")
     many = members.groupBy(F.col("root").alias("into")).agg(F.ceil(F.count("node") / BLOCK).cast("int").alias("blocks"))
     plan = asked.groupBy("into").agg(F.ceil(F.count("node") / BLOCK).cast("int").alias("chunks")).join(many, "into")
-    plan = bounded(stage(plan, "plan"))
+    written = stage(plan, "plan")
+    plan = bounded(written)
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     pick = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     own = ["node", "n", "short", "root", "tokens"]
@@ -485,7 +510,7 @@ def _all_pairs(p: DataFrame) -> DataFrame:
             .select("into", spread("blocks").alias("block"), pick("chunks").alias("chunk"), F.lit(1).alias("side"), *own))
     key = ["into", "block", "chunk"]
     rows = held.unionByName(asks).repartition(sized_parts(p), *key).sortWithinPartitions(*key, "side")
-    return rows.mapInArrow(_count_blocks, PAIRS)
+    return [rows.mapInArrow(_count_blocks, PAIRS), p, asked, members, written]
 
 
 def _count_blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
