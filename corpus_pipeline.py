@@ -13,21 +13,44 @@ empties does not move the weights of others, so mixing and packing agree.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carledger.llm import langid, linededup, mixing, ngram_join, packing
-from carledger.llm.common import stage, table
+from carledger.llm.common import release, stage, staged_in, table
+
+#: Tables that each stage has written for itself; the next one lets them go.
+_OWN: dict[int, list] = {}
+
+
+def _in_place(place: int):
+    """A stage: its result is written before the next stage begins, so what
+    the stage before wrote on the way is not needed any more."""
+    def of(apply):
+        @wraps(apply)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            release(*_OWN.pop(place - 1, []))
+            with staged_in([]) as own:
+                out = apply(spark, docs, sf_dir)
+            _OWN[place] = own
+            return out
+        return run_stage
+    return of
 
 
+@_in_place(0)
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs)
 
 
+@_in_place(1)
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.drop_repeats(docs, length="n_chars")
 
 
+@_in_place(2)
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.keep_one(docs)
 
@@ -36,10 +59,12 @@ def curriculum(spark: SparkSession, sf_dir: str) -> mixing.Schedules:
     return mixing.schedules_of(table(spark, sf_dir, "documents").select("source"), mixing.curriculum)
 
 
+@_in_place(3)
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, schedules=curriculum(spark, sf_dir))
 
 
+@_in_place(4)
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # The order of the mixing stage's queues, found again from its rows.
     return packing.packed(docs, schedules=curriculum(spark, sf_dir), order=F.xxhash64("doc_id", "text"))
