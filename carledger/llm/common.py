@@ -102,17 +102,19 @@ def sized_parts(df: DataFrame) -> int:
 MAX_LABELS = 256
 
 
-def least_rows(df: DataFrame, by: str, key: Column, per: int) -> DataFrame:
+def least_rows(df: DataFrame, by: str, key: Column, per: int, most: int | None = MAX_LABELS) -> DataFrame:
     """At most ``per`` rows of each value of the label ``by``, those with
     the least pseudo-random ``key``, a signed 64-bit hash. Rows with equal
     (by, key) count once. A first scan counts distinct hashes, a filter on
     the hash then leaves about ``4 * per`` rows of a value, so the final
     ranking sorts a bounded number of rows however many a value has. More
-    than MAX_LABELS labels are an error."""
+    than ``most`` labels are an error (None: any number, a row for each on
+    the driver)."""
     keyed = df.withColumn("_key", key).filter(F.col(by).isNotNull())
-    counts = keyed.groupBy(by).agg(F.approx_count_distinct("_key").alias("_n")).limit(MAX_LABELS + 1).collect()
-    if len(counts) > MAX_LABELS:
-        raise ValueError(f"{by} has more than {MAX_LABELS} values")
+    counts = keyed.groupBy(by).agg(F.approx_count_distinct("_key").alias("_n"))
+    counts = (counts if most is None else counts.limit(most + 1)).collect()
+    if most is not None and len(counts) > most:
+        raise ValueError(f"{by} has more than {most} values")
     schema = f"`{by}` {df.schema[by].dataType.simpleString()}, _bound double"
     bounds = df.sparkSession.createDataFrame(
         [(r[by], -2.0 ** 63 + 2.0 ** 64 * min(1.0, 4.0 * per / max(1, r["_n"]))) for r in counts], schema)

@@ -17,14 +17,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carledger.llm.common import id_remainder, least_rows, only_caches_of, ship
+from carledger.llm.common import batches, id_remainder, least_rows, only_caches_of, ship
 
-#: Sample for the dictionaries: rows of a language, characters of a row.
-SAMPLE_ROWS, SAMPLE_CHARS = 400, 2000
+#: Sample for the dictionaries: rows of a language, each with its whole text.
+SAMPLE_ROWS = 400
 #: Bytes of a dictionary and of a piece. A piece under SHORT bytes is repeated,
 #: at least four times and to SHORT bytes: zstandard stores tiny ones as they are.
 DICT_BYTES, PIECE, SHORT = 65536, 512, 96
@@ -61,32 +62,38 @@ class Model:
         return out
 
 
-def dictionary(texts: list[str]) -> bytes:
-    counts = Counter(w for t in texts for w in normalised(t).split())
-    out, size = [], 0
-    for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
-        size += len(w.encode()) + 1
-        if size > DICT_BYTES:
-            break
-        out.append(w)
-    return " ".join(reversed(out)).encode()
+def _words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, how often) of whole texts."""
+    for b in batches(it, 100):
+        n: dict[str, Counter] = {}
+        for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            n.setdefault(lang, Counter()).update(normalised(t).split())
+        rows = [(k, w, c) for k, own in n.items() for w, c in own.items()]
+        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))],
+                              names=["lang", "word", "n"])
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Learns from at most SAMPLE_ROWS rows of each language and the first
-    SAMPLE_CHARS characters of each (a bounded sample; prediction reads
-    whole texts). Rows without text or language are left out; copies of a
-    text count once. The sample is the rows with the least hash of their
-    text, so reruns learn the same."""
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("text is not null")
-    sample = least_rows(rows.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"),
-                                    F.xxhash64("text").alias("h")), "lang", F.col("h"), SAMPLE_ROWS)
-    by: dict[str, list[str]] = {}
-    for r in sample.select("lang", "text").collect():  # bounded: languages x SAMPLE_ROWS x SAMPLE_CHARS
-        by.setdefault(r["lang"], []).append(r["text"])
-    often = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect() if r["lang"] in by}
-    order = sorted(by, key=lambda k: (-often[k], k))
-    return Model(tuple((k, d) for k in order if (d := dictionary(by[k]))))
+    """Learns from the whole texts of at most SAMPLE_ROWS rows of each
+    language. Rows without text or language are left out; copies of a text
+    count once; without rows there is no language. The sample is the rows
+    with the least hash of their text, so reruns learn the same. Words are
+    counted and ranked in Spark; only those of the dictionaries, DICT_BYTES
+    for each language, come to the driver."""
+    ship(labelled.sparkSession)
+    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter("text is not null")
+    sample = least_rows(rows.select("lang", "text", F.xxhash64("text").alias("h")), "lang", F.col("h"), SAMPLE_ROWS)
+    counts = (sample.select("lang", "text").mapInArrow(_words, "lang string, word string, n long")
+              .groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    # The most frequent words of a language, as many as fit.
+    often = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    size = F.sum(F.octet_length("word") + 1).over(often.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    by: dict[str, list] = {}
+    for r in counts.withColumn("size", size).filter(F.col("size") <= DICT_BYTES).collect():
+        by.setdefault(r["lang"], []).append((-r["n"], r["word"]))
+    many = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect() if r["lang"] in by}
+    # References are cheapest to what comes last.
+    return Model(tuple((k, " ".join(w for _, w in sorted(by[k], reverse=True)).encode()) for k in sorted(by, key=lambda k: (-many[k], k))))
 
 
 def classify(text: str | None, langs: list[str], compressors: list) -> tuple[str, float, float, bool]:
@@ -108,7 +115,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with a column ``lang_id``: struct(lang, score, margin,
     rejected); it replaces a column of that name. A text that is null, empty
     or has no letter is ``und``, score 0 and rejected; ties of size go to
-    the language with more labelled rows and are rejected. One task reads
+    the language with more labelled rows and are rejected. Repeated rows are
+    each classified; an empty table gives an empty one. One task reads
     some rows at a time; nothing is shuffled; the broadcast dictionaries
     take DICT_BYTES for each language."""
     ship(docs.sparkSession)

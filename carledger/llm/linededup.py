@@ -40,13 +40,14 @@ def _windows(text: Column) -> Column:
     return F.flatten(F.transform(F.array(full), windows))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", count: str = "n_removed") -> DataFrame:
     """``docs`` with repeated passages removed from ``text`` and a column
-    ``n_removed``, the number of lines removed (it replaces a column of that
+    ``count``, the number of lines removed (it replaces a column of that
     name). Null, empty and short texts (under three lines with a word) stay
     as they are. Rows with equal id and text count as one document and get
     the same result; rows with equal id and other texts are ordered by a hash
-    of the text; a null id comes last."""
+    of the text; a null id comes last. A very long text is read whole, in one
+    task; an empty table gives an empty one."""
     key = F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(2 ** 63 - 1)), F.xxhash64(doc_id, text))
     rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), key.alias("key"))
     found = (rows.select("key", F.explode(_windows(F.col("text"))).alias("w"))
@@ -64,9 +65,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
     out = joined.select("row", cleaned.alias("new"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n"))
-    names = [c for c in docs.columns if c != "n_removed"]
+    names = [c for c in docs.columns if c != count]
     return out.select(*[F.col("new").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in names],
-                      F.col("n").alias("n_removed"))
+                      F.col("n").alias(count))
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
@@ -78,14 +79,16 @@ def drop_repeats(docs: DataFrame, length: str | None = None) -> DataFrame:
     """``docs`` with repeated passages removed; a document of which no word
     is left was all repeats, and goes. ``length``: a column that is set to
     the new length of a changed text."""
-    rows = remove_repeats(docs.drop("n_removed"))
+    n = "n_removed"
+    while n in docs.columns:
+        n += "_"
+    rows = remove_repeats(docs, count=n)
     left = F.coalesce(F.col("text").rlike(HAS_WORD), F.lit(False))
-    rows = rows.filter((F.col("n_removed") == 0) | left)
+    rows = rows.filter((F.col(n) == 0) | left)
     if length in docs.columns:
         kind = docs.schema[length].dataType
-        rows = rows.withColumn(length, F.when(F.col("n_removed") == 0, F.col(length))
-                               .otherwise(F.length("text").cast(kind)))
-    return rows.select(*[c for c in docs.columns if c != "n_removed"])
+        rows = rows.withColumn(length, F.when(F.col(n) == 0, F.col(length)).otherwise(F.length("text").cast(kind)))
+    return rows.select(*docs.columns)
 
 
 SQL = r"""

@@ -156,7 +156,8 @@ def allocate(docs: DataFrame, schedules=None, weights=None, total_share: float =
     Null texts and texts without words have size 0: they are taken once,
     for no words, at the place of their hash. Rows of a source are ordered
     by the hash of id and text, then id, so reruns agree; repeated rows
-    follow each other and swap freely. Sizes, targets and kinds of schedules
+    follow each other and swap freely. An empty table gives an empty one; a
+    very long text is one row of its size. Sizes, targets and kinds of schedules
     of the sources are a table that is joined."""
     rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("source"),
                        (word_count(F.col("text")) if size is None else size).cast("long").alias("size"),

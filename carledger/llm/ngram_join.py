@@ -338,8 +338,10 @@ def components(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have an empty set, link with nothing and are their
     own component. Rows with equal sets are one class; a null doc_id is
-    never a component's name unless it has no other. Repeated rows are
-    repeated in the result; an empty table gives an empty one."""
+    never a component's name unless it has no other. Very long texts have
+    one set each, in one task; ties in the order of shingles fall by hash and
+    change no result. Repeated rows are repeated in the result; an empty
+    table gives an empty one."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text")

@@ -35,8 +35,9 @@ SAMPLE_ROWS = 8192
 SUBSPACES, CODES, ROUNDS = 8, 256, 8
 MOST_LISTS = 1024
 BLOCK, CHUNK = 8192, 8192
-#: Queries whose distances to a list are held at once.
-QUERIES = 512
+#: Queries whose distances to a list are held at once, and pairs that are
+#: verified at once; more than FOREST edges are reduced to a forest.
+QUERIES, PAIRS, FOREST = 512, 65536, 500_000
 #: Slack for single precision in distances.
 SLACK = 2e-3
 
@@ -86,12 +87,12 @@ def encode(book: Codebook, x: np.ndarray):
     return own, codes, np.sqrt((rest ** 2).sum(1)), [np.flatnonzero(r).tolist() for r in probed]
 
 
-def matches(book: Codebook, q: np.ndarray, probes: list, x: np.ndarray, lists: np.ndarray, codes: np.ndarray,
-            missed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) index pairs with cosine of at least THRESHOLD; vectors
-    are given as they are, distances use their unit form."""
+def slices(book: Codebook, q: np.ndarray, probes: list, x: np.ndarray, lists: np.ndarray, codes: np.ndarray, missed: np.ndarray):
+    """(query, row) index pairs with cosine of at least THRESHOLD, those of
+    QUERIES queries and one list at a time; vectors are given as they are,
+    distances use their unit form."""
     unit = lambda v: (v / np.sqrt((v ** 2).sum(1))[:, None])
-    uq, ux = unit(q), unit(x)
+    uq = unit(q)
     radius = math.sqrt(2 - 2 * THRESHOLD)
     # |q - c - code|^2 = |q - c|^2 + (|code|^2 + 2 c code) - 2 q code
     fixed = np.zeros(len(x), np.float32)
@@ -103,8 +104,8 @@ def matches(book: Codebook, q: np.ndarray, probes: list, x: np.ndarray, lists: n
         for k in ls:
             wanted.setdefault(k, []).append(i)
     order = np.argsort(lists, kind="stable")
-    out_q, out_x = [], []
     tables = [(uq[:, p] @ b.T).astype(np.float32) for p, b in zip(book.parts, book.codes)]
+    lengths, widths = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
     for rows in np.split(order, np.flatnonzero(np.diff(lists[order])) + 1):
         k = int(lists[rows[0]])
         limit = ((radius + missed[rows] + SLACK) ** 2).astype(np.float32)
@@ -116,16 +117,17 @@ def matches(book: Codebook, q: np.ndarray, probes: list, x: np.ndarray, lists: n
             for m, t in enumerate(tables):
                 d -= 2 * t[part][:, codes[rows, m]]
             a, b = np.nonzero(d <= limit[None])
-            out_q.append(part[a])
-            out_x.append(rows[b])
-    qi = np.concatenate(out_q) if out_q else np.zeros(0, np.int64)
-    xi = np.concatenate(out_x) if out_x else np.zeros(0, np.int64)
-    keep = np.zeros(len(qi), bool)
-    for i in range(0, len(qi), 65536):
-        a, b = q[qi[i:i + 65536]], x[xi[i:i + 65536]]
-        cosine = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
-        keep[i:i + 65536] = cosine >= THRESHOLD
-    return qi[keep], xi[keep]
+            for j in range(0, len(a), PAIRS):
+                qi, xi = part[a[j:j + PAIRS]], rows[b[j:j + PAIRS]]
+                keep = (q[qi] * x[xi]).sum(1) / (lengths[qi] * widths[xi]) >= THRESHOLD
+                yield qi[keep], xi[keep]
+
+
+def matches(*block) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ``slices`` at once."""
+    some = list(slices(*block))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *[a for a, _ in some]]), np.concatenate([none, *[b for _, b in some]])
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +201,7 @@ def train(classes: DataFrame) -> dict[int, Codebook]:
     classes of a label."""
     sizes = {r["dim"]: (r["n"], r["labels"]) for r in classes.groupBy("dim").agg(
         F.count(F.lit(1)).alias("n"), F.approx_count_distinct("label").alias("labels")).collect()}
-    sample = least_rows(classes.select("dim", "vector", "k1"), "dim", F.col("k1"), SAMPLE_ROWS).select("dim", "vector")
+    sample = least_rows(classes.select("dim", "vector", "k1"), "dim", F.col("k1"), SAMPLE_ROWS, None).select("dim", "vector")
     by: dict[int, list] = {}
     for r in sample.collect():  # bounded by SAMPLE_ROWS of a length
         by.setdefault(r["dim"], []).append(r["vector"])
@@ -262,14 +264,22 @@ def _search(coded: DataFrame, books: dict[int, Codebook]) -> DataFrame:
         if not len(q) or not len(x):
             return none
         wide = lambda rows: np.stack(rows["vector"].to_numpy()).astype(np.float64)
-        qi, xi = matches(books[int(pdf["dim"].iloc[0])], wide(q), list(q["probes"]), wide(x),
-                         x["list"].to_numpy(np.int64), np.stack([np.frombuffer(c, np.uint8) for c in x["codes"]]),
-                         x["missed"].to_numpy(float))
-        a, b = q["node"].to_numpy()[qi], x["node"].to_numpy()[xi]
-        many = x["many"].to_numpy(np.int64)[xi] - (a == b)
-        sums = np.bincount(qi, many, minlength=len(q)).astype(np.int64)
+        asks, has = q["node"].to_numpy(np.int64), x["node"].to_numpy(np.int64)
+        many, sums = x["many"].to_numpy(np.int64), np.zeros(len(q), np.int64)
+        edges, size = [(np.zeros(0, np.int64),) * 2], 0
+        # Pairs of a slice are counted and joined to a forest, never kept.
+        for qi, xi in slices(books[int(pdf["dim"].iloc[0])], wide(q), list(q["probes"]), wide(x),
+                             x["list"].to_numpy(np.int64), np.stack([np.frombuffer(c, np.uint8) for c in x["codes"]]),
+                             x["missed"].to_numpy(float)):
+            a, b = asks[qi], has[xi]
+            np.add.at(sums, qi, many[xi] - (a == b))
+            edges.append((a, b))
+            size += len(a)
+            if size > FOREST:
+                edges = [spanning(*map(np.concatenate, zip(*edges)))]
+                size = 0
         some = sums > 0
-        nodes, others = spanning(a, b)
+        nodes, others = spanning(*map(np.concatenate, zip(*edges)))
         return pd.concat([pd.DataFrame({"node": q["node"].to_numpy()[some], "links": sums[some]}),
                           pd.DataFrame({"node": nodes, "other": others})]).reindex(
                               columns=["node", "links", "other"]).astype("Int64")

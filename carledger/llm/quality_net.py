@@ -198,7 +198,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Net | None:
 def classify(docs: DataFrame, net: Net | None, text: str = "text", out: str = "quality_score") -> DataFrame:
     """``docs`` with the probability of label 1 (it replaces a column of
     that name). Null and empty texts are scored as one block of nothing;
-    without a net every score is 0.5. Rows are read one batch at a time."""
+    without a net every score is 0.5. Repeated rows are each scored, an empty
+    table gives an empty one, a very long text is scored whole, in blocks.
+    Rows are read one batch at a time."""
     ship(docs.sparkSession)
 
     @F.pandas_udf("double")

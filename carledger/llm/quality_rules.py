@@ -206,8 +206,10 @@ def assess(docs: DataFrame, model: Trees | None, text: str = "text") -> DataFram
     """``docs`` with a struct column ``quality_rules`` (COUNTS, base_failed,
     score, kept), which replaces a column of that name. Null and empty texts
     have no words and so fail the base rules; without a model (no labels of
-    both classes) every text that passes the base rules is kept. Rows are
-    read one batch at a time, nothing is shuffled."""
+    both classes) every text that passes the base rules is kept. Repeated
+    rows are each assessed, an empty table gives an empty one, a very long
+    text is counted whole. Rows are read one batch at a time, nothing is
+    shuffled."""
     ship(docs.sparkSession)
     schema = ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, kept boolean"
 

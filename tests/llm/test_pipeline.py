@@ -73,17 +73,35 @@ def test_stages_against_plain_programs(spark):
     assert all(v == 4096 or v & (v - 1) == 0 for v in fill.values())
 
 
+def test_stages_on_awkward_tables(spark):
+    """An empty table; repeated rows, null ids and columns with names that
+    the stages use themselves."""
+    import corpus_pipeline as CP
+    from carledger.llm.common import stage, table
+    docs = table(spark, SF, "documents")
+    some = docs.orderBy("doc_id").limit(30)
+    odd = some.union(some.limit(3)).union(some.limit(2).selectExpr("cast(null as long)", "concat(text, ' without id')", "lang", "source", "n_chars"))
+    odd = odd.selectExpr("*", "1 as row", "'x' as lang_id", "2 as n_removed", "3.0 as position", "4 as h", "5 as size", "6 as _key", "'y' as component")
+    for start in (docs.limit(0), odd):
+        d = start
+        for i, (name, f) in enumerate(CP.STAGES):
+            d = stage(f(spark, d, SF), f"test-{name}")
+            assert i == 4 or d.columns == start.columns
+            n = d.count()
+            assert n == 0 if start is not odd else n > 0
+
+
 def test_run_and_registration(spark):
     import __spark_entry__ as E
     import corpus_pipeline as CP
     q = E.queries()
-    assert all(any(k.startswith(f"op{n}_") for k in q) for n in range(1, 11)) and q["pipeline"] is CP.run
+    assert all(any(k.startswith(f"op{n}_") for k in q) for n in range(1, 14)) and q["pipeline"] is CP.run
     got = CP.run(spark, SF)
     assert "doc_id" in got.columns and got.count() > 0
     assert np.all([r["length"] > 0 for r in got.select("length").collect()])
 
 
-@pytest.mark.parametrize("name", ["op2_line_dedup", "op5_warc", "op6_pq_near_dedup", "op10_ngram_join"])
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op5_warc", "op6_pq_near_dedup", "op10_ngram_join", "op13_collocations"])
 def test_against_sql(spark, name):
     sys.path.insert(0, ROOT)
     from tools import check_oracle

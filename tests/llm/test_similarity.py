@@ -184,6 +184,31 @@ def test_probes_and_distances_lose_nothing():
     assert set(zip(q.tolist(), r.tolist())) == set(zip(*(k.tolist() for k in np.nonzero(unit @ unit.T >= 0.93))))
 
 
+def test_a_dense_block_is_counted_in_slices(monkeypatch):
+    """4,096 vectors that all link: sixteen million pairs, counted without
+    ever being held together."""
+    import tracemalloc
+    rng = np.random.default_rng(8)
+    x = np.ones((4096, 16)) + rng.standard_normal((4096, 16)) * 0.01
+    unit = x / np.sqrt((x ** 2).sum(1))[:, None]
+    book = pq_dedup.fit(unit[:500], 2)
+    own, codes, missed, probes = pq_dedup.encode(book, unit)
+    n, largest = np.zeros(4096, np.int64), 0
+    tracemalloc.start()
+    for q, r in pq_dedup.slices(book, x, probes, x, own, codes, missed):
+        np.add.at(n, q, 1)
+        largest = max(largest, len(q))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (n == 4096).all() and largest <= pq_dedup.PAIRS and peak < 300e6
+
+
+def test_vectors_of_many_lengths(spark):
+    rows = [(10 * d + k, [1.0 + k / 100] * d, 0) for d in range(1, 281) for k in range(2)]
+    got = pq_dedup.links(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert len(got) == 560 and all(r["n_links"] == 1 and r["component_id"] == r["vec_id"] // 10 * 10 for r in got)
+
+
 def test_least_rows_is_bounded_and_repeats(spark):
     from pyspark.sql import functions as F
     df = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 'hot', cast(id % 5 as string)) as k")

@@ -180,3 +180,50 @@ def test_net_reads_the_whole_text():
     # Blocks overlap by the filters' width, so every byte is seen by every filter position.
     b = quality_net.blocks_of(bytes(range(1, 251)))
     assert b.shape == (2, quality_net.BLOCK + quality_net.WIDTH - quality_net.STEP) and b[0, -1] == b[1, 5]
+
+
+def test_language_is_that_of_a_plain_loop(spark):
+    """Dictionaries from whole texts and classes, by zstandard alone."""
+    import re
+    from collections import Counter
+
+    import zstandard as zstd
+
+    from carledger.llm import langid
+    rng = random.Random(5)
+    words = {k: [("".join(rng.choice(a) for _ in range(rng.randint(2, 9)))) for _ in range(400)]
+             for k, a in {"aa": "abcdeé", "bb": "defghi", "cc": "ghijkß"}.items()}
+    make = lambda k, n: " ".join(rng.choice(words[k]) + rng.choice(["", ",", ".", " 7"]) for _ in range(n))
+    docs = [(i, make(k, rng.choice([3, 40, 3000])), k) for i, k in enumerate(["aa"] * 9 + ["bb"] * 7 + ["cc"] * 5)]
+    docs += [(50, None, "aa"), (51, "", "bb"), (52, "123 !", "cc"), (53, make("aa", 5) + " " + make("bb", 5), None), (54, docs[0][1], "aa")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    flat = lambda t: " ".join(re.findall(r"[^\W\d_]+", t.lower()))
+    content = {}
+    for k in words:
+        n = Counter(w for t in {t for _, t, lang in docs if lang == k and t} for w in flat(t).split())
+        own, size = [], 0
+        for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0])):
+            size += len(w.encode()) + 1
+            if size > langid.DICT_BYTES:
+                break
+            own.append(w)
+        content[k] = " ".join(reversed(own)).encode()
+    model = langid.train(df)
+    assert dict(model.dictionaries) == content
+    tools = {k: zstd.ZstdCompressor(level=langid.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False,
+                                    dict_data=zstd.ZstdCompressionDict(c, dict_type=zstd.DICT_TYPE_RAWCONTENT)) for k, c in content.items()}
+    for r in langid.identify(df, model).collect():
+        t = flat(r["text"] or "")
+        if not t:
+            assert r["lang_id"]["lang"] == "und" and r["lang_id"]["rejected"]
+            continue
+        sizes = {}
+        for k, z in tools.items():
+            b = t.encode()
+            parts = [b[i:i + 512] for i in range(0, len(b), 512)]
+            parts = [p if len(p) >= 96 else b" ".join([p] * max(4, -(-96 // len(p)))) for p in parts]
+            sizes[k] = sum(len(z.compress(p)) for p in parts)
+        low = sorted(sizes.values())
+        if low[0] < low[1]:
+            assert r["lang_id"]["lang"] == min(sizes, key=sizes.get)
+        assert r["lang_id"]["rejected"] == ((low[1] - low[0]) / low[0] < langid.MIN_MARGIN)
