@@ -9,6 +9,12 @@ the sequences. All stages but the last return the columns of ``documents``.
 
 The curriculum is one of the corpus's own sources: a source that a stage
 empties does not move the weights of others, so mixing and packing agree.
+
+Null and empty texts have no language and go in the first stage. Rows with a
+null id are documents like others; rows equal in id and text count once from
+the third stage on; further columns pass through whatever their names, but
+for the last stage, whose rows are pieces. An empty table gives an empty
+result. Very long texts are read whole in every stage.
 """
 
 from __future__ import annotations
