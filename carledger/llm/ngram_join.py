@@ -28,7 +28,7 @@ No component, link or fingerprint comes to the driver.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -309,11 +309,14 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The (a, b) pairs whose whole sets are similar, with their other
-    columns, written."""
+    columns, written. Sets are made from the texts of the classes that a
+    pair names, and let go again."""
     written = stage(pairs, "pairs")
     pairs = bounded(written)
+    nodes = stage(written.select(F.col("a").alias("node")).union(written.select("b")).distinct(), "nodes-of-pairs")
+    sets = sets_of(nodes)
     # Only sets that a pair names go through the join's shuffle.
     own = stage(written.select("a").distinct(), "named")
     named = bounded(own)
@@ -322,7 +325,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     # A class that many pairs name is on the side that Spark can split.
     both = left.join(pairs, "b").join(right, "a")
     links = stage(both.filter(F.pandas_udf(_similar, "boolean")("_a", "_b")).drop("_a", "_b"), "links")
-    release(written, own)
+    release(written, own, nodes, sets)
     return links
 
 
@@ -364,9 +367,13 @@ def components(docs: DataFrame) -> DataFrame:
     names = None
     if not wanted.isEmpty():
         repeated = not rows.groupBy("doc_id", "h").count().filter("count > 1").isEmpty()
-        sets = _sets(docs, wanted, repeated)
-        names = _link(posted, sets)
-        release(sets)
+
+        def sets_of(nodes: DataFrame) -> DataFrame:
+            own = stage(wanted.join(nodes, "node"), "wanted-now")
+            sets = _sets(docs, own, repeated)
+            release(own)
+            return sets
+        names = _link(posted, sets_of)
     release(wanted)
     if names is not None:
         classes = classes.join(names, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -399,8 +406,9 @@ def _linkable(posted: DataFrame) -> DataFrame:
     return out
 
 
-def _link(posted: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root) of all classes of ``posted`` (token, node, n, short).
+def _link(posted: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of all classes of ``posted`` (token, node, n, short);
+    ``sets_of`` gives the whole sets of some of them.
 
     First every shingle pairs its classes with one of them. Then, while the
     pairs of different components outnumber the postings, classes of smaller
@@ -414,7 +422,7 @@ def _link(posted: DataFrame, sets: DataFrame) -> DataFrame:
     def merge(pairs: DataFrame, *used: DataFrame) -> bool:
         """Verify pairs, join components; ``used``: tables of the pairs."""
         nonlocal nodes, p, read
-        new = verified(pairs, sets)
+        new = verified(pairs, sets_of)
         release(*used)
         if new.isEmpty():
             release(new)
