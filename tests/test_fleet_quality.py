@@ -59,7 +59,7 @@ def test_constraint_violations(spark, fixture_tables):
     assert got[("orders_history", "check_status")] == 1
     assert got[("clients", "pk_pass")] == 0 and got[("orders", "pk_id")] == 0
     assert got[("cars", "widths")] == got[("clients", "widths")] == got[("carstates", "not_null")] == 0
-    assert len(got) == 19
+    assert len(got) == 20
 
 
 def test_free_keys(spark, fixture_tables):
