@@ -49,6 +49,12 @@ CACHE_WORDS = 350_000
 #: Rows of (task, source) sums that are broadcast; more of them are joined.
 BROADCAST_ROWS = 500_000
 TOKENISE_ROWS = 512
+#: A run of these after a word of letters is a unit of its own. (A quote may
+#: begin one with the letters that follow.)
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters that are lower case and composed, if ``lower`` and ``isalpha`` say
+#: so, in every version of Unicode.
+LATIN = re.compile("[a-z\u00df-\u024f]+")
 #: Steps of training time within which proportions hold still.
 STEPS = 1024
 
@@ -58,21 +64,27 @@ class WordTokenizer:
     tokenizer cuts at white space itself and drops it, and lowers case, so
     lower-cased words between ASCII white space can be looked up one by one.
     Unseen words of letters are encoded many at a time: each is then one
-    unit of the tokenizer, whose last id is one that ends a unit. Others are
-    encoded alone, full stops and commas after a word of letters apart; a
-    word is one of letters if it still is when the tokenizer has lower-cased
+    unit of the tokenizer, whose last id is one that ends a unit. Those of
+    lower-case Latin letters need none of its normalising and cutting, only
+    its model. Others are encoded alone, marks after a word of letters apart;
+    a word is one of letters if it still is when the tokenizer has lower-cased
     it (a dotted capital I gets a mark that joins what follows). Strings of
     special tokens in a text are those tokens, as the tokenizer has it."""
 
     def __init__(self, name: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         path = name if os.path.sep in name else public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
         # Texts are cut at special strings first; what lower-casing makes
         # like one is ordinary text.
         self.tokenizer.encode_special_tokens = True
+        self.model = Tokenizer.from_file(path)
+        self.model.encode_special_tokens = True
+        self.model.normalizer = None
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         vocabulary = self.tokenizer.get_vocab()
@@ -87,10 +99,11 @@ class WordTokenizer:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters(self, words: list[bytes]) -> None:
+    def _letters(self, words: list[bytes], tokenizer) -> None:
         for i in range(0, len(words), 2000):
             some = words[i:i + 2000]
-            ids = np.array(self._ids([b" ".join(some).decode()])[0], self.kind)
+            joined = b" ".join(some).decode()
+            ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind)
             last = ids.itemsize * (np.flatnonzero(self.ends[ids]) + 1)
             if len(last) == len(some):
                 data, cut = ids.tobytes(), last.tolist()
@@ -106,13 +119,21 @@ class WordTokenizer:
         known, older = self.known, self.older
         for w in words.intersection(older):
             known[w] = older[w]
-        letters, marked, alone = set(), [], set()
-        for w in words.difference(older):
-            core = w.rstrip(b".,")
-            if not core.decode().lower().isalpha():
-                alone.add(w)
-            elif core == w:
-                letters.add(w)
+        new = words.difference(older)
+        latin, letters, marked, alone = set(filter(bytes.isalpha, new)), set(), [], set()
+        for w in new.difference(latin):
+            core = w.rstrip(MARKS)
+            kind = latin
+            if not core.isalpha():      # of ASCII letters, lower case by now
+                text = core.decode()
+                lower = text.lower()
+                if not lower.isalpha():
+                    alone.add(w)
+                    continue
+                if lower != text or not LATIN.fullmatch(text):
+                    kind = letters
+            if core == w:
+                kind.add(w)
             else:
                 mark = w[len(core):]
                 marked.append((w, core, mark))
@@ -120,10 +141,11 @@ class WordTokenizer:
                     if core in older:
                         known[core] = older[core]
                     else:
-                        letters.add(core)
+                        kind.add(core)
                 if mark not in known:
                     alone.add(mark)
-        self._letters(list(letters))
+        self._letters(list(latin), self.model)
+        self._letters(list(letters), self.tokenizer)
         self._alone(list(alone))
         for w, core, mark in marked:
             known[w] = known[core] + known[mark]

@@ -38,7 +38,7 @@ def untouched():
 
 def test_ids_are_those_of_the_library():
     rng = random.Random(12)
-    bits = ["TEKİ", "İ", "ı", "a", "B", "word", "ẞ", "Σ", "ΟΔΟΣ", "ǅ", "é", "e\u0301", "\u0307", "\u0300", "한", "\u1112\u1161", "日本", "1", "²", "Ⅷ",
+    bits = ["TEKİ", "***", "&_", "!'s", "%\u0338", "\u0338=", "ǳ", "ª", "ĳ", "İ", "ı", "a", "B", "word", "ẞ", "Σ", "ΟΔΟΣ", "ǅ", "é", "e\u0301", "\u0307", "\u0300", "한", "\u1112\u1161", "日本", "1", "²", "Ⅷ",
             ",", ".", "..", ",.", "'s", "'", "-", " ", " ", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2028", "\u200b",
             "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "</w>", "�", "🙂", "ﬁ"]
     letters = [chr(c) for c in range(0xC0, 0x530) if chr(c).isalpha()] + [chr(c) for c in range(0x1E00, 0x2000) if chr(c).isalpha()]
