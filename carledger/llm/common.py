@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -49,12 +50,19 @@ def staged_in(own: list):
 
 def release(*tables: DataFrame | None) -> None:
     """Delete the files of staged tables that nothing will read again: what
-    was computed from them is written itself. Other tables are left."""
+    was computed from them is written itself. Other tables are left. The
+    driver's collector is asked to run, as Spark deletes the shuffle files
+    of a finished plan only when it finds the plan unreachable."""
+    spark = None
     for t in tables:
         path = getattr(t, "_staged", None)
         if path:
-            delete_path(t.sparkSession, path)
+            spark = t.sparkSession
+            delete_path(spark, path)
             t._staged = None
+    if spark is not None:
+        gc.collect()
+        spark._jvm.java.lang.System.gc()
 
 
 def forget_at_exit(spark: SparkSession, path: str) -> None:
