@@ -22,9 +22,9 @@ from carledger.llm.common import id_remainder, least_rows, ship
 WIDTH, STEP, VECTOR, FILTERS, HIDDEN = 8, 2, 8, 48, 16
 #: Bytes of a block; a chunk is two blocks.
 BLOCK = 128
-#: Training: rows of each label, characters of a row (from its beginning,
-#: middle and end), passes, rows of a step, rate.
-SAMPLE_ROWS, SAMPLE_CHARS, PASSES, STEP_ROWS, RATE = 2000, 1536, 10, 32, 0.004
+#: Training: rows of each label, bytes of a row that a step shows (a passage
+#: drawn anew from the whole text each time), passes, rows of a step, rate.
+SAMPLE_ROWS, SHOWN_BYTES, PASSES, STEP_ROWS, RATE = 2000, 1536, 10, 32, 0.004
 #: A row of label 1 is cut to a short passage this often: a passage of a good
 #: text is good, and short texts are rare in the sample.
 SHORTENED = 0.3
@@ -137,7 +137,9 @@ def _gradients(net: Net, texts: list[np.ndarray], y: np.ndarray) -> Net:
 
 def fit(texts: list[bytes], y: np.ndarray, passes: int = PASSES) -> Net:
     """Adam on the logistic loss, both labels weighing the same in every
-    step; the seed is fixed, so the same rows give the same network."""
+    step. A step shows a passage of each of its texts, which may lie anywhere
+    in it, so no part of a long text is left out. The seed is fixed, so the
+    same rows give the same network."""
     rng = np.random.default_rng(7)
     draw = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
     net = {"bytes": draw(256, VECTOR, scale=0.5), "filters": draw(WIDTH * VECTOR, FILTERS, scale=0.15),
@@ -147,11 +149,9 @@ def fit(texts: list[bytes], y: np.ndarray, passes: int = PASSES) -> Net:
 
     def shown(i: int) -> np.ndarray:
         t = texts[i]
-        if y[i] and rng.random() < SHORTENED:
-            n = int(rng.integers(8, 160))
-            a = int(rng.integers(0, max(1, len(t) - n)))
-            t = t[a:a + n]
-        return blocks_of(t)
+        n = int(rng.integers(8, 160)) if y[i] and rng.random() < SHORTENED else SHOWN_BYTES
+        a = int(rng.integers(0, max(1, len(t) - n + 1)))
+        return blocks_of(t[a:a + n])
     sides = [np.flatnonzero(y == v) for v in (0, 1)]
     first = {k: np.zeros_like(v) for k, v in net.items()}
     second = {k: np.zeros_like(v) for k, v in net.items()}
@@ -168,27 +168,16 @@ def fit(texts: list[bytes], y: np.ndarray, passes: int = PASSES) -> Net:
     return net
 
 
-def sample_text(text: str, chars: int = SAMPLE_CHARS) -> bytes:
-    if len(text) > chars:
-        k, mid = chars // 3, len(text) // 2
-        text = text[:k] + text[mid:mid + k] + text[-k:]
-    return text.encode("utf-8", "replace")
-
-
 def train(docs: DataFrame, labels: DataFrame) -> Net | None:
-    """Fits on at most SAMPLE_ROWS rows of each label that are not held out,
-    chosen by the hash of their id, and SAMPLE_CHARS characters of each.
-    None if there are not two classes."""
+    """Fits on the whole texts of at most SAMPLE_ROWS rows of each label that
+    are not held out, chosen by the hash of their id. None if there are not
+    two classes."""
     given = labels.filter("quality in (0, 1) and doc_id is not null").filter(
         id_remainder(F.col("doc_id"), HELD_OUT) != 2).select("doc_id", "quality")
     some = least_rows(given, "quality", F.xxhash64("doc_id"), SAMPLE_ROWS).dropDuplicates(["doc_id"])
-    third = SAMPLE_CHARS // 3
-    short = F.when(F.length("text") <= SAMPLE_CHARS, F.col("text")).otherwise(F.concat(
-        F.substring("text", 1, third), F.substring(F.col("text"), F.floor(F.length("text") / 2).cast("int"), F.lit(third)),
-        F.substring("text", -third, third)))
     rows = (docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(some), "doc_id")
-            .dropDuplicates(["doc_id"]).select("doc_id", "quality", short.alias("text")))
-    got = sorted(rows.collect(), key=lambda r: r["doc_id"])  # bounded: two labels x rows x characters
+            .dropDuplicates(["doc_id"]).select("doc_id", "quality", "text"))
+    got = sorted(rows.collect(), key=lambda r: r["doc_id"])  # bounded: two labels x rows
     y = np.array([r["quality"] for r in got], np.float32)
     if len(set(y)) < 2:
         return None
