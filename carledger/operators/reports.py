@@ -28,6 +28,7 @@ from carledger.functions.exact import (
 from carledger.functions.fixed import CHANGE_STATUS, EXPORT_STATUS, STATUS_CLOSED
 from carledger.functions.timefn import MICROS_PER_DAY, fmt17, micros_between, ts_diff
 from carledger.plans.joins import materialize, with_state_name
+from carledger.session import shuffle_parts
 
 
 def _ts(v) -> F.Column:
@@ -253,7 +254,7 @@ def client_report_parts(history: DataFrame, size: int = PART_CARS) -> DataFrame:
     pairs = history.groupBy("client_pass", "car_reg_num").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(closed, 1)).alias("closed_n"),
         F.sum(F.when(closed, F.col("total_price"))).alias("closed_sum"))
-    parts = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = shuffle_parts(history.sparkSession)
     key = ["client_pass", "car_reg_num"]
     row = F.monotonically_increasing_id().bitwiseAND(F.lit(2 ** 33 - 1))
     dealt = materialize(pairs.repartitionByRange(parts, *key).sortWithinPartitions(*key)

@@ -126,3 +126,43 @@ def test_hot_order_turns_bucketing_off(spark, fixture_tables):
     ft = StoredFleetTables(spark, "-", store=st)
     assert "Bucketed: true" not in plan(R.orders_changes(ft.history))
     assert {r.order_id: r.changed_times for r in R.orders_changes(ft.history).collect()} == {1: 4, 2: 200}
+
+
+def test_shuffles_and_buckets_grow_with_the_rows(spark, monkeypatch):
+    from carledger import session
+    from carledger.sources import fleet_store
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(session, "ROWS_PER_PARTITION", 10)
+    try:
+        assert fleet_store._buckets(spark, 1000) == 100 == session.shuffle_parts(spark)
+        assert fleet_store._buckets(spark, 5) == least == session.shuffle_parts(spark)
+        spark.conf.set(session.INITIAL, "7")        # a number that the session was given stays
+        fleet_store._buckets(spark, 1000)
+        assert spark.conf.get(session.INITIAL) == "7"
+    finally:
+        spark.conf.unset(session.INITIAL)
+
+
+def test_a_table_is_written_when_it_is_first_read(spark, tmp_path):
+    d = str(tmp_path)
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{d}/{name}.parquet")
+    put("part", [(i, "red blue", "b", "PROMO", 10.0 + i) for i in range(6)], "p_partkey long, p_name string, p_brand string, p_type string, p_retailprice double")
+    put("customer", [(1, "ann"), (2, "bob")], "c_custkey long, c_name string")
+    put("orders", [(50, 2, "F", D(1)), (51, 1, "O", D(2))], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz")
+    put("lineitem", [(o, n, n % 6, 0, 10.0 * n, 1.0, D(3), "A", "F", 0.0, 0.0) for o in (50, 51) for n in range(1, 8)],
+        "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_shipdate timestamp_ntz, "
+        "l_returnflag string, l_linestatus string, l_discount double, l_tax double")
+    st = FleetStore.ingest(spark, d, buckets=3)
+    t = StoredFleetTables(spark, d, store=st)
+    assert t.cars.count() == 6 and set(st.pending) == {"clients", "history", "orders"}
+    assert [r.id for r in t.orders.collect()] == [51] and set(st.pending) == {"clients"}
+    # Lines 1 to 7: the car of an even line is that of the line before.
+    rows = t.history.filter("order_id = 50").orderBy("id").collect()
+    assert [int(r.car_reg_num[1:], 16) for r in rows] == [1, 1, 3, 3, 5, 5, 1]
+    assert [r.client_pass[-1] for r in rows] == list("2221111") and rows[-1].status == "1"
+    notes = ["order was created."]
+    for old, new in zip(rows, rows[1:-1]):      # each note compares a row with the one before
+        notes.append("client changed a car." if old.car_reg_num != new.car_reg_num else "client renewed a car." if old.returned_at != new.returned_at
+                     else "client was changed." if old.client_pass != new.client_pass else None)
+    assert [r.note for r in rows] == [*notes, "client returned a car."] and None not in notes[1:4]
+    st.drop()
