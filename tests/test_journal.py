@@ -162,6 +162,24 @@ def test_parts_of_a_large_component(spark, monkeypatch):
     check(spark, *random_journal(random.Random(4), 260, 10))
 
 
+def test_only_a_large_component_is_cut_and_no_finer_than_needed(spark, monkeypatch):
+    """Ninety swaps tie all cars, fewer do not: a few cuts do, and the calls
+    of other components are folded before them."""
+    monkeypatch.setattr(J, "FOLD_CALLS", 30)
+    cars = {f"K{i:03d}": [1, "c", "m", "t", M(10 + i), T0] for i in range(91)}
+    clients = {f"P{i:03d}": ["x"] for i in range(90)}
+    orders = {i + 1: [f"P{i:03d}", f"K{i:03d}", T0, T0 + timedelta(days=9), M(50)] for i in range(90)}
+    # Even calls first: each alone names two cars and nobody's neighbour.
+    calls = [call(k, "update_order", id=i + 1, reg_num=f"K{i + 1:03d}", returned_at=T0 + timedelta(days=12))
+             for k, i in enumerate([*range(0, 90, 2), *range(89, 0, -2)])]
+    calls += [call(1000 + i, "add_client", **{"pass": f"N{i}"}, name="y") for i in range(20)]
+    runs, real = [], J._outcomes
+    monkeypatch.setattr(J, "_outcomes", lambda *a: runs.append(a[3].count()) or real(*a))
+    check(spark, cars, clients, orders, calls)
+    # The old cut took as many parts as calls ask for: four, and the whole before.
+    assert runs[0] == 110 and len(runs) == 3 and sum(runs[1:]) == 90
+
+
 def test_walk_through(spark):
     """A car and a client come, rent, change, and go, in one journal."""
     calls = [
