@@ -178,3 +178,9 @@ def test_stream_state_stays_flat(spark, blocks):
         kept.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
     assert spark.read.schema(ORDERS_HISTORY).parquet(sink).count() == want
     assert max(kept[1:]) <= (12 if blocks is None else 2), kept
+
+
+def test_registered_stream_uses_large_blocks():
+    from carledger import params
+    from carledger.streaming.order_stream import blocks_for
+    assert blocks_for(9_000_000, params.STREAM_BLOCK_ORDERS) == 1125
