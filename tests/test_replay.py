@@ -9,6 +9,8 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 from fractions import Fraction
 
+from pyspark.sql import functions as F
+
 from carledger import schema as S
 from carledger.operators import commands as C
 
@@ -206,3 +208,34 @@ def test_replay_rejects_overflowing_totals(spark, hot_rows):
             o["car"], o["returned"], o["total"]), i
     assert {r.seq for r in res.rejects.collect()} == rejects
     assert {r.id: r.total_price for r in res.history.collect()} == totals
+
+
+def test_calls_without_a_car_are_dealt_over_tasks(spark, monkeypatch):
+    """Calls that give no new car, or name no order, meet no car: they do not
+    all go to one task of a join with cars."""
+    t0, n = datetime(2024, 1, 1), 200
+    cars = spark.createDataFrame([(f"K{i:03d}", 1, "c", "m", "t", Decimal("10.00"), t0) for i in range(n)], S.CARS)
+    orders = spark.createDataFrame(
+        [(i, f"P{i}", f"K{i:03d}", t0, t0 + timedelta(days=3), Decimal("30.00")) for i in range(n)], S.ORDERS)
+    cmds = [(2 * i, t0, i if i % 2 else -i - 1, None, None, t0 + timedelta(days=4)) for i in range(n)]
+    cmds += [(2 * i + 1, t0, i, f"K{i:03d}", None, None) for i in range(0, n, 10)]
+    seen = []
+    real = C.materialize
+
+    def kept(df):
+        out = real(df)
+        seen.append(out)
+        return out
+    monkeypatch.setattr(C, "materialize", kept)
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        res = C.update_orders(orders, cars, spark.createDataFrame(cmds, S.ORDER_UPDATES), "T")
+        tasks = [r["count"] for r in seen[0].filter("new_car is null").groupBy(F.spark_partition_id()).count().collect()]
+        assert res.rejects.count() == n // 2 and res.table.count() == n
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(tasks) == n and max(tasks) < 0.6 * n
