@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 from decimal import Decimal
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 from conftest import D, M
 
@@ -180,6 +181,27 @@ def test_only_a_large_component_is_cut_and_no_finer_than_needed(spark, monkeypat
     assert runs[0] == 110 and len(runs) == 3 and sum(runs[1:]) == 90
 
 
+def test_a_long_journal_is_cut_before_its_components_are_found(spark, monkeypatch):
+    """Ninety swaps in a chain, more than four tasks fold: the whole is in no run."""
+    monkeypatch.setattr(J, "FOLD_CALLS", 20)
+    cars = {f"K{i:03d}": [1, "c", "m", "t", M(10 + i), T0] for i in range(91)}
+    clients = {f"P{i:03d}": ["x"] for i in range(90)}
+    orders = {i + 1: [f"P{i:03d}", f"K{i:03d}", T0, T0 + timedelta(days=9), M(50)] for i in range(90)}
+    calls = [call(89 - i, "update_order", id=i + 1, reg_num=f"K{i + 1:03d}", returned_at=T0 + timedelta(days=12)) for i in range(90)]
+    runs, real = [], J._outcomes
+    monkeypatch.setattr(J, "_outcomes", lambda *a: runs.append(a[3].count()) or real(*a))
+    monkeypatch.setattr(J, "FIRST_PARTS", 4)
+    check(spark, cars, clients, orders, calls)
+    assert runs[0] < 45 and sum(runs) < 2 * 90
+
+
+def test_values_of_a_column():
+    for typ, values in ((pa.int64(), [1, None, 2 ** 62]), (pa.int32(), [3, -4, 0]), (pa.string(), ["a", None, ""]),
+                        (pa.bool_(), [True, None, False]), (pa.int64(), [None, None])):
+        got = J._values(pa.array(values, typ))
+        assert got == values and [type(x) for x in got] == [type(x) for x in values]
+
+
 def test_walk_through(spark):
     """A car and a client come, rent, change, and go, in one journal."""
     calls = [
@@ -226,6 +248,24 @@ def test_components_of_chains_stars_and_rings(spark, monkeypatch):
     assert K.connected(df.limit(0)).count() == 0
 
 
+def test_few_edges_are_joined_in_one_round(spark, monkeypatch):
+    """A chain over many partitions: one round if it is short, more if it is not, the same components."""
+    df = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")     # edges lie apart
+    seen = []
+    monkeypatch.setattr(K, "materialize", lambda x: seen.append(1) or joins.materialize(x))
+    try:
+        short = {r.node: r.root for r in K.connected(df).collect()}
+        rounds = len(seen)
+        monkeypatch.setattr(K, "LAST_EDGES", 20)
+        long = {r.node: r.root for r in K.connected(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for got in (short, long):
+        assert len(got) == 303 and len({got[i] for i in range(301)}) == 1 and len(set(got.values())) == 2
+    assert rounds == 2 and len(seen) - rounds > 3
+
+
 def test_dependent_adds_take_few_checkpoints(spark, monkeypatch):
     """200 adds that each depend on the one before."""
     seen = []
