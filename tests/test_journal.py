@@ -182,17 +182,18 @@ def test_only_a_large_component_is_cut_and_no_finer_than_needed(spark, monkeypat
 
 
 def test_a_long_journal_is_cut_before_its_components_are_found(spark, monkeypatch):
-    """Ninety swaps in a chain, more than four tasks fold: the whole is in no run."""
-    monkeypatch.setattr(J, "FOLD_CALLS", 20)
-    cars = {f"K{i:03d}": [1, "c", "m", "t", M(10 + i), T0] for i in range(91)}
-    clients = {f"P{i:03d}": ["x"] for i in range(90)}
-    orders = {i + 1: [f"P{i:03d}", f"K{i:03d}", T0, T0 + timedelta(days=9), M(50)] for i in range(90)}
-    calls = [call(89 - i, "update_order", id=i + 1, reg_num=f"K{i + 1:03d}", returned_at=T0 + timedelta(days=12)) for i in range(90)]
+    """Fifty swaps tie all cars and are more than four tasks fold: two parts, in which they fall apart."""
+    monkeypatch.setattr(J, "FOLD_CALLS", 10)
+    monkeypatch.setattr(J, "FIRST_PARTS", 2)
+    cars = {f"K{i:03d}": [1, "c", "m", "t", M(10 + i), T0] for i in range(51)}
+    clients = {f"P{i:03d}": ["x"] for i in range(50)}
+    orders = {i + 1: [f"P{i:03d}", f"K{i:03d}", T0, T0 + timedelta(days=9), M(50)] for i in range(50)}
+    calls = [call(k, "update_order", id=i + 1, reg_num=f"K{i + 1:03d}", returned_at=T0 + timedelta(days=12))
+             for k, i in enumerate([*range(0, 50, 2), *range(49, 0, -2)])]
     runs, real = [], J._outcomes
     monkeypatch.setattr(J, "_outcomes", lambda *a: runs.append(a[3].count()) or real(*a))
-    monkeypatch.setattr(J, "FIRST_PARTS", 4)
     check(spark, cars, clients, orders, calls)
-    assert runs[0] < 45 and sum(runs) < 2 * 90
+    assert len(runs) == 2 and sum(runs) == 50 and max(runs) < 40
 
 
 def test_values_of_a_column():
