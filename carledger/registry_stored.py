@@ -50,9 +50,10 @@ def _rolled(report):
 
 # ------------------------------------------------------- batches that are stored
 def _batches(t):
-    """The tables stored anew, then changed by two batches of calls, of which
-    the second arrives twice."""
-    st = FleetStore.create(t.spark, t.cars, t.clients, t.history, t.orders_first_car)
+    """The tables stored anew, all four, then changed by two batches of calls, of
+    which the second arrives twice. They are derived into this store, not
+    copied from the session's, which would be written for that alone."""
+    st = FleetStore.ingest(t.spark, t.sf_dir).write_all()
     st.apply(1, lambda b: C.update_orders(b.orders, b.cars, DC.order_updates(b.orders_first_car), P.V_USER), "orders")
     for _ in range(2):
         st.apply(2, lambda b: C.close_orders(b.orders, DC.order_deletes(b.orders), P.V_USER), "orders")
