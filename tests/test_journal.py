@@ -196,6 +196,32 @@ def test_a_long_journal_is_cut_before_its_components_are_found(spark, monkeypatc
     assert len(runs) == 2 and sum(runs) == 50 and max(runs) < 40
 
 
+def test_parts_of_a_large_component_read_only_the_rows_that_it_sees(spark, monkeypatch):
+    """Ninety swaps tie ninety cars; three hundred other cars, clients and orders stay out of its parts."""
+    monkeypatch.setattr(J, "FOLD_CALLS", 30)
+    cars = {f"K{i:03d}": [1, "c", "m", "t", M(10 + i), T0] for i in range(400)}
+    clients = {f"P{i:03d}": ["x"] for i in range(400)}
+    orders = {i + 1: [f"P{i:03d}", f"K{i:03d}", T0, T0 + timedelta(days=9), M(50)] for i in [*range(90), *range(100, 400)]}
+    calls = [call(k, "update_order", id=i + 1, reg_num=f"K{i + 1:03d}", returned_at=T0 + timedelta(days=12))
+             for k, i in enumerate([*range(0, 90, 2), *range(89, 0, -2)])]
+    calls += [call(1000 + i, "update_car", reg_num=f"K{i:03d}", price=M(3)) for i in range(100, 400, 20)]
+    calls += [call(2000 + i, "del_order", id=i + 1) for i in range(100, 400, 25)]
+    runs, real = [], J._outcomes
+    monkeypatch.setattr(J, "_outcomes", lambda *a: runs.append(tuple(df.count() for df in a[:3])) or real(*a))
+    check(spark, cars, clients, orders, calls)
+    assert runs[0] == (400, 400, 390) and len(runs) >= 3 and all(c <= 91 and p <= 90 and o <= 90 for c, p, o in runs[1:])
+
+
+def test_outcomes_of_a_kind_hold_all_their_columns():
+    row = {c: None for c, _ in J._OUT}
+    rows = [{"kind": "h", "seq": 1, "ts": 2, "oid": 3, "status": "0", "note": None, "client": "P", "car": "K", "rented": 4, "returned": 5, "cents": 6},
+            {"kind": "r", "seq": 7, "verb": "add_car", "key": "K", "err": "e"}, {"kind": "o", "oid": 8, "gone": True},
+            {"kind": "c", "car": "K", "gone": False, "color": "r", "mark": "m", "type": "t", "cents": 9, "state": 1, "served": 10},
+            {"kind": "p", "client": "P", "gone": False, "name": "n"}]
+    got = [r for b in J._flushed(rows) for r in b.to_pylist()]
+    assert sorted(map(repr, got)) == sorted(repr({**row, **r}) for r in rows)
+
+
 def test_values_of_a_column():
     for typ, values in ((pa.int64(), [1, None, 2 ** 62]), (pa.int32(), [3, -4, 0]), (pa.string(), ["a", None, ""]),
                         (pa.bool_(), [True, None, False]), (pa.int64(), [None, None])):

@@ -230,3 +230,30 @@ def test_keys_are_counted_in_groups_first(spark):
         assert has_hot_order(hot, "k", 100) and not has_hot_order(few, "k", 100)
     finally:
         spark.conf.unset("carledger.hotKeyRows")
+
+
+def test_open_orders_alone_are_those_of_the_history(spark, tmp_path, monkeypatch):
+    """A long history is not written for the open orders: the same rows come from the lines of orders that may be open,
+    also where a status or a date is missing, an order comes twice or has no line."""
+    from carledger.sources import fleet_store as FS
+    d = str(tmp_path)
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{d}/{name}.parquet")
+    put("part", [(i, "red blue", "b", "PROMO", 10.0 + i) for i in range(6)], "p_partkey long, p_name string, p_brand string, p_type string, p_retailprice double")
+    put("customer", [(i, f"c{i}") for i in range(9)], "c_custkey long, c_name string")
+    put("orders", [(50, 2, "F", D(1)), (51, 1, "O", D(2)), (52, 3, None, D(3)), (53, 4, "P", D(4)), (53, 4, "P", D(4)), (54, 5, "O", D(5)), (54, 5, "O", D(5)),
+                   (55, 6, "O", None), (56, 7, "O", D(6)), (None, 8, "O", D(6)), (100, 2, "O", D(7))],
+        "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz")
+    put("lineitem", [(o, n, (n + (o or 0)) % 6, 0, 10.0 * n, 1.0, D(3), "A", "F", 0.0, 0.0) for o in (50, 51, 52, 53, 54, 55, 100, None) for n in range(1, 2 + o % 7 if o else 3)],
+        "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_shipdate timestamp_ntz, "
+        "l_returnflag string, l_linestatus string, l_discount double, l_tax double")
+    got = {}
+    for most in (10 ** 6, 0):
+        monkeypatch.setattr(FS, "ALONE_ROWS", most)
+        st = FleetStore.ingest(spark, d, buckets=3)
+        t = StoredFleetTables(spark, d, store=st)
+        got[most] = sorted(map(tuple, t.orders_first_car.collect()), key=repr)
+        assert ("history" in st.pending) == (most == 0)
+        # The history itself, written later, is whole.
+        assert {r.order_id for r in t.history.collect()} == {50, 51, 52, 53, 54, 55, 100}
+        st.drop()
+    assert got[0] == got[10 ** 6] and [r[0] for r in got[0]] == [100, 51, 52, 54, 55]
